@@ -15,6 +15,11 @@ def lower_weighted_median(frame: DataFrame, keys: list[str], value: str, weight:
     return run.where(F.col("__c") >= F.col("__t") / 2).groupBy(*keys).agg(F.min(value).alias(out))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null, not an error, where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2

@@ -252,7 +252,16 @@ def without(items: DataFrame, mean: np.ndarray, directions: np.ndarray) -> DataF
 
 def subject_f(items: DataFrame, mean: np.ndarray, directions: np.ndarray) -> list[float]:
     """F statistic of subject on each component's scores, from grouped sums."""
-    scores = items.select("subject", F.array(*(sum((F.get("vec", F.lit(j)) * float(d[j]) for j in range(len(d))), F.lit(-float(mean @ d))) for d in directions)).alias("z"))
+
+    def project(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                z = (np.stack(pdf["vec"].to_numpy()) - mean) @ directions.T
+                yield pd.DataFrame({"subject": pdf["subject"], "z": list(z)})
+
+    scores = items.select("subject", "vec").mapInPandas(project, "subject long, z array<double>")
     per = scores.select("subject", F.posexplode("z").alias("k", "z")).groupBy("k", "subject").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
     t = per.groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("g")).orderBy("k").collect()
     return [((r["b"] - r["s"] ** 2 / r["n"]) / (r["g"] - 1)) / max((r["q"] - r["b"]) / max(r["n"] - r["g"], 1), 1e-300) for r in t]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import average_rank
+from pairlens.functions.ordering import average_rank, correlation
 from pairlens.functions.scalars import effective_size, overlap_weight, relation
 
 
@@ -120,7 +120,7 @@ def ranking_metrics(relations: DataFrame, keys: list[str] | None = None) -> Data
     Constant sides give null. Relations of a method are few (labels squared), so their pairs are, too."""
     keys = keys or []
     ranked = relations.withColumn("rx", average_rank("reference", keys)).withColumn("ry", average_rank("predicted", keys))
-    rho = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("spearman"))
+    rho = ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("spearman"))
     a = relations.select(*keys, F.col("relation").alias("i"), F.col("reference").alias("xi"), F.col("predicted").alias("yi"))
     b = relations.select(*keys, F.col("relation").alias("j"), F.col("reference").alias("xj"), F.col("predicted").alias("yj"))
     one = F.lit(1)

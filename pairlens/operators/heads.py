@@ -40,10 +40,10 @@ def losses(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def loss(pair: np.ndarray, cross: np.ndarray, strength: float, mode: str = "separate") -> float:
-    """Pair and cross losses put together: their means added, or one weighted mean over all."""
+    """Pair and cross losses put together: their means added, or one mean over all with cross losses weighted."""
     if mode == "separate":
         return float(pair.mean() + strength * cross.mean())
-    return float((pair.sum() + strength * cross.sum()) / (len(pair) + strength * len(cross)))
+    return float((pair.sum() + strength * cross.sum()) / (len(pair) + len(cross)))
 
 
 def train_linear(left: np.ndarray, right: np.ndarray, target: np.ndarray, out: int, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 20260829, cross: tuple | None = None, strength: float = 0.0) -> dict:
