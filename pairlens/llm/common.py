@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,21 @@ def picked(frame: DataFrame, test: Column) -> DataFrame:
     return frame.select("*", F.explode_outer(F.array(test)).alias("__picked")).where("__picked").drop("__picked")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A batch function after whose partition the worker gives its free memory back: workers outlive their tasks."""
+
+    def whole(parts: Batches) -> Batches:
+        yield from run(parts)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return whole
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder the cluster names; a folder of our own only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -50,8 +69,8 @@ def settled(frame: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node in ``edges(a, b)`` of long ids; root is the least id of its class.
 
-    Each round hooks every node to its least neighbour, halves the chains of hooks and contracts the
-    edges, so the edges left shrink at least by half. Hubs are met by aggregation (combined before the
+    Each round hooks every node to its least neighbour, follows the hooks to their tops and contracts the
+    edges; only nodes that are least among their neighbours stay, half of them at most. Hubs are met by aggregation (combined before the
     shuffle) and by plain joins, which adaptive execution can split.
     """
     edges = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
@@ -60,9 +79,14 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("to")))
-        hook = both.groupBy("node").agg(F.min("to").alias("up"))
-        second = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hook = settled(hook.join(second, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+        hook = settled(both.groupBy("node").agg(F.min("to").alias("up")))
+        # To the top of every chain of hooks, by doubling.
+        while True:
+            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            doubled = settled(hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.coalesce("top", "up") != F.col("up")).alias("moved")))
+            hook = doubled.select("node", "up")
+            if doubled.where("moved").isEmpty():
+                break
         named = lambda x: hook.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up"))
         if roots is None:
             roots = hook.select("node", F.col("up").alias("root"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, settled, whole_text
+from .common import connected, lean, settled, whole_text
 
 WORDS, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.995, 200
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -90,15 +90,14 @@ def shingles(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return out[keep], owner[keep]
 
 
-def _batches(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) in runs of about that many bytes."""
-    run, held, start = [], 0, 0
-    for k, t in enumerate(column.cast(pa.binary()).to_pylist()):
-        run.append(t or b"")
-        held += len(run[-1])
-        if held >= most:
+def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) in runs of about that many bytes; only they are Python objects."""
+    run, start = [], 0
+    for at in range(0, len(column), 32):
+        run += [t or b"" for t in column.slice(at, 32).cast(pa.binary()).to_pylist()]
+        if sum(map(len, run)) >= most:
             yield start, run
-            run, held, start = [], 0, k + 1
+            run, start = [], at + 32
     if run:
         yield start, run
 
@@ -180,6 +179,14 @@ def _inside(texts: list[bytes], half: np.ndarray, same_block: bool, threshold: f
         root = up
 
 
+def _rows(parts: Iterator[pa.RecordBatch], few: int = 64) -> Iterator[tuple]:
+    """Rows whose last column is text, as bytes; a few at a time are Python objects."""
+    for batch in parts:
+        for at in range(0, batch.num_rows, few):
+            *cols, text = batch.slice(at, few).columns
+            yield from zip(*(c.to_pylist() for c in cols), text.cast(pa.binary()).to_pylist(), strict=True)
+
+
 def _verifier(threshold: float):
     def emit(rows: list) -> pa.RecordBatch:
         nodes, texts, blocks = [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows])
@@ -188,13 +195,12 @@ def _verifier(threshold: float):
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
-        for batch in parts:
-            for comp, i, j, node, block, text in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
-                if (comp, i, j) != key:
-                    if len(held) > 1:
-                        yield emit(held)
-                    held, key = [], (comp, i, j)
-                held.append((node, text or b"", block))
+        for comp, i, j, node, block, text in _rows(parts):
+            if (comp, i, j) != key:
+                if len(held) > 1:
+                    yield emit(held)
+                held, key = [], (comp, i, j)
+            held.append((node, text or b"", block))
         if len(held) > 1:
             yield emit(held)
 
@@ -205,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """(doc_id, class_id, n_links, n_copies), one row per row of ``docs``."""
     bands, rows = bands_for(threshold, recall)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    signed = settled(base.mapInArrow(_signer(bands, rows), "doc_id long, key binary, bands array<long>"))
+    signed = settled(base.mapInArrow(lean(_signer(bands, rows)), "doc_id long, key binary, bands array<long>"))
     least = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("key") % (1 << 62)) - 1)
     texts = settled(signed.groupBy("key").agg(least.alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
     buckets = texts.select("node", F.posexplode_outer("bands").alias("band", "hash")).where("hash IS NOT NULL")
@@ -222,7 +228,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     without = own.where("doc_id IS NULL").dropDuplicates(["key"]).drop("doc_id").join(lone, "key").select("comp", "node", "blocks", "block", "text")
     spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = with_id.unionByName(without).select("comp", "node", "block", "text", spread).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
-    found = settled(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verifier(threshold), "node long, to long, links long"))
+    found = settled(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(_verifier(threshold)), "node long, to long, links long"))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = connected(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     rows_of = texts.select("key", "node", "n_copies").join(joined, "node", "left").join(links, "node", "left")
