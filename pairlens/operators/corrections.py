@@ -315,3 +315,20 @@ def shuffled_other(pairs: DataFrame, unit: str, seed: int) -> DataFrame:
     from pairlens.operators.pools import rotated
 
     return rotated(pairs, unit, "other", seed).drop("other").withColumnRenamed("shuffled", "other")
+
+
+def random_directions(dim: int, k: int, seed: int) -> np.ndarray:
+    """k orthonormal directions drawn at random: the control of a removal."""
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, k)))[0].T
+
+
+def joined_distances(pairs: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (pair_id, distance, target) with ``other``, a second distance of the same pair; pairs without one are left out."""
+    return pairs.join(other.select("pair_id", F.col("distance").alias("other")), "pair_id")
+
+
+def mechanism_gate(report: DataFrame, least_gain: float = 0.05, largest_harm: float = 0.01) -> DataFrame:
+    """report(gain, lower, harm, best_control): enough gain, a positive lower bound, little harm to matched pairs, and every control lower."""
+    from pairlens.operators.gates import gate
+
+    return gate(report, {"gain": F.col("gain") >= least_gain, "positive": F.col("lower") > 0, "harmless": F.abs("harm") <= largest_harm, "controls": F.col("best_control") < F.col("gain")})

@@ -235,3 +235,53 @@ def exact_sign_flip(effects: DataFrame, largest: int = 20) -> DataFrame:
     stat = sum((F.when(bit(i) == 1, -t).otherwise(t) for i, t in enumerate(terms)), F.lit(0.0))
     got = spark.range(1 << k).agg(F.sum(F.when(F.abs(stat) >= abs(float(es["observed"] or 0.0)) - 1e-15, 1).otherwise(0)).alias("extreme"), F.count("*").alias("vectors"))
     return got.select(F.lit(k).cast("long").alias("strata"), "vectors", F.lit(float(es["observed"] or 0.0)).alias("observed"), "extreme", (F.col("extreme") / F.col("vectors")).alias("p"))
+
+
+def over_seeds(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """The median over seeds within each replicate; undefined values are left out."""
+    return rows.where(~F.isnan(value)).groupBy("replicate", *(keys or [])).agg(F.median(value).alias(value))
+
+
+def interaction_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(replicate, product): the product coefficient of gain on 1, ln ratio, strength and their product when subjects are drawn;
+    rows(subject, ratio, strength, gain). Sums of products by replicate come from one aggregation."""
+    import numpy as np
+
+    w = rows.join(draws(rows, "subject", replicates, seed), "subject")
+    x = [F.lit(1.0), F.ln("ratio"), F.col("strength"), F.col("strength") * F.ln("ratio")]
+    names = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = w.groupBy("replicate").agg(*(F.sum(F.col("m") * x[i] * x[j]).alias(f"x{i}{j}") for i, j in names), *(F.sum(F.col("m") * x[i] * F.col("gain")).alias(f"y{i}") for i in range(4)))
+
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                a = np.array([[float(r[f"x{min(i, j)}{max(i, j)}"]) for j in range(4)] for i in range(4)])
+                out.append(float(np.linalg.lstsq(a, np.array([float(r[f"y{i}"]) for i in range(4)]), rcond=None)[0][3]))
+            yield pd.DataFrame({"replicate": pdf["replicate"], "product": out})
+
+    return sums.mapInPandas(solve, "replicate int, product double")
+
+
+def paired_mean(first: DataFrame, second: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(replicate, estimate): mean of second - first over drawn subjects that have both; inputs (subject, value)."""
+    both = first.select("subject", F.col("value").alias("a")).join(second.select("subject", F.col("value").alias("b")), "subject").withColumn("delta", F.col("b") - F.col("a"))
+    return subject_mean(both, "delta", replicates, seed)
+
+
+def subject_gains(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, subject, gain): mean of base error less error over a subject's pairs."""
+    from pairlens.operators.estimators import endpoints
+
+    return endpoints(rows).groupBy(*(keys or []), "subject").agg(F.avg(F.col("base_error") - F.col("error")).alias("gain"))
+
+
+def contrast(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(observed, lower, upper, p, passed) of rows(stratum, subject_l, subject_r, delta): the clustered form; passed if the lower bound is positive."""
+    got = clustered_delta(rows, replicates, seed)
+    seen = got.where("replicate = -1").select(F.col("delta").alias("observed"))
+    rest = got.where("replicate >= 0")
+    out = interval(rest, "delta").select("lower", "upper").crossJoin(tail_p(rest, "delta")).crossJoin(seen)
+    return out.select("observed", "lower", "upper", "p", (F.col("lower") > 0).alias("passed"))

@@ -860,6 +860,42 @@ def linear_head(spark, sf_dir):
     return rounded(e.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("distance") - F.col("target"))).alias("mae")))
 
 
+@query()
+def component_control(spark, sf_dir):
+    """As many random directions taken out instead: mean distance by arm."""
+    items = src.vector_items(spark, sf_dir)
+    mean, _ = corrections.components(items.where("split = 'calibration'"))
+    p = pairs.matched_pairs(items.where("split = 'evaluation'"))
+    changed = corrections.without(items, mean, corrections.random_directions(src.DIM, 5, SEED))
+    return rounded(scoring.distances(p, changed, "distinct").groupBy("arm").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")))
+
+
+@query(_SCORED + _ENDS.format(t="scored") + " SELECT subject, round(avg(base_error - error), 6) AS gain FROM ends GROUP BY subject")
+def subject_gains(spark, sf_dir):
+    return rounded(resample.subject_gains(scored_pairs(spark, sf_dir)))
+
+
+@query()
+def paired_contrast(spark, sf_dir):
+    s = scored_pairs(spark, sf_dir).withColumn("delta", F.col("base_error") - F.col("error"))
+    return rounded(resample.contrast(s, REPLICATES, SEED))
+
+
+@query()
+def interaction_bootstrap(spark, sf_dir):
+    g = resample.subject_gains(scored_pairs(spark, sf_dir))
+    grid = g.withColumn("ratio", F.explode(F.array(*map(F.lit, (1.0, 2.0, 4.0, 8.0))))).withColumn("strength", F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0)))))
+    return rounded(resample.interaction_bootstrap(grid.withColumn("gain", F.col("gain") * (1 + F.col("strength") * F.ln("ratio"))), REPLICATES, SEED))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS h FROM documents")
+def content_hashes(spark, sf_dir):
+    """SHA-256 of NFKC text; the driver's texts have no compatibility characters, so NFC in the SQL is the same."""
+    from pairlens.functions.text import content_hash
+
+    return src.table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("h"))
+
+
 # --- gates -------------------------------------------------------------------------------------------------------
 
 

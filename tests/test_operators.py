@@ -318,3 +318,63 @@ def test_sources(spark, tmp_path):
     assert [r["seed"] for r in src.missing_cells(grid, spark, path, ["seed", "head"]).collect()] == [2]
     h = spark.createDataFrame([('é"', None)], "a string, b string").select(src.record_hash(["b", "a"])).first()[0]
     assert h == hashlib.sha256('{"a":"é\\"","b":null}'.encode()).hexdigest()
+
+
+def test_nfkc_hash(spark):
+    from pairlens.functions.text import content_hash
+
+    rows = spark.createDataFrame([("ﬁ  x\u00a0y ",), ("fi x y",), (None,)], "t string").select(content_hash(F.col("t")).alias("h")).collect()
+    assert rows[0]["h"] == rows[1]["h"] == hashlib.sha256(b"fi x y").hexdigest() and rows[2]["h"] is None
+
+
+def test_media(spark, tmp_path):
+    import io
+    import tarfile
+    import wave
+
+    from pairlens.sources import media
+
+    def wav(width, channels, rate, frames):
+        b = io.BytesIO()
+        with wave.open(b, "wb") as w:
+            w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate), w.writeframes(frames)
+        return b.getvalue()
+
+    stereo = np.array([[16384, 0], [0, 16384], [-32768, -32768]], "<i2").tobytes()
+    assert media.decode_wav(wav(2, 2, 16000, stereo)).tolist() == [0.25, 0.25, -1.0]
+    assert media.decode_wav(wav(1, 1, 16000, bytes([128, 255]))).tolist() == [0.0, 127 / 128]
+    assert len(media.decode_wav(wav(2, 1, 8000, bytes(2 * 80)))) == 160
+    body = io.BytesIO()
+    with tarfile.open(fileobj=body, mode="w") as t:
+        for name in ("a.wav", "b.wav", "../evil.wav"):
+            i = tarfile.TarInfo(name)
+            i.size = 700
+            t.addfile(i, io.BytesIO(name[:1].encode() * 700))
+    raw = body.getvalue()
+    names = []
+    for k in range(0, len(raw), 1500):
+        names.append(str(tmp_path / f"part{k:06}"))
+        (tmp_path / f"part{k:06}").write_bytes(raw[k : k + 1500])
+    archives = spark.createDataFrame([("x", names)], "archive string, parts array<string>")
+    wanted = spark.createDataFrame([("x", "b.wav"), ("x", "../evil.wav")], "archive string, member string")
+    got = media.archive_members(spark, archives, wanted, lambda p: open(p, "rb", buffering=0)).collect()  # noqa: SIM115
+    assert [(r["member"], r["size"], bytes(r["content"])) for r in got] == [("b.wav", 700, b"b" * 700)]
+
+
+def test_release(spark):
+    from pairlens.sources import release
+
+    assert release.study({"least_gain": 0.1}).least_gain == 0.1
+    for bad in ({"seed": 1}, {"seed": True}, {"what": 1}, {"correction": 5}):
+        with pytest.raises(ValueError):
+            release.study(bad)
+    f = spark.createDataFrame([((1, "/home/me/x"), "keep", ["/home/me/y"])], "s struct<secret:int,path:string>, secret string, l array<string>")
+    got = release.sanitised(f, {"secret"}, {"/home/me/": ""}).first().asDict(recursive=True)
+    assert got == {"s": {"path": "x"}, "l": ["y"]}
+
+
+def test_paired_and_seeds(spark):
+    a = spark.createDataFrame([(i, 1.0) for i in range(6)], "subject long, value double")
+    assert {r["estimate"] for r in resample.paired_mean(a, a.withColumn("value", F.lit(3.0)), 10).collect()} == {2.0}
+    s = spark.createDataFrame([(0, 1.0), (0, float("nan")), (0, 3.0)], "replicate int, v double")
+    assert one(resample.over_seeds(s, "v"))["v"] == 2.0
