@@ -26,6 +26,7 @@ RULES = (
     ("shouting", "n_words >= 20 AND 10 * n_upper > 6 * word_chars"),
     ("exclaiming", "n_words >= 20 AND 10 * n_exclaim > 4 * n_words"),
     ("repeated_lines", "n_words >= 20 AND n_dup_lines >= 5 AND 10 * n_dup_lines > 8 * n_lines"),
+    ("stuttering", "n_words >= 20 AND 10 * n_stutter > 4 * n_words"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: Policies by version: the rules that reject.
@@ -33,8 +34,9 @@ POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols"),
     "v2": ("few_words", "repeated_windows", "symbols", "shouting", "exclaiming", "repeated_lines"),
+    "v3": ("few_words", "repeated_windows", "symbols", "shouting", "exclaiming", "repeated_lines", "stuttering"),
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 
 def mask(policy: str) -> int:
@@ -67,6 +69,8 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
+    after = F.slice("h", 2, F.greatest(F.size("h"), F.lit(1)))
+    counted = counted.withColumn("n_stutter", F.size(F.filter(F.zip_with("h", after, lambda a, b: a == b), lambda same: same)).cast("long"))
     for step in (1, 2, 4):
         counted = counted.withColumn("h", _pairs(F.col("h"), step))
     windows = counted.withColumn("h", F.slice("h", 1, F.greatest(F.col("n_words").cast("int") - F.lit(WINDOW - 1), F.lit(0))))
@@ -83,7 +87,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return windows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.when(F.size("at") > 0, covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-        "n_upper", "n_exclaim", "n_lines",
+        "n_upper", "n_exclaim", "n_lines", "n_stutter",
     )
 
 

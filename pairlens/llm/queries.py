@@ -81,20 +81,20 @@ m AS (SELECT b.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')))::BIGINT AS n_upper,
   (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclaim,
-  len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM b LEFT JOIN cov USING (doc_id)),
 l AS (SELECT *, ((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
   + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN n_words >= 20 AND 10 * n_upper > 6 * word_chars THEN 8 ELSE 0 END)
   + (CASE WHEN n_words >= 20 AND 10 * n_exclaim > 4 * n_words THEN 16 ELSE 0 END)
-  + (CASE WHEN n_words >= 20 AND n_dup_lines >= 5 AND 10 * n_dup_lines > 8 * n_lines THEN 32 ELSE 0 END))::BIGINT AS fail_bits FROM m)
+  + (CASE WHEN n_words >= 20 AND n_dup_lines >= 5 AND 10 * n_dup_lines > 8 * n_lines THEN 32 ELSE 0 END) + (CASE WHEN n_words >= 20 AND 10 * n_stutter > 4 * n_words THEN 64 ELSE 0 END))::BIGINT AS fail_bits FROM m)
 """
 
 ORACLE_SQL = {
     "op3_quality_rules": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM l",
     "op3_rule_ablations": _LEDGER
-    + """, r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('shouting', 8), ('exclaiming', 16), ('repeated_lines', 32)) AS t(rule, bit))
+    + """, r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('shouting', 8), ('exclaiming', 16), ('repeated_lines', 32), ('stuttering', 64)) AS t(rule, bit))
 SELECT rule, sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS failed, sum(CASE WHEN fail_bits = bit THEN 1 ELSE 0 END)::BIGINT AS "only",
-sum(CASE WHEN fail_bits & (63 - bit) = 0 THEN 1 ELSE 0 END)::BIGINT AS kept_without FROM l CROSS JOIN r GROUP BY rule""",
+sum(CASE WHEN fail_bits & (127 - bit) = 0 THEN 1 ELSE 0 END)::BIGINT AS kept_without FROM l CROSS JOIN r GROUP BY rule""",
     # The table holds no quoted line, so every message answers the turn before it; nested quotes are tested by brute force.
     "op5_quotation_threads": r"""SELECT conv_id, row_number() OVER w - 1 AS place, turn, lag(turn) OVER w AS reply_to, role, text,
 0::BIGINT AS depth, 0::BIGINT AS n_passages, 0::BIGINT AS n_linked, NULL::BIGINT AS parent_conv, NULL::BIGINT AS parent_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
