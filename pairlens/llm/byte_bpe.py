@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import lean, whole_text
+
+REMEMBERED = 100_000
 
 
 def byte_table() -> list[str]:
@@ -37,78 +40,129 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-@lru_cache(maxsize=2)
-def model(path: str, pattern: str):
-    """(tokenizer, bytes by id)."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
-    ranks, shown = read_ranks(path), byte_table()
-    write = lambda b: "".join(shown[x] for x in b)
-    merges = []
-    for whole, _ in sorted(ranks.items(), key=lambda x: x[1]):
-        # Earlier splits first: of two ways to one entry, the leftmost pair is the one to join.
-        merges += [(write(whole[:k]), write(whole[k:])) for k in range(1, len(whole)) if whole[:k] in ranks and whole[k:] in ranks]
-    bpe = models.BPE(vocab={write(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=200_000)
-    tokenizer = Tokenizer(bpe)
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    table = [b""] * (max(ranks.values()) + 1)
-    for b, r in ranks.items():
-        table[r] = b
-    return tokenizer, table
-
-
-def decode(ids: list[int], table: list[bytes]) -> bytes:
-    return b"".join([table[k] for k in ids])
-
-
-def _runs(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= most:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
-
-
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, starts, ends, decoded): the ids, their places in the text, and the bytes they decode to."""
+class Coder:
+    """Encodes texts piece by piece. A piece is encoded once by the library and remembered; the memory holds
+    about twice REMEMBERED pieces at most, so a worker's memory does not follow the data."""
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
+        import regex
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        ranks, shown = read_ranks(path), byte_table()
+        write = lambda b: "".join([shown[x] for x in b])
+        merges = []
+        for whole in sorted(ranks, key=ranks.__getitem__):
+            # Earlier splits first: of two ways to one entry, the leftmost pair is the one to join.
+            merges += [(write(whole[:k]), write(whole[k:])) for k in range(1, len(whole)) if whole[:k] in ranks and whole[k:] in ranks]
+        self.library = Tokenizer(models.BPE(vocab={write(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = [b""] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            self.table[r] = b
+        self.find = regex.compile(pattern)
+        self._known: dict = {}
+        self._before: dict = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes every piece known; when the memory is full it becomes the one before, from which pieces in use are taken over."""
+        if len(self._known) > REMEMBERED:
+            self._known, self._before = {}, self._known
+        known, before = self._known, self._before
+        new = []
+        for p in set(pieces):
+            if p not in known:
+                if p in before:
+                    known[p] = before[p]
+                else:
+                    new.append(p)
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        pieces = self.find.findall(text)
+        try:
+            return b"".join([*map(self._known.__getitem__, pieces)])
+        except KeyError:
+            self._learn(pieces)
+            return b"".join([*map(self._known.__getitem__, pieces)])
+
+    def ids_and_places(self, text: str) -> tuple[bytes, list[int], list[int]]:
+        """The ids, and the first character of each token and the one after its last: a token that splits a character holds it whole."""
+        found = [(m.start(), m[0]) for m in self.find.finditer(text)]
+        self._learn([p for _, p in found])
+        ids, starts, ends = [], [], []
+        for at, piece in found:
+            mine = self._known[piece]
+            ids.append(mine)
+            sizes = [len(self.table[k]) for k in np.frombuffer(mine, "<u4").tolist()]
+            # Byte places to character places: the character that a byte belongs to.
+            of = [k for k, ch in enumerate(piece) for _ in range(len(ch.encode()))]
+            byte = 0
+            for n in sizes:
+                starts.append(at + of[byte])
+                byte += n
+                ends.append(at + of[byte - 1] + 1)
+        return b"".join(ids), starts, ends
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join([*map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())])
+
+
+    def forget(self) -> None:
+        self._known, self._before = {}, {}
+
+
+@lru_cache(maxsize=1)
+def coder(path: str, pattern: str) -> Coder:
+    """One a worker; its memory of pieces lasts for a partition."""
+    return Coder(path, pattern)
+
+
+def _few(batch: pa.RecordBatch, rows: int = 128) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of a few rows at a time: only they are Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part.column(0), part.column(1).to_pylist()
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", places: bool = True) -> DataFrame:
+    """(doc_id, ids, decoded) and with ``places`` also (starts, ends): the ids, the bytes they decode to, and where each token lies in the text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = model(path, pattern)
+        c = coder(path, pattern)
+        lists = lambda x: pa.array([np.array(v, np.int32) for v in x], pa.list_(pa.int32()))
         for batch in parts:
-            at = 0
-            for texts in _runs(batch.column(1).to_pylist()):
-                done = tokenizer.encode_batch(texts, add_special_tokens=False)
-                ids = [e.ids for e in done]
-                spans = [e.offsets for e in done]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int32())), pa.array([[b for _, b in s] for s in spans], pa.list_(pa.int32())), pa.array([decode(x, table) for x in ids], pa.binary())], ["doc_id", "ids", "starts", "ends", "decoded"])
-                at += len(texts)
+            for names, texts in _few(batch):
+                done = [c.ids_and_places(t) if places else (c.ids(t),) for t in texts]
+                ids = pa.array([np.frombuffer(d[0], "<u4").astype(np.int32) for d in done], pa.list_(pa.int32()))
+                cols = [names, ids, pa.array([c.decode(d[0]) for d in done], pa.binary())]
+                if places:
+                    cols += [lists(d[1] for d in done), lists(d[2] for d in done)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded", "starts", "ends"][: len(cols)])
+        c.forget()
 
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded binary")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary" + ", starts array<int>, ends array<int>" * places)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, ends_sum): as ``encode``, digested batch by batch where the ids are."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): ids and decoded bytes, digested where they are made."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = model(path, pattern)
+        c = coder(path, pattern)
         for batch in parts:
-            at = 0
-            for texts in _runs(batch.column(1).to_pylist()):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = [decode(x, table) for x in ids]
+            for names, texts in _few(batch):
+                ids = [c.ids(t) for t in texts]
+                back = [c.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([len(b) for b in back], pa.int64())],
+                    [names, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([len(b) for b in back], pa.int64())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
-                at += len(texts)
+        c.forget()
 
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

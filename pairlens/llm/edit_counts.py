@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
-from .common import whole_text
+from .common import lean, whole_text
 
 LOOK, REMEMBERED, LEAF = 2, 300_000, 64
 
@@ -202,4 +202,4 @@ def counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_tokens", "n_pieces", "n_edits", "n_reencoded", "n_tokens_after"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, n_pieces long, n_edits long, n_reencoded long, n_tokens_after long")
+    return base.mapInArrow(lean(run), "doc_id long, n_tokens long, n_pieces long, n_edits long, n_reencoded long, n_tokens_after long")
