@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every kept text, and whether they decode to the text again."""
-    encoded = byte_bpe.encode(docs, *tokenizer())
+    encoded = byte_bpe.encode(docs, *tokenizer(), places=False)
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
