@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks leave the texts; documents of which nothing is left go; n_chars follows the text."""
-    return line_chunks.deduplicate(docs, drop_emptied=True).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Repeated runs of lines leave the texts; documents of which nothing is left go; n_chars follows the text."""
+    return line_chunks.deduplicate(docs, drop_emptied=True, whole_runs=True).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,16 @@ is a passage of its own and closes chunks on both sides. Chunks of several lines
 are counted over all texts by hash; those seen again are grouped by their bytes, and every occurrence
 but the first (least id, then place) is removed from its text.
 
+Chunks miss a passage whose edges fall inside them. With ``whole_runs`` (as the registered queries have it) the window of
+two lines is itself the unit: every pair of neighbouring lines, and every line of LONG words, is counted, compared by bytes
+and removed where it repeats an earlier one that it does not overlap. A repeated run of two lines or more is made of
+repeated pairs, so it goes from its first line to its last, wherever chunks would be cut. The first occurrence of a line is
+in no repeat, so no line leaves the corpus.
+
 Defined cases: a null or empty text has no chunk and stays as it is; texts of one short line stay;
 rows that repeat an id share its fate (both keep or lose the same places); a null id is an id; an empty
 table stays empty; other columns stay, and ours begin with two underscores. Two different chunks that
-share both 64-bit hashes are told apart by their bytes, and both stay.
+share both 64-bit hashes are told apart by their bytes, and both stay; so do runs with a line that shares its hash with another.
 """
 
 from __future__ import annotations
@@ -61,15 +67,58 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
-    """The table with repeated chunks taken out of its texts; other columns as they are.
+def _wordy(line: Column) -> Column:
+    return (F.char_length(line) >= 2 * LONG - 1) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= LONG)
+
+
+def _covered(places: Column) -> Column:
+    """The lines of places as ``run_repeats`` numbers them."""
+    line = lambda x: F.floor(x).cast("int")
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.when(p % 2 == 0, F.array(line(p / 2), line(p / 2 + 1))).otherwise(F.array(line(p / 2))))))
+
+
+def run_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, places): the repeated pairs of lines, 2*i for lines i and i+1, and long lines, 2*i+1 for line i.
+
+    A unit is known by the hashes of its lines, ``a`` and ``b``; the lines of units seen again are compared by bytes.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), F.split(whole_text(text_col), "\n").alias("lines"))
+    hashed = base.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
+    pair = F.zip_with(F.slice("hs", F.lit(1), F.size("hs") - 1), F.slice("hs", F.lit(2), F.size("hs") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    unit = lambda place, a, b: F.struct(place.cast("int").alias("place"), a.alias("a"), b.alias("b"))
+    long = F.filter(F.transform("lines", lambda x, i: F.when(_wordy(x), unit(i * 2 + 1, F.xxhash64(x), F.lit(0).cast("long")))), lambda u: u.isNotNull())
+    units = hashed.withColumn("pairs", pair).select("doc_id", F.concat(F.transform("pairs", lambda u, i: unit(i * 2, u["a"], u["b"])), long).alias("units"))
+    each = units.select("doc_id", F.explode_outer("units").alias("u")).where("u IS NOT NULL").select("doc_id", "u.place", "u.a", "u.b", (F.col("u.place") % 2).alias("alone"))
+    key = ["a", "b", "alone"]
+    again = settled(each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+    seen = settled(each.join(again, key, "left_semi"))
+    first = settled(seen.groupBy(*key).agg(F.min(F.struct("doc_id", "place")).alias("first")))
+    overlaps = (F.col("alone") == 0) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place") + 2)
+    later = seen.join(first, key).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")) & ~overlaps).select("doc_id", "place", "a", "b")
+    # Only lines of such units meet as texts, each once a document. Rows that repeat an id have all its places; a line past a text's end is null.
+    at = seen.groupBy("doc_id").agg(F.collect_set("place").alias("at")).select(F.col("doc_id").alias("id"), "at")
+    bodies = base.join(at, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("wanted", _covered(F.col("at"))).select(F.explode_outer(F.array_distinct(F.transform("wanted", lambda i: F.get("lines", i)))).alias("body")).where("body IS NOT NULL")
+    shared = settled(bodies.groupBy(F.xxhash64("body").alias("h"), "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h"))
+    if not shared.isEmpty():
+        for side in ("a", "b"):
+            later = later.join(shared, F.col(side) == F.col("h"), "left_anti")
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, whole_runs: bool = False) -> DataFrame:
+    """The table with repeated chunks, or with ``whole_runs`` repeated runs of lines, taken out of its texts; other columns as they are.
 
     ``drop_emptied``: rows of which nothing is left go; rows that had no text stay.
     """
-    gone = repeats(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
-    joined = with_chunks(docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id"), text_col)
-    left = F.filter("__chunks", lambda c, i: ~F.array_contains("__places", i))
-    out = joined.withColumn("__left", F.when(F.col("__places").isNotNull(), F.transform(left, lambda c: c["body"]))).drop("__chunks")
+    gone = (run_repeats if whole_runs else repeats)(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    if whole_runs:
+        out = joined.withColumn("__lines", F.when(F.col("__places").isNotNull(), F.split(whole_text(text_col), "\n")))
+        out = out.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), _covered(F.col("__places"))))
+        out = out.withColumn("__left", F.transform("__kept", lambda i: F.get("__lines", i))).drop("__lines", "__kept")
+    else:
+        left = F.filter("__chunks", lambda c, i: ~F.array_contains("__places", i))
+        out = with_chunks(joined, text_col).withColumn("__left", F.when(F.col("__places").isNotNull(), F.transform(left, lambda c: c["body"]))).drop("__chunks")
     if drop_emptied:
         out = picked(out, F.col("__places").isNull() | (F.size("__left") > 0))
     return out.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))).drop("__places", "__left")

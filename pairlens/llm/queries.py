@@ -55,7 +55,7 @@ def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its id, the characters left, the digest of what is left, and whether anything went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.char_length(F.coalesce("text", F.lit(""))).alias("before"))
-    left = line_chunks.deduplicate(docs)
+    left = line_chunks.deduplicate(docs, whole_runs=True)
     return left.select("doc_id", F.char_length("text").cast("long").alias("chars_left"), (F.char_length("text") < F.col("before")).alias("changed"), F.sha2("text", 256).alias("left_sha256"))
 
 

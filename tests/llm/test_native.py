@@ -161,6 +161,41 @@ def test_line_chunks(spark):
     assert line_chunks.deduplicate(docs(spark, [])).count() == 0
 
 
+def brute_runs(rows):
+    """Knows only lines: those of any pair, or alone of 50 words, that an earlier place holds without overlap."""
+    first, want = {}, []
+    for d, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):
+        lines, gone = (t or "").split("\n"), set()
+        for size in (1, 2):
+            for k in range(len(lines) + 1 - size):
+                run = tuple(lines[k : k + size])
+                if size == 2 or len(WORDS.findall(run[0])) >= 50:
+                    at = first.setdefault(run, (d, k))
+                    if at[0] != d or at[1] + size <= k:
+                        gone.update(range(k, k + size))
+        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return dict(want)
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    rng = random.Random(5)
+    line = lambda n=20: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    rows, passages = [], []
+    for n in (2, 3, 4, 6, 8, 20):
+        passages.append([line(60 // n + 1) for _ in range(n)])
+        rows += [(len(rows) + k, "\n".join([*(line() for _ in range(rng.randrange(1, 5))), *passages[-1], *(line() for _ in range(rng.randrange(1, 5)))])) for k in range(3)]
+    long, x = line(60), line(4)
+    rows += [(40, None), (41, ""), (42, "\n".join([x] * 3)), (43, "\n".join([x] * 5)), (44, "\n".join(["a", "b"] * 4)), (45, f"{long}\nend"), (46, f"start\n{long}\nother"), (47, "one line"), (48, "one line"), (None, rows[4][1])]
+    got = {r["doc_id"]: r["text"] or "" for r in line_chunks.deduplicate(docs(spark, rows), whole_runs=True).collect()}
+    assert got == brute_runs(rows)
+    for k, passage in enumerate(passages):
+        later = [got[i].split("\n") for i in range(3 * k + 1, 3 * k + 3)]
+        assert not any(set(passage) & set(left) for left in later)
+    assert line_chunks.deduplicate(docs(spark, []), whole_runs=True).count() == 0
+    again = line_chunks.deduplicate(docs(spark, [(1, "p\nq"), (1, "p\nq"), (2, "p\nq\nr")]), whole_runs=True, drop_emptied=True)
+    assert sorted((r["doc_id"], r["text"]) for r in again.collect()) == [(1, "p\nq"), (1, "p\nq"), (2, "r")]
+
+
 CONV = "conv_id long, turn long, role string, text string, h string"
 
 
