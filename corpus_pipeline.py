@@ -37,9 +37,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every kept text, and whether they decode to the text again."""
-    encoded = byte_bpe.encode(docs, *tokenizer(), places=False)
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The ids of every kept text, where each token lies in it, and the digest of what the ids decode to."""
+    encoded = byte_bpe.encode(docs, *tokenizer())
+    return encoded.select("doc_id", "ids", "starts", "ends", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("byte-level BPE", tokens)]

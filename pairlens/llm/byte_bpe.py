@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,7 @@ class Coder:
         self.table = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             self.table[r] = b
+        self.sizes = np.array([len(b) for b in self.table], np.int64)
         self.find = regex.compile(pattern)
         self._known: dict = {}
         self._before: dict = {}
@@ -78,35 +80,50 @@ class Coder:
                     new.append(p)
         for at in range(0, len(new), 5_000):
             part = new[at : at + 5_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+            found = self.library.encode_batch_fast(part, add_special_tokens=False)
+            known.update(zip(part, self._rows(part, [e.ids for e in found]), strict=True))
+
+    def _rows(self, pieces: list[str], ids: list[list[int]]) -> list[bytes]:
+        """Of each piece its tokens as rows of four integers: id, first character and the one after the last, both counted back
+        from the piece's end, and the piece's length in the first row. All pieces at a time, laid one after the other."""
+        rows = np.zeros((sum(map(len, ids)), 4), "<i4")
+        rows[:, 0] = np.fromiter((k for x in ids for k in x), np.int32, len(rows))
+        counts, lengths = np.array([*map(len, ids)], np.int64), np.array([*map(len, pieces)], np.int64)
+        upto, byte = np.cumsum(counts), np.cumsum(self.sizes[rows[:, 0]])
+        # Byte places to character places: the character that a byte belongs to.
+        of = np.cumsum(np.frombuffer("".join(pieces).encode(), np.uint8) & 0xC0 != 0x80) - 1
+        end = np.repeat(np.cumsum(lengths), counts)
+        rows[:, 1] = of[byte - self.sizes[rows[:, 0]]] - end
+        rows[:, 2] = of[byte - 1] + 1 - end
+        rows[upto - counts, 3] = lengths
+        raw = rows.tobytes()
+        return [raw[16 * a : 16 * b] for a, b in zip((upto - counts).tolist(), upto.tolist(), strict=True)]
+
+    def rows(self, text: str) -> np.ndarray:
+        """A row a token: its id, its first character and the one after its last: a token that splits a character holds it whole."""
         pieces = self.find.findall(text)
         try:
-            return b"".join([*map(self._known.__getitem__, pieces)])
+            raw = b"".join([*map(self._known.__getitem__, pieces)])
         except KeyError:
             self._learn(pieces)
-            return b"".join([*map(self._known.__getitem__, pieces)])
+            raw = b"".join([*map(self._known.__getitem__, pieces)])
+        rows = np.frombuffer(raw, "<i4").reshape(-1, 4)
+        ends = np.cumsum(rows[:, 3], dtype=np.int32)
+        if len(ends) and ends[-1] != len(text):  # text between matches
+            ends = np.array([m.end() for m in self.find.finditer(text)], np.int32)[np.cumsum(rows[:, 3] > 0) - 1]
+        out = rows[:, :3].copy()
+        out[:, 1] += ends
+        out[:, 2] += ends
+        return out
+
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return self.rows(text)[:, 0].tobytes()
 
     def ids_and_places(self, text: str) -> tuple[bytes, list[int], list[int]]:
-        """The ids, and the first character of each token and the one after its last: a token that splits a character holds it whole."""
-        found = [(m.start(), m[0]) for m in self.find.finditer(text)]
-        self._learn([p for _, p in found])
-        ids, starts, ends = [], [], []
-        for at, piece in found:
-            mine = self._known[piece]
-            ids.append(mine)
-            sizes = [len(self.table[k]) for k in np.frombuffer(mine, "<u4").tolist()]
-            # Byte places to character places: the character that a byte belongs to.
-            of = [k for k, ch in enumerate(piece) for _ in range(len(ch.encode()))]
-            byte = 0
-            for n in sizes:
-                starts.append(at + of[byte])
-                byte += n
-                ends.append(at + of[byte - 1] + 1)
-        return b"".join(ids), starts, ends
+        """The ids, and the first character of each token and the one after its last."""
+        rows = self.rows(text)
+        return rows[:, 0].tobytes(), rows[:, 1].tolist(), rows[:, 2].tolist()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join([*map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())])
@@ -122,10 +139,12 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _few(batch: pa.RecordBatch, rows: int = 128) -> Iterator[tuple[pa.Array, list[str]]]:
-    """(ids, texts) of a few rows at a time: only they are Python objects."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
+def _few(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of about that many bytes at a time: only they are Python objects."""
+    held = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // most
+    edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = batch.slice(a, b - a)
         yield part.column(0), part.column(1).to_pylist()
 
 
@@ -134,15 +153,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        lists = lambda x: pa.array([np.array(v, np.int32) for v in x], pa.list_(pa.int32()))
         for batch in parts:
             for names, texts in _few(batch):
-                done = [c.ids_and_places(t) if places else (c.ids(t),) for t in texts]
-                ids = pa.array([np.frombuffer(d[0], "<u4").astype(np.int32) for d in done], pa.list_(pa.int32()))
-                cols = [names, ids, pa.array([c.decode(d[0]) for d in done], pa.binary())]
-                if places:
-                    cols += [lists(d[1] for d in done), lists(d[2] for d in done)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded", "starts", "ends"][: len(cols)])
+                done = [c.rows(t) for t in texts]
+                upto = pa.array(np.cumsum([0, *map(len, done)]), pa.int32())
+                flat = np.concatenate([np.zeros((0, 3), np.int32), *done])
+                lists = [pa.ListArray.from_arrays(upto, pa.array(np.ascontiguousarray(flat[:, k]))) for k in range(3 if places else 1)]
+                back = pa.array([c.decode(d[:, 0].tobytes()) for d in done], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, lists[0], back, *lists[1:]], ["doc_id", "ids", "decoded", "starts", "ends"][: len(lists) + 2])
         c.forget()
 
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
@@ -150,19 +168,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): ids and decoded bytes, digested where they are made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, places_sha256): ids, decoded bytes, and the starts and after them the
+    ends of all tokens (each a little-endian 32-bit integer), digested where they are made."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
+        digest = lambda x: pa.array([hashlib.sha256(b).hexdigest() for b in x])
         for batch in parts:
             for names, texts in _few(batch):
-                ids = [c.ids(t) for t in texts]
+                done = [c.rows(t) for t in texts]
+                ids = [d[:, 0].tobytes() for d in done]
                 back = [c.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([len(b) for b in back], pa.int64())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-                )
+                cols = [names, pa.array([len(d) for d in done], pa.int64()), digest(ids), digest(back), pa.array([len(b) for b in back], pa.int64()), digest(d[:, 1:].tobytes("F") for d in done)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "places_sha256"])
         c.forget()
 
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return base.mapInArrow(lean(run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, places_sha256 string")

@@ -52,6 +52,27 @@ def test_bpe_places(spark, reference):
             assert table[k] in text[a:b].encode() and b <= len(text)
 
 
+def test_bpe_digests_and_stage_give_places(spark, reference):
+    import corpus_pipeline
+
+    table = {v: k for k, v in byte_bpe.read_ranks(tokenizer()[0]).items()}
+    rng = random.Random(8)
+    rows = list(enumerate([*ODD, *("".join(rng.choice("ab é🤗日\n") for _ in range(n)) for n in (3, 400, 9000)), "word " * 300_000, "z"]))
+    want = {}
+    for i, t in rows:
+        of, at, starts, ends = [k for k, ch in enumerate(t or "") for _ in ch.encode()], 0, [], []
+        for x in reference.encode_ordinary(t or ""):
+            starts.append(of[at])
+            at += len(table[x])
+            ends.append(of[at - 1] + 1)
+        want[i] = starts, ends
+    got = {r["doc_id"]: r["places_sha256"] for r in byte_bpe.digests(docs(spark, rows), *tokenizer()).collect()}
+    assert got == {i: hashlib.sha256(np.array([*a, *b], "<i4").tobytes()).hexdigest() for i, (a, b) in want.items()}
+    assert {r["doc_id"]: (r["starts"], r["ends"]) for r in corpus_pipeline.tokens(spark, docs(spark, rows), "").collect()} == want
+    gaps = byte_bpe.Coder(tokenizer()[0], r"\w+")
+    assert gaps.ids_and_places(" a, é ")[1:] == ([1, 4], [2, 5])
+
+
 def test_edit_counts_match_full_encoding(spark, reference):
     rng = random.Random(7)
     path, pattern = tokenizer()
