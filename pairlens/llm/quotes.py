@@ -2,8 +2,8 @@
 
 A line's quote level is the number of ``>`` marks it begins with. Runs of quoted lines of one level or more are
 passages; a passage is normalised (marks off, lower case, blanks collapsed) and hashed, and so is
-every message and each of its unquoted paragraphs. A passage links its message to the first
-message (conversation, turn) that holds the text: in the same conversation before it, or else in any. Messages
+every message, each of its unquoted paragraphs and each run of its unquoted lines as long as some passage. A passage links its
+message to the first message (conversation, turn) that holds the text: in the same conversation before it, or else in any other. Messages
 are then ordered as replies: the parent first, then its answers, by turn; quoted lines leave the text.
 
 Defined cases: null and empty texts have no quotes and are no originals; a quote of nothing known stays without
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .common import settled, whole_text
 
 MARKS = r"^(?:[\x20\t]*>)+[\x20\t]?"
-#: Passages and paragraphs of fewer characters link nothing.
+#: Passages of fewer characters link inside their own conversation alone.
 LEAST = 12
 #: Turns of a conversation that a reply chain may climb.
 DEEPEST = 64
@@ -47,25 +47,33 @@ def parsed(messages: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<level:int,body:string>>")
     runs = F.when(quoted, F.aggregate("lines", state, step, close)).otherwise(none)
     own = F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), F.lit("\n"))
-    return with_lines.withColumn("own", F.when(quoted, own).otherwise(F.col("text"))).withColumn("depth", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))).withColumn("passages", F.transform(runs, lambda r: F.struct(r["level"].alias("level"), normal(r["body"]).alias("body")))).drop("lines")
+    return with_lines.withColumn("own", F.when(quoted, own).otherwise(F.col("text"))).withColumn("depth", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))).withColumn("passages", F.transform(runs, lambda r: F.struct(r["level"].alias("level"), normal(r["body"]).alias("body"), F.size(F.filter(F.split(r["body"], "\n"), lambda x: normal(x) != "")).alias("n_lines")))).drop("lines")
 
 
 def linked(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, own, depth, n_passages, n_linked, parent_conv, parent_turn) for every message."""
     base = conversations.select("conv_id", "turn", "role", whole_text("text").alias("text"))
     found = parsed(base)
-    # Originals: the whole own text and each paragraph of it. The first holder of a text stands for all: hot texts are combined before the shuffle.
-    parts = F.array_distinct(F.concat(F.array(normal(F.col("own"))), F.transform(F.split("own", r"\n\s*\n|\n"), normal)))
-    pieces = found.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode_outer(F.filter(parts, lambda p: F.char_length(p) >= LEAST)).alias("body")).where("body IS NOT NULL")
-    sought = found.select("conv_id", "turn", F.posexplode_outer("passages").alias("k", "p")).where(F.char_length("p.body") >= LEAST).select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.col("p.body").alias("body"))
+    sought = found.select("conv_id", "turn", F.posexplode_outer("passages").alias("k", "p")).where("p.body <> ''").select("conv_id", "turn", "k", F.col("p.level").alias("level"), F.col("p.body").alias("body"), F.col("p.n_lines").alias("n_lines"))
+    # Originals: the whole own text, each paragraph, and each run of as many lines as a passage has. The first holder of a text stands for all: hot texts are combined before the shuffle.
+    sizes = F.array(*[F.lit(r[0]) for r in sought.where("n_lines > 0").select("n_lines").distinct().collect()]).cast("array<int>")
+    lines = found.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "own", F.filter(F.transform(F.split("own", "\n"), normal), lambda x: x != "").alias("ls"))
+    starts = lambda k: F.sequence(F.lit(1), F.size("ls") - k + 1)
+    runs = F.flatten(F.transform(F.filter(sizes, lambda k: k <= F.size("ls")), lambda k: F.transform(starts(k), lambda i: F.array_join(F.slice("ls", i, k), " "))))
+    parts = F.array_distinct(F.concat(F.array(normal(F.col("own"))), F.transform(F.split("own", r"\n\s*\n"), normal), runs))
+    pieces = lines.select("conv_id", "turn", F.explode_outer(F.filter(parts, lambda p: p != "")).alias("body")).where("body IS NOT NULL")
     keyed = lambda x: x.withColumn("h", F.xxhash64("body"))
     sought = settled(keyed(sought))
     asked = sought.groupBy("h").agg(F.lit(1).alias("one")).select("h")
     pieces = settled(keyed(pieces).join(asked, "h", "left_semi"))
-    any_first = settled(pieces.groupBy("h", "body").agg(F.min(F.struct("conv_id", "turn")).alias("first")))
     inside = settled(pieces.groupBy("h", "body", "conv_id").agg(F.min("turn").alias("t")))
+    holder = F.min(F.struct("conv_id", F.col("t").alias("turn")))
+    firsts = settled(inside.groupBy("h", "body").agg(holder.alias("first")))
+    # For a passage of the first holder's own conversation: the first of the others.
+    others = inside.join(firsts, ["h", "body"]).where("conv_id <> first.conv_id").groupBy("h", "body").agg(holder.alias("second"))
+    any_first = settled(firsts.join(others, ["h", "body"], "left"))
     here = sought.join(inside, ["h", "body", "conv_id"], "left").withColumn("here", F.when(F.col("t") < F.col("turn"), F.struct("conv_id", F.col("t").alias("turn")))).drop("t")
-    there = here.join(any_first, ["h", "body"], "left").withColumn("there", F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first")))
+    there = here.join(any_first, ["h", "body"], "left").withColumn("there", F.when(F.char_length("body") >= LEAST, F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))))
     links = there.select("conv_id", "turn", "level", "k", F.coalesce("here", "there").alias("to")).where("to IS NOT NULL")
     # The parent is the original of the shallowest passage, the last of them in the text.
     parent = links.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "k", "to")).alias("m"), F.count("*").alias("n_linked")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("m.to").alias("to"), "n_linked")

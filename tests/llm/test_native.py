@@ -214,3 +214,14 @@ def test_quotes(spark):
     assert got[3, 2]["n_linked"] == 0 and got[3, 2]["reply_to"] == 1 and got[3, 2]["text"] == ""
     assert [t for _, t in sorted((got[1, t]["place"], t) for t in range(4))] == [0, 1, 2, 3]
     assert quotes.threads(spark.createDataFrame([], CONV)).count() == 0
+
+
+def test_quotes_of_line_runs_other_conversations_and_short_ones(spark):
+    three = "alpha line one of three\nbeta line two of three\ngamma line three of three"
+    rows = [
+        (1, 0, "u", three + "\n\nA paragraph over\ntwo lines of its own."), (1, 1, "a", "Yes, please"), (1, 2, "u", "nothing"), (1, 3, "a", "> beta line two of three\n> gamma line three of three\nok"),
+        (1, 4, "u", "> A paragraph over two\n> lines of its own.\nok"), (1, 5, "a", "> Yes, please\nfine"), (1, 6, "u", "> only a higher conversation says this\nso"), (1, 7, "a", "> Short one\nno"),
+        (2, 0, "u", "only a higher conversation says this"), (2, 1, "a", "Short one"), (2, 2, "u", "> alpha line one of three\n> gamma line three of three\nnot consecutive"),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotes.threads(spark.createDataFrame([(*r, "z") for r in rows], CONV)).collect()}
+    assert [got[1, t] for t in (3, 4, 5, 6, 7)] == [(1, 0), (1, 0), (1, 1), (2, 0), (None, None)] and got[2, 2] == (None, None)
