@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,11 +54,21 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return whole
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a folder of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where none is set and all runs on one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster must name a folder that all its machines share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pairlens-checkpoints"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage is cut and its size known, so that a join broadcasts it only if it is small."""
+    at = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(at)
+    return frame.sparkSession.read.parquet(at)
 
 
 def settled(frame: DataFrame) -> DataFrame:

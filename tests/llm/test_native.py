@@ -109,16 +109,81 @@ def test_decontamination(spark):
         (0, " ".join(item(rng, 50) + items[0] + item(rng, 20))), (1, " ".join(item(rng, 10) + swapped)), (2, ", ".join(items[2]).upper()), (3, " ".join(item(rng, 80))),
         (4, " ".join(items[3][:6] + item(rng, 40))), (5, None), (6, ""), (7, " ".join(items[4][5:25])), (0, " ".join(item(rng, 50) + items[0])),
     ]
-    for limit in (200_000, 0):  # broadcast and shuffle
-        got = decontaminate.overlaps(docs(spark, rows), bench, broadcast_tokens=limit).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (7, 4)}, limit
+    for wide in ("10485760", "-1"):  # joins may broadcast what is small, or none may
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+        got = decontaminate.overlaps(docs(spark, rows), bench).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (7, 4)}, wide
         assert len(got) == 4
         one = next(r for r in got if r["doc_id"] == 0)
         assert (one["equal"], one["run"], one["doc_start"], one["item_start"]) == (30, 30, 50, 0)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     kept = decontaminate.clean(docs(spark, rows), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == docs(spark, []).columns
     assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
+    two = [(1, " ".join(items[0])), (1, " ".join(item(rng, 60))), (None, " ".join(items[1])), (None, None), (2, " ".join(items[2])), (2, " ".join(items[2]))]
+    assert sorted((r["doc_id"] or -1, r["item_id"]) for r in decontaminate.overlaps(docs(spark, two), bench).collect()) == [(-1, 1), (1, 0), (2, 2)]
+    assert sorted((r["doc_id"], r["text"]) for r in decontaminate.clean(docs(spark, two), bench).where("doc_id IS NOT NULL").collect()) == [two[1]]
+
+
+def brute_overlaps(rows, items):
+    """Every diagonal on which some mask's kept tokens agree, its best run, and the best of those by pair."""
+    cut = lambda t: [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+    found = {}
+    for i, t in rows:
+        d = cut(t)
+        for k, text in items:
+            x = cut(text)
+            if len(x) < 6:
+                continue
+            for diagonal in range(1 - len(x), len(d)):
+                same = [0 <= j + diagonal < len(d) and d[j + diagonal] == w for j, w in enumerate(x)]
+                fits = lambda j, m: j + len(m) <= len(x) and 0 <= j + diagonal and j + diagonal + len(m) <= len(d) and all(s or c == "0" for s, c in zip(same[j:], m, strict=False))
+                if not any(fits(j, m) for m in decontaminate.MASKS for j in range(len(x))):
+                    continue
+                score = eq = n = best = 0
+                top = (0, 0, 0)
+                for j, s in enumerate(same):
+                    if score <= 0:
+                        score = eq = n = 0
+                    score, eq, n = score + (1 if s else -decontaminate.MISS), eq + s, n + 1
+                    if score > best:
+                        best, top = score, (eq, n, j + 1)
+                if top[0] >= min(decontaminate.LEAST_EQUAL, -(-8 * len(x) // 10)):
+                    mine = (top[0], -top[1], -diagonal, -top[2])
+                    found[i, k] = max(found.get((i, k), mine), mine)
+    return {(i, k, e, -r, -end + r - d, -end + r) for (i, k), (e, r, d, end) in found.items() for end, d in [(end, d)]}
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(15)
+    items = [(k, " ".join(item(rng, n))) for k, n in enumerate((6, 8, 12, 20, 40, 60, 300))]
+    items += [(20, " ".join(["same", "words"] * 12)), (21, items[4][1]), (22, items[4][1] + " " + items[3][1])]
+    rows = []
+    for k, text in items:
+        w = text.split()
+        for rate in (0, 0.1, 0.2, 0.35):
+            for edge in (0, 3, 250):  # also across the edges of parts
+                rows.append((len(rows), " ".join(item(rng, edge) + [f"z{j}" if rng.random() < rate else x for j, x in enumerate(w)] + item(rng, rng.randrange(0, 9)))))
+    # One token of each ignored place of each mask, in the item as wide as the mask and eight more.
+    for m in decontaminate.MASKS:
+        for j, keep in enumerate(m):
+            if keep == "0":
+                rows.append((len(rows), " ".join(item(rng, 5) + [f"q{x}" if x % len(m) == j else t for x, t in enumerate(items[4][1].split())])))
+    rows += [(900, None), (901, " ".join(["same", "words"] * 40)), (902, "same words " * 5)]
+    got = {(r["doc_id"], r["item_id"], r["equal"], r["run"], r["doc_start"], r["item_start"]) for r in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_overlaps(rows, items)
+    assert got == want and len(want) > 60
+
+
+def test_decontamination_of_very_long_texts(spark):
+    rng = random.Random(16)
+    items = [(k, " ".join(item(rng, rng.randrange(9, 60)))) for k in range(200)]
+    many = " ".join(items[rng.randrange(200)][1] for _ in range(600))
+    once = items[7][1]
+    rows = [(1, many), (2, " ".join([once] * (20_000 // len(once.split())))), (3, " ".join(item(rng, 300_000)))]
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and {k for i, k in got if i == 1} == {k for k, t in items if f" {t} " in f" {many} "} and {k for i, k in got if i == 2} == {7}
 
 
 def brute_chunks(spark, text):
