@@ -78,7 +78,7 @@ def settled(frame: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node in ``edges(a, b)`` of long ids; root is the least id of its class.
+    """(node, root) for every node in ``edges(a, b)`` of ids that have an order; root is the least id of its class.
 
     Each round hooks every node to its least neighbour, follows the hooks to their tops and contracts the
     edges; only nodes that are least among their neighbours stay, half of them at most. Hubs are met by aggregation (combined before the

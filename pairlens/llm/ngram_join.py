@@ -1,24 +1,25 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 A text is the set of its 5-word shingles (its whole word sequence, where it has fewer words). Bands and
-rows follow from the similarity and the wished recall. Texts that share a band hash are brought
-together: buckets become stars (each member and the least), stars become candidate groups, and every
-pair of texts inside a group is verified on the full shingle sets.
+rows follow from the similarity and the wished recall; texts are shuffled on their band hashes, and texts that share one
+are compared on their full shingle sets.
 
-Nothing is expanded pair by pair in rows. Exact copies are one text from the start. A group is dealt
-into blocks of about BLOCK texts; a task gets two blocks, compares them in memory and returns one row per
-text: its number of links and the least text it is joined with there. Every verified link counts,
-however large the group; the work inside one group of n different near copies is n*n/2 comparisons, in
-tasks of bounded size.
+Nothing is expanded pair by pair in rows, and nothing is chained before it is verified. Exact copies are one text from the start.
+Every text has a home: the least head (least member) of its buckets. A home's texts are dealt into blocks of about BLOCK texts and BLOCK_BYTES
+bytes. Two blocks meet in a task if they are of one home or some bucket has texts of both homes; a task holds two blocks, compares them in memory and
+returns one row per text: its number of links and the least text it is joined with there. Every verified link counts,
+however large the bucket; among n different near copies the work is n*n/2 comparisons, in tasks of bounded size. Classes are the
+connected verified links.
 
-Result: one row per input row: doc_id, class_id (least id of the class; classes are joined by links),
-n_links (different texts of similarity THRESHOLD or more that were found) and n_copies (rows of this
-very text, itself included).
+Result: one row per input row: doc_id, class_id (least id of the class), n_links (different texts of similarity THRESHOLD
+or more that were met) and n_copies (rows of this very text, itself included).
 
 Defined cases: a null text is an empty one; empty texts have no shingle and are joined as copies only; a
-text of fewer than five words has one shingle; ids should be unique: rows that repeat an id with the
-same text are copies; a null id joins and takes the class of its text, whose own id is then negative
-where no copy has one; empty tables give an empty result; other columns are not looked at.
+text of fewer than five words has one shingle; a text is known by its digest, so rows that repeat an id with different texts
+are texts of their own, and with the same text copies; ids are of any type that has an order; a null id joins and takes the class of its
+text, whose id is null where no text of it has one; ties of similarity do not matter (every link at THRESHOLD or more counts); a very long
+text takes a block of its own size; empty tables give an empty result; other columns are not looked at, and ``one_of_each`` keeps
+them (names that begin with ``__op9`` are ours).
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lean, settled, whole_text
+from .common import connected, lean, whole_text, written
 
-WORDS, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.995, 200
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
+#: Texts and bytes of a block.
+BLOCK, BLOCK_BYTES = 100, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -132,8 +135,8 @@ def _signer(bands: int, rows: int):
                 has[owner[begins] if len(begins) else []] = True
                 offsets = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[has].ravel()))],
-                    ["doc_id", "key", "bands"],
+                    [batch.column(0).slice(start, len(texts)), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[has].ravel()))],
+                    ["doc_id", "key", "size", "bands"],
                 )
 
     return sign
@@ -188,56 +191,97 @@ def _rows(parts: Iterator[pa.RecordBatch], few: int = 64) -> Iterator[tuple]:
 
 
 def _verifier(threshold: float):
-    def emit(rows: list) -> pa.RecordBatch:
-        nodes, texts, blocks = [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows])
-        links, root = _inside(texts, blocks, len(set(blocks.tolist())) == 1, threshold)
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[k] for k in root], pa.int64()), pa.array(links, pa.int64())], ["node", "to", "links"])
+    def emit(rows: list, task: tuple) -> pa.RecordBatch:
+        keys, texts, half = [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows])
+        links, root = _inside(texts, half, task[:2] == task[2:], threshold)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([keys[k] for k in root], pa.binary()), pa.array(links, pa.int64())], ["key", "to", "links"])
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for comp, i, j, node, block, text in _rows(parts):
-            if (comp, i, j) != key:
+        held, task = [], None
+        for a, i, b, j, half, key, text in _rows(parts):
+            if (a, i, b, j) != task:
                 if len(held) > 1:
-                    yield emit(held)
-                held, key = [], (comp, i, j)
-            held.append((node, text or b"", block))
+                    yield emit(held, task)
+                held, task = [], (a, i, b, j)
+            held.append((key, text or b"", half))
         if len(held) > 1:
-            yield emit(held)
+            yield emit(held, task)
 
     return verify
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """(key, least, home, block, other, o): each text of ``texts(key, least, size, bands)`` that shares a bucket, once for every block it meets."""
+    h = F.xxhash64("key").alias("h")  # 64 bits do for homes: two texts that share them only meet in vain
+    buckets = texts.select(h, F.explode_outer("bands").alias("hash")).where("hash IS NOT NULL")
+    heads = written(buckets.groupBy("hash").agg(F.min("h").alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head"))
+    stars = buckets.join(heads, "hash")
+    homes = written(stars.groupBy("h").agg(F.min("head").alias("home")))
+    lodged = texts.select("key", "least", "size", h).join(homes, "h").drop("h")
+    sized = lodged.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sized = written(sized.select("home", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "n"))
+    # Homes that some bucket joins. Nearly every bucket is of one home.
+    mixed = written(stars.select("hash", "h").join(homes, "h").groupBy("hash", "home").agg(F.lit(1).alias("one")).select("hash", "home"))
+    several = mixed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    mixed = mixed.join(several, "hash", "left_semi")
+    joined = mixed.join(mixed.withColumnRenamed("home", "other"), "hash").where("home <> other").select("home", "other").distinct()
+    pairs = joined.join(sized.select(F.col("home").alias("other"), "blocks"), "other").select("home", "other", F.col("blocks").alias("others"))
+    alone = sized.where("n > 1").select("home", F.col("home").alias("other"), F.col("blocks").alias("others"))
+    meets = written(pairs.unionByName(alone))
+    placed = lodged.join(sized.drop("n"), "home").select("key", "least", "home", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int").alias("block"))
+    return placed.join(meets, "home").select("key", "least", "home", "block", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, key, class_id, chosen, n_links, n_copies), one row per row of ``docs``; ``chosen``: the key of the class's text of the least id."""
+    bands, rows = bands_for(threshold, recall)
+    base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    signed = written(base.mapInArrow(lean(_signer(bands, rows)), f"doc_id {kind}, key binary, size long, bands array<long>"))
+    texts = written(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    dealt = written(_dealt(texts))
+    # The text of a digest is that of a row of its least id; rows that repeat it are one.
+    asked = written(dealt.select("key", "least").distinct().select(F.col("key").alias("k"), "least"))
+    own = base.withColumn("key", digest(F.col("text"))).join(asked, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"])
+    same, first = F.col("home") == F.col("other"), F.col("home") < F.col("other")
+    # A task is (a, i, b, j), homes and blocks; half 1 is its second block.
+    i = F.when(same, F.least("block", "o")).when(first, F.col("block")).otherwise(F.col("o"))
+    j = F.when(same, F.greatest("block", "o")).when(first, F.col("o")).otherwise(F.col("block"))
+    half = F.when(same, F.col("block") != i).otherwise(~first).cast("int")
+    tasks = dealt.select("key", F.least("home", "other").alias("a"), i.alias("i"), F.greatest("home", "other").alias("b"), j.alias("j"), half.alias("half"))
+    filled = tasks.join(own, "key").select("a", "i", "b", "j", "half", "key", "text")
+    found = written(filled.repartition("a", "i", "b", "j").sortWithinPartitions("a", "i", "b", "j").mapInArrow(lean(_verifier(threshold)), "key binary, to binary, links long"))
+    links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
+    joined = connected(found.select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
+    members = written(joined.join(texts.select("key", "least"), "key"))
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("class_id"), F.col("key").alias("chosen")))
+    named = written(members.groupBy("root").agg(best.alias("b")).select("root", "b.class_id", "b.chosen"))
+    of_class = written(members.join(named, "root").join(links, "key", "left").select("key", "class_id", "chosen", "n_links", F.lit(True).alias("joined")))
+    told = texts.select("key", "least", "n_copies").join(of_class, "key", "left")
+    told = told.select("key", F.when(F.col("joined"), F.col("class_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("chosen", "key").alias("chosen"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    return signed.select("doc_id", "key").join(told, "key").select("doc_id", "key", "class_id", "chosen", "n_links", "n_copies")
+
+
+def digest(text: Column) -> Column:
+    """The digest by which a text is known."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies), one row per row of ``docs``."""
-    bands, rows = bands_for(threshold, recall)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    signed = settled(base.mapInArrow(lean(_signer(bands, rows)), "doc_id long, key binary, bands array<long>"))
-    least = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("key") % (1 << 62)) - 1)
-    texts = settled(signed.groupBy("key").agg(least.alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
-    buckets = texts.select("node", F.posexplode_outer("bands").alias("band", "hash")).where("hash IS NOT NULL")
-    heads = buckets.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "head")
-    stars = buckets.join(settled(heads), ["band", "hash"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    groups = connected(stars).withColumnRenamed("root", "comp")
-    sized = groups.groupBy("comp").agg(F.count("*").alias("n")).select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(settled(sized), "comp").select("comp", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # The text of a node is that of the row with its id and key; copies of it are one.
-    asked = placed.join(texts.where("doc_id IS NOT NULL").select("node", "key"), "node")
-    lone = texts.where("doc_id IS NULL").select("node", "key").join(placed, "node")
-    own = base.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    with_id = own.where("doc_id IS NOT NULL").join(asked.withColumnRenamed("node", "doc_id"), ["doc_id", "key"]).select("comp", F.col("doc_id").alias("node"), "blocks", "block", "text").dropDuplicates(["node"])
-    without = own.where("doc_id IS NULL").dropDuplicates(["key"]).drop("doc_id").join(lone, "key").select("comp", "node", "blocks", "block", "text")
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = with_id.unionByName(without).select("comp", "node", "block", "text", spread).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
-    found = settled(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(_verifier(threshold)), "node long, to long, links long"))
-    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    joined = connected(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    rows_of = texts.select("key", "node", "n_copies").join(joined, "node", "left").join(links, "node", "left")
-    told = settled(rows_of.select("key", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"))
-    return signed.select("doc_id", "key").join(told, "key").select("doc_id", "class_id", "n_links", "n_copies")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their class."""
+    return _classed(docs, id_col, text_col, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class: its least id with the least digest of that id's texts; of rows that repeat both any one. Without any id, any one of the least digest."""
+    rows = written(_classed(docs, id_col, text_col, threshold, recall).select(F.col("doc_id").alias("__op9_id"), F.col("key").alias("__op9_of"), "class_id", "chosen"))
+    chosen = (F.col("__op9_of") == F.col("chosen")) & F.col("__op9_id").eqNullSafe(F.col("class_id"))
+    names = ["__op9_id", "__op9_of"]
+    more = written(rows.where(~chosen).select(*names).distinct())
+    again = written(rows.where(chosen).groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
     # A lost class never drops a row: rows are taken out, not picked.
-    more = classes(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__more")).distinct()
-    return docs.join(more, F.col(id_col) == F.col("__more"), "left_anti")
+    here = F.col(id_col).eqNullSafe(F.col("__op9_id")) & (F.col("__op9_key") == F.col("__op9_of"))
+    left = docs.withColumn("__op9_key", digest(whole_text(text_col))).join(more, here, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col, "__op9_key"]))
+    return left.drop("__op9_key")

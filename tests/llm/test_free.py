@@ -172,9 +172,52 @@ def test_join_against_brute_force(spark, monkeypatch):
             if r["doc_id"] is not None:
                 t = by_id[r["doc_id"]]
                 assert (r["class_id"], r["n_links"], r["n_copies"]) == (least[find(t)], links[t], copies[t]), (block, t[:60])
-    kept = {r["doc_id"] for r in ngram_join.one_of_each(docs(spark, rows)).collect()}
-    assert kept - {None} == set(least.values())
-    assert ngram_join.classes(docs(spark, [])).count() == 0
+    kept = [r["doc_id"] for r in ngram_join.one_of_each(docs(spark, rows), recall=0.99999).collect()]
+    assert sorted(kept) == sorted(least.values())
+    assert ngram_join.classes(docs(spark, [])).count() == 0 == ngram_join.one_of_each(docs(spark, [])).count()
+
+
+def test_join_of_repeated_null_and_string_ids(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 120), words(rng, 120)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, near(a)), (3, " ".join(b)), (2, near(b)), (2, near(b)), (None, "lone text of five words"), (None, "lone text of five words"), (None, near(a))]
+    got = sorted((r["doc_id"] or -1, r["class_id"] or -1, r["n_links"], r["n_copies"]) for r in ngram_join.classes(docs(spark, rows)).collect())
+    assert got == sorted([(1, 1, 1, 1), (2, 1, 1, 2), (3, 2, 1, 1), (2, 2, 1, 2), (2, 2, 1, 2), (-1, -1, 0, 2), (-1, -1, 0, 2), (-1, 1, 1, 2)])
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in ngram_join.one_of_each(docs(spark, rows)).collect())
+    assert kept == sorted([(1, " ".join(a)), (2, near(b)), (-1, "lone text of five words")])
+    named = spark.createDataFrame([("y", " ".join(a)), ("x", near(a)), ("z", None)], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.classes(named).collect()) == [("x", "x", 1), ("y", "x", 1), ("z", "z", 0)]
+
+
+def test_recall_of_the_shipped_bands():
+    """Pairs of known similarity of 0.8 or more share a band in the setting that the queries use."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    texts, want = [], 0
+    while want < 1500:
+        w = words(rng, rng.randrange(40, 160), 4000)
+        v = list(w)
+        for _ in range(rng.randrange(1, 1 + len(w) // 40)):
+            v[rng.randrange(len(v))] = "neu"
+        x, y = brute_shingles(" ".join(w)), brute_shingles(" ".join(v))
+        if 0.8 <= len(x & y) / len(x | y) < 1:
+            texts += [" ".join(w), " ".join(v)]
+            want += 1
+    sign = ngram_join._signer(*ngram_join.bands_for())
+    bands = [b for part in sign(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])) for b in part.column("bands").to_pylist()]
+    met = sum(not set(bands[k]).isdisjoint(bands[k + 1]) for k in range(0, len(texts), 2))
+    assert met >= 0.99 * want
+
+
+def test_join_of_very_long_texts_and_bytes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 200_000)
+    rng = random.Random(22)
+    w = words(rng, 60_000, 9000)
+    rows = [(k, " ".join([*w[: 59_990 - 700 * k], f"end{k}"])) for k in range(4)] + [(9, " ".join(w[::-1]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.classes(docs(spark, rows)).collect()}
+    assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (0, 3), 9: (9, 0)}
 
 
 def test_bands_reach_the_recall():
