@@ -6,8 +6,8 @@ fixes a diagonal (item, place in text minus place in item), along which all of t
 the best-scoring run (+1 for an equal token, -MISS for another) must hold enough equal tokens.
 
 One plan for every size. Texts are cut into parts of PART tokens, so no row holds more than a part of a text once its
-tokens are hashed. A sieve of 2^SIEVE rows of 64 bits, whatever the benchmark's size, is made of the benchmark's hashes and broadcast;
-places that pass it go on as (id, text, place, hash) alone and meet the hashes in a plain join. The distinct diagonals are
+tokens are hashed. Two sieves of 2^SIEVE rows of 64 bits, whatever the benchmark's size, are made of the benchmark's hashes (of the first
+two tokens, and masked) and broadcast; places that pass go on as (id, text, place, hash) alone and meet the hashes in a plain join. The distinct diagonals are
 written; the texts that have any are read again, in parts, and each diagonal gets the one to few parts that it crosses. A full sieve
 lets everything pass and the join does the work. Which joins broadcast follows from the written tables' sizes.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import picked, whole_text, written
 
-# The masks. 1 keeps a token, 0 ignores it.
+# The masks. 1 keeps a token, 0 ignores it; each keeps the first two.
 MASKS = ("11101011", "110110101", "1101001011", "111011")
 MISS = 2
 #: A run counts as an overlap from so many equal tokens on, or this share of a shorter item.
@@ -48,22 +48,30 @@ def _parts(texts: DataFrame, overlap: int) -> DataFrame:
     return texts.select(*texts.columns[:-1], F.posexplode_outer(F.transform(starts, lambda s: F.slice("h", s + 1, PART + overlap))).alias("block", "part"))
 
 
-def _seeds(texts: DataFrame) -> DataFrame:
-    """(..., pos, m): the masked hashes at every place of the texts."""
-    of = lambda i, k, mask: F.xxhash64(F.lit(k), *(F.get("part", i + j) for j, keep in enumerate(mask) if keep == "1"))
-    at = lambda i: F.array(*(F.when(F.size("part") >= i + len(mask), of(i, k, mask)) for k, mask in enumerate(MASKS)))
-    places = F.sequence(F.lit(0), F.greatest(F.least(F.size("part"), F.lit(PART)) - 1, F.lit(0)))
-    keys = texts.columns[:-1]
-    each = _parts(texts, _WIDEST - 1).select(*keys, "block", F.posexplode_outer(F.flatten(F.transform(places, at))).alias("q", "m")).where("m IS NOT NULL")
-    return each.select(*keys, (F.col("block") * PART + F.expr(f"q div {len(MASKS)}").cast("int")).alias("pos"), "m")
+def _places(texts: DataFrame) -> DataFrame:
+    """(..., block, part, i, pair): every place i of every part, and the hash of the two tokens that all masks keep first.
 
+    Expressions from here to the seeds are compiled into one loop over the part, which stays where it is: only seeds are rows.
+    """
+    each = _parts(texts, _WIDEST - 1).select("*", F.posexplode_outer("part").alias("i", "a"))
+    return each.where(f"i < {PART}").withColumn("pair", F.xxhash64("a", F.get("part", F.col("i") + 1))).drop("a")
 
-def _sieved(seeds: DataFrame, index: DataFrame) -> DataFrame:
-    """The seeds whose hash may be in ``index(m)``: two bits of 64 in one of 2^SIEVE rows stand for a hash."""
-    row = F.col("m").bitwiseAND(F.lit((1 << SIEVE) - 1)).alias("row")
-    bits = F.expr(f"shiftleft(1L, CAST(shiftright(m, {SIEVE}) & 63 AS INT)) | shiftleft(1L, CAST(shiftright(m, {SIEVE + 6}) & 63 AS INT))")
+
+def _seeds(places: DataFrame) -> DataFrame:
+    """(..., pos, m): the masked hashes at the places."""
+    of = lambda k, mask: F.xxhash64(F.lit(k), *(F.get("part", F.col("i") + j) for j, keep in enumerate(mask) if keep == "1"))
+    masked = F.array(*(F.when(F.size("part") >= F.col("i") + len(mask), of(k, mask)) for k, mask in enumerate(MASKS)))
+    pos = (F.col("block") * PART + F.col("i")).alias("pos")
+    rest = [c for c in places.columns if c not in ("block", "part", "i")]
+    return places.select(*rest, pos, F.explode_outer(masked).alias("m")).where("m IS NOT NULL")
+
+
+def _sieved(frame: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """The rows of ``frame`` whose hash may be in ``index``: two bits of 64 in one of 2^SIEVE rows stand for a hash."""
+    row = F.col(key).bitwiseAND(F.lit((1 << SIEVE) - 1)).alias("row")
+    bits = F.expr(f"shiftleft(1L, CAST(shiftright({key}, {SIEVE}) & 63 AS INT)) | shiftleft(1L, CAST(shiftright({key}, {SIEVE + 6}) & 63 AS INT))")
     sieve = index.select(row, bits.alias("b")).groupBy("row").agg(F.bit_or("b").alias("bits"))
-    return seeds.withColumn("row", row).join(F.broadcast(sieve), "row").where(bits.bitwiseAND(F.col("bits")) == bits).drop("row", "bits")
+    return frame.withColumn("row", row).join(F.broadcast(sieve), "row").where(bits.bitwiseAND(F.col("bits")) == bits).drop("row", "bits")
 
 
 def _overlap(doc: Column, item: Column) -> Column:
@@ -96,10 +104,11 @@ def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     """(doc_id, tx, item_id, diagonal, o): every diagonal along which enough tokens agree, and its best run."""
     items = _hashes(benchmark, whole_text(item_text), F.col(item_col).alias("item_id"), F.xxhash64(whole_text(item_text)).alias("ix"))
     items = written(items.where(F.size("h") >= min(map(len, MASKS))).dropDuplicates(["item_id", "ix"]))
-    index = written(_seeds(items).withColumnRenamed("pos", "ipos"))
+    index = written(_seeds(_places(items)).withColumnRenamed("pos", "ipos"))
     base = _named(docs, id_col, text_col)
-    sifted = _sieved(_seeds(_hashes(base, F.col("text"), F.col("doc_id"), F.col("tx"))), index)
-    hits = written(sifted.join(index, "m").select("doc_id", "tx", "item_id", "ix", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
+    paired = _sieved(_places(_hashes(base, F.col("text"), F.col("doc_id"), F.col("tx"))), index, "pair")
+    sifted = _sieved(_seeds(paired), index, "m")
+    hits = written(sifted.join(index.drop("pair"), "m").select("doc_id", "tx", "item_id", "ix", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
     # Each text that was hit, once, in parts.
     hit = hits.select(F.col("doc_id").alias("d"), F.col("tx").alias("t")).distinct()
     again = base.join(hit, _same(("doc_id", "tx"), ("d", "t")), "left_semi")

@@ -1,21 +1,21 @@
 """Line dedup by content-defined chunks (native).
 
-A text's lines are hashed; a rolling hash over the last two line hashes closes a chunk where SPREAD
-divides it, so boundaries depend on nearby lines only and survive shifts. A line of LONG words or more
-is a passage of its own and closes chunks on both sides. Chunks of several lines, and such passages,
-are counted over all texts by hash; those seen again are grouped by their bytes, and every occurrence
-but the first (least id, then place) is removed from its text.
-
-Chunks miss a passage whose edges fall inside them. With ``whole_runs`` (as the registered queries have it) the window of
-two lines is itself the unit: every pair of neighbouring lines, and every line of LONG words, is counted, compared by bytes
-and removed where it repeats an earlier one that it does not overlap. A repeated run of two lines or more is made of
-repeated pairs, so it goes from its first line to its last, wherever chunks would be cut. The first occurrence of a line is
-in no repeat, so no line leaves the corpus.
-
-Defined cases: a null or empty text has no chunk and stays as it is; texts of one short line stay;
-rows that repeat an id share its fate (both keep or lose the same places); a null id is an id; an empty
-table stays empty; other columns stay, and ours begin with two underscores. Two different chunks that
-share both 64-bit hashes are told apart by their bytes, and both stay; so do runs with a line that shares its hash with another.
+The lines of a text that hold a word are hashed; blank ones part nothing. A rolling hash over the last two line hashes puts a boundary
+where SPREAD divides it, so boundaries depend on nearby lines only and survive shifts. A chunk runs from the first line of one
+boundary's window to the first line of the next one's, so that neighbouring chunks share a line and none has less than two. Chunks are counted
+over all texts by their line hashes, the lines of those seen again are compared by bytes, and every occurrence but the first
+(least id, then hash of the text, then place) is removed with the blank lines inside it. A line of LONG words or more is a passage and counts as a
+chunk of its own.
+
+SPREAD = 1, as shipped, makes every window of two lines a boundary. A wider spread gives fewer and longer chunks and misses the passages
+whose edges fall inside them: at 3, of passages of 2, 4, 8 and 20 lines in new surroundings 96, 79, 53 and 24 % of the lines stay, on average. At
+1 a repeated run of two lines or more goes from its first line to its last. The first occurrence of a line is in no repeat, so no line
+leaves the corpus.
+
+Defined cases: a null or empty text has no chunk and stays as it is; texts of one short line stay; a row is known by its id and its text: rows that
+repeat both keep or lose the same lines, rows that share an id alone are texts of their own; a null id is an id, before all others;
+a chunk that overlaps its own first occurrence stays; a long text costs memory in proportion to its length; an empty table stays empty;
+other columns stay, and ours begin with ``__op8``. Chunks with a line that shares its hash with another line stay.
 """
 
 from __future__ import annotations
@@ -23,102 +23,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, settled, whole_text
+from .common import BLANKS, picked, whole_text, written
 
-SPREAD, LONG = 3, 50
+SPREAD, LONG = 1, 50
 _BASE, _MOD = 1000003, 2147483647
 
 
-def with_chunks(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` and ``__chunks``: array<struct(body, counts)>; the bodies joined by \\n are the text.
-
-    Built in steps, each a column of its own, so that no step is evaluated again inside a lambda.
-    """
-    line = F.split(whole_text(text_col), "\n")
-    hashed = docs.withColumn("__lines", line).withColumn("__h", F.transform("__lines", lambda x: F.pmod(F.xxhash64(x), F.lit(_MOD))))
-    # The rolling value r(i) = (r(i-1) - h(i-2)*BASE)*BASE + h(i) of two lines, in closed form.
-    rolled = lambda i: F.pmod(F.pmod(F.get("__h", i - 1) * _BASE + F.get("__h", i), F.lit(_MOD)), F.lit(SPREAD)) == 0
-    words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
-    mark = lambda x, i: F.struct(F.coalesce(rolled(i), F.lit(False)).alias("cut"), ((F.char_length(x) >= 2 * LONG - 1) & (words(x) >= LONG)).alias("long"))
-    marked = hashed.withColumn("__marks", F.transform("__lines", mark))
-    at = lambda i: F.get("__marks", i)
-    closes = lambda i: (i == F.size("__marks")) | at(i - 1)["cut"] | at(i - 1)["long"] | F.coalesce(at(i)["long"], F.lit(False))
-    ended = marked.withColumn("__ends", F.filter(F.sequence(F.lit(1), F.size("__marks")), closes))
-    begin = lambda i: F.coalesce(F.get("__ends", i - 1), F.lit(0))
-    chunk = lambda e, i: F.struct(F.array_join(F.slice("__lines", begin(i) + 1, e - begin(i)), "\n").alias("body"), ((e - begin(i) >= 2) | at(e - 1)["long"]).alias("counts"))
-    return ended.withColumn("__chunks", F.transform("__ends", chunk)).drop("__lines", "__h", "__marks", "__ends")
-
-
-def _second(body: Column) -> Column:
-    return F.xxhash64(F.lit("second"), body)
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, places): the places, from 0, of the chunks that repeat an earlier one."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    each = with_chunks(base, "text").select("doc_id", F.posexplode_outer("__chunks").alias("place", "c")).where("c.counts").select("doc_id", "place", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
-    # By hash alone first: only chunks seen again move their text further. Hot hashes are combined
-    # before the shuffle; the joins have a plain exchange on either side, which can be split.
-    again = settled(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    seen = settled(each.join(again, "h", "left_semi").withColumn("h2", _second(F.col("body"))))
-    same = seen.groupBy("h", "h2", "body").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    first = settled(same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.count("*").alias("bodies")).where("bodies = 1 AND n > 1").select("h", "h2", "first"))
-    later = seen.select("h", "h2", "doc_id", "place").join(first, ["h", "h2"]).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def _wordy(line: Column) -> Column:
     return (F.char_length(line) >= 2 * LONG - 1) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= LONG)
 
 
-def _covered(places: Column) -> Column:
-    """The lines of places as ``run_repeats`` numbers them."""
-    line = lambda x: F.floor(x).cast("int")
-    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.when(p % 2 == 0, F.array(line(p / 2), line(p / 2 + 1))).otherwise(F.array(line(p / 2))))))
+def _worded(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) != ""
 
 
-def run_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, places): the repeated pairs of lines, 2*i for lines i and i+1, and long lines, 2*i+1 for line i.
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+    """(doc_id, tx, start, end, key): the chunks by their first and last line, from 0, and their line hashes.
 
-    A unit is known by the hashes of its lines, ``a`` and ``b``; the lines of units seen again are compared by bytes.
+    Built in steps, each a column of its own, so that no step is evaluated again inside a lambda.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.split(whole_text(text_col), "\n").alias("lines"))
-    hashed = base.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
-    pair = F.zip_with(F.slice("hs", F.lit(1), F.size("hs") - 1), F.slice("hs", F.lit(2), F.size("hs") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    unit = lambda place, a, b: F.struct(place.cast("int").alias("place"), a.alias("a"), b.alias("b"))
-    long = F.filter(F.transform("lines", lambda x, i: F.when(_wordy(x), unit(i * 2 + 1, F.xxhash64(x), F.lit(0).cast("long")))), lambda u: u.isNotNull())
-    units = hashed.withColumn("pairs", pair).select("doc_id", F.concat(F.transform("pairs", lambda u, i: unit(i * 2, u["a"], u["b"])), long).alias("units"))
-    each = units.select("doc_id", F.explode_outer("units").alias("u")).where("u IS NOT NULL").select("doc_id", "u.place", "u.a", "u.b", (F.col("u.place") % 2).alias("alone"))
-    key = ["a", "b", "alone"]
-    again = settled(each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
-    seen = settled(each.join(again, key, "left_semi"))
-    first = settled(seen.groupBy(*key).agg(F.min(F.struct("doc_id", "place")).alias("first")))
-    overlaps = (F.col("alone") == 0) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place") + 2)
-    later = seen.join(first, key).where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")) & ~overlaps).select("doc_id", "place", "a", "b")
-    # Only lines of such units meet as texts, each once a document. Rows that repeat an id have all its places; a line past a text's end is null.
-    at = seen.groupBy("doc_id").agg(F.collect_set("place").alias("at")).select(F.col("doc_id").alias("id"), "at")
-    bodies = base.join(at, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("wanted", _covered(F.col("at"))).select(F.explode_outer(F.array_distinct(F.transform("wanted", lambda i: F.get("lines", i)))).alias("body")).where("body IS NOT NULL")
-    shared = settled(bodies.groupBy(F.xxhash64("body").alias("h"), "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h"))
+    text = whole_text(text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tx"), F.split(text, "\n").alias("lines"))
+    lines = base.withColumn("ls", F.filter(F.transform("lines", lambda x, i: F.when(_worded(x), F.struct(i.alias("i"), _line_hash(x).alias("h"), _wordy(x).alias("long")))), lambda x: x.isNotNull())).drop("lines")
+    parted = lines.withColumn("at", F.col("ls.i")).withColumn("hs", F.col("ls.h"))
+    last = F.size("hs") - 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    if spread > 1:  # the rolling value r(i) = (r(i-1) - h(i-2)*BASE)*BASE + h(i) of two lines, in closed form
+        line = lambda i: F.pmod(F.get("hs", i), F.lit(_MOD))
+        places = F.filter(places, lambda i: F.pmod(F.pmod(line(i - 1) * _BASE + line(i), F.lit(_MOD)), F.lit(spread)) == 0)
+    edges = parted.withColumn("edges", F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(places, lambda i: i - 1), F.array(F.greatest(last, F.lit(0))))))
+    chunk = lambda a, b: F.struct(F.get("at", a).alias("start"), F.get("at", b).alias("end"), F.slice("hs", a + 1, b - a + 1).alias("key"))
+    of_lines = F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), chunk)
+    long = F.transform(F.filter("ls", lambda x: x["long"]), lambda x: F.struct(x["i"].alias("start"), x["i"].alias("end"), F.array(x["h"]).alias("key")))
+    return edges.select("doc_id", "tx", F.explode_outer(F.concat(of_lines, long)).alias("c")).where("c IS NOT NULL").select("doc_id", "tx", "c.*")
+
+
+def _covered(spans: Column) -> Column:
+    """The lines of spans."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"]))))
+
+
+def _same_row(id_col: str, tx: Column, row: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col(f"{row}_id")) & (tx == F.col(f"{row}_tx"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+    """(doc_id, tx, spans): the spans of lines, first and last, of the chunks that repeat an earlier one."""
+    each = written(chunks(docs, id_col, text_col, spread))
+    # Hot keys are combined before the shuffle; the joins have a plain exchange on either side, which can be split.
+    again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    seen = written(each.join(again, "key", "left_semi"))
+    first = written(seen.groupBy("key").agg(F.min(F.struct("doc_id", "tx", "start", "end")).alias("first")))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("start") <= F.col("first.end"))
+    later = seen.join(first, "key").where(~own).select("key", "doc_id", "tx", "start", "end")
+    # The lines of such chunks meet as texts, each once a document.
+    rows = seen.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select(F.col("doc_id").alias("__op8_id"), F.col("tx").alias("__op8_tx"), "spans")
+    text = whole_text(text_col)
+    met = docs.join(written(rows), _same_row(id_col, F.xxhash64(text), "__op8")).select(F.split(text, "\n").alias("lines"), _covered(F.col("spans")).alias("wanted"))
+    bodies = met.select(F.explode_outer(F.array_distinct(F.filter(F.transform("wanted", lambda i: F.get("lines", i)), _worded))).alias("body")).where("body IS NOT NULL")
+    shared = written(bodies.groupBy(_line_hash(F.col("body")).alias("h"), "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     if not shared.isEmpty():
-        for side in ("a", "b"):
-            later = later.join(shared, F.col(side) == F.col("h"), "left_anti")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+        doubtful = first.select("key", F.explode("key").alias("h")).join(shared, "h").select("key").distinct()
+        later = later.join(doubtful, "key", "left_anti")
+    return later.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, whole_runs: bool = False) -> DataFrame:
-    """The table with repeated chunks, or with ``whole_runs`` repeated runs of lines, taken out of its texts; other columns as they are.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, spread: int = SPREAD) -> DataFrame:
+    """The table with repeated chunks taken out of its texts; other columns as they are.
 
-    ``drop_emptied``: rows of which nothing is left go; rows that had no text stay.
+    ``drop_emptied``: rows of which no word is left go; rows that had none stay.
     """
-    gone = (run_repeats if whole_runs else repeats)(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    if whole_runs:
-        out = joined.withColumn("__lines", F.when(F.col("__places").isNotNull(), F.split(whole_text(text_col), "\n")))
-        out = out.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), _covered(F.col("__places"))))
-        out = out.withColumn("__left", F.transform("__kept", lambda i: F.get("__lines", i))).drop("__lines", "__kept")
-    else:
-        left = F.filter("__chunks", lambda c, i: ~F.array_contains("__places", i))
-        out = with_chunks(joined, text_col).withColumn("__left", F.when(F.col("__places").isNotNull(), F.transform(left, lambda c: c["body"]))).drop("__chunks")
+    gone = written(repeats(docs, id_col, text_col, spread).select(F.col("doc_id").alias("__op8_id"), F.col("tx").alias("__op8_tx"), F.col("spans").alias("__op8_spans")))
+    joined = docs.join(gone, _same_row(id_col, F.xxhash64(whole_text(text_col)), "__op8"), "left").drop("__op8_id", "__op8_tx")
+    out = joined.withColumn("__op8_lines", F.when(F.col("__op8_spans").isNotNull(), F.split(whole_text(text_col), "\n")))
+    out = out.withColumn("__op8_kept", F.array_except(F.sequence(F.lit(0), F.size("__op8_lines") - 1), _covered(F.col("__op8_spans"))))
+    out = out.withColumn("__op8_left", F.array_join(F.transform("__op8_kept", lambda i: F.get("__op8_lines", i)), "\n")).drop("__op8_lines", "__op8_kept", "__op8_spans")
     if drop_emptied:
-        out = picked(out, F.col("__places").isNull() | (F.size("__left") > 0))
-    return out.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))).drop("__places", "__left")
+        out = picked(out, F.coalesce(_worded(F.col("__op8_left")), F.lit(True)))
+    return out.withColumn(text_col, F.coalesce("__op8_left", F.col(text_col))).drop("__op8_left")

@@ -186,79 +186,69 @@ def test_decontamination_of_very_long_texts(spark):
     assert len(got) == len(set(got)) and {k for i, k in got if i == 1} == {k for k, t in items if f" {t} " in f" {many} "} and {k for i, k in got if i == 2} == {7}
 
 
-def brute_chunks(spark, text):
-    """Cuts by the same rule, with the hash looked up; written out plainly."""
-    lines = text.split("\n")
-    hashes = [r[0] % line_chunks._MOD for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(F.xxhash64("x")).collect()]
-    long = [len(WORDS.findall(x)) >= line_chunks.LONG for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        cut = i > 0 and (hashes[i - 1] * line_chunks._BASE + hashes[i]) % line_chunks._MOD % line_chunks.SPREAD == 0
-        if cut or long[i] or i + 1 == len(lines) or long[i + 1]:
-            out.append(("\n".join(lines[start : i + 1]), i + 1 - start >= 2 or long[i]))
-            start = i + 1
-    return out
-
-
-def test_line_chunks(spark):
-    rng = random.Random(11)
-    line = lambda n=6: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
-    shared, passage = [line() for _ in range(12)], line(60)
-    rows = [(i, "\n".join([*(line() for _ in range(rng.randrange(0, 4))), *shared, *(line() for _ in range(3))])) for i in range(5)]
-    rows += [(5, f"{line()}\n{passage}\n{line()}"), (6, f"{line()}\n{line()}\n{passage}"), (7, None), (8, ""), (9, "one line"), (10, "one line"), (11, passage), (12, "\n\n\n"), (13, passage + "\n" + passage)]
-    rows += [(None, passage), (20, rows[0][1])]
-    chunks = {i: brute_chunks(spark, t or "") for i, t in rows}
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, want = set(), {}
-    for i, t in order:
-        left = []
-        for body, counts in chunks[i]:
-            if not counts or body not in seen:
-                left.append(body)
-            if counts:
-                seen.add(body)
-        want[i] = "\n".join(left)
-    got = line_chunks.deduplicate(docs(spark, rows))
-    assert got.columns == docs(spark, []).columns
-    assert {r["doc_id"]: r["text"] or "" for r in got.collect()} == want
-    emptied = {r["doc_id"] for r in line_chunks.deduplicate(docs(spark, rows), drop_emptied=True).collect()}
-    assert emptied == {i for i, t in rows if want[i] or not t or not chunks[i] or any(b in want[i] for b, _ in chunks[i])} - {i for i, t in rows if t and not want[i] and i not in (12,)}
-    assert line_chunks.deduplicate(docs(spark, [])).count() == 0
-
-
-def brute_runs(rows):
-    """Knows only lines: those of any pair, or alone of 50 words, that an earlier place holds without overlap."""
-    first, want = {}, []
-    for d, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):
+def brute_lines(spark, rows, spread=1):
+    """Knows only lines: chunks end at the same boundaries; a chunk that an earlier place holds, without overlap, loses its lines."""
+    texts = {t or "" for _, t in rows}
+    hashed = {r[0]: r[1] for r in spark.createDataFrame([(x,) for t in texts for x in {*t.split("\n")}], "x string").select("x", F.xxhash64("x")).distinct().collect()}
+    tx = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", F.xxhash64("x")).collect()}
+    first, want = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tx[r[1] or ""])):
         lines, gone = (t or "").split("\n"), set()
-        for size in (1, 2):
-            for k in range(len(lines) + 1 - size):
-                run = tuple(lines[k : k + size])
-                if size == 2 or len(WORDS.findall(run[0])) >= 50:
-                    at = first.setdefault(run, (d, k))
-                    if at[0] != d or at[1] + size <= k:
-                        gone.update(range(k, k + size))
-        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    return dict(want)
-
-
-def test_repeated_runs_of_lines_go_whole(spark):
+        at = [k for k, x in enumerate(lines) if WORDS.search(x)]
+        cuts = [k for k in range(1, len(at)) if (hashed[lines[at[k - 1]]] % line_chunks._MOD * line_chunks._BASE + hashed[lines[at[k]]] % line_chunks._MOD) % line_chunks._MOD % spread == 0]
+        edges = sorted({0, *(k - 1 for k in cuts), max(len(at) - 1, 0)})
+        for a, b in [*zip(edges, edges[1:], strict=False), *((k, k) for k, x in enumerate(at) if len(WORDS.findall(lines[x])) >= line_chunks.LONG)]:
+            body = tuple(lines[x] for x in at[a : b + 1])
+            here = first.setdefault(body, (i, t, at[b]))
+            if here[:2] != (i, t) or here[2] < at[a]:
+                gone.update(range(at[a], at[b] + 1))
+        want[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return [want[i, t] for i, t in rows]
+
+
+def line_rows():
     rng = random.Random(5)
     line = lambda n=20: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
     rows, passages = [], []
     for n in (2, 3, 4, 6, 8, 20):
-        passages.append([line(60 // n + 1) for _ in range(n)])
-        rows += [(len(rows) + k, "\n".join([*(line() for _ in range(rng.randrange(1, 5))), *passages[-1], *(line() for _ in range(rng.randrange(1, 5)))])) for k in range(3)]
+        for blank in ("", "\n", "\n \t\n"):
+            passages.append([line(60 // n + 1) for _ in range(n)])
+            rows += [(len(rows) + k, "\n".join([*(line() for _ in range(rng.randrange(1, 5))), f"\n{blank}".join(passages[-1]), *(line() for _ in range(rng.randrange(1, 5)))])) for k in range(3)]
     long, x = line(60), line(4)
-    rows += [(40, None), (41, ""), (42, "\n".join([x] * 3)), (43, "\n".join([x] * 5)), (44, "\n".join(["a", "b"] * 4)), (45, f"{long}\nend"), (46, f"start\n{long}\nother"), (47, "one line"), (48, "one line"), (None, rows[4][1])]
-    got = {r["doc_id"]: r["text"] or "" for r in line_chunks.deduplicate(docs(spark, rows), whole_runs=True).collect()}
-    assert got == brute_runs(rows)
-    for k, passage in enumerate(passages):
-        later = [got[i].split("\n") for i in range(3 * k + 1, 3 * k + 3)]
-        assert not any(set(passage) & set(left) for left in later)
-    assert line_chunks.deduplicate(docs(spark, []), whole_runs=True).count() == 0
-    again = line_chunks.deduplicate(docs(spark, [(1, "p\nq"), (1, "p\nq"), (2, "p\nq\nr")]), whole_runs=True, drop_emptied=True)
-    assert sorted((r["doc_id"], r["text"]) for r in again.collect()) == [(1, "p\nq"), (1, "p\nq"), (2, "r")]
+    odd = [None, "", "\n".join([x] * 3), "\n".join([x] * 5), "\n".join(["a", "b"] * 4), f"{long}\nend", f"start\n{long}\nother", "one line", "one line", "\n\n\n", " \n\t\n", "x\n\n\n\ny", "z\n\n\n\nw", long + "\n" + long]
+    rows += [*((400 + k, t) for k, t in enumerate(odd)), (None, rows[4][1]), (500, "p\nq"), (500, "p\nq"), (500, "other\nlines here"), (501, "p\nq\nr"), (501, "other\nlines here\nz")]
+    return rows, passages
+
+
+def test_line_chunks(spark):
+    rows, passages = line_rows()
+    for spread in (1, 2, 3):
+        got = line_chunks.deduplicate(docs(spark, rows), spread=spread)
+        assert got.columns == docs(spark, []).columns
+        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect()) == sorted((i or -1, t) for (i, _), t in zip(rows, brute_lines(spark, rows, spread), strict=True)), spread
+    whole = {r["doc_id"]: (r["text"] or "").split("\n") for r in line_chunks.deduplicate(docs(spark, rows)).collect()}
+    for k, passage in enumerate(passages):  # runs go whole
+        assert not any(set(passage) & set(whole[i]) for i in range(3 * k + 1, 3 * k + 3))
+    want = brute_lines(spark, rows)
+    left = line_chunks.deduplicate(docs(spark, rows), drop_emptied=True).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in left) == sorted((i or -1, t) for (i, before), t in zip(rows, want, strict=True) if WORDS.search(t) or not WORDS.search(before or ""))
+    assert line_chunks.deduplicate(docs(spark, [])).count() == 0
+
+
+def test_line_chunks_compare_bytes(spark, monkeypatch):
+    monkeypatch.setattr(line_chunks, "_line_hash", lambda x: F.char_length(x).cast("long"))
+    rows = [(1, "ab\ncde\nfghi jk"), (2, "xy\ncde\nfghi jk"), (3, "q\ncde\nfghi jk")]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.deduplicate(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "xy", 3: "q"}
+
+
+def test_line_chunks_of_very_long_texts(spark):
+    rng = random.Random(6)
+    line = lambda: f"w{rng.randrange(10**9)} v{rng.randrange(10**9)}"
+    shared = [line() for _ in range(20_000)]
+    rows = [(1, "\n".join([line(), *shared])), (2, "\n".join([*shared, "tail of two"])), (3, " ".join(["word"] * 200_000)), (4, "lead\n" + " ".join(["word"] * 200_000))]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.deduplicate(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "tail of two", 3: rows[2][1], 4: "lead"}
 
 
 CONV = "conv_id long, turn long, role string, text string, h string"
