@@ -316,6 +316,33 @@ def test_pairwise_rank(spark):
     assert pairwise_rank.score(docs(spark, []), labels).count() == 0
 
 
+def test_fit_is_the_least_loss_and_its_quantile():
+    """Against plain gradient descent on the same differences."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 3))
+    y = (x @ [2.0, -1.0, 0.5] + rng.normal(0, 0.3, 300) > 0.5).astype(int)
+    w, threshold = pairwise_rank.fit(x, y, seed=9)
+    draw = np.random.default_rng(9)
+    good, bad = x[y == 1], x[y == 0]
+    d = good[draw.integers(0, len(good), pairwise_rank.PAIRS)] - bad[draw.integers(0, len(bad), pairwise_rank.PAIRS)]
+    v = np.zeros(3)
+    for _ in range(4000):
+        v -= 4 * (d.T @ (1 / (1 + np.exp(-(d @ v))) - 1) / len(d) + pairwise_rank.RIDGE * v)
+    assert np.allclose(w, v, atol=1e-3)
+    assert (x @ w < threshold).sum() == len(bad)
+
+
+def test_pairwise_rank_of_repeated_ids_and_labels(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 60)) if i % 2 else " ".join(w + "***" for w in words(rng, 60))) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    alone = {r["doc_id"]: r["score"] for r in pairwise_rank.score(docs(spark, rows), labels).collect()}
+    noisy = labels.unionByName(labels).unionByName(labels).unionByName(spark.createDataFrame([(100, 0), (100, 1), (101, None)], "doc_id long, quality int"))
+    got = pairwise_rank.score(docs(spark, [*rows, *rows, (100, "a b c"), (101, "x")]), noisy).collect()
+    assert len(got) == 2 * len(rows) + 2
+    assert all(r["score"] == pytest.approx(alone[r["doc_id"]]) for r in got if r["doc_id"] < 100)
+
+
 def test_held_out_accuracy_on_driver_data(spark):
     sf = "/root/testdata/sf0.01"
     d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
