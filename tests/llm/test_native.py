@@ -87,13 +87,25 @@ def test_secret_entropy(spark):
     got = {r["doc_id"]: r["spans"] for r in secret_scan.report(docs(spark, rows)).collect()}
     assert got[1] == f"entropy:4:{4 + len(rich)}" and got[2] == got[3] == got[4] == got[6] == ""
     assert got[5] == f"assign:0:{6 + len(rich)}"
-    bits = spark.createDataFrame([(rich + plain,)], "s string").select(secret_scan._best_entropy(F.col("s"))).first()[0]
-
     def h(s):
         return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
 
-    s = rich + plain
-    assert bits == pytest.approx(max(h(s[i : i + 20]) for i in range(len(s) - 19)))
+    rng = random.Random(3)
+    strings = [rich + plain, plain, "0123456789abcdef0123" + rich, "12345678901234567890123a", *("".join(rng.choice(a) for _ in range(rng.randrange(20, 90))) for a in ("ab", "0123456789abcdef", "0123456789", "abcXYZ019+/=_-") for _ in range(8))]
+    for s, bits in spark.createDataFrame([(x,) for x in strings], "s string").select("s", secret_scan._windows(F.col("s"))).collect():
+        windows = [s[i : i + 20] for i in range(len(s) - 19)]
+        of_hex = [w for w in windows if re.fullmatch("[0-9a-fA-F]+", w)]
+        assert bits["hex"] == pytest.approx(max([h(w) for w in of_hex if not w.isdigit()], default=0), abs=1e-9)
+        assert bits["any"] == pytest.approx(max([h(w) for w in windows if w not in of_hex], default=0), abs=1e-9)
+
+
+def test_secrets_of_very_long_texts(spark):
+    rng = random.Random(2)
+    parts = ["plain words here", "token=abcdefgh12", "é" * 9, "f" * 33, "AKIA" + "B" * 14, "password: hunter2hunter2"]
+    long = " ".join(rng.choice(parts) for _ in range(20_000))
+    got = {r["doc_id"]: r for r in secret_scan.report(docs(spark, [(1, long), (2, "a1" * 100_000)])).collect()}
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(long)).encode()).hexdigest()
+    assert got[1]["n_assign"] > 3000 and got[2]["n_entropy"] == 0
 
 
 def item(rng, n):
