@@ -93,6 +93,52 @@ def test_edit_counts_match_full_encoding(spark, reference):
             assert [p for run, _ in d.tree.runs for p in run] == counter.find.findall(text)
 
 
+def test_edits_change_few_runs():
+    rng = random.Random(17)
+    counter = edit_counts.Counter(*tokenizer())
+    d = edit_counts.Document(" ".join(words(rng, 20_000)), counter)
+    for _ in range(2000):
+        a = rng.randrange(len(d.text))
+        d.edit(a, a + rng.choice([0, 0, 4]), rng.choice(["x", " word", "", " two words", "\n\n", " and a longer passage of words"]))
+    assert d.tree.laid == 1 and d.tree.changed < 3 * 2000 and d.reencoded < 20 * 2000
+    spot = len(d.text) // 2
+    for _ in range(3000):  # all at one place
+        d.edit(spot, spot, " grows")
+    pieces = counter.find.findall(d.text)
+    assert d.leaves() == (pieces, counter.counts(pieces)) and d.tree.laid <= 2 and d.tree.changed < 12 * 5000
+
+
+def test_stored_trees_are_edited(spark, reference):
+    rng = random.Random(18)
+    rows = [*enumerate([*ODD, *(" ".join(words(rng, 3000)) for _ in range(3))]), (None, "a b"), (3, "again 3")]
+    at = edit_counts.trees(docs(spark, rows), *tokenizer())
+    edits = [(i, k, rng.randrange(0, 9000), 0, rng.choice([" neu", "s", "\n"])) for i in sorted({i for i, _ in rows if i is not None}) for k in range(3)]
+    edits = [(i, k, a, a + rng.choice([0, 0, 7]), t) for i, k, a, _, t in edits]
+    got = edit_counts.edited(at, spark.createDataFrame([*edits, (77, 0, 0, 0, "x")], "doc_id long, k int, start int, end int, text string"), *tokenizer()).collect()
+    want = []
+    for i, t in rows:
+        t = t or ""
+        for j, _, a, b, new in edits:
+            if j == i:
+                t = t[: min(a, len(t))] + new + t[min(b, len(t)) :]
+        want.append((i or -1, t))
+    dedup = sorted({(i, t) for i, t in want})
+    assert sorted({((r["doc_id"] or -1), "".join(r["pieces"])) for r in got}) == dedup and len(got) == len(rows)
+    for r in got:
+        assert r["n_tokens"] == sum(r["counts"]) == len(reference.encode_ordinary("".join(r["pieces"])))
+        assert len(r["pieces"]) < 1000 or r["n_reencoded"] < 60
+    assert edit_counts.edited(at.limit(0), spark.createDataFrame([], "doc_id long, k int, start int, end int, text string"), *tokenizer()).count() == 0
+
+
+def test_edit_query_of_string_ids_and_very_long_texts(spark, reference):
+    rows = [("a", "word " * 200_000), ("b", "x" * 100_000), (None, None)]
+    for r in edit_counts.counts(spark.createDataFrame(rows, "doc_id string, text string"), *tokenizer()).collect():
+        text = after = dict(rows)[r["doc_id"]] or ""
+        for a, b, new in edit_counts.script(r["doc_id"], len(text)):
+            after = after[: min(a, len(after))] + new + after[min(b, len(after)) :]
+        assert (r["n_tokens"], r["n_tokens_after"]) == (len(reference.encode_ordinary(text)), len(reference.encode_ordinary(after)))
+
+
 def test_edit_query(spark, reference):
     rows = list(enumerate([*ODD, "some text " * 400]))
     for r in edit_counts.counts(docs(spark, [*rows, (None, "a")]), *tokenizer()).collect():
