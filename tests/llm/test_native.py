@@ -292,3 +292,81 @@ def test_quotes_of_line_runs_other_conversations_and_short_ones(spark):
     ]
     got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotes.threads(spark.createDataFrame([(*r, "z") for r in rows], CONV)).collect()}
     assert [got[1, t] for t in (3, 4, 5, 6, 7)] == [(1, 0), (1, 0), (1, 1), (2, 0), (None, None)] and got[2, 2] == (None, None)
+
+
+def brute_threads(rows):
+    """Message by message: every passage against every piece of every message, and the reply tree walked."""
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    cut = re.compile(r"^(?:[ \t]*>)+[ \t]?")
+    own, passages = {}, {}
+    for c, t, _, text in rows:
+        lines = [((m := cut.match(x)) and m[0].count(">") or 0, cut.sub("", x)) for x in (text or "").split("\n")]
+        runs = []
+        for lv, body in lines:
+            if runs and runs[-1][0] == lv:
+                runs[-1][1].append(body)
+            else:
+                runs.append((lv, [body]))
+        passages[c, t] = [(lv, norm("\n".join(b))) for lv, b in runs if lv]
+        own[c, t] = "\n".join(b for lv, b in lines if not lv).strip("\n") if passages[c, t] else text or ""
+    holders = {}
+    for at, text in own.items():
+        ls = [x for x in map(norm, text.split("\n")) if x]
+        pieces = {norm(text), *map(norm, re.split(r"\n\s*\n", text)), *(" ".join(ls[i:j]) for i in range(len(ls)) for j in range(i + 1, len(ls) + 1))}
+        for x in pieces - {""}:
+            holders.setdefault(x, []).append(at)
+    out = {}
+    for c, t in own:
+        links = []
+        for k, (lv, body) in enumerate(passages[c, t]):
+            at = holders.get(body, []) if body else []
+            here = [x for x in at if x[0] == c and x[1] < t]
+            there = [x for x in at if x[0] != c] if len(body) >= quotes.LEAST else []
+            if here or there:
+                links.append((-lv, k, min(here or there)))
+        out[c, t] = (max(links)[2] if links else None, len(links))
+    places = {}
+    for c in {c for c, _ in own}:
+        turns = sorted(t for d, t in own if d == c)
+        reply = {t: out[c, t][0][1] if out[c, t][0] and out[c, t][0][0] == c else turns[k - 1] if k else None for k, t in enumerate(turns)}
+        answers = {}
+        for t in turns:
+            answers.setdefault(reply[t], []).append(t)
+        todo, order = list(answers[None]), []
+        while todo:
+            order.append(todo.pop(0))
+            todo = answers.get(order[-1], []) + todo
+        places |= {(c, t): (order.index(t), reply[t]) for t in turns}
+    return {at: (*places[at], own[at], *(out[at][0] or (None, None)), out[at][1]) for at in own}
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(19)
+    line = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 6)))
+    rows = []
+    for c in range(12):
+        for t in range(rng.randrange(1, 25)):
+            body = "\n".join(line() if rng.random() < 0.85 else "" for _ in range(rng.randrange(1, 5)))
+            if rows and rng.random() < 0.6:
+                source = rng.choice([r for r in rows if r[0] == c] or rows if rng.random() < 0.7 else rows)[3].split("\n")
+                a = rng.randrange(len(source))
+                quoted = source[a : a + rng.randrange(1, 4)]
+                mark = rng.choice(["> ", ">", "> > "])
+                body = "\n".join(mark + (x.upper() if rng.random() < 0.3 else x) for x in quoted) + "\n" + body
+            rows.append((c, t * 3, "user", body))
+    got = {(r["conv_id"], r["turn"]): (r["place"], r["reply_to"], r["text"], r["parent_conv"], r["parent_turn"], r["n_linked"]) for r in quotes.threads(spark.createDataFrame([(*r, "z") for r in rows], CONV)).collect()}
+    want = brute_threads(rows)
+    assert got == want and sum(x[5] > 0 for x in want.values()) > 40
+
+
+def test_quotes_of_one_very_long_conversation(spark):
+    rng = random.Random(20)
+    rows = [(1, t, "user", (f"> message number {rng.randrange(t)} of the conversation\n" if t and rng.random() < 0.5 else "") + f"message number {t} of the conversation") for t in range(3000)]
+    rows += [(2, 0, "user", "\n".join(f"line {k} of a long message" for k in range(20_000))), (2, 1, "user", "> line 700 of a long message\n> line 701 of a long message"), (2, 1, "user", "> line 700 of a long message\n> line 701 of a long message")]
+    got = [r for r in quotes.threads(spark.createDataFrame([(*r, "z") for r in rows], CONV)).collect() if r["conv_id"] == 1]
+    places = {r["turn"]: r["place"] for r in got}
+    assert sorted(places.values()) == list(range(3000))
+    assert all(places[r["reply_to"]] < places[r["turn"]] for r in got if r["turn"])
+    for r in got:
+        m = re.match(r"> message number (\d+)", rows[r["turn"]][3])
+        assert r["reply_to"] == (int(m[1]) if m else r["turn"] - 1 if r["turn"] else None)
