@@ -4,16 +4,31 @@ Bytes are spelled as binary decisions along a Huffman tree (256 bytes and an end
 before in training, so the product of the decisions' probabilities is the text's. Predictors are tables over hashed
 contexts: the latest 3 bytes, the latest 5, and the word so far. A cell, hashed from context and tree node, holds the
 logit of the training bits seen there, shrunk to even odds where few were. A mixer sums the logits with weights and a
-bias, squashes, and after each decision moves the weights along the coding error; weights are gated by the
-depth in the tree (each depth has its own), start from LEARNT_START and adapt anew over every SEGMENT bytes of a
-text (contexts do carry over). A last refinement scales the mixed logit by an adaptive gain of its own.
-Every text is scored from the trained tables alone, so a score depends on neither partition nor order.
+bias, squashes, and after each decision moves the weights along the coding error. Weights are gated by the
+depth in the tree and by whether the latest 5 bytes are known, each with weights of its own; a last refinement scales the mixed logit by
+an adaptive gain.
+
+What is learned from training: every (context, symbol) pair of every training text, once-seen ones included, counts in its cells.
+Counts are added up by shuffle, in buckets that are ranges of hashed contexts, and each bucket's part of the tables is made where its counts are; only
+finished tables come to the driver. Their size follows the number of distinct pairs, up to 2^MOST_BITS cells for each predictor (a documented
+bound of the model's memory; beyond it contexts share cells). The mixer's starting weights follow from the same counts: each predictor's share of
+the bits that the predictors save on the training bits, every bit left out of its own cell.
+
+Weights and gain adapt over the whole text. A text is read in segments that begin at content-defined words, SEGMENT bytes at most (contexts
+carry over), in generations of 1, 4, 16, ... segments that are read side by side; a generation starts from the mean of the states in which the one before ended.
+
+The last context is the whole segment before: how often segments followed it in training texts grows with the corpus without a bound, is counted by shuffle
+and meets the texts in joins. A segment's probability is the mixture of what followed there (the share of this segment) and of the bit predictors,
+weighted by how often something new followed (seen / (seen + distinct)). Being online, a text is not its own past: a training text's own
+segments are left out of these counts. So a text that occurs again elsewhere costs far less than one that occurs once.
+A score depends on the trained tables and counts alone, on neither partition nor order.
 
 Beside it stands the add-one unigram score over words: its counts are gathered from all training texts,
 the HEAD most frequent of them (a fixed number) travel to the scan, the rest meet their words in a join.
 
 Defined cases: null and empty texts are scored as their end alone; a null id hashes as the empty text;
-with no training text all logits are 0 and base counts are 0; repeated rows repeat; an
+with no training text all logits are 0 and base counts are 0; of equally frequent words the lesser ones travel; repeated rows
+repeat, and rows that share an id are texts of their own; a long text costs memory in proportion to its length; an
 empty table gives an empty result; other columns are not looked at.
 """
 
@@ -29,22 +44,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, settled, whole_text
+from .common import lean, whole_text, written
 
 #: Predictors: the latest so many bytes; 0 is the word so far.
 ORDERS = (3, 5, 0)
-#: Contexts of each, as powers of two, and the cells of each table.
-SLOT_BITS, CELL_BITS = (16, 20, 20), 23
-#: A table is made from so many (context, symbol) pairs at most: those seen often enough that they fit. It bounds the model, not the counts.
-MOST_PAIRS = 1_500_000
+#: Contexts of each, as powers of two.
+SLOT_BITS = (20, 22, 22)
+#: Cells of a table, as powers of two: about CELLS_A_PAIR for every distinct pair of the predictor that has most, between these.
+LEAST_BITS, MOST_BITS, CELLS_A_PAIR = 18, 25, 3
 SYMBOLS, END, NODES = 257, 256, 256
 SEGMENT, RATE, SHRINK, SCALE = 384, 0.016, 0.4, 12.0
+#: One word in so many begins a segment.
+SPREAD = 32
+#: Segments of a generation are so many times those of the one before.
+GROWTH = 4
 #: Step of the last refinement's gain.
 REFINE = np.float32(0.0015)
 #: Size of the constant input, in the tables' units.
 BIAS = np.int8(6)
-#: Starting weights, by predictor.
-LEARNT_START = (0.3, 0.4, 0.5)
+#: Sum of the starting weights.
+START = 1.2
+#: The predictor by whose knowledge weights are gated.
+GATE = 1
 HEAD, FOLDS, OUT = 200_000, 7, 2
 #: Distinct words that a worker counts before it passes them on.
 _WORDS_HELD = 400_000
@@ -59,7 +80,7 @@ def held_out(id_col: Column) -> Column:
 
 
 #: Bits of a branch (byte before and symbol) in a counted key.
-_PLACE, _BUCKET_BITS = 17, 6
+_PLACE, _BUCKET_BITS = 17, 10
 _C1, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _BLANK = np.zeros(SYMBOLS, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -101,14 +122,18 @@ def _contexts(data: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [((kept[k] * _C2) >> np.uint32(32 - bits)).astype(np.int32) for k, bits in zip(ORDERS, SLOT_BITS, strict=True)]
 
 
-def _cell_base(context: np.ndarray) -> np.ndarray:
-    return (context.astype(np.uint32) * _C1) & ~np.uint32(15)
+def _cell_base(slot: np.ndarray, slot_bits: int, bits: int) -> np.ndarray:
+    """First cell of a context: buckets of slots have ranges of cells, and a context lies in the lower half of its range."""
+    wide = bits - _BUCKET_BITS
+    low = ((slot.astype(np.uint32) * _C1) >> np.uint32(9)) & np.uint32((1 << wide - 1) - 16)
+    low |= (slot >> (slot_bits - _BUCKET_BITS) << wide).astype(np.uint32)
+    return low
 
 
-def _cell_offsets() -> np.ndarray:
-    """By node: sixteen neighbours in the tree share a cache line, the runs of a context lie anywhere."""
+def _cell_offsets(bits: int) -> np.ndarray:
+    """By node, up to half a range: sixteen neighbours in the tree share a cache line, their lines lie anywhere."""
     nodes = np.arange(NODES, dtype=np.uint32)
-    return ((nodes >> np.uint32(4)) * _C2 & ~np.uint32(15)) + (nodes & np.uint32(15))
+    return (((nodes >> np.uint32(4)) * _C2 >> np.uint32(9)) & np.uint32((1 << bits - _BUCKET_BITS - 1) - 16)) + (nodes & np.uint32(15))
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,15 +197,38 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(len(ORDERS), keys, follows[keys])
 
 
+def _begins(data: np.ndarray, within: np.ndarray, latest: np.ndarray) -> np.ndarray:
+    """Where segments begin: at a text's start, at words before which the ``latest`` bytes' hash says so, and every SEGMENT bytes from there."""
+    out = within == 0
+    out[1:] |= _BLANK[data[:-1]] & ~_BLANK[data[1:]] & (latest[1:] % SPREAD == 0) & (data[1:] != END)
+    place = np.arange(len(data), dtype=np.int32)
+    out |= (place - np.maximum.accumulate(np.where(out, place, 0))) % SEGMENT == 0
+    return out
+
+
+def _followed(text: bytes, firsts: list[int]) -> tuple[list[int], list[int]]:
+    """Of each segment the hash of the one before (0 at the start), and the hash of both; the last one has the end in it."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    before, both, last = [], [], 0
+    for a, b in zip(firsts, [*firsts[1:], len(text)], strict=True):
+        segment = text[a:b]
+        before.append(last)
+        both.append(digest(segment + b"\0end" if len(before) == len(firsts) else segment, last))
+        last = digest(segment) | 1
+    return before, both
+
+
 def _packed(k: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    bits = SLOT_BITS[k] if k < len(ORDERS) else 0
-    bucket = (keys >> _PLACE) >> max(0, bits - _BUCKET_BITS) if bits else np.zeros(len(keys), np.int64)
+    """Sorted pairs as one compressed body a bucket."""
+    bucket = keys >> ((_PLACE + SLOT_BITS[k] if k < len(ORDERS) else _PLACE) - _BUCKET_BITS)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     bodies = []
     for a, b in zip(first, [*first[1:], len(keys)], strict=True):
         raw = np.diff(keys[a:b], prepend=0).astype("<i8").tobytes() + n[a:b].astype("<i8").tobytes()
         bodies.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(bodies, pa.binary())], ["k", "bucket", "body"])
+    sizes = np.diff(np.concatenate([first, [len(keys)]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(sizes.astype(np.int64)), pa.array(bodies, pa.binary())], ["k", "bucket", "pairs", "body"])
 
 
 def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -190,17 +238,20 @@ def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up packed pairs of the buckets dealt to this task, body by body; a bucket's distinct pairs are bounded by its slots."""
-    found: dict[tuple[int, int], list] = {}
+    """Adds up packed pairs, sorted by bucket, one bucket at a time."""
+    held, of = [], None
     for batch in parts:
-        for k, bucket, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            mine = found.setdefault((k, bucket), [])
-            mine.append(_unpacked(body))
-            if len(mine) > 8:
-                found[k, bucket] = [_merged(mine)]
-    for (k, _), mine in found.items():
-        keys, n = _merged(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), pa.array(n)], ["k", "key", "n"])
+        for at in range(0, batch.num_rows, 64):
+            for k, bucket, body in zip(*(c.to_pylist() for c in (batch.slice(at, 64).column(x) for x in ("k", "bucket", "body"))), strict=True):
+                if (k, bucket) != of:
+                    if held:
+                        yield _packed(of[0], *_merged(held))
+                    held, of = [], (k, bucket)
+                held.append(_unpacked(body))
+                if len(held) > 16:
+                    held = [_merged(held)]
+    if held:
+        yield _packed(of[0], *_merged(held))
 
 
 def _merged(found: list) -> tuple[np.ndarray, np.ndarray]:
@@ -234,31 +285,48 @@ def tree(frequency: np.ndarray) -> list[list[tuple[int, int]]]:
     return paths
 
 
+def _trees(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, node, sign) of the trees by previous byte: of each branch, and by depth and branch."""
+    paths = [path for row in follows for path in tree(row)]
+    depth = np.array([len(p) for p in paths], np.int8)
+    node = np.zeros((int(depth.max()), len(paths)), np.uint8)
+    sign = np.zeros(node.shape, np.int8)
+    for s, path in enumerate(paths):
+        for d, (at, bit) in enumerate(path):
+            node[d, s], sign[d, s] = at, 1 if bit else -1
+    return depth, node, sign
+
+
 class Model:
-    """The trees by previous byte, the tables of logits (int8, SCALE steps to one) and where their cells lie."""
-
-    def __init__(self, follows: np.ndarray, tables: list[np.ndarray]):
-        """``follows``: how often each symbol followed each byte, 256 rows."""
-        paths = [path for row in follows for path in tree(row)]
-        self.tables, self.off = tables, _cell_offsets()
-        self.depth = np.array([len(p) for p in paths], np.int8)
-        deep = int(self.depth.max())
-        self.node = np.zeros((deep, len(paths)), np.uint8)
-        self.sign = np.zeros((deep, len(paths)), np.int8)
-        for s, path in enumerate(paths):
-            for d, (node, bit) in enumerate(path):
-                self.node[d, s], self.sign[d, s] = node, 1 if bit else -1
+    """The trees by previous byte, the tables of logits (int8, SCALE steps to one), where their cells lie, and starting weights."""
+
+    def __init__(self, trees: tuple[np.ndarray, np.ndarray, np.ndarray], tables: list[np.ndarray], bits: int, start: list[float]):
+        self.depth, self.node, self.sign = trees
+        self.tables, self.bits, self.start = tables, bits, start
+        self.off = _cell_offsets(bits)
         self.cell = self.off[self.node]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Natural log of the probability of each text and its end."""
+        """Natural log of the probability of each text and its end, by the bit predictors alone."""
+        owner, _, total = self.segments(texts)
+        return np.bincount(owner, weights=total, minlength=len(texts))
+
+    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment of the texts: its text, the first byte in it, and the natural log of its probability; the end is in the last one."""
         data, begin, owner = _laid(texts)
-        bases = [_cell_base(c) for c in _contexts(data, begin)]
-        edge = np.uint32((1 << CELL_BITS) - 1)
-        lane_begin = (np.arange(len(data), dtype=np.int32) - begin) % SEGMENT == 0
+        contexts = _contexts(data, begin)
+        bases = [_cell_base(c, bits, self.bits) for c, bits in zip(contexts, SLOT_BITS, strict=True)]
+        within = np.arange(len(data), dtype=np.int32) - begin
+        lane_begin = _begins(data, within, contexts[1])
+        del contexts
         lane = np.cumsum(lane_begin) - 1
-        lane_owner = owner[lane_begin]
-        del begin, owner
+        lane_owner, lane_first = owner[lane_begin].astype(np.int64), within[lane_begin]
+        number = np.arange(len(lane_owner)) - np.searchsorted(lane_owner, lane_owner)
+        edges, most = [1], int(number.max())
+        while edges[-1] <= most:
+            edges.append(edges[-1] * GROWTH + 1)
+        generation = np.searchsorted(edges, number, side="right")
+        del begin, owner, within
         total = np.zeros(len(lane_owner))
         place = _branch(data).astype(np.int64)
         depth = self.depth.take(place)
@@ -269,13 +337,42 @@ class Model:
                 break
             branch = place.take(chosen)
             off, sign = self.cell[d].take(branch), self.sign[d].take(branch)
-            inputs = [t.take((b.take(chosen) + off) & edge) * sign for t, b in zip(self.tables, bases, strict=True)]
-            total += self._mix(lane.take(chosen), inputs, sign, len(lane_owner))
-        return np.bincount(lane_owner, weights=total, minlength=len(texts))
+            inputs = [t.take(b.take(chosen) + off) * sign for t, b in zip(self.tables, bases, strict=True)]
+            here = lane.take(chosen)
+            known = inputs[GATE] != 0
+            for rows in (np.flatnonzero(known), np.flatnonzero(~known)):
+                if len(rows):
+                    self._carried(here.take(rows), [x.take(rows) for x in (*inputs, sign * BIAS)], lane_owner, generation, total)
+        return lane_owner, lane_first, total
+
+    def _carried(self, lane: np.ndarray, inputs: list[np.ndarray], owner: np.ndarray, generation: np.ndarray, total: np.ndarray) -> None:
+        """Adds sums of log p to ``total``, generation by generation; each text carries its state on."""
+        unit = np.float32(RATE / SCALE**2)
+        state = np.empty((len(inputs) + 1, int(owner[-1]) + 1), np.float32)
+        state[: len(self.start)] = np.array(self.start, np.float32)[:, None] / (SCALE * unit)
+        state[-2], state[-1] = 0, -unit
+        of = generation.take(lane)
+        last = int(of.max())
+        for g in range(last + 1):
+            rows = np.flatnonzero(of == g) if last else np.arange(len(lane))
+            if not len(rows):
+                continue
+            mine = lane.take(rows)
+            fresh = np.diff(mine, prepend=-1) != 0
+            lanes, local = mine[fresh], np.cumsum(fresh) - 1
+            text = owner.take(lanes)
+            sums, ends = self._mix(local, [x.take(rows) for x in inputs], state.take(text, axis=1))
+            total[lanes] += sums
+            if g < last:
+                times = np.bincount(text, minlength=state.shape[1])
+                for row, end in zip(state, ends, strict=True):
+                    mean = np.bincount(text, weights=end, minlength=len(row))
+                    row[times > 0] = mean[times > 0] / times[times > 0]
 
     @staticmethod
-    def _mix(lane: np.ndarray, inputs: list[np.ndarray], sign: np.ndarray, lanes: int) -> np.ndarray:
-        """Sum of log p over each lane's decisions, in order, the weights adapting. ``inputs`` carry the bit's sign."""
+    def _mix(lane: np.ndarray, inputs: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log p over each lane's decisions, in order, the weights adapting, and the states in which they end. ``inputs`` carry the bit's sign."""
+        lanes = start.shape[1]
         length = np.bincount(lane, minlength=lanes)
         by_length = np.argsort(-length, kind="stable")
         rank = np.empty(lanes, np.int64)
@@ -286,14 +383,13 @@ class Model:
         offset = np.concatenate([[0], np.cumsum(active)])[:-1]
         where = offset.take(np.arange(len(lane)) - first.take(lane))
         where += rank.take(lane)
-        laid = np.empty((len(inputs) + 1, len(lane)), np.int8)
-        for row, x in zip(laid, (*inputs, sign * BIAS), strict=True):
+        laid = np.empty((len(inputs), len(lane)), np.int8)
+        for row, x in zip(laid, inputs, strict=True):
             row[where] = x
         # Inputs are used as they are stored: weights carry RATE, gains the tables' scale, RATE and a sign.
-        n, unit = len(inputs), np.float32(RATE / SCALE**2)
-        weights = np.zeros((n + 1, lanes), np.float32)
-        weights[:n] = np.array(LEARNT_START, np.float32)[:, None] / (SCALE * unit)
-        gain = np.full(lanes, -unit, np.float32)
+        state = start.take(by_length, axis=1)
+        weights, gain = state[:-1], state[-1]
+        unit = np.float32(RATE / SCALE**2)
         refine = np.float32(-REFINE * unit * unit)
         out, product = np.zeros(lanes), np.ones(lanes)
         for t, (a, at) in enumerate(zip(active.tolist(), offset.tolist(), strict=True)):
@@ -314,50 +410,64 @@ class Model:
             s *= e
             w += s
         out -= np.log(product)
-        laid_back = np.empty(lanes)
-        laid_back[by_length] = out
-        return laid_back
+        return out.take(rank), state.take(rank, axis=1)
+
 
+def _built(trees: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int):
+    """Makes each bucket's part of its table, and what its predictor saves there, in nats, of how many."""
+    depth, node, sign = trees
 
-def _least(seen) -> int:
-    """The count from which on MOST_PAIRS pairs at most were seen; 2 at least where that leaves any pair."""
-    ordered = seen.sort_values("n", ascending=False)
-    fits = ordered["n"][ordered["pairs"].cumsum() <= MOST_PAIRS]
-    return max(2, int(fits.min())) if len(fits) else 100_000
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        off, size = _cell_offsets(bits), 1 << bits - _BUCKET_BITS
+        for batch in parts:
+            for at in range(batch.num_rows):
+                k, bucket, body = (batch.column(x)[at].as_py() for x in ("k", "bucket", "body"))
+                keys, n = _unpacked(body)
+                place = keys & ((1 << _PLACE) - 1)
+                base = _cell_base((keys >> _PLACE).astype(np.int32), SLOT_BITS[k], bits) & np.uint32(size - 1)
+                up, down = np.zeros(size), np.zeros(size)
+                for d in range(len(node)):
+                    on = np.flatnonzero(depth[place] > d)
+                    if not len(on):
+                        break
+                    cell, s = base[on] + off[node[d][place[on]]], sign[d][place[on]]
+                    for to, b in ((up, 1), (down, -1)):
+                        to += np.bincount(cell[s == b], weights=n[on][s == b], minlength=size)
+                # Each bit left out of its own cell.
+                seen = up + down
+                rest = np.maximum(seen - 1, 0) + 2 * SHRINK
+                nats = sum((x * np.log((np.maximum(x - 1, 0) + SHRINK) / rest)).sum() for x in (up, down))
+                logit = np.clip(np.rint(np.log((up + SHRINK) / (down + SHRINK)) * SCALE), -127, 127).astype(np.int8)
+                even = seen.sum() * math.log(2)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bucket], pa.int32()), pa.array([logit.tobytes()], pa.binary()), pa.array([nats + even]), pa.array([even])], ["k", "bucket", "part", "saved", "even"])
+
+    return run
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of ``docs(doc_id, text)``: counts over all of them; MOST_PAIRS pairs of each table come to the driver."""
-    counted = settled(docs.mapInArrow(lean(_count), "k int, bucket int, body binary").repartition("k", "bucket").mapInArrow(lean(_summed), "k int, key long, n long"))
-    tables, off = [], _cell_offsets()
-    pairs = counted.where(F.col("k") == len(ORDERS)).select("key", "n").toArrow()
-    follows = np.zeros(256 * SYMBOLS)
-    follows[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
-    model = Model(follows.reshape(256, SYMBOLS), tables)
-    seen = counted.groupBy("k", F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("pairs")).toPandas()
-    for k in range(len(ORDERS)):
-        least = _least(seen[seen["k"] == k])
-        got = counted.where((F.col("k") == k) & (F.col("n") >= least)).select("key", F.col("n").cast("int").alias("n")).toArrow()
-        key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
-        slot, place = key >> _PLACE, key & ((1 << _PLACE) - 1)
-        del got, key
-        size, base = 1 << CELL_BITS, _cell_base(slot)
-        up, down = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        for d in range(len(model.node)):
-            on = np.flatnonzero(model.depth[place] > d)
-            cell, sign = (base[on] + off[model.node[d][place[on]]]) & np.uint32(size - 1), model.sign[d][place[on]]
-            for to, b in ((up, 1), (down, -1)):
-                cells, inverse = np.unique(cell[sign == b], return_inverse=True)
-                to[cells] += np.bincount(inverse, weights=n[on][sign == b], minlength=len(cells)).astype(np.float32)
-        up += np.float32(SHRINK)
-        down += np.float32(SHRINK)
-        up /= down
-        np.log(up, out=up)
-        up *= np.float32(SCALE)
-        np.clip(np.rint(up, out=up), -127, 127, out=up)
-        tables.append(up.astype(np.int8))
-        del up, down
-    return model
+    """The model of ``docs(doc_id, text)``: counts over all of them; finished tables alone come to the driver."""
+    form = "k int, bucket int, pairs long, body binary"
+    counted = docs.mapInArrow(lean(_count), form).repartition("k", "bucket").sortWithinPartitions("k", "bucket")
+    merged = written(counted.mapInArrow(lean(_summed), form))
+    follows = np.zeros(256 * SYMBOLS, np.int64)
+    for body in merged.where(F.col("k") == len(ORDERS)).select("body").toArrow().column("body").to_pylist():
+        keys, n = _unpacked(body)
+        follows[keys] = n
+    trees = _trees(follows.reshape(256, SYMBOLS))
+    sizes = {r["k"]: r["pairs"] for r in merged.groupBy("k").agg(F.sum("pairs").alias("pairs")).collect()}
+    most = max([sizes.get(k, 0) for k in range(len(ORDERS))])
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, most * CELLS_A_PAIR)))))
+    tables = [np.zeros(1 << bits, np.int8) for _ in ORDERS]
+    saved, even = np.zeros(len(ORDERS)), np.zeros(len(ORDERS))
+    made = merged.where(F.col("k") < len(ORDERS)).mapInArrow(lean(_built(trees, bits)), "k int, bucket int, part binary, saved double, even double").toArrow()
+    for batch in made.to_batches():
+        for at in range(batch.num_rows):
+            k, bucket, part, s, e = (batch.column(x)[at].as_py() for x in range(5))
+            tables[k][bucket << bits - _BUCKET_BITS : bucket + 1 << bits - _BUCKET_BITS] = np.frombuffer(part, np.int8)
+            saved[k] += s
+            even[k] += e
+    share = np.maximum(saved / np.maximum(even, 1), 0.01)
+    return Model(trees, tables, bits, (START * share / share.sum()).tolist())
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -383,11 +493,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(_word_counts), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+_SEGMENTS = "array<struct<ctx:long,seg:long,ln_p:double,own_ctx:int,own:int>>"
+
+
 def _scored(docs: DataFrame, model: Model, top: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ln_p, n_bytes, n, k, gain, rare) in one pass over ``docs(doc_id, text)``: the model's score, the words, those among
-    ``top`` and their part of the base score, and the others with their numbers."""
+    """(doc_id, segments, n_bytes, n, k, gain, rare) in one pass over ``docs(doc_id, text)``: the segments (context, hash with it, the model's ln p, and how often the
+    text itself has either), the words, those among ``top`` and their part of the base score, and the others with their numbers."""
     shared = docs.sparkSession.sparkContext.broadcast((model, {w: math.log10(c + 1) for w, c in top.items()}))
 
+    def segments(m: Model, texts: list[bytes]) -> pa.Array:
+        owner, firsts, ln_p = m.segments(texts)
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+        firsts = firsts.tolist()
+        ctx, seg, own_ctx, own = [], [], [], []
+        for text, a, b in zip(texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            before, both = _followed(text, firsts[a:b])
+            ctx += before
+            seg += both
+            for mine, out in ((before, own_ctx), (both, own)):
+                times = Counter(mine)
+                out += map(times.__getitem__, mine) if len(times) < len(mine) else [1] * len(mine)
+        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        each = pa.StructArray.from_arrays([long(ctx), long(seg), pa.array(ln_p), pa.array(own_ctx, pa.int32()), pa.array(own, pa.int32())], ["ctx", "seg", "ln_p", "own_ctx", "own"])
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), each)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, head = shared.value
         for batch in parts:
@@ -405,18 +534,37 @@ def _scored(docs: DataFrame, model: Model, top: dict[bytes, int]) -> DataFrame:
                     times += found.values()
                     ends.append(len(rare))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["token", "n"]))
-                cols = [pa.array(m.score(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(gain, pa.float64()), lists]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], ["doc_id", "ln_p", "n_bytes", "n", "k", "gain", "rare"])
+                cols = [segments(m, texts), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(gain, pa.float64()), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], ["doc_id", "segments", "n_bytes", "n", "k", "gain", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lean(run), f"doc_id {kind}, ln_p double, n_bytes long, n long, k long, gain double, rare array<struct<token:binary,n:long>>")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, segments {_SEGMENTS}, n_bytes long, n long, k long, gain double, rare array<struct<token:binary,n:long>>")
+
+
+def _mixed(scored: DataFrame) -> DataFrame:
+    """(row, ln_p) of ``scored(row, held_out, segments)``: each segment's bit predictors mixed with what else followed its context in training texts."""
+    each = scored.select("row", "held_out", F.explode_outer("segments").alias("s")).select("row", "held_out", "s.*")
+    seen = written(each.where("NOT held_out").groupBy("ctx", "seg").agg(F.count("*").alias("c")))
+    follows = written(seen.groupBy("ctx").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")))
+    # Every text has the start as a context: one number, not a key of the join.
+    begin = follows.where("ctx = 0").first()
+    told = each.join(seen, ["ctx", "seg"], "left")
+    start = told.where("ctx = 0").withColumn("all", F.lit(begin["all"] if begin else 0)).withColumn("kinds", F.lit(begin["kinds"] if begin else 0))
+    rest = told.where("ctx <> 0").join(follows.where("ctx <> 0"), "ctx", "left")
+    both = start.unionByName(rest)
+    mine = lambda c: F.when(F.col("held_out"), F.lit(0)).otherwise(F.col(c))
+    c = F.coalesce("c", F.lit(0))
+    others = both.select("row", "ln_p", (c - mine("own")).alias("c"), (F.coalesce("all", F.lit(0)) - mine("own_ctx")).alias("all"), (F.coalesce("kinds", F.lit(0)) - F.when(~F.col("held_out") & (c == F.col("own")), 1).otherwise(0)).alias("kinds"))
+    weight = F.col("all") / (F.col("all") + F.col("kinds"))
+    known = F.when(F.col("c") > 0, F.ln(weight * F.col("c") / F.col("all") + (1 - weight) * F.exp("ln_p"))).otherwise(F.col("ln_p") + F.ln(1 - weight))
+    return others.select("row", F.when(F.col("all") > 0, known).otherwise(F.col("ln_p")).alias("ln_p")).groupBy("row").agg(F.sum("ln_p").alias("ln_p"))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
     base = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     learn = base.where(~held_out(F.col("doc_id")))
-    counted = settled(word_counts(learn))
+    counted = written(word_counts(learn))
     ends = learn.count()
     told = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     # The end is one more token of the training texts, and one more distinct one.
@@ -425,15 +573,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
     top = dict(zip(first.column("token").to_pylist(), first.column("c").to_pylist(), strict=True))
     del first
     # Written before rows are numbered, so that a row keeps its number whatever is computed again.
-    scored = settled(_scored(base, train(learn), top)).withColumn("row", F.monotonically_increasing_id())
+    scored = written(_scored(base, train(learn), top)).withColumn("row", F.monotonically_increasing_id()).withColumn("held_out", held_out(F.col("doc_id")))
     each = scored.select("row", F.explode_outer("rare").alias("r")).where("r IS NOT NULL").select("row", "r.token", "r.n")
     met = each.join(counted, "token").groupBy("row").agg(F.sum("n").alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain2"))
     n = F.col("n") + 1
     end_gain = float(np.log10(ends + 1))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare").join(met, "row", "left").select(
+    mixed = _mixed(scored.select("row", "held_out", "segments"))
+    return scored.drop("rare", "segments").join(met, "row", "left").join(mixed, "row").select(
         "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+        "held_out",
         n.cast("long").alias("n_tokens"),
         (F.col("k") + zero("k2") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

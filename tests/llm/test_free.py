@@ -314,36 +314,146 @@ def test_context_mixing_base_is_exact(spark):
 def test_context_mixing_is_a_distribution_and_learns(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(words(rng, 80, 30))) for i in range(80)]
-    base = docs(spark, rows).select("doc_id", "text")
-    model = context_mixing.train(base)
-    # Over every next byte after a text, the probabilities add up to one.
-    tail = rows[0][1][:50].encode()
-    alone = model.score([tail[:-1] + bytes([b]) for b in range(256)])
-    short = [math.exp(x) for x in alone]
-    assert 0 < sum(short) < 1
+    model = context_mixing.train(docs(spark, rows).select("doc_id", "text"))
     texts = [t.encode() for _, t in rows]
     assert -model.score(texts).sum() / math.log(2) / sum(map(len, texts)) < 3
     together, apart = model.score(texts), np.concatenate([model.score([t]) for t in texts])
     assert np.allclose(together, apart, rtol=1e-4)
-    assert sum(math.exp(x) for x in _each_next(model, b"wort1")) == pytest.approx(1, abs=1e-3)
-
-
-def _each_next(model, prefix):
-    """Log probability of every symbol after the prefix: the last symbol's share of its text."""
-    # ln p(prefix + b + end) - ln p(end | prefix + b) is not at hand, so the tree is read at that place.
-    out = []
-    for b in [*range(256), context_mixing.END]:
-        symbols = np.array([*prefix, b], np.uint16)
-        begin = np.zeros(len(symbols), np.int32)
-        bases = [context_mixing._cell_base(c) for c in context_mixing._contexts(symbols, begin)]
-        ln = 0.0
-        place = prefix[-1] * context_mixing.SYMBOLS + b
-        for d in range(model.depth[place]):
-            node, sign = int(model.node[d, place]), model.sign[d, place]
-            z = sum(w * t[(x[-1] + model.off[node]) & np.uint32(len(t) - 1)] for w, t, x in zip(context_mixing.LEARNT_START, model.tables, bases, strict=True)) / context_mixing.SCALE
-            ln -= math.log1p(math.exp(-float(z) * float(sign)))
-        out.append(ln)
-    return out
+    # Over every symbol after a text, the probabilities add up to one.
+    for prefix in (b"wort1", b"", b"wort12 w"):
+        assert sum(math.exp(first_decisions(model, prefix, b)) for b in [*range(256), context_mixing.END]) == pytest.approx(1, abs=1e-3)
+    assert sum(model.start) == pytest.approx(context_mixing.START) and min(model.start) > 0
+
+
+def logits(model, symbols, at):
+    """(depth, known, input logits with the bit's sign) of the decisions that spell the symbol at that place."""
+    cm = context_mixing
+    slots = [c[at] for c in cm._contexts(symbols, np.zeros(len(symbols), np.int32))]
+    before = int(symbols[at - 1]) if at else 0
+    place = before * cm.SYMBOLS + int(symbols[at])
+    for d in range(model.depth[place]):
+        node, sign = int(model.node[d, place]), int(model.sign[d, place])
+        raw = []
+        for table, slot, bits in zip(model.tables, slots, cm.SLOT_BITS, strict=True):
+            base = int(cm._cell_base(np.array([slot], np.int32), bits, model.bits)[0])
+            raw.append(int(table[base + int(model.off[node])]) * sign / cm.SCALE)
+        yield d, raw[cm.GATE] != 0, [*raw, sign * int(cm.BIAS) / cm.SCALE]
+
+
+def first_decisions(model, prefix, symbol):
+    """ln p of a symbol by the starting weights."""
+    symbols = np.array([*prefix, symbol], np.uint16)
+    return -sum(math.log1p(math.exp(-sum(w * x for w, x in zip(model.start, xs, strict=False)))) for _, _, xs in logits(model, symbols, len(prefix)))
+
+
+def plain_score(model, text):
+    """Bit by bit, in plain Python: generations of segments, each from the mean of the states before."""
+    cm = context_mixing
+    symbols = np.array([*text, cm.END], np.uint16)
+    latest = cm._contexts(symbols, np.zeros(len(symbols), np.int32))[1]
+    found, number, begin = {}, -1, 0
+    for at in range(len(symbols)):
+        word = at and symbols[at] != cm.END and bytes([symbols[at - 1]]).isspace() and not bytes([symbols[at]]).isspace()
+        if not at or word and latest[at] % cm.SPREAD == 0:
+            number, begin = number + 1, at
+        elif (at - begin) % cm.SEGMENT == 0:
+            number += 1
+        for d, known, xs in logits(model, symbols, at):
+            found.setdefault((d, known), []).append((number, xs))
+    total = 0.0
+    for decisions in found.values():
+        state, begin, size = [*model.start, 0.0, 1.0], 0, 1
+        while begin <= decisions[-1][0]:
+            ends = []
+            for segment in range(begin, begin + size):
+                mine = [xs for k, xs in decisions if k == segment]
+                if mine:
+                    now = list(state)
+                    for xs in mine:
+                        z = sum(w * x for w, x in zip(now, xs, strict=False))
+                        miss = 1 / (1 + math.exp(z * now[-1]))
+                        total += math.log(1 - miss)
+                        now[-1] += float(cm.REFINE) * z * miss
+                        for k, x in enumerate(xs):
+                            now[k] += cm.RATE * x * miss
+                    ends.append(now)
+            if ends:
+                state = [sum(x) / len(ends) for x in zip(*ends, strict=True)]
+            begin, size = begin + size, size * cm.GROWTH
+    return total
+
+
+def test_context_mixing_score_is_the_plain_one(spark, monkeypatch):
+    rng = random.Random(26)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 60), 30))) for i in range(60)]
+    model = context_mixing.train(docs(spark, rows).select("doc_id", "text"))
+    monkeypatch.setattr(context_mixing, "SEGMENT", 40)
+    texts = [b"", b"w", "Äö ß\nneu".encode(), *(t.encode() for _, t in rows[:8]), " ".join(words(rng, 300, 60)).encode(), bytes(range(256)) * 2]
+    for got, text in zip(model.score(texts), texts, strict=True):
+        assert got == pytest.approx(plain_score(model, text), rel=2e-3, abs=2e-3), text
+
+
+def test_context_mixing_counts_every_pair(spark, monkeypatch):
+    """Tables made in buckets, of all pairs, equal those of one count over all texts; texts seen twice score better than those seen once."""
+    cm = context_mixing
+    rng = random.Random(27)
+    fresh = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    once, twice = [fresh() for _ in range(30)], [fresh() for _ in range(30)]
+    rows = list(enumerate([*once, *twice, *twice]))
+    model = cm.train(docs(spark, rows).repartition(3).select("doc_id", "text"))
+    up, down = [[np.zeros(len(t)) for t in model.tables] for _ in range(2)]
+    for _, text in rows:
+        data, begin, _ = cm._laid([text.encode()])
+        branch = cm._branch(data)
+        for k, slots in enumerate(cm._contexts(data, begin)):
+            base = cm._cell_base(slots, cm.SLOT_BITS[k], model.bits)
+            for x, p in zip(base.tolist(), branch.tolist(), strict=True):
+                for d in range(model.depth[p]):
+                    (up if model.sign[d, p] > 0 else down)[k][x + int(model.off[model.node[d, p]])] += 1
+    for k, table in enumerate(model.tables):
+        want = np.clip(np.rint(np.log((up[k] + cm.SHRINK) / (down[k] + cm.SHRINK)) * cm.SCALE), -127, 127)
+        assert np.array_equal(table, want)
+    a, b, c = (np.median(model.score([t.encode() for t in x]) / [len(t) for t in x]) for x in (once, twice, [fresh() for _ in range(30)]))
+    assert c < a < b
+
+
+def test_context_mixing_remembers_what_followed(spark):
+    """The score is the segments' mixture with what followed in other training texts, counted here by hand."""
+    cm = context_mixing
+    rng = random.Random(29)
+    text = lambda n: " ".join(words(rng, n, 5000))
+    once, twice = [text(rng.randrange(5, 300)) for _ in range(40)], [text(rng.randrange(5, 300)) for _ in range(10)]
+    half = twice[0][: len(twice[0]) // 2] + text(50)
+    rows = list(enumerate([*once, *twice, *twice, half, None, "", once[0] + " " + once[0], "same same " * 200]))
+    base = docs(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = cm.train(base.where(~cm.held_out(F.col("doc_id"))))
+    segments = {i: (cm._followed((t or "").encode(), m[1].tolist()), m[2].tolist()) for i, t in rows for m in [model.segments([(t or "").encode()])]}
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    got = {r["doc_id"]: r for r in cm.scores(docs(spark, rows)).collect()}
+    for i, t in rows:
+        others = [x for j in train - {i} for x in zip(*segments[j][0], strict=True)]
+        pairs, all_, total = Counter(others), Counter(c for c, _ in others), 0.0
+        kinds = Counter(c for c, _ in pairs)
+        # A text that repeats a segment that no other has leaves out one kind for it, as the operator does.
+        for (ctx, seg), ln_p in zip(zip(*segments[i][0], strict=True), segments[i][1], strict=True):
+            own = len({y for x, y in zip(*segments[i][0], strict=True) if x == ctx and (x, y) not in pairs}) - ((ctx, seg) not in pairs) if i in train else 0
+            w = all_[ctx] / (all_[ctx] + kinds[ctx] + own) if all_[ctx] else 0
+            p = w * pairs[ctx, seg] / all_[ctx] if pairs[ctx, seg] else 0
+            total += math.log(p + (1 - w) * math.exp(ln_p)) if p else ln_p + math.log(1 - w)
+        assert got[i]["score"] == pytest.approx(total / math.log(10), rel=1e-3), (i, t)
+    bits = lambda x: np.mean([r["bits_per_byte"] for i, r in got.items() if rows[i][1] in x and len(rows[i][1]) > 400])
+    assert bits(twice) < 0.5 * bits(once[1:])
+
+
+def test_context_mixing_of_very_long_texts(spark):
+    rng = random.Random(28)
+    learnt = next(i for i in range(20, 99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(0, " ".join(words(rng, 20_000))), (learnt, "x" * 300_000), *((i, " ".join(words(rng, 20))) for i in range(2, 12)), (3, "again"), (None, "no id")]
+    got = context_mixing.scores(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["score"] < 0 for r in got)
+    assert next(r["bits_per_byte"] for r in got if r["n_bytes"] == 300_000) < 0.2
+    none = context_mixing.scores(docs(spark, [(2, "only held out")]).where("false")).count()
+    assert none == 0
 
 
 def test_pairwise_rank(spark):
