@@ -71,6 +71,11 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(at)
 
 
+def even(frame: DataFrame) -> DataFrame:
+    """A side that grows with the texts: its joins shuffle at every size, so that a row costs the same however many there are."""
+    return frame.hint("merge")
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder, its lineage cut: a lost executor costs no recomputation."""
     shared_folder(frame.sparkSession)

@@ -15,7 +15,7 @@ bound of the model's memory; beyond it contexts share cells). The mixer's starti
 the bits that the predictors save on the training bits, every bit left out of its own cell.
 
 Weights and gain adapt over the whole text. A text is read in segments that begin at content-defined words, SEGMENT bytes at most (contexts
-carry over), in generations of 1, 4, 16, ... segments that are read side by side; a generation starts from the mean of the states in which the one before ended.
+carry over), in generations of 1, 8, 64, ... segments that are read side by side; a generation starts from the mean of the states in which the one before ended.
 
 The last context is the whole segment before: how often segments followed it in training texts grows with the corpus without a bound, is counted by shuffle
 and meets the texts in joins. A segment's probability is the mixture of what followed there (the share of this segment) and of the bit predictors,
@@ -50,14 +50,14 @@ from .common import lean, whole_text, written
 ORDERS = (3, 5, 0)
 #: Contexts of each, as powers of two.
 SLOT_BITS = (20, 22, 22)
-#: Cells of a table, as powers of two: about CELLS_A_PAIR for every distinct pair of the predictor that has most, between these.
-LEAST_BITS, MOST_BITS, CELLS_A_PAIR = 18, 25, 3
+#: Cells of a table, as powers of two: about CELLS_A_PAIR for every distinct pair of its predictor, between these.
+LEAST_BITS, MOST_BITS, CELLS_A_PAIR = 20, 22, 2
 SYMBOLS, END, NODES = 257, 256, 256
-SEGMENT, RATE, SHRINK, SCALE = 384, 0.016, 0.4, 12.0
+SEGMENT, RATE, SHRINK, SCALE = 256, 0.016, 0.4, 12.0
 #: One word in so many begins a segment.
 SPREAD = 32
 #: Segments of a generation are so many times those of the one before.
-GROWTH = 4
+GROWTH = 8
 #: Step of the last refinement's gain.
 REFINE = np.float32(0.0015)
 #: Size of the constant input, in the tables' units.
@@ -130,10 +130,10 @@ def _cell_base(slot: np.ndarray, slot_bits: int, bits: int) -> np.ndarray:
     return low
 
 
-def _cell_offsets(bits: int) -> np.ndarray:
-    """By node, up to half a range: sixteen neighbours in the tree share a cache line, their lines lie anywhere."""
+def _cell_offsets() -> np.ndarray:
+    """By node, up to half a range of the least table: sixteen neighbours in the tree share a cache line, their lines lie anywhere."""
     nodes = np.arange(NODES, dtype=np.uint32)
-    return (((nodes >> np.uint32(4)) * _C2 >> np.uint32(9)) & np.uint32((1 << bits - _BUCKET_BITS - 1) - 16)) + (nodes & np.uint32(15))
+    return (((nodes >> np.uint32(4)) * _C2 >> np.uint32(9)) & np.uint32((1 << LEAST_BITS - _BUCKET_BITS - 1) - 16)) + (nodes & np.uint32(15))
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,10 +300,10 @@ def _trees(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """The trees by previous byte, the tables of logits (int8, SCALE steps to one), where their cells lie, and starting weights."""
 
-    def __init__(self, trees: tuple[np.ndarray, np.ndarray, np.ndarray], tables: list[np.ndarray], bits: int, start: list[float]):
+    def __init__(self, trees: tuple[np.ndarray, np.ndarray, np.ndarray], tables: list[np.ndarray], bits: list[int], start: list[float]):
         self.depth, self.node, self.sign = trees
         self.tables, self.bits, self.start = tables, bits, start
-        self.off = _cell_offsets(bits)
+        self.off = _cell_offsets()
         self.cell = self.off[self.node]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -315,22 +315,29 @@ class Model:
         """Of each segment of the texts: its text, the first byte in it, and the natural log of its probability; the end is in the last one."""
         data, begin, owner = _laid(texts)
         contexts = _contexts(data, begin)
-        bases = [_cell_base(c, bits, self.bits) for c, bits in zip(contexts, SLOT_BITS, strict=True)]
         within = np.arange(len(data), dtype=np.int32) - begin
-        lane_begin = _begins(data, within, contexts[1])
-        del contexts
-        lane = np.cumsum(lane_begin) - 1
-        lane_owner, lane_first = owner[lane_begin].astype(np.int64), within[lane_begin]
-        number = np.arange(len(lane_owner)) - np.searchsorted(lane_owner, lane_owner)
+        first = np.flatnonzero(_begins(data, within, contexts[1]))
+        text, firsts = owner[first].astype(np.int64), within[first]
+        number = np.arange(len(text)) - np.searchsorted(text, text)
         edges, most = [1], int(number.max())
         while edges[-1] <= most:
             edges.append(edges[-1] * GROWTH + 1)
         generation = np.searchsorted(edges, number, side="right")
         del begin, owner, within
-        total = np.zeros(len(lane_owner))
-        place = _branch(data).astype(np.int64)
+        # Symbols by generation from here on: each is a range of segments and of symbols.
+        order = np.argsort(generation, kind="stable")
+        length = np.diff(first, append=len(data))[order]
+        start = np.cumsum(length) - length
+        moved = np.arange(len(data)) + np.repeat(first[order] - start, length)
+        place = _branch(data).take(moved).astype(np.int64)
+        bases = [_cell_base(c, slots, bits).take(moved) for c, slots, bits in zip(contexts, SLOT_BITS, self.bits, strict=True)]
+        lane = np.repeat(np.arange(len(order)), length)
+        ranges = np.searchsorted(generation[order], np.arange(len(edges) + 1))
+        symbols = np.append(start, len(data))[ranges]
+        del data, contexts, moved
+        owner, total = text[order], np.zeros(len(order))
         depth = self.depth.take(place)
-        chosen = np.arange(len(data))  # indices are of the machine's own width: others are converted at every use
+        chosen = np.arange(len(place))  # indices are of the machine's own width: others are converted at every use
         for d in range(len(self.node)):
             chosen = chosen[depth.take(chosen) > d]
             if not len(chosen):
@@ -338,40 +345,50 @@ class Model:
             branch = place.take(chosen)
             off, sign = self.cell[d].take(branch), self.sign[d].take(branch)
             inputs = [t.take(b.take(chosen) + off) * sign for t, b in zip(self.tables, bases, strict=True)]
+            inputs.append(sign * BIAS)
             here = lane.take(chosen)
-            known = inputs[GATE] != 0
-            for rows in (np.flatnonzero(known), np.flatnonzero(~known)):
-                if len(rows):
-                    self._carried(here.take(rows), [x.take(rows) for x in (*inputs, sign * BIAS)], lane_owner, generation, total)
-        return lane_owner, lane_first, total
-
-    def _carried(self, lane: np.ndarray, inputs: list[np.ndarray], owner: np.ndarray, generation: np.ndarray, total: np.ndarray) -> None:
-        """Adds sums of log p to ``total``, generation by generation; each text carries its state on."""
+            cuts = np.searchsorted(chosen, symbols)
+            state = self._begin(len(inputs), len(texts))
+            for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if a < b:
+                    lo, hi = ranges[g], ranges[g + 1]
+                    total[lo:hi] += self._generation(here[a:b] - lo, [x[a:b] for x in inputs], owner[lo:hi], state, g + 1 < len(ranges) - 1)
+        out = np.empty(len(order))
+        out[order] = total
+        return text, firsts, out
+
+    def _begin(self, inputs: int, texts: int) -> list[np.ndarray]:
+        """States of each text, of unknown and of known places: weights and gain, in the units of ``_mix``."""
         unit = np.float32(RATE / SCALE**2)
-        state = np.empty((len(inputs) + 1, int(owner[-1]) + 1), np.float32)
-        state[: len(self.start)] = np.array(self.start, np.float32)[:, None] / (SCALE * unit)
-        state[-2], state[-1] = 0, -unit
-        of = generation.take(lane)
-        last = int(of.max())
-        for g in range(last + 1):
-            rows = np.flatnonzero(of == g) if last else np.arange(len(lane))
-            if not len(rows):
-                continue
-            mine = lane.take(rows)
-            fresh = np.diff(mine, prepend=-1) != 0
-            lanes, local = mine[fresh], np.cumsum(fresh) - 1
-            text = owner.take(lanes)
-            sums, ends = self._mix(local, [x.take(rows) for x in inputs], state.take(text, axis=1))
-            total[lanes] += sums
-            if g < last:
-                times = np.bincount(text, minlength=state.shape[1])
-                for row, end in zip(state, ends, strict=True):
-                    mean = np.bincount(text, weights=end, minlength=len(row))
-                    row[times > 0] = mean[times > 0] / times[times > 0]
+        one = np.empty((inputs + 1, texts), np.float32)
+        one[: len(self.start)] = np.array(self.start, np.float32)[:, None] / (SCALE * unit)
+        one[-2], one[-1] = 0, -unit
+        return [one, one.copy()]
+
+    def _generation(self, lane: np.ndarray, inputs: list[np.ndarray], owner: np.ndarray, state: list[np.ndarray], more: bool) -> np.ndarray:
+        """Sums of log p of a generation's segments. A segment's known and unknown places are lanes of their own; each text carries their states on."""
+        lanes = len(owner)
+        known = inputs[GATE] != 0
+        count = np.bincount(lane, minlength=lanes)
+        first = np.cumsum(count) - count
+        upto = np.cumsum(known)
+        upto -= np.concatenate([[0], upto])[first].take(lane)
+        place = np.arange(len(lane)) - first.take(lane)
+        place = np.where(known, upto - 1, place - upto)
+        sums, ends, times = self._mix(lane + lanes * known, place, inputs, np.concatenate([x.take(owner, axis=1) for x in state], axis=1))
+        if more:
+            for k, held in enumerate(state):
+                half = slice(k * lanes, (k + 1) * lanes)
+                on = times[half] > 0
+                seen = np.bincount(owner[on], minlength=held.shape[1])
+                for row, end in zip(held, ends[:, half], strict=True):
+                    mean = np.bincount(owner[on], weights=end[on], minlength=len(row))
+                    row[seen > 0] = mean[seen > 0] / seen[seen > 0]
+        return sums[:lanes] + sums[lanes:]
 
     @staticmethod
-    def _mix(lane: np.ndarray, inputs: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log p over each lane's decisions, in order, the weights adapting, and the states in which they end. ``inputs`` carry the bit's sign."""
+    def _mix(lane: np.ndarray, place: np.ndarray, inputs: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of log p over each lane's decisions, by their place, the weights adapting, the states in which they end, and the lanes' lengths. ``inputs`` carry the bit's sign."""
         lanes = start.shape[1]
         length = np.bincount(lane, minlength=lanes)
         by_length = np.argsort(-length, kind="stable")
@@ -379,9 +396,8 @@ class Model:
         rank[by_length] = np.arange(lanes)
         longest = int(length[by_length[0]])
         active = lanes - np.searchsorted(np.sort(length), np.arange(longest), side="right")
-        first = np.cumsum(length) - length
         offset = np.concatenate([[0], np.cumsum(active)])[:-1]
-        where = offset.take(np.arange(len(lane)) - first.take(lane))
+        where = offset.take(place)
         where += rank.take(lane)
         laid = np.empty((len(inputs), len(lane)), np.int8)
         for row, x in zip(laid, inputs, strict=True):
@@ -410,18 +426,20 @@ class Model:
             s *= e
             w += s
         out -= np.log(product)
-        return out.take(rank), state.take(rank, axis=1)
+        return out.take(rank), state.take(rank, axis=1), length
 
 
-def _built(trees: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int):
+def _built(trees: tuple[np.ndarray, np.ndarray, np.ndarray], table_bits: list[int]):
     """Makes each bucket's part of its table, and what its predictor saves there, in nats, of how many."""
     depth, node, sign = trees
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        off, size = _cell_offsets(bits), 1 << bits - _BUCKET_BITS
+        off = _cell_offsets()
         for batch in parts:
             for at in range(batch.num_rows):
                 k, bucket, body = (batch.column(x)[at].as_py() for x in ("k", "bucket", "body"))
+                bits = table_bits[k]
+                size = 1 << bits - _BUCKET_BITS
                 keys, n = _unpacked(body)
                 place = keys & ((1 << _PLACE) - 1)
                 base = _cell_base((keys >> _PLACE).astype(np.int32), SLOT_BITS[k], bits) & np.uint32(size - 1)
@@ -455,15 +473,15 @@ def train(docs: DataFrame) -> Model:
         follows[keys] = n
     trees = _trees(follows.reshape(256, SYMBOLS))
     sizes = {r["k"]: r["pairs"] for r in merged.groupBy("k").agg(F.sum("pairs").alias("pairs")).collect()}
-    most = max([sizes.get(k, 0) for k in range(len(ORDERS))])
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, most * CELLS_A_PAIR)))))
-    tables = [np.zeros(1 << bits, np.int8) for _ in ORDERS]
+    bits = [min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, sizes.get(k, 0) * CELLS_A_PAIR))))) for k in range(len(ORDERS))]
+    tables = [np.zeros(1 << b, np.int8) for b in bits]
     saved, even = np.zeros(len(ORDERS)), np.zeros(len(ORDERS))
     made = merged.where(F.col("k") < len(ORDERS)).mapInArrow(lean(_built(trees, bits)), "k int, bucket int, part binary, saved double, even double").toArrow()
     for batch in made.to_batches():
         for at in range(batch.num_rows):
             k, bucket, part, s, e = (batch.column(x)[at].as_py() for x in range(5))
-            tables[k][bucket << bits - _BUCKET_BITS : bucket + 1 << bits - _BUCKET_BITS] = np.frombuffer(part, np.int8)
+            wide = bits[k] - _BUCKET_BITS
+            tables[k][bucket << wide : bucket + 1 << wide] = np.frombuffer(part, np.int8)
             saved[k] += s
             even[k] += e
     share = np.maximum(saved / np.maximum(even, 1), 0.01)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, picked, whole_text, written
+from .common import BLANKS, even, picked, whole_text, written
 
 SPREAD, LONG = 1, 50
 _BASE, _MOD = 1000003, 2147483647
@@ -76,14 +76,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spr
     each = written(chunks(docs, id_col, text_col, spread))
     # Hot keys are combined before the shuffle; the joins have a plain exchange on either side, which can be split.
     again = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    seen = written(each.join(again, "key", "left_semi"))
+    seen = written(each.join(even(again), "key", "left_semi"))
     first = written(seen.groupBy("key").agg(F.min(F.struct("doc_id", "tx", "start", "end")).alias("first")))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx")) & (F.col("start") <= F.col("first.end"))
-    later = seen.join(first, "key").where(~own).select("key", "doc_id", "tx", "start", "end")
+    later = seen.join(even(first), "key").where(~own).select("key", "doc_id", "tx", "start", "end")
     # The lines of such chunks meet as texts, each once a document.
     rows = seen.groupBy("doc_id", "tx").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select(F.col("doc_id").alias("__op8_id"), F.col("tx").alias("__op8_tx"), "spans")
     text = whole_text(text_col)
-    met = docs.join(written(rows), _same_row(id_col, F.xxhash64(text), "__op8")).select(F.split(text, "\n").alias("lines"), _covered(F.col("spans")).alias("wanted"))
+    met = docs.join(even(written(rows)), _same_row(id_col, F.xxhash64(text), "__op8")).select(F.split(text, "\n").alias("lines"), _covered(F.col("spans")).alias("wanted"))
     bodies = met.select(F.explode_outer(F.array_distinct(F.filter(F.transform("wanted", lambda i: F.get("lines", i)), _worded))).alias("body")).where("body IS NOT NULL")
     shared = written(bodies.groupBy(_line_hash(F.col("body")).alias("h"), "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     if not shared.isEmpty():
@@ -98,7 +98,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``drop_emptied``: rows of which no word is left go; rows that had none stay.
     """
     gone = written(repeats(docs, id_col, text_col, spread).select(F.col("doc_id").alias("__op8_id"), F.col("tx").alias("__op8_tx"), F.col("spans").alias("__op8_spans")))
-    joined = docs.join(gone, _same_row(id_col, F.xxhash64(whole_text(text_col)), "__op8"), "left").drop("__op8_id", "__op8_tx")
+    joined = docs.join(even(gone), _same_row(id_col, F.xxhash64(whole_text(text_col)), "__op8"), "left").drop("__op8_id", "__op8_tx")
     out = joined.withColumn("__op8_lines", F.when(F.col("__op8_spans").isNotNull(), F.split(whole_text(text_col), "\n")))
     out = out.withColumn("__op8_kept", F.array_except(F.sequence(F.lit(0), F.size("__op8_lines") - 1), _covered(F.col("__op8_spans"))))
     out = out.withColumn("__op8_left", F.array_join(F.transform("__op8_kept", lambda i: F.get("__op8_lines", i)), "\n")).drop("__op8_lines", "__op8_kept", "__op8_spans")

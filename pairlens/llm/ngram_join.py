@@ -6,8 +6,8 @@ are compared on their full shingle sets.
 
 Nothing is expanded pair by pair in rows, and nothing is chained before it is verified. Exact copies are one text from the start.
 Every text has a home: the least head (least member) of its buckets. A home's texts are dealt into blocks of about BLOCK texts and BLOCK_BYTES
-bytes. Two blocks meet in a task if they are of one home or some bucket has texts of both homes; a task holds two blocks, compares them in memory and
-returns one row per text: its number of links and the least text it is joined with there. Every verified link counts,
+bytes. Two blocks of a home meet in a task; where some bucket has texts of two homes, the larger is the host and the texts of all its guests, dealt into packs,
+meet its blocks. A task holds two blocks, compares them in memory and returns one row per text: its number of links and the least text it is joined with there. Every verified link counts,
 however large the bucket; among n different near copies the work is n*n/2 comparisons, in tasks of bounded size. Classes are the
 connected verified links.
 
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, lean, whole_text, written
+from .common import connected, even, lean, whole_text, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 #: Texts and bytes of a block.
-BLOCK, BLOCK_BYTES = 100, 4 << 20
+BLOCK, BLOCK_BYTES = 200, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -193,16 +193,16 @@ def _rows(parts: Iterator[pa.RecordBatch], few: int = 64) -> Iterator[tuple]:
 def _verifier(threshold: float):
     def emit(rows: list, task: tuple) -> pa.RecordBatch:
         keys, texts, half = [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows])
-        links, root = _inside(texts, half, task[:2] == task[2:], threshold)
+        links, root = _inside(texts, half, task[1] == 0 and task[2] == task[3], threshold)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([keys[k] for k in root], pa.binary()), pa.array(links, pa.int64())], ["key", "to", "links"])
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, task = [], None
-        for a, i, b, j, half, key, text in _rows(parts):
-            if (a, i, b, j) != task:
+        for home, kind, i, j, half, key, text in _rows(parts):
+            if (home, kind, i, j) != task:
                 if len(held) > 1:
                     yield emit(held, task)
-                held, task = [], (a, i, b, j)
+                held, task = [], (home, kind, i, j)
             held.append((key, text or b"", half))
         if len(held) > 1:
             yield emit(held, task)
@@ -211,25 +211,35 @@ def _verifier(threshold: float):
 
 
 def _dealt(texts: DataFrame) -> DataFrame:
-    """(key, least, home, block, other, o): each text of ``texts(key, least, size, bands)`` that shares a bucket, once for every block it meets."""
+    """(key, least, home, kind, i, j, half): each text of ``texts(key, least, size, bands)`` that shares a bucket, once for every task it is in: blocks i and
+    j of a home (kind 0), or block i of a host and pack j of its guests (kind 1). The half says which of the two a text is of."""
     h = F.xxhash64("key").alias("h")  # 64 bits do for homes: two texts that share them only meet in vain
     buckets = texts.select(h, F.explode_outer("bands").alias("hash")).where("hash IS NOT NULL")
     heads = written(buckets.groupBy("hash").agg(F.min("h").alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head"))
-    stars = buckets.join(heads, "hash")
+    stars = buckets.join(even(heads), "hash")
     homes = written(stars.groupBy("h").agg(F.min("head").alias("home")))
-    lodged = texts.select("key", "least", "size", h).join(homes, "h").drop("h")
+    lodged = texts.select("key", "least", "size", h).join(even(homes), "h").drop("h")
     sized = lodged.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    sized = written(sized.select("home", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "n"))
+    sized = written(sized.select("home", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "n", "bytes"))
     # Homes that some bucket joins. Nearly every bucket is of one home.
-    mixed = written(stars.select("hash", "h").join(homes, "h").groupBy("hash", "home").agg(F.lit(1).alias("one")).select("hash", "home"))
+    mixed = written(stars.select("hash", "h").join(even(homes), "h").groupBy("hash", "home").agg(F.lit(1).alias("one")).select("hash", "home"))
     several = mixed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     mixed = mixed.join(several, "hash", "left_semi")
     joined = mixed.join(mixed.withColumnRenamed("home", "other"), "hash").where("home <> other").select("home", "other").distinct()
-    pairs = joined.join(sized.select(F.col("home").alias("other"), "blocks"), "other").select("home", "other", F.col("blocks").alias("others"))
-    alone = sized.where("n > 1").select("home", F.col("home").alias("other"), F.col("blocks").alias("others"))
-    meets = written(pairs.unionByName(alone))
-    placed = lodged.join(sized.drop("n"), "home").select("key", "least", "home", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int").alias("block"))
-    return placed.join(meets, "home").select("key", "least", "home", "block", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"))
+    # The larger home of such a pair is the host. The guests of a host are dealt into packs as large as blocks.
+    size_of = lambda x: sized.select(F.col("home").alias(x), F.col("n").alias(f"{x}_n"), F.col("bytes").alias(f"{x}_bytes"), F.col("blocks").alias(f"{x}_blocks"))
+    pairs = joined.join(size_of("home"), "home").join(size_of("other"), "other").where("home_n > other_n OR (home_n = other_n AND home < other)")
+    packs = F.greatest(F.ceil(F.sum("other_n") / BLOCK), F.ceil(F.sum("other_bytes") / BLOCK_BYTES)).cast("int")
+    hosts = written(pairs.groupBy("home").agg(packs.alias("packs"), F.first("home_blocks").alias("host_blocks")))
+    visits = written(pairs.select("home", "other").join(hosts, "home").select(F.col("home").alias("host"), F.col("other").alias("home"), "packs", "host_blocks"))
+    placed = written(lodged.join(sized.select("home", "blocks", "n"), "home").select("key", "least", "home", "n", "blocks", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int").alias("block")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = placed.where("n > 1").select("key", "least", "home", "block", upto("blocks").alias("o"))
+    inside = inside.select("key", "least", "home", F.lit(0).alias("kind"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("half"))
+    host = placed.join(hosts, "home").select("key", "least", "home", F.lit(1).alias("kind"), F.col("block").alias("i"), upto("packs").alias("j"), F.lit(0).alias("half"))
+    guest = placed.join(visits, "home").select("key", "least", "host", "packs", upto("host_blocks").alias("i"))
+    guest = guest.select("key", "least", F.col("host").alias("home"), F.lit(1).alias("kind"), "i", F.pmod(F.xxhash64("key", "host"), F.col("packs")).cast("int").alias("j"), F.lit(1).alias("half"))
+    return inside.unionByName(host).unionByName(guest)
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
@@ -242,24 +252,19 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     dealt = written(_dealt(texts))
     # The text of a digest is that of a row of its least id; rows that repeat it are one.
     asked = written(dealt.select("key", "least").distinct().select(F.col("key").alias("k"), "least"))
-    own = base.withColumn("key", digest(F.col("text"))).join(asked, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"])
-    same, first = F.col("home") == F.col("other"), F.col("home") < F.col("other")
-    # A task is (a, i, b, j), homes and blocks; half 1 is its second block.
-    i = F.when(same, F.least("block", "o")).when(first, F.col("block")).otherwise(F.col("o"))
-    j = F.when(same, F.greatest("block", "o")).when(first, F.col("o")).otherwise(F.col("block"))
-    half = F.when(same, F.col("block") != i).otherwise(~first).cast("int")
-    tasks = dealt.select("key", F.least("home", "other").alias("a"), i.alias("i"), F.greatest("home", "other").alias("b"), j.alias("j"), half.alias("half"))
-    filled = tasks.join(own, "key").select("a", "i", "b", "j", "half", "key", "text")
-    found = written(filled.repartition("a", "i", "b", "j").sortWithinPartitions("a", "i", "b", "j").mapInArrow(lean(_verifier(threshold)), "key binary, to binary, links long"))
+    own = base.withColumn("key", digest(F.col("text"))).join(even(asked), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"])
+    task = ["home", "kind", "i", "j"]
+    filled = dealt.select(*task, "half", "key").join(even(own), "key").select(*task, "half", "key", "text")
+    found = written(filled.repartition(*task).sortWithinPartitions(*task).mapInArrow(lean(_verifier(threshold)), "key binary, to binary, links long"))
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     joined = connected(found.select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
     members = written(joined.join(texts.select("key", "least"), "key"))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("class_id"), F.col("key").alias("chosen")))
     named = written(members.groupBy("root").agg(best.alias("b")).select("root", "b.class_id", "b.chosen"))
     of_class = written(members.join(named, "root").join(links, "key", "left").select("key", "class_id", "chosen", "n_links", F.lit(True).alias("joined")))
-    told = texts.select("key", "least", "n_copies").join(of_class, "key", "left")
+    told = texts.select("key", "least", "n_copies").join(even(of_class), "key", "left")
     told = told.select("key", F.when(F.col("joined"), F.col("class_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("chosen", "key").alias("chosen"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return signed.select("doc_id", "key").join(told, "key").select("doc_id", "key", "class_id", "chosen", "n_links", "n_copies")
+    return signed.select("doc_id", "key").join(even(told), "key").select("doc_id", "key", "class_id", "chosen", "n_links", "n_copies")
 
 
 def digest(text: Column) -> Column:
@@ -281,7 +286,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = written(rows.where(chosen).groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names))
     # A lost class never drops a row: rows are taken out, not picked.
     here = F.col(id_col).eqNullSafe(F.col("__op9_id")) & (F.col("__op9_key") == F.col("__op9_of"))
-    left = docs.withColumn("__op9_key", digest(whole_text(text_col))).join(more, here, "left_anti")
+    left = docs.withColumn("__op9_key", digest(whole_text(text_col))).join(even(more), here, "left_anti")
     if not again.isEmpty():
         left = left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col, "__op9_key"]))
     return left.drop("__op9_key")

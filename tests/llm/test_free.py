@@ -334,8 +334,8 @@ def logits(model, symbols, at):
     for d in range(model.depth[place]):
         node, sign = int(model.node[d, place]), int(model.sign[d, place])
         raw = []
-        for table, slot, bits in zip(model.tables, slots, cm.SLOT_BITS, strict=True):
-            base = int(cm._cell_base(np.array([slot], np.int32), bits, model.bits)[0])
+        for k, (table, slot) in enumerate(zip(model.tables, slots, strict=True)):
+            base = int(cm._cell_base(np.array([slot], np.int32), cm.SLOT_BITS[k], model.bits[k])[0])
             raw.append(int(table[base + int(model.off[node])]) * sign / cm.SCALE)
         yield d, raw[cm.GATE] != 0, [*raw, sign * int(cm.BIAS) / cm.SCALE]
 
@@ -406,7 +406,7 @@ def test_context_mixing_counts_every_pair(spark, monkeypatch):
         data, begin, _ = cm._laid([text.encode()])
         branch = cm._branch(data)
         for k, slots in enumerate(cm._contexts(data, begin)):
-            base = cm._cell_base(slots, cm.SLOT_BITS[k], model.bits)
+            base = cm._cell_base(slots, cm.SLOT_BITS[k], model.bits[k])
             for x, p in zip(base.tolist(), branch.tolist(), strict=True):
                 for d in range(model.depth[p]):
                     (up if model.sign[d, p] > 0 else down)[k][x + int(model.off[model.node[d, p]])] += 1
