@@ -53,7 +53,7 @@ SLOT_BITS = (20, 22, 22)
 #: Cells of a table, as powers of two: about CELLS_A_PAIR for every distinct pair of its predictor, between these.
 LEAST_BITS, MOST_BITS, CELLS_A_PAIR = 20, 22, 2
 SYMBOLS, END, NODES = 257, 256, 256
-SEGMENT, RATE, SHRINK, SCALE = 256, 0.016, 0.4, 12.0
+SEGMENT, RATE, SHRINK, SCALE = 192, 0.016, 0.4, 12.0
 #: One word in so many begins a segment.
 SPREAD = 32
 #: Segments of a generation are so many times those of the one before.
@@ -70,7 +70,7 @@ HEAD, FOLDS, OUT = 200_000, 7, 2
 #: Distinct words that a worker counts before it passes them on.
 _WORDS_HELD = 400_000
 #: Bytes of text that a worker holds laid out at a time.
-_BATCH = 1 << 20
+_BATCH = 1 << 21
 #: Pairs that a worker merges before it passes them on.
 _HELD = 600_000
 
@@ -180,7 +180,7 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _packed(k, keys, n)
 
     for batch in parts:
-        for _, texts in _runs(batch.column(1), 2 * _BATCH):
+        for _, texts in _runs(batch.column(1)):
             data, begin, _ = _laid(texts)
             place = _branch(data)
             follows += np.bincount(place, minlength=len(follows))
@@ -304,7 +304,8 @@ class Model:
         self.depth, self.node, self.sign = trees
         self.tables, self.bits, self.start = tables, bits, start
         self.off = _cell_offsets()
-        self.cell = self.off[self.node]
+        # A branch's cell and bit at each depth, in one number.
+        self.packed = self.off[self.node] << np.uint32(1) | (self.sign > 0).astype(np.uint32)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Natural log of the probability of each text and its end, by the bit predictors alone."""
@@ -343,7 +344,8 @@ class Model:
             if not len(chosen):
                 break
             branch = place.take(chosen)
-            off, sign = self.cell[d].take(branch), self.sign[d].take(branch)
+            both = self.packed[d].take(branch)
+            off, sign = both >> np.uint32(1), (both & np.uint32(1)).astype(np.int8) * np.int8(2) - np.int8(1)
             inputs = [t.take(b.take(chosen) + off) * sign for t, b in zip(self.tables, bases, strict=True)]
             inputs.append(sign * BIAS)
             here = lane.take(chosen)
@@ -537,19 +539,23 @@ def _scored(docs: DataFrame, model: Model, top: dict[bytes, int]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, head = shared.value
+        of = head.get
         for batch in parts:
             for start, texts in _runs(batch.column(1)):
                 n, k, gain, ends, rare, times = [], [], [], [0], [], []
                 for t in texts:
                     found = Counter(words_of(t))
-                    known = [w for w in found if w in head]
-                    n.append(found.total())
-                    k.append(sum([found[w] for w in known]))
-                    gain.append(math.fsum([found[w] * head[w] for w in known]))
-                    for w in known:
-                        del found[w]
-                    rare += found
-                    times += found.values()
+                    all_, unknown, gains = found.total(), 0, []
+                    for w, c in found.items():
+                        if (x := of(w)) is None:
+                            unknown += c
+                            rare.append(w)
+                            times.append(c)
+                        else:
+                            gains.append(c * x)
+                    n.append(all_)
+                    k.append(all_ - unknown)
+                    gain.append(math.fsum(gains))
                     ends.append(len(rare))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["token", "n"]))
                 cols = [segments(m, texts), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(gain, pa.float64()), lists]
