@@ -42,14 +42,15 @@ def picked(frame: DataFrame, test: Column) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
-def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A batch function whose worker keeps freed memory within a partition, so that arrays of a few MB are not asked of the system
-    again and again, and gives it back after it: workers outlive their tasks."""
+def lean(run: Callable[[Batches], Batches], keep: bool = False) -> Callable[[Batches], Batches]:
+    """A batch function after whose partition the worker gives its free memory back: workers outlive their tasks. With ``keep`` the worker
+    holds freed memory until then, so that arrays of a few MB are not asked of the system again and again."""
 
     def whole(parts: Batches) -> Batches:
         system = ctypes.CDLL(None)
-        for name, size in ((-3, 32 << 20), (-1, 256 << 20)):  # from where on arrays are mapped alone, and a free end is given back
-            getattr(system, "mallopt", max)(name, size)
+        if keep:
+            for name, size in ((-3, 32 << 20), (-1, 256 << 20)):  # from where on arrays are mapped alone, and a free end is given back
+                getattr(system, "mallopt", max)(name, size)
         yield from run(parts)
         gc.collect()
         pa.default_memory_pool().release_unused()

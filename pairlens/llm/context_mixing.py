@@ -14,8 +14,8 @@ finished tables come to the driver. Their size follows the number of distinct pa
 bound of the model's memory; beyond it contexts share cells). The mixer's starting weights follow from the same counts: each predictor's share of
 the bits that the predictors save on the training bits, every bit left out of its own cell.
 
-Weights and gain adapt over the whole text. A text is read in segments that begin at content-defined words, SEGMENT bytes at most (contexts
-carry over), in generations of 1, 8, 64, ... segments that are read side by side; a generation starts from the mean of the states in which the one before ended.
+Weights and gain adapt over the whole text. A text is cut into segments that begin at content-defined words, and these into pieces of PIECE bytes (contexts
+carry over); pieces are read in generations of 1, 8, 64, ... side by side, and a generation starts from the mean of the states in which the one before ended.
 
 The last context is the whole segment before: how often segments followed it in training texts grows with the corpus without a bound, is counted by shuffle
 and meets the texts in joins. A segment's probability is the mixture of what followed there (the share of this segment) and of the bit predictors,
@@ -53,10 +53,10 @@ SLOT_BITS = (20, 22, 22)
 #: Cells of a table, as powers of two: about CELLS_A_PAIR for every distinct pair of its predictor, between these.
 LEAST_BITS, MOST_BITS, CELLS_A_PAIR = 20, 22, 2
 SYMBOLS, END, NODES = 257, 256, 256
-SEGMENT, RATE, SHRINK, SCALE = 192, 0.016, 0.4, 12.0
+PIECE, RATE, SHRINK, SCALE = 128, 0.016, 0.4, 12.0
 #: One word in so many begins a segment.
 SPREAD = 32
-#: Segments of a generation are so many times those of the one before.
+#: Pieces of a generation are so many times those of the one before.
 GROWTH = 8
 #: Step of the last refinement's gain.
 REFINE = np.float32(0.0015)
@@ -197,13 +197,12 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(len(ORDERS), keys, follows[keys])
 
 
-def _begins(data: np.ndarray, within: np.ndarray, latest: np.ndarray) -> np.ndarray:
-    """Where segments begin: at a text's start, at words before which the ``latest`` bytes' hash says so, and every SEGMENT bytes from there."""
-    out = within == 0
-    out[1:] |= _BLANK[data[:-1]] & ~_BLANK[data[1:]] & (latest[1:] % SPREAD == 0) & (data[1:] != END)
+def _begins(data: np.ndarray, within: np.ndarray, latest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments begin: at a text's start and at words before which the ``latest`` bytes' hash says so; and their pieces, every PIECE bytes from there."""
+    opens = within == 0
+    opens[1:] |= _BLANK[data[:-1]] & ~_BLANK[data[1:]] & (latest[1:] % SPREAD == 0) & (data[1:] != END)
     place = np.arange(len(data), dtype=np.int32)
-    out |= (place - np.maximum.accumulate(np.where(out, place, 0))) % SEGMENT == 0
-    return out
+    return opens, (place - np.maximum.accumulate(np.where(opens, place, 0))) % PIECE == 0
 
 
 def _followed(text: bytes, firsts: list[int]) -> tuple[list[int], list[int]]:
@@ -317,7 +316,9 @@ class Model:
         data, begin, owner = _laid(texts)
         contexts = _contexts(data, begin)
         within = np.arange(len(data), dtype=np.int32) - begin
-        first = np.flatnonzero(_begins(data, within, contexts[1]))
+        opens, begins = _begins(data, within, contexts[1])
+        first = np.flatnonzero(begins)
+        opens = np.flatnonzero(opens[first])
         text, firsts = owner[first].astype(np.int64), within[first]
         number = np.arange(len(text)) - np.searchsorted(text, text)
         edges, most = [1], int(number.max())
@@ -325,7 +326,7 @@ class Model:
             edges.append(edges[-1] * GROWTH + 1)
         generation = np.searchsorted(edges, number, side="right")
         del begin, owner, within
-        # Symbols by generation from here on: each is a range of segments and of symbols.
+        # Symbols by generation from here on: each is a range of pieces and of symbols.
         order = np.argsort(generation, kind="stable")
         length = np.diff(first, append=len(data))[order]
         start = np.cumsum(length) - length
@@ -357,7 +358,7 @@ class Model:
                     total[lo:hi] += self._generation(here[a:b] - lo, [x[a:b] for x in inputs], owner[lo:hi], state, g + 1 < len(ranges) - 1)
         out = np.empty(len(order))
         out[order] = total
-        return text, firsts, out
+        return text[opens], firsts[opens], np.add.reduceat(out, opens)
 
     def _begin(self, inputs: int, texts: int) -> list[np.ndarray]:
         """States of each text, of unknown and of known places: weights and gain, in the units of ``_mix``."""
@@ -368,7 +369,7 @@ class Model:
         return [one, one.copy()]
 
     def _generation(self, lane: np.ndarray, inputs: list[np.ndarray], owner: np.ndarray, state: list[np.ndarray], more: bool) -> np.ndarray:
-        """Sums of log p of a generation's segments. A segment's known and unknown places are lanes of their own; each text carries their states on."""
+        """Sums of log p of a generation's pieces. A piece's known and unknown places are lanes of their own; each text carries their states on."""
         lanes = len(owner)
         known = inputs[GATE] != 0
         count = np.bincount(lane, minlength=lanes)
@@ -562,7 +563,7 @@ def _scored(docs: DataFrame, model: Model, top: dict[bytes, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], ["doc_id", "segments", "n_bytes", "n", "k", "gain", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lean(run), f"doc_id {kind}, segments {_SEGMENTS}, n_bytes long, n long, k long, gain double, rare array<struct<token:binary,n:long>>")
+    return docs.mapInArrow(lean(run, keep=True), f"doc_id {kind}, segments {_SEGMENTS}, n_bytes long, n long, k long, gain double, rare array<struct<token:binary,n:long>>")
 
 
 def _mixed(scored: DataFrame) -> DataFrame:

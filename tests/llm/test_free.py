@@ -356,7 +356,7 @@ def plain_score(model, text):
         word = at and symbols[at] != cm.END and bytes([symbols[at - 1]]).isspace() and not bytes([symbols[at]]).isspace()
         if not at or word and latest[at] % cm.SPREAD == 0:
             number, begin = number + 1, at
-        elif (at - begin) % cm.SEGMENT == 0:
+        elif (at - begin) % cm.PIECE == 0:
             number += 1
         for d, known, xs in logits(model, symbols, at):
             found.setdefault((d, known), []).append((number, xs))
@@ -387,7 +387,7 @@ def test_context_mixing_score_is_the_plain_one(spark, monkeypatch):
     rng = random.Random(26)
     rows = [(i, " ".join(words(rng, rng.randrange(1, 60), 30))) for i in range(60)]
     model = context_mixing.train(docs(spark, rows).select("doc_id", "text"))
-    monkeypatch.setattr(context_mixing, "SEGMENT", 40)
+    monkeypatch.setattr(context_mixing, "PIECE", 40)
     texts = [b"", b"w", "Äö ß\nneu".encode(), *(t.encode() for _, t in rows[:8]), " ".join(words(rng, 300, 60)).encode(), bytes(range(256)) * 2]
     for got, text in zip(model.score(texts), texts, strict=True):
         assert got == pytest.approx(plain_score(model, text), rel=2e-3, abs=2e-3), text
