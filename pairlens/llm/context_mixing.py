@@ -70,7 +70,7 @@ HEAD, FOLDS, OUT = 200_000, 7, 2
 #: Distinct words that a worker counts before it passes them on.
 _WORDS_HELD = 400_000
 #: Bytes of text that a worker holds laid out at a time.
-_BATCH = 1 << 21
+_BATCH = 3 << 19
 #: Pairs that a worker merges before it passes them on.
 _HELD = 600_000
 
@@ -180,13 +180,13 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _packed(k, keys, n)
 
     for batch in parts:
-        for _, texts in _runs(batch.column(1)):
+        for _, texts in _runs(batch.column(1), 1 << 20):
             data, begin, _ = _laid(texts)
             place = _branch(data)
             follows += np.bincount(place, minlength=len(follows))
             for k, slots in enumerate(_contexts(data, begin)):
                 found[k].append(np.unique(slots.astype(np.int64) << _PLACE | place, return_counts=True))
-                if len(found[k]) > 6:
+                if len(found[k]) > 3:
                     found[k] = [_merged(found[k])]
                     if len(found[k][0][0]) > _HELD:
                         yield from out(k, *found[k].pop())
