@@ -42,12 +42,16 @@ def same_subject_across(items: DataFrame) -> DataFrame:
 
 
 def grouped_counts(items: DataFrame) -> DataFrame:
-    """(split, group, n) by generating every pair of a split: the check of ``capacity`` on small tables."""
-    left, right = _sides(items, ["split"])
-    joined = left.join(right, "split").where("item_l < item_r")
-    same_s, same_c = F.col("subject_l") == F.col("subject_r"), F.col("category_l") == F.col("category_r")
-    group = F.when(same_s & same_c, "A").when(same_c, "B").when(same_s, "C").otherwise("D")
-    return joined.groupBy("split", group.alias("group")).agg(F.count("*").alias("n"))
+    """(split, group, n): how many pairs of each group a split has, from group sizes; no pair is made."""
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias("group"), F.col(g.lower()).alias("n")) for g in "ABCD")))
+    return capacity(items, ["split"]).select("split", each.alias("e")).select("split", "e.group", "e.n").where("n > 0")
+
+
+def arm_counts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_a, n_b): the A and B pairs inside the strata of ``keys``, from group sizes; strata without a pair are left out."""
+    per = items.groupBy(*keys, "subject").agg(F.count("*").alias("n"))
+    both = per.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_a"), F.sum("n").alias("n"))
+    return both.select(*keys, "n_a", (F.col("n") * (F.col("n") - 1) / 2 - F.col("n_a")).cast("long").alias("n_b")).where("n_a + n_b > 0")
 
 
 def crossed(items: DataFrame, per_stratum: int) -> DataFrame:
@@ -101,6 +105,8 @@ def greedy_matching(pairs: DataFrame, seed: int = SEED, rounds: int = 200) -> Da
         for side in ("item_l", "item_r"):
             free = free.join(used.withColumnRenamed("used", side), ["arm", side], "left_anti")
         left = settled(free.select("arm", "stratum", "item_l", "item_r", "key"))
+    else:
+        raise RuntimeError("pairs are still open")
     return kept if kept is not None else left
 
 

@@ -1,8 +1,8 @@
 """Bootstraps as tables of replicate weights.
 
 ``draws`` holds how often each unit was drawn in each replicate; units join their pairs, a pair's weight is the product of its
-endpoints' draws, and one aggregation by replicate gives all estimates. Replicates come in blocks, so a shuffle holds BLOCK of
-them at most; draws are functions of (seed, replicate, k) and need no state.
+endpoints' draws, and one aggregation by replicate gives all estimates. Sums that need no single pair are made by subject pair before any
+replicate; draws are functions of (seed, replicate, k) and need no state.
 """
 
 from __future__ import annotations
@@ -14,28 +14,25 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.ordering import lower_weighted_median
 from pairlens.functions.scalars import draw, improvement, multiplicity, overlap_weight, sign
+from pairlens.plans.storage import numbered
 
-SEED, BLOCK = 20260829, 250
+SEED = 20260829
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: int = SEED, within: list[str] | None = None) -> DataFrame:
     """(replicate, within, unit, m): multiplicities of n draws from the n units (of each group of ``within``)."""
     within = within or []
-    spark = units.sparkSession
-    w = Window.partitionBy(*within).orderBy(unit) if within else Window.partitionBy(F.lit(0)).orderBy(unit)
     distinct = units.select(*within, unit).distinct()
-    indexed = distinct.withColumn("idx", F.row_number().over(w) - 1)
+    if within:
+        indexed = distinct.withColumn("idx", F.row_number().over(Window.partitionBy(*within).orderBy(unit)) - 1)
+    else:
+        indexed = numbered(distinct, "idx", unit)
     sizes = indexed.groupBy(*within).agg(F.count("*").alias("n"))
     grid = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    drawn = grid.withColumn("idx", draw(seed, F.col("replicate"), F.col("k"), F.col("n")).cast("int")).groupBy("replicate", *within, "idx").agg(F.count("*").alias("m"))
-    del spark
+    drawn = grid.withColumn("idx", draw(seed, F.col("replicate"), F.col("k"), F.col("n")).cast("long")).groupBy("replicate", *within, "idx").agg(F.count("*").alias("m"))
     return drawn.join(indexed, [*within, "idx"]).select("replicate", *within, unit, "m")
 
 
-def blocks(replicates: int, size: int = BLOCK) -> list[tuple[int, int]]:
-    return [(a, min(replicates, a + size)) for a in range(0, replicates, size)]
-
-
 def pair_weights(rows: DataFrame, drawn: DataFrame, unit: str = "subject", on: list[str] | None = None) -> DataFrame:
     """``rows`` for each replicate with ``m``; pairs of an endpoint that was not drawn drop out of the join."""
     on = on or []
@@ -135,19 +132,24 @@ def weighted_gains(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFr
     base_error; a group without weight is left out; subjects are weighted by their draws."""
     ends = rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
     drawn = draws(ends, "subject", replicates, seed)
-    w = pair_weights(rows, drawn)
-    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum("m")
+    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum(F.col("m") * F.col("n"))
+    both = (mean("base_error").alias("b"), mean("error").alias("e"))
     gain = improvement(F.col("b"), F.col("e"), "none")
+    named = rows.withColumn("rel_l", F.least("category_l", "category_r")).withColumn("rel_r", F.greatest("category_l", "category_r"))
+
+    def weighted(*keys: str) -> DataFrame:
+        """Sums by subject pair and keys, once, with the pairs' weight in every replicate."""
+        cells = named.groupBy("subject_l", "subject_r", *keys).agg(F.sum("base_error").alias("base_error"), F.sum("error").alias("error"), F.count("*").alias("n"))
+        return pair_weights(cells, drawn)
 
-    def grouped(frame: DataFrame, keys: list, name: str) -> DataFrame:
-        per = frame.groupBy("replicate", *keys).agg(mean("base_error").alias("b"), mean("error").alias("e"))
+    def grouped(keys: list[str], name: str) -> DataFrame:
+        per = weighted(*keys).groupBy("replicate", *keys).agg(*both)
         return per.groupBy("replicate").agg(F.avg("b").alias("b"), F.avg("e").alias("e")).select("replicate", F.lit(name).alias("weighting"), gain.alias("gain"))
 
-    pair = w.groupBy("replicate").agg(mean("base_error").alias("b"), mean("error").alias("e")).select("replicate", F.lit("pair").alias("weighting"), gain.alias("gain"))
-    per = w.withColumn("subject", F.explode(F.array_distinct(F.array("subject_l", "subject_r")))).groupBy("replicate", "subject").agg(mean("base_error").alias("b"), mean("error").alias("e"))
+    pair = weighted().groupBy("replicate").agg(*both).select("replicate", F.lit("pair").alias("weighting"), gain.alias("gain"))
+    per = weighted().withColumn("subject", F.explode(F.array_distinct(F.array("subject_l", "subject_r")))).groupBy("replicate", "subject").agg(*both)
     by_subject = per.join(drawn.withColumnRenamed("m", "ms"), ["replicate", "subject"]).groupBy("replicate").agg((F.sum(F.col("ms") * F.col("b")) / F.sum("ms")).alias("b"), (F.sum(F.col("ms") * F.col("e")) / F.sum("ms")).alias("e")).select("replicate", F.lit("endpoint_subject").alias("weighting"), gain.alias("gain"))
-    rel = grouped(w, [F.least("category_l", "category_r").alias("x"), F.greatest("category_l", "category_r").alias("y")], "category_relation")
-    return pair.unionByName(by_subject).unionByName(rel).unionByName(grouped(w, ["stratum"], "stratum"))
+    return pair.unionByName(by_subject).unionByName(grouped(["rel_l", "rel_r"], "category_relation")).unionByName(grouped(["stratum"], "stratum"))
 
 
 def row_gain(rows: DataFrame, replicates: int, unit: str, seed: int = SEED) -> DataFrame:
@@ -191,21 +193,9 @@ def tail_p(frame: DataFrame, value: str) -> DataFrame:
     return frame.agg(((F.sum(F.when(F.col(value) <= 0, 1).otherwise(0)) + 1) / (F.count(value) + 1)).alias("p"))
 
 
-def in_blocks(replicates: int, make: Callable[[int, int], DataFrame], size: int = BLOCK) -> DataFrame:
-    """Replicates made block by block, each written before the next: for runs whose replicates times pairs outgrow one shuffle."""
-    from pairlens.plans.storage import settled
-
-    out = None
-    for a, b in blocks(replicates, size):
-        part = settled(make(a, b))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def cluster_sign_flip(effects: DataFrame, permutations: int, seed: int = SEED) -> DataFrame:
     """(observed, p, clusters): effects(stratum, subject, effect) of subjects present in both arms; the median of stratum medians under random signs."""
-    w = Window.partitionBy(F.lit(0)).orderBy("stratum", "subject")
-    units = effects.withColumn("u", F.row_number().over(w))
+    units = numbered(effects, "u", "stratum", "subject").withColumn("u", F.col("u") + 1)
     perms = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     null = perms.withColumn("e", F.col("effect") * sign(seed, F.col("replicate"), F.col("u"))).groupBy("replicate", "stratum").agg(F.median("e").alias("s")).groupBy("replicate").agg(F.median("s").alias("t"))
     seen = effects.groupBy("stratum").agg(F.median("effect").alias("s")).agg(F.median("s").alias("observed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import ordering, scalars, vectors
 from pairlens.operators import audits, corrections, estimators, gates, heads, matrices, pairs, pools, resample, scoring, validate
 from pairlens.sources import items as src
+from pairlens.plans.storage import numbered
 from pairlens.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,13 +234,14 @@ def pooled_ab(spark, sf_dir):
     return rounded(estimators.pooled(evaluation_pairs(spark, sf_dir)))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS item, o_custkey AS subject, o_orderpriority AS category, o_orderstatus AS condition, CASE WHEN o_custkey % 5 = 0 THEN 'calibration' ELSE 'evaluation' END AS split, o_totalprice::DOUBLE AS value FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 5 = 0),
-p AS (SELECT concat_ws('|', a.split, a.category, a.condition) AS stratum, CASE WHEN a.subject = b.subject THEN 'A' ELSE 'B' END AS arm, abs(ln(a.value / b.value)) AS d FROM o a JOIN o b ON a.category = b.category AND a.condition = b.condition AND a.item < b.item)
-SELECT stratum, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b FROM p GROUP BY stratum HAVING n_a = 0 OR n_b = 0""")
+@query("""WITH o AS (SELECT o_custkey AS subject, concat_ws('|', CASE WHEN o_custkey % 5 = 0 THEN 'calibration' ELSE 'evaluation' END, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m')) AS stratum FROM orders),
+k AS (SELECT stratum, subject, count(*) AS n FROM o GROUP BY stratum, subject), p AS (SELECT stratum, (sum(n * (n - 1)) / 2)::BIGINT AS n_a, (sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1)) / 2)::BIGINT AS n_b FROM k GROUP BY stratum)
+SELECT stratum, n_a, n_b FROM p WHERE n_a + n_b > 0 AND (n_a = 0 OR n_b = 0)""")
 def one_armed_strata(spark, sf_dir):
-    """Strata that lack an arm, on a study population of orders (one customer group and order series, so that arms do run empty)."""
-    o = src.order_items(spark, sf_dir).where("split = 'calibration' AND item % 7 = 0")
-    return estimators.one_armed(pairs.matched_pairs(o).withColumn("distance", F.lit(0.0)))
+    """Strata that lack an arm, over all orders by split, category, condition and month; counted, no pair is made."""
+    o = src.order_items(spark, sf_dir).join(src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.date_format("o_orderdate", "yyyy-MM").alias("month")), "item")
+    counts = pairs.arm_counts(o, ["split", "category", "condition", "month"]).where("n_a = 0 OR n_b = 0")
+    return counts.select(F.concat_ws("|", "split", "category", "condition", "month").alias("stratum"), "n_a", "n_b")
 
 
 # --- errors ------------------------------------------------------------------------------------------------------
@@ -468,9 +470,9 @@ b AS (SELECT 'P-' || row_number() OVER (ORDER BY a.item, b.item) AS pair_id, a.i
 
 def _two(spark, sf_dir):
     items = src.vector_items(spark, sf_dir)
-    number = F.concat(F.lit("P-"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_l", "item_r")).cast("string"))
+    number = lambda x: numbered(x, "place", "item_l", "item_r").withColumn("pair_id", F.concat(F.lit("P-"), (F.col("place") + 1).cast("string"))).drop("place")
     c = lambda x: pairs.same_subject_across(x).select("item_l", "item_r", F.col("subject").alias("subject_l"), F.col("subject").alias("subject_r"), "condition_l", "condition_r").withColumn("pair_id", F.lit(""))
-    return c(items.where("split = 'calibration'")).withColumn("pair_id", number), c(items).where("condition_l = condition_r").withColumn("pair_id", number)
+    return number(c(items.where("split = 'calibration'"))), number(c(items).where("condition_l = condition_r"))
 
 
 @query(_TWO + " SELECT count(*) AS n FROM a JOIN b USING (pair_id) WHERE [least(a.item_l, a.item_r), greatest(a.item_l, a.item_r)] <> [least(b.item_l, b.item_r), greatest(b.item_l, b.item_r)]")
@@ -508,11 +510,12 @@ def grid_gaps(spark, sf_dir):
 
 # --- matrices ----------------------------------------------------------------------------------------------------
 
-_MAT = _ITEMS + f""", c AS (SELECT a.item AS i, b.item AS j, {_COS} AS value FROM items a JOIN items b ON a.condition = b.condition WHERE a.condition = 0), gr AS (SELECT item AS i, category AS grp FROM items WHERE condition = 0)"""
+_MAT = _ITEMS + f""", c AS (SELECT a.item AS i, b.item AS j, {_COS} AS value FROM items a JOIN items b ON a.condition = b.condition), gr AS (SELECT item AS i, category AS grp FROM items)"""
 
 
 def _matrix(spark, sf_dir):
-    items = src.vector_items(spark, sf_dir).where("condition = 0")
+    """The distances of all items inside their condition, and the items' groups."""
+    items = src.vector_items(spark, sf_dir)
     sides = items.select("condition", F.col("item").alias("item_l")).join(items.select("condition", F.col("item").alias("item_r")), "condition")
     d = scoring.distances(sides, items).select(F.col("item_l").alias("i"), F.col("item_r").alias("j"), F.col("distance").alias("value"))
     return d, items.select(F.col("item").alias("i"), F.col("category").alias("grp"))
@@ -713,12 +716,14 @@ def dyadic_bootstrap_weighting(spark, sf_dir):
     return rounded(resample.weighted_gains(scored_pairs(spark, sf_dir), REPLICATES, SEED))
 
 
-@query(_EFFECTS + """, o AS (SELECT row_number() OVER (ORDER BY stratum) - 1 AS i, effect * weight / sum(weight) OVER () AS t FROM eff WHERE stratum LIKE '%|0'), k AS (SELECT count(*) AS k, sum(t) AS s FROM o),
+@query(_PAIRS + """, eff AS (SELECT category, count(*) FILTER (arm = 'A') * count(*) FILTER (arm = 'B') / count(*) AS weight, median(distance) FILTER (arm = 'B') - median(distance) FILTER (arm = 'A') AS effect FROM pairs GROUP BY category HAVING count(*) FILTER (arm = 'A') > 0 AND count(*) FILTER (arm = 'B') > 0),
+o AS (SELECT row_number() OVER (ORDER BY category) - 1 AS i, effect * weight / sum(weight) OVER () AS t FROM eff), k AS (SELECT count(*) AS k, sum(t) AS s FROM o),
 v AS (SELECT id, sum(CASE WHEN (id >> i) & 1 = 1 THEN -t ELSE t END) AS x FROM (SELECT unnest(range(0, (1 << k)::BIGINT)) AS id FROM k) CROSS JOIN o GROUP BY id)
 SELECT (SELECT k FROM k) AS strata, count(*) AS vectors, round((SELECT s FROM k), 6) AS observed, count(*) FILTER (abs(x) >= abs((SELECT s FROM k)) - 1e-12) AS extreme, round(count(*) FILTER (abs(x) >= abs((SELECT s FROM k)) - 1e-12) / count(*), 6) AS p FROM v""")
 def exact_sign_flip(spark, sf_dir):
-    e = estimators.stratum_effects(evaluation_pairs(spark, sf_dir)).where("stratum LIKE '%|0'")
-    return rounded(resample.exact_sign_flip(e))
+    """All evaluation pairs, stratified by category: every sign vector of the ten strata."""
+    p = evaluation_pairs(spark, sf_dir).withColumn("stratum", F.concat_ws("|", "split", "category"))
+    return rounded(resample.exact_sign_flip(estimators.stratum_effects(p)))
 
 
 @query(_PAIRS + _ENDS.format(t="pairs") + f""", se AS (SELECT *, row_number() OVER (ORDER BY stratum, subject) AS u FROM (SELECT stratum, subject, avg(distance) FILTER (arm = 'B') - avg(distance) FILTER (arm = 'A') AS e FROM ends GROUP BY stratum, subject) WHERE e IS NOT NULL),
@@ -753,13 +758,22 @@ def support_bootstrap(spark, sf_dir):
     return rounded(resample.support_bootstrap(evaluation_pairs(spark, sf_dir), REPLICATES, SEED))
 
 
-@query()
+_QUANTS = "round(quantile_cont({v}, 0.025), 6) AS lower, round(quantile_cont({v}, 0.975), 6) AS upper, round(stddev_samp({v}), 6) AS sd, count({v}) AS replicates"
+
+
+@query(_SCORED + f""", s AS (SELECT item_l || '-' || item_r AS pair_id, base_error, error FROM scored WHERE grp IN ('A', 'C')), un AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS idx FROM s), sz AS (SELECT count(*) AS n FROM un),
+dr AS (SELECT rep, idx, count(*) AS m FROM (SELECT rep, {_draw('rep', 'k', 'n')} AS idx FROM sz CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, idx),
+g AS (SELECT rep, sum(m * base_error) / sum(m) AS b, sum(m * error) / sum(m) AS e FROM dr JOIN un USING (idx) JOIN s USING (pair_id) GROUP BY rep), h AS (SELECT CASE WHEN b <= 0 THEN 0.0 ELSE (b - e) / b END AS gain FROM g)
+SELECT {_QUANTS.format(v='gain')} FROM h""")
 def row_gain_interval(spark, sf_dir):
-    s = scored_pairs(spark, sf_dir).withColumn("pair_id", F.col("item_l") * 1_000_000 + F.col("item_r")).where("grp IN ('A', 'C')")
+    s = scored_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", "item_l", "item_r")).where("grp IN ('A', 'C')")
     return rounded(resample.interval(resample.row_gain(s, REPLICATES, "pair_id", SEED), "gain"))
 
 
-@query()
+@query(_SCORED + _ENDS.format(t="scored") + f""", me AS (SELECT stratum, subject, avg(base_error - error) AS d FROM ends GROUP BY stratum, subject), un AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY subject) - 1 AS idx, count(*) OVER (PARTITION BY stratum) AS n FROM me),
+dr AS (SELECT rep, stratum, idx, count(*) AS m FROM (SELECT rep, stratum, {_draw('rep', 'k', 'n')} AS idx FROM (SELECT DISTINCT stratum, n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, stratum, idx),
+al AS (SELECT rep, stratum, m, d FROM dr JOIN un USING (stratum, idx) UNION ALL SELECT -1, stratum, 1, d FROM un)
+SELECT rep AS replicate, round(avg(d), 6) AS delta FROM (SELECT rep, stratum, sum(m * d) / sum(m) AS d FROM al GROUP BY rep, stratum) GROUP BY rep""")
 def clustered_delta_bootstrap(spark, sf_dir):
     s = scored_pairs(spark, sf_dir).withColumn("delta", F.col("base_error") - F.col("error"))
     return rounded(resample.clustered_delta(s, REPLICATES, SEED))
@@ -776,7 +790,10 @@ def ranking_bootstrap(spark, sf_dir):
     return rounded(estimators.ranking_metrics(named, ["replicate"]))
 
 
-@query()
+@query(_SCORED + _ENDS.format(t="scored") + f""", sg AS (SELECT subject, avg(base_error - error) AS d FROM ends GROUP BY subject), un AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS idx, count(*) OVER () AS n FROM sg),
+qs AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS q), dr AS (SELECT rep, idx, count(*) AS m FROM (SELECT rep, {_draw('rep', 'k', 'n')} AS idx FROM (SELECT max(n) AS n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, idx),
+mg AS (SELECT rep, mode, q, sum(m * d * (1 + f * q)) / sum(m) AS g FROM dr JOIN un USING (idx) CROSS JOIN qs CROSS JOIN (VALUES ('ordinary', 1.0::DOUBLE), ('balanced', 0.4)) AS a(mode, f) GROUP BY rep, mode, q), sl AS (SELECT rep, mode, regr_slope(g, q) AS s FROM mg GROUP BY rep, mode)
+SELECT rep AS replicate, round(max(s) FILTER (mode = 'ordinary') - max(s) FILTER (mode = 'balanced'), 6) AS contrast FROM sl GROUP BY rep""")
 def slope_bootstrap(spark, sf_dir):
     s = estimators.endpoints(scored_pairs(spark, sf_dir)).groupBy("subject").agg(F.avg(F.col("base_error") - F.col("error")).alias("d"))
     arm = lambda m, f: F.struct(F.lit(m).alias("mode"), F.lit(f).alias("f"))
