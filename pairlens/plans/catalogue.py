@@ -15,7 +15,7 @@ from pairlens.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SEED, REPLICATES = 20260829, 40
+SEED, REPLICATES = 20260829, 1000
 
 
 def query(sql: str | None = None):
