@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the stage before has kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before has kept. All but the last return the columns of ``documents``.
+
+Defined cases of all stages: an empty table stays empty; a null text is an empty one; rows that share an id are judged each by its own text; a null id
+is an id; extra columns stay, and those that begin with ``__op`` are ours; very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -16,23 +19,23 @@ from pairlens.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps; the whole row travels as the ledger's id."""
+    """Documents that the current policy keeps; the whole row travels as the ledger's id. Null and empty texts have too few words; repeated rows share their fate."""
     kept = quality_rules.ledger(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
     return picked(kept, quality_rules.keeps()).select("doc_id.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines leave the texts; documents of which nothing is left go; n_chars follows the text."""
+    """Repeated runs of lines leave the texts; documents of which no word is left go; n_chars follows the text. The first holder (least id, then text) keeps its lines, and so do rows that repeat it."""
     return line_chunks.deduplicate(docs, drop_emptied=True).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of copies and near copies: the one of the least id."""
+    """One row of each class of copies and near copies: the least id, of its texts that of the least digest, of rows that repeat both any one."""
     return ngram_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; repeated rows share their fate, and an empty benchmark takes nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
