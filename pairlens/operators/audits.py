@@ -102,3 +102,37 @@ def bounded_sample(frame: DataFrame, column: str, most: int = 10) -> DataFrame:
     """(n, sample): how many distinct values, and the first few in order: a report's example list."""
     few = frame.select(column).distinct().orderBy(column).limit(most)
     return few.agg(F.array_sort(F.collect_list(column)).alias("sample")).crossJoin(frame.agg(F.count_distinct(column).alias("n")))
+
+
+def corpus(items: DataFrame, usable: bool, redistributable: bool, minimum_categories: int = 8, minimum_pairs: int = 200) -> DataFrame:
+    """One row: records, subjects, categories, the four pair capacities, the licence class, the failed checks and whether there are none."""
+    from pairlens.operators.pairs import capacity
+
+    if minimum_categories <= 0 or minimum_pairs <= 0:
+        raise ValueError("audit thresholds must be positive")
+    counts = items.agg(F.count("*").alias("records"), F.count_distinct("subject").alias("subjects"), F.count_distinct("category").alias("categories"))
+    both = counts.crossJoin(F.broadcast(capacity(items).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in "abcd"))))
+    failed = {"category_count": F.col("categories") < minimum_categories, "pair_capacity": F.least("a", "b", "c", "d") < minimum_pairs, "usable_for_research": F.lit(not usable)}
+    names = F.filter(F.array(*(F.when(test, F.lit(n)) for n, test in failed.items())), lambda x: x.isNotNull())
+    licence = "permitted" if usable and redistributable else "research_only" if usable else "pending_audit"
+    return both.withColumn("licence", F.lit(licence)).withColumn("failed", names).withColumn("passed", F.size("failed") == 0)
+
+
+def manifest_groups(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pairs, items, subjects, categories, category_relations, conditions, condition_relations, reused) of pairs with
+    category_l/r and condition_l/r; ``reused`` are the item places beyond each item's first."""
+    e = lambda s: F.struct(*(F.col(f"{c}_{s}").alias(c) for c in ("item", "subject", "category", "condition")))
+    ends = pairs.select(*keys, F.explode(F.array(e("l"), e("r"))).alias("e")).select(*keys, "e.*")
+    each = ends.groupBy(*keys).agg(F.count("*").alias("places"), *(F.count_distinct(c).alias(n) for c, n in (("item", "items"), ("subject", "subjects"), ("category", "categories"), ("condition", "conditions"))))
+    rel = lambda c: F.count_distinct(F.array_sort(F.array(f"{c}_l", f"{c}_r"))).alias(f"{c}_relations")
+    got = pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), rel("category"), rel("condition"))
+    return got.join(each, keys).withColumn("reused", F.col("places") - F.col("items")).drop("places")
+
+
+def shared_across(pairs: DataFrame, key: str) -> DataFrame:
+    """(shared, digest): the items that pairs of two groups use, and a digest of their set: the sum of the first 32 bits of each SHA-256,
+    which needs neither an order nor all of them in one place."""
+    ends = pairs.select(key, F.explode(F.array("item_l", "item_r")).alias("item"))
+    both = ends.groupBy("item").agg(F.count_distinct(key).alias("k")).where("k > 1")
+    bits = F.conv(F.substring(F.sha2(F.col("item").cast("string"), 256), 1, 8), 16, 10).cast("long")
+    return both.agg(F.count("*").alias("shared"), F.coalesce(F.sum(bits), F.lit(0)).alias("digest"))

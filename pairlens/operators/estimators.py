@@ -91,6 +91,24 @@ def weighted_mae(rows: DataFrame) -> DataFrame:
     )
 
 
+def weighted_gains(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, weighting, base_mae, mae, gain): the four weightings of error and base error in every group, from sums by subject pair,
+    relation and stratum."""
+    from pairlens.functions.scalars import improvement
+
+    cells = rows.groupBy(*keys, "subject_l", "subject_r", *relation(F.col("category_l"), F.col("category_r")), "stratum").agg(F.sum("base_error").alias("b"), F.sum("error").alias("e"), F.count("*").alias("n"))
+    mean = (F.sum("b") / F.sum("n")).alias("b"), (F.sum("e") / F.sum("n")).alias("e")
+
+    def grouped(frame: DataFrame, by: list[str], name: str) -> DataFrame:
+        per = frame.groupBy(*keys, *by).agg(*mean)
+        return per.groupBy(*keys).agg(F.avg("b").alias("b"), F.avg("e").alias("e")).withColumn("weighting", F.lit(name))
+
+    got = cells.groupBy(*keys).agg(*mean).withColumn("weighting", F.lit("pair"))
+    for frame, by, name in ((endpoints(cells), ["subject"], "endpoint_subject"), (cells, ["rel_l", "rel_r"], "category_relation"), (cells, ["stratum"], "stratum")):
+        got = got.unionByName(grouped(frame, by, name))
+    return got.select(*keys, "weighting", F.col("b").alias("base_mae"), F.col("e").alias("mae"), improvement(F.col("b"), F.col("e")).alias("gain"))
+
+
 def relation_means(rows: DataFrame, value: str = "predicted", keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, rel_l, rel_r, mean, n) over pairs of two categories; ``weight`` gives the replicate form, groups without weight left out."""
     keys = keys or []

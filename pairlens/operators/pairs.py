@@ -35,6 +35,12 @@ def matched_pairs(items: DataFrame, keys: tuple[str, ...] = ("split", "category"
     return joined.withColumn("stratum", F.concat_ws("|", *keys)).withColumn("arm", F.when(F.col("subject_l") == F.col("subject_r"), "A").otherwise("B"))
 
 
+def symmetric_stratum(group: str = "group"):
+    """The key of a pair that does not depend on its order: group, the distinct categories and the distinct conditions of its ends."""
+    either = lambda c: F.array_join(F.array_sort(F.array_distinct(F.array(F.col(f"{c}_l").cast("string"), F.col(f"{c}_r").cast("string")))), "::")
+    return F.concat_ws("|", group, either("category"), either("condition"))
+
+
 def same_subject_across(items: DataFrame) -> DataFrame:
     """C pairs within a split: one subject in two categories."""
     left, right = _sides(items, ["split", "subject"])

@@ -152,6 +152,41 @@ def weighted_gains(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFr
     return pair.unionByName(by_subject).unionByName(grouped(["rel_l", "rel_r"], "category_relation")).unionByName(grouped(["stratum"], "stratum"))
 
 
+def ranking(rows: DataFrame, references: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
+    """(reference, method, replicate, mae, spearman, kendall, order_accuracy): one draw of subjects shared by all methods and references;
+    replicate -1 is the observed one. rows(method, subject_l, subject_r, category_l, category_r, predicted); references(reference, rel_l,
+    rel_r, value), every relation of labels with itself and others. Sums by subject pair and relation are made before any replicate."""
+    from pairlens.functions.scalars import relation
+    from pairlens.operators.estimators import ranking_metrics
+    from pairlens.plans.storage import settled
+
+    named = rows.select("method", "subject_l", "subject_r", *relation(F.col("category_l"), F.col("category_r")), "predicted").join(references, ["rel_l", "rel_r"])
+    cells = named.groupBy("reference", "method", "subject_l", "subject_r", "rel_l", "rel_r").agg(F.max("value").alias("value"), F.sum("predicted").alias("p"), F.sum(F.abs(F.col("predicted") - F.col("value"))).alias("e"), F.count("*").alias("n"))
+    subjects = rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
+    observed = subjects.distinct().select(F.lit(-1).alias("replicate"), "subject", F.lit(1).cast("long").alias("m"))
+    w = pair_weights(cells, draws(subjects, "subject", replicates, seed).unionByName(observed))
+    m = F.col("m")
+    # Replicates x relations of labels: read by both measures.
+    per = settled(w.groupBy("reference", "method", "replicate", "rel_l", "rel_r").agg(F.max("value").alias("value"), F.sum(m * F.col("p")).alias("p"), F.sum(m * F.col("e")).alias("e"), F.sum(m * F.col("n")).alias("n")))
+    keys = ["standard", "method", "replicate"]
+    per = per.withColumnRenamed("reference", "standard")
+    mae = per.groupBy(*keys).agg((F.sum("e") / F.sum("n")).alias("mae"))
+    rel = per.where("rel_l <> rel_r").select(*keys, F.concat_ws("::", "rel_l", "rel_r").alias("relation"), F.col("value").alias("reference"), F.round(F.col("p") / F.col("n"), 9).alias("predicted"))
+    got = mae.join(ranking_metrics(rel, keys), keys, "left")
+    return got.select(F.col("standard").alias("reference"), "method", "replicate", "mae", "spearman", "kendall", "order_accuracy")
+
+
+def ranking_contrasts(measured: DataFrame, first: str, second: str) -> DataFrame:
+    """(reference, metric, observed, lower, upper) of ``ranking``: ordering metrics of first less second, and the error of second less first, paired
+    by replicate; undefined replicates are left out."""
+    metrics = ("mae", "spearman", "kendall", "order_accuracy")
+    long = measured.select("reference", "method", "replicate", F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("x")) for x in metrics))).alias("e")).select("reference", "method", "replicate", "e.*")
+    of = lambda name: F.max(F.when(F.col("method") == name, F.col("x")))
+    gap = long.groupBy("reference", "metric", "replicate").agg((of(first) - of(second)).alias("d")).withColumn("d", F.when(F.col("metric") == "mae", -F.col("d")).otherwise(F.col("d")))
+    seen = gap.where("replicate = -1").select("reference", "metric", F.col("d").alias("observed"))
+    return seen.join(interval(gap.where("replicate >= 0"), "d", keys=["reference", "metric"]), ["reference", "metric"]).select("reference", "metric", "observed", "lower", "upper")
+
+
 def row_gain(rows: DataFrame, replicates: int, unit: str, seed: int = SEED) -> DataFrame:
     """(replicate, gain) of the mean error when rows of ``unit`` are drawn; fits stay frozen."""
     w = rows.join(draws(rows, unit, replicates, seed), unit)

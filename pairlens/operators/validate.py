@@ -30,6 +30,23 @@ def record_violations(items: DataFrame) -> DataFrame:
     return rows.unionByName(twice).unionByName(leaking).select("rule", F.col("n").cast("long").alias("n"))
 
 
+def pair_violations(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(rule, n) of pairs(pair_id, ends): exactly two different ends, both known, in one split, every id and every pair of ends once."""
+    ends = F.col("ends")
+    two = F.coalesce(F.size(ends) == 2, F.lit(False))
+    shape = pairs.agg(*(F.coalesce(F.sum(F.when(t, 1).otherwise(0)), F.lit(0)).alias(n) for n, t in {"not_two_ends": ~two, "self_pair": two & (ends[0] == ends[1])}.items()))
+    rows = shape.select(F.explode(F.create_map(F.lit("not_two_ends"), F.col("not_two_ends"), F.lit("self_pair"), F.col("self_pair"))).alias("rule", "n"))
+    known = lambda s: items.select(F.col("item").alias(s), F.col("split").alias(f"split_{s}")).dropDuplicates([s])
+    both = pairs.where(two).select(ends[0].alias("l"), ends[1].alias("r")).join(known("l"), "l", "left").join(known("r"), "r", "left")
+    tests = {"unknown_end": F.col("split_l").isNull() | F.col("split_r").isNull(), "two_splits": F.col("split_l") != F.col("split_r")}
+    found = both.agg(*(F.coalesce(F.sum(F.when(t, 1).otherwise(0)), F.lit(0)).alias(n) for n, t in tests.items()))
+    rows = rows.unionByName(found.select(F.explode(F.create_map(*(x for n in tests for x in (F.lit(n), F.col(n))))).alias("rule", "n")))
+    for name, key in (("duplicate_id", F.col("pair_id")), ("duplicate_ends", F.array_sort("ends"))):
+        twice = pairs.groupBy(key.alias("k")).count().where("count > 1")
+        rows = rows.unionByName(twice.agg(F.lit(name).alias("rule"), F.count("*").alias("n")))
+    return rows.select("rule", F.col("n").cast("long").alias("n"))
+
+
 def distance_violations(rows: DataFrame) -> DataFrame:
     """Distance rows of an unknown arm, without subject or stratum, or not finite or outside 0..2."""
     return rows.where(~F.coalesce(F.col("arm").isin("A", "B"), F.lit(False)) | blank("stratum") | F.col("subject_l").isNull() | F.col("subject_r").isNull() | not_finite("distance") | (F.col("distance") < 0) | (F.col("distance") > 2))

@@ -82,9 +82,11 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.drop("arm").withColumn("target", scoring.binary_reference(F.col("category_l"), F.col("category_r"))).withColumn("gap", scoring.continuous_reference(F.col("category_l"), F.col("category_r"))).withColumn("grp", group)
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_pairs(spark: SparkSession, sf_dir: str, target: Column | None = None) -> DataFrame:
     """Evaluation pairs under the affine fit of the calibration pairs; the baseline predicts their mean target."""
     p = all_pairs(spark, sf_dir)
+    if target is not None:
+        p = p.withColumn("target", target)
     cal = p.where("split = 'calibration'")
     fit = scoring.affine(cal, "distance", "target").crossJoin(F.broadcast(cal.agg(F.avg("target").alias("__m"))))
     return scoring.scored(p.where("split = 'evaluation'"), fit).withColumn("base_error", F.abs(F.col("__m") - F.col("target"))).drop("__m")
@@ -968,3 +970,5 @@ def ext_label_balance(spark, sf_dir):
 
 
 del scalars
+
+from pairlens.plans import reports  # noqa: E402, F401  (registers its queries here)

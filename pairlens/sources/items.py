@@ -125,6 +125,11 @@ def record_hash(columns: list[str]) -> F.Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def json_field(column: str, path: str) -> F.Column:
+    """The value at a path such as ``models[0].references[0].name`` of a JSON text, as text; null where the path ends early."""
+    return F.get_json_object(column, f"$.{path}")
+
+
 def list_digest(frame: DataFrame, column: str) -> DataFrame:
     """One row: the digest of the sorted values joined by newlines. The values are digests of a manifest, of fixed width."""
     return frame.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"), 256).alias("digest"))
