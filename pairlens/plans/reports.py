@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import audits, estimators, gates, matrices, pairs, pools, resample, validate
 from pairlens.plans.catalogue import _CAP, _DRAWS, _EFFECTS, _ENDS, _ITEMS, _MAT, _PAIRS, _SCORED, _WMED, ORACLE_SQL, REPLICATES, SEED, _draw, _matrix, all_pairs, evaluation_pairs, query, r6, rounded, scored_pairs
+from pairlens.plans.storage import settled
 from pairlens.sources import items as src
 
 _BINARY = "CASE WHEN a.category // 2 = b.category // 2 THEN 0.0 ELSE 1.0 END AS target"
@@ -18,6 +19,11 @@ def gap_target():
     return F.abs(F.col("category_l") - F.col("category_r")) / 9.0
 
 
+def _scored(spark, sf_dir, target=None):
+    """The scored pairs, written once as narrow rows: reports read them several times."""
+    return settled(scored_pairs(spark, sf_dir, target).select("subject_l", "subject_r", "category_l", "category_r", "stratum", "grp", "distance", "target", "predicted", "error", "base_error"))
+
+
 # --- audits ------------------------------------------------------------------------------------------------------
 
 
@@ -79,7 +85,7 @@ _INTERVALS = f"WITH wi AS (SELECT reference, weighting, quantile_cont(gain, 0.02
 
 
 def _weighting_intervals(spark, sf_dir):
-    got = [resample.weighted_gains(scored_pairs(spark, sf_dir, t), REPLICATES, SEED).withColumn("reference", F.lit(n)) for n, t in (("binary", None), ("gap", gap_target()))]
+    got = [resample.weighted_gains(_scored(spark, sf_dir, t), REPLICATES, SEED).withColumn("reference", F.lit(n)) for n, t in (("binary", None), ("gap", gap_target()))]
     both = got[0].unionByName(got[1]).withColumn("gain", r6("gain"))
     return resample.interval(both, "gain", keys=["reference", "weighting"]).select("reference", "weighting", "lower", "upper")
 
@@ -115,7 +121,7 @@ rc AS (SELECT reference, metric, max(d) FILTER (replicate = -1) AS observed, qua
 
 def _ranking(spark, sf_dir):
     """Two scores (the distance and its root) against two references, every relation of labels."""
-    s = scored_pairs(spark, sf_dir)
+    s = _scored(spark, sf_dir)
     score = lambda n, c: F.struct(F.lit(n).alias("method"), c.alias("predicted"))
     rows = s.select("subject_l", "subject_r", "category_l", "category_r", F.explode(F.array(score("cosine", F.col("distance")), score("root", F.sqrt("distance")))).alias("s")).select("*", "s.*")
     labels = src.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("rel_l")).distinct()
@@ -149,7 +155,7 @@ pi AS (SELECT arm, unnest([item_l, item_r]) AS item FROM pairs), ru AS (SELECT c
 @query(_MODELS + " SELECT true AS nested, reused = 0 AS no_reuse_within_arm, shared = 0 AS shared_as_declared, (SELECT coalesce(bool_and(coalesce(estimate > 0, false)), false) FROM mo) AS direction_preserved, (SELECT coalesce(bool_and(coalesce(lower > 0, false)), false) FROM mo) AS lower_bounds_positive, reused = 0 AND (SELECT coalesce(bool_and(coalesce(estimate > 0, false)), false) FROM mo) AS passed FROM ru CROSS JOIN sh")
 def dependency_gate(spark, sf_dir):
     """Two distances (cosine and chord) of all matched pairs, which use items again: the gate reports that and fails."""
-    p = evaluation_pairs(spark, sf_dir)
+    p = settled(evaluation_pairs(spark, sf_dir))
     models = None
     for rows in (p, p.withColumn("distance", F.sqrt(2 * F.col("distance")))):
         lower = resample.interval(resample.global_dyadic(rows, REPLICATES, SEED), "estimate").select("lower")
@@ -254,7 +260,7 @@ def _results(spark, sf_dir):
     """One row a reference: the fit's gain and its lower bound by drawn subjects, scaled fits as seeds, and controls."""
     out = None
     for name, target in (("binary", None), ("gap", gap_target())):
-        s = scored_pairs(spark, sf_dir, target)
+        s = _scored(spark, sf_dir, target)
         lower = resample.interval(resample.subject_mean(resample.subject_gains(s), "gain", REPLICATES, SEED), "estimate").select("lower")
         p, d = F.col("predicted"), F.col("distance")
         seeds = [_gain(f * p) > 0 for f in _SWEEP]
@@ -286,7 +292,7 @@ _CHECKED = ", ck AS (SELECT condition, slope_lower > 0 AS a, mean_lower > 0 AS b
 
 def _conditions(spark, sf_dir):
     """Two backbones that damp or amplify the gain's dependence on prevalence: slope and mean contrasts with their lower bounds."""
-    s = resample.subject_gains(scored_pairs(spark, sf_dir)).withColumnRenamed("gain", "d")
+    s = resample.subject_gains(_scored(spark, sf_dir)).withColumnRenamed("gain", "d")
     out = None
     for name, f in (("primary", 0.4), ("orthogonal", 1.6)):
         arm = lambda m, x: F.struct(F.lit(m).alias("mode"), F.lit(x).alias("f"))
@@ -312,7 +318,7 @@ def transfer_gate(spark, sf_dir):
 @query(_SCORED + _SUBJECTS + _lower("lo", "d") + ", g AS (SELECT (SELECT count(*) FROM scored WHERE grp = 'C') = (SELECT count(*) FROM scored WHERE grp = 'D') AS a, (SELECT count(DISTINCT (least(category_l, category_r), greatest(category_l, category_r))) FROM scored WHERE grp = 'D') > (SELECT count(DISTINCT (least(category_l, category_r), greatest(category_l, category_r))) FROM scored WHERE grp = 'C') AS b, (SELECT x > 0 FROM lo) AS c, (SELECT count(*) FILTER (d > 0) >= 4 FROM sg) AS e) SELECT a AS equal_pairs, b AS more_relations, c AS lower_bound_positive, e AS enough_seeds, a AND b AND c AND e AS passed FROM g")
 def diversity_gate(spark, sf_dir):
     """Pools of same-subject and of crossed pairs: their sizes, relations, and the gain's lower bound by drawn subjects."""
-    s = scored_pairs(spark, sf_dir)
+    s = _scored(spark, sf_dir)
     gains = resample.subject_gains(s)
     lower = resample.interval(resample.subject_mean(gains, "gain", REPLICATES, SEED), "estimate").select("lower")
     same = gains.agg(F.sum(F.when(F.col("gain") > 0, 1).otherwise(0)).alias("same"))
@@ -324,7 +330,7 @@ def diversity_gate(spark, sf_dir):
 @query(_SCORED + _SUBJECTS + _lower("lo", "d") + ", " + _lower("hi", "-d", "0.975") + f", g AS (SELECT {_gain_sql('predicted')} AS gain, avg(error - base_error) FILTER (grp = 'A') AS harm, {_gain_sql('(1 - predicted)')} AS shuffled, {_gain_sql('0.0')} AS wrong, {_gain_sql('(distance / 2)')} AS bias_swap, {_gain_sql('(1 - distance)')} AS swapped, {_gain_sql('distance')} AS rival FROM scored), q AS (SELECT gain >= 0.05 AS a, (SELECT x FROM lo) > 0 AS b, harm <= 0.02 AND (SELECT x FROM hi) <= 0.02 AS c, shuffled < 0.05 AS d, wrong < 0.05 AS e, bias_swap < 0.05 AS f, swapped < greatest(gain * 0.5, 0.0) AS h, gain > rival AS i FROM g) SELECT coalesce(a, false) AS gains_enough, coalesce(b, false) AS lower_bound_positive, coalesce(c, false) AS harmless, coalesce(d, false) AS shuffled_gains_less, coalesce(e, false) AS wrong_gains_less, coalesce(f, false) AS bias_swap_gains_less, coalesce(h, false) AS swap_gains_less, coalesce(i, false) AS beats_rival, coalesce(a AND b AND c AND d AND e AND f AND h AND i, false) AS passed FROM q")
 def correction_gate(spark, sf_dir):
     """The affine fit as a correction, with reversed, constant, halved and swapped predictions as controls and the plain distance as rival."""
-    s = scored_pairs(spark, sf_dir)
+    s = _scored(spark, sf_dir)
     gains = resample.subject_gains(s)
     low = resample.interval(resample.subject_mean(gains, "gain", REPLICATES, SEED), "estimate").select("lower")
     high = resample.interval(resample.subject_mean(gains.withColumn("gain", -F.col("gain")), "gain", REPLICATES, SEED), "estimate").select(F.col("upper").alias("harm_upper"))
