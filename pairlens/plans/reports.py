@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.operators import audits, estimators, gates, matrices, pairs, pools, resample, validate
+from pairlens.operators import audits, estimators, gates, heads, matrices, pairs, pools, resample, validate
 from pairlens.plans.catalogue import _CAP, _DRAWS, _EFFECTS, _ENDS, _ITEMS, _MAT, _PAIRS, _SCORED, _WMED, ORACLE_SQL, REPLICATES, SEED, _draw, _matrix, all_pairs, evaluation_pairs, query, r6, rounded, scored_pairs
 from pairlens.plans.storage import settled
 from pairlens.sources import items as src
@@ -337,3 +337,32 @@ def correction_gate(spark, sf_dir):
     p, d = F.col("predicted"), F.col("distance")
     one = s.agg(_gain(p).alias("gain"), F.avg(F.when(F.col("grp") == "A", F.col("error") - F.col("base_error"))).alias("harm"), _gain(1 - p).alias("shuffled"), _gain(F.lit(0.0)).alias("wrong"), _gain(d / 2).alias("bias_swap"), _gain(1 - d).alias("swapped"), _gain(d).alias("rival"))
     return gates.correction(one.crossJoin(low).crossJoin(high), swapped="swapped", rival="rival")
+
+
+# --- sweeps ------------------------------------------------------------------------------------------------------
+
+#: Training pairs of a sweep, of least hash: a bounded set by contract; the cells differ in seed, head and strength alone.
+TRAINING_PAIRS = 2000
+
+
+@query()
+def seed_sweep(spark, sf_dir):
+    """Heads trained with and without the loss of cross pairs, over seeds and two architectures: the check loss of each and what the cross loss adds.
+    No SQL: it is iterative."""
+    import numpy as np
+
+    items = src.vector_items(spark, sf_dir, "calibration")
+    p = settled(all_pairs(spark, sf_dir).where("split = 'calibration'").select("item_l", "item_r", "target", "grp", F.xxhash64("item_l", "item_r").alias("h")))
+    found = {}
+    for name, kinds, turn in (("pair", ("A", "B"), 0), ("check", ("A", "B", "C"), 1), ("cross", ("C", "D"), 0)):
+        few = p.where(F.col("grp").isin(*kinds) & (F.col("h").bitwiseAND(1) == turn)).orderBy("h", "item_l", "item_r").limit(TRAINING_PAIRS)
+        for side in "lr":
+            few = few.join(items.select(F.col("item").alias(f"item_{side}"), F.col("vec").alias(f"vec_{side}")), f"item_{side}")
+        rows = few.orderBy("item_l", "item_r").select("vec_l", "vec_r", "target").toPandas()
+        if not len(rows):
+            return spark.createDataFrame([], "seed long, hidden long, alone double, crossed double, added double")
+        found[name] = (np.stack(rows["vec_l"]), np.stack(rows["vec_r"]), rows["target"].to_numpy())
+    cells = heads.factorial(["binary"], [1, 2, 3, 4, 5], ["0", "16"], [0.0, 1.0], spark).select("seed", F.col("head").cast("long").alias("hidden"), "strength")
+    got = heads.sweep(cells, found, 16, epochs=5)
+    of = lambda x: F.max(F.when(F.col("strength") == x, F.col("loss")))
+    return rounded(got.groupBy("seed", "hidden").agg(of(0.0).alias("alone"), of(1.0).alias("crossed")).withColumn("added", F.col("alone") - F.col("crossed")))
