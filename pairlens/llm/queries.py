@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, quality_rules, quotes, secret_scan
+from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, quality_rules, quotes, secret_scan, simhash
 from .common import table
 
 
@@ -67,7 +67,11 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality, op13_simhash)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
