@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, quality_rules, quotes, secret_scan, simhash
+from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, prefix_trie, quality_rules, quotes, secret_scan, simhash
 from .common import table
 
 
@@ -67,11 +67,15 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.branched_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality, op13_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality, op12_prefix_trie, op13_simhash)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -93,7 +97,27 @@ l AS (SELECT *, ((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n
   + (CASE WHEN n_words >= 20 AND n_dup_lines >= 5 AND 10 * n_dup_lines > 8 * n_lines THEN 32 ELSE 0 END) + (CASE WHEN n_words >= 20 AND 10 * n_stutter > 4 * n_words THEN 64 ELSE 0 END))::BIGINT AS fail_bits FROM m)
 """
 
+# CRC-32 of a decimal number, bit by bit: fixed values are its polynomial and start.
+_CRC = """xor(list_reduce(list_transform(string_split('_' || {c}::VARCHAR, ''), lambda x: CASE WHEN x = '_' THEN 4294967295::BIGINT ELSE ascii(x)::BIGINT END),
+ lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
+
+_TRIE = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, n, {_CRC.format(c='c')} % 4 AS h, c - c % 20 AS b FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+re AS (SELECT k.c, t.p, r, x FROM k JOIN t ON t.c = k.b AND t.p <= k.h
+ UNION ALL SELECT k.c, t.p - k.h + least(k.h, coalesce(kb.n, 0)), r, x FROM k JOIN t ON t.c = k.c AND t.p > k.h LEFT JOIN k kb ON kb.c = k.b),
+pre AS (SELECT c, p::BIGINT AS d, x, sha256(array_to_string(list(sha256(concat(length(r), ':', r, x))) OVER (PARTITION BY c ORDER BY p), ',')) AS s FROM re
+ UNION ALL SELECT c, 0, '', '' FROM k),
+le AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
+no AS (SELECT d, s, min(c) AS c, count(*) AS n, any_value(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS w FROM pre GROUP BY d, s),
+pa AS (SELECT no.d, no.s, up.s AS ps FROM no JOIN pre up ON up.c = no.c AND up.d = no.d - 1),
+ch AS (SELECT d - 1 AS d, ps AS s, count(*) AS k FROM pa GROUP BY d, ps),
+su AS (SELECT a.d, a.s, sum(CASE WHEN ch.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((no.n - 1) * no.w)::BIGINT AS saved FROM no LEFT JOIN ch USING (d, s) JOIN pre a ON a.c = no.c AND a.d <= no.d GROUP BY a.d, a.s),
+en AS (SELECT pre.d, pre.s, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM pre JOIN le USING (c, d) GROUP BY pre.d, pre.s)
+SELECT no.c AS conv_id, no.d AS depth, up.c AS parent_conv_id, no.n AS n_convs, coalesce(ch.k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM no JOIN su USING (d, s) LEFT JOIN ch USING (d, s) LEFT JOIN pa USING (d, s) LEFT JOIN no up ON up.d = no.d - 1 AND up.s = pa.ps LEFT JOIN en ON en.d = no.d AND en.s = no.s"""
+
 ORACLE_SQL = {
+    "op12_prefix_trie": _TRIE,
     "op3_quality_rules": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM l",
     "op3_rule_ablations": _LEDGER
     + """, r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('shouting', 8), ('exclaiming', 16), ('repeated_lines', 32), ('stuttering', 64)) AS t(rule, bit))
