@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, prefix_trie, quality_rules, quotes, secret_scan, simhash
+from . import byte_bpe, context_mixing, decontaminate, edit_counts, line_chunks, ngram_join, pairwise_rank, prefix_trie, quality_rules, quotes, secret_scan, simhash, tiered_index
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_rank.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.branched_nodes(table(spark, sf_dir, "conversations"))
 
@@ -75,7 +79,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality, op12_prefix_trie, op13_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_secret_scan, op3_quality_rules, op3_rule_ablations, op4_byte_bpe, op5_quotation_threads, op6_context_mixing, op7_edit_counts, op8_line_chunks, op9_ngram_jaccard, op10_pairwise_quality, op11_tiered_search, op12_prefix_trie, op13_simhash)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -116,7 +120,16 @@ en AS (SELECT pre.d, pre.s, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM p
 SELECT no.c AS conv_id, no.d AS depth, up.c AS parent_conv_id, no.n AS n_convs, coalesce(ch.k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM no JOIN su USING (d, s) LEFT JOIN ch USING (d, s) LEFT JOIN pa USING (d, s) LEFT JOIN no up ON up.d = no.d - 1 AND up.s = pa.ps LEFT JOIN en ON en.d = no.d AND en.s = no.s"""
 
+_TERMS = r"unnest(regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_RANKED = f"""WITH dt AS (SELECT doc_id, {_TERMS.format(x='text')} AS t FROM documents), tf AS (SELECT doc_id, t, count(*) AS tf FROM dt GROUP BY doc_id, t), dn AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+tot AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM dn), it AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, {_TERMS.format(x='text')} AS t FROM benchmark) GROUP BY item_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN tot GROUP BY t, nn),
+m AS (SELECT doc_id, 75 + (25 * n * nn) // ll AS m FROM dn CROSS JOIN tot),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM it JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 ORACLE_SQL = {
+    "op11_tiered_search": _RANKED,
     "op12_prefix_trie": _TRIE,
     "op3_quality_rules": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM l",
     "op3_rule_ablations": _LEDGER
