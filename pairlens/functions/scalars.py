@@ -54,13 +54,18 @@ def relation(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("rel_l"), F.greatest(a, b).alias("rel_r")]
 
 
-def draw(seed: int, replicate: Column, k: Column, n: Column) -> Column:
+def group_seed(seed: int, *keys: Column | str) -> Column:
+    """A seed of the group's own, so that groups of one size draw apart: the seed plus 28 bits of the digest of the group's keys."""
+    return F.lit(seed) + F.conv(F.substring(F.md5(F.concat_ws("|", *keys).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def draw(seed: int | Column, replicate: Column, k: Column, n: Column) -> Column:
     """The k-th unit drawn in a replicate, 0..n-1, from integers alone: no state, no order, portable.
 
     Fixed values: the modulus and the multipliers of the counter-based generator.
     """
     p = 2147483647
-    x = (F.lit(seed) + replicate.cast("long") * 1000003 + k.cast("long") * 7919) % p
+    x = ((seed if isinstance(seed, Column) else F.lit(seed)) + replicate.cast("long") * 1000003 + k.cast("long") * 7919) % p
     y = (x * x) % p
     return ((y * 48271 + x) % p) % n
 

@@ -2,7 +2,8 @@
 
 ``draws`` holds how often each unit was drawn in each replicate; units join their pairs, a pair's weight is the product of its
 endpoints' draws, and one aggregation by replicate gives all estimates. Sums that need no single pair are made by subject pair before any
-replicate; draws are functions of (seed, replicate, k) and need no state.
+replicate, and medians of pairs from vectors of all replicates (``replicates``). Draws are functions of (seed, group, replicate, k) and need no
+state; every group (stratum, arm, category, q) has a seed of its own, so that groups draw apart, and so has every draw of a cluster inside a cluster.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import lower_weighted_median
-from pairlens.functions.scalars import draw, improvement, multiplicity, overlap_weight, sign
+from pairlens.functions.scalars import draw, group_seed, improvement, multiplicity, overlap_weight, sign
+from pairlens.operators import replicates as vectors
 from pairlens.plans.storage import numbered
 
-SEED = 20260829
+SEED, LEAST_PERMUTATIONS = 20260829, 1000
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: int = SEED, within: list[str] | None = None) -> DataFrame:
@@ -27,12 +28,30 @@ def draws(units: DataFrame, unit: str, replicates: int, seed: int = SEED, within
         indexed = distinct.withColumn("idx", F.row_number().over(Window.partitionBy(*within).orderBy(unit)) - 1)
     else:
         indexed = numbered(distinct, "idx", unit)
-    sizes = indexed.groupBy(*within).agg(F.count("*").alias("n"))
+    sizes = indexed.groupBy(*within).agg(F.count("*").alias("n")).withColumn("__s", group_seed(seed, *within) if within else F.lit(seed))
     grid = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    drawn = grid.withColumn("idx", draw(seed, F.col("replicate"), F.col("k"), F.col("n")).cast("long")).groupBy("replicate", *within, "idx").agg(F.count("*").alias("m"))
+    drawn = grid.withColumn("idx", draw(F.col("__s"), F.col("replicate"), F.col("k"), F.col("n")).cast("long")).groupBy("replicate", *within, "idx").agg(F.count("*").alias("m"))
     return drawn.join(indexed, [*within, "idx"]).select("replicate", *within, unit, "m")
 
 
+def redrawn(frame: DataFrame, n: str, k: str, idx: str, seed: int, *place: str) -> DataFrame:
+    """Each row ``n`` times, with the number ``k`` of the draw and the unit ``idx`` drawn, both from 0; ``place`` names the cluster's own draw, so that a cluster drawn twice is resampled apart."""
+    each = frame.withColumn("__s", group_seed(seed, *place) if place else F.lit(seed)).withColumn(k, F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))))
+    return each.withColumn(idx, draw(F.col("__s"), F.col("replicate"), F.col(k), F.col(n)).cast("long")).drop("__s")
+
+
+def _indexed(frame: DataFrame, idx: str, keys: list[str], *order: str) -> DataFrame:
+    """Rows numbered from 0 in each group, over a sort by range: a group may spread over tasks."""
+    if not keys:
+        return numbered(frame, idx, *order)
+    whole = numbered(frame, "__i", *keys, *order)
+    return whole.join(whole.groupBy(*keys).agg(F.min("__i").alias("__first")), keys).withColumn(idx, F.col("__i") - F.col("__first")).drop("__i", "__first")
+
+
+def _replicated(frame: DataFrame, replicates: int) -> DataFrame:
+    return frame.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+
 def pair_weights(rows: DataFrame, drawn: DataFrame, unit: str = "subject", on: list[str] | None = None) -> DataFrame:
     """``rows`` for each replicate with ``m``; pairs of an endpoint that was not drawn drop out of the join."""
     on = on or []
@@ -41,11 +60,17 @@ def pair_weights(rows: DataFrame, drawn: DataFrame, unit: str = "subject", on: l
     return both.withColumn("m", multiplicity(F.col("m_l"), F.col("m_r"), F.col(f"{unit}_l") == F.col(f"{unit}_r"))).drop("m_l", "m_r")
 
 
-def replicate_effects(weighted: DataFrame) -> DataFrame:
-    """(replicate, stratum, median_a, median_b): lower weighted medians of strata that kept both arms."""
-    med = lower_weighted_median(weighted, ["replicate", "stratum", "arm"], "distance", "m")
+def _arms(medians: DataFrame) -> DataFrame:
+    """(replicate, stratum, median_a, median_b) of medians by arm; strata that lost an arm are left out."""
     pick = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("median")))
-    return med.groupBy("replicate", "stratum").agg(pick("A").alias("median_a"), pick("B").alias("median_b")).where("median_a IS NOT NULL AND median_b IS NOT NULL")
+    return medians.groupBy("replicate", "stratum").agg(pick("A").alias("median_a"), pick("B").alias("median_b")).where("median_a IS NOT NULL AND median_b IS NOT NULL")
+
+
+def dyadic_weights(rows: DataFrame, drawn: DataFrame, replicates: int, unit: str = "subject", on: list[str] | None = None) -> DataFrame:
+    """``rows`` cut by (stratum, arm, distance), each with its ends' draws in all replicates."""
+    ends = [f"{unit}_l", f"{unit}_r"]
+    narrow = rows.select("stratum", "arm", "distance", *dict.fromkeys([*ends, "subject_l", "subject_r"]))
+    return vectors.weighed(vectors.cut(narrow, ["stratum", "arm"], "distance", *ends), drawn, unit, on or [], replicates)
 
 
 def global_dyadic(rows: DataFrame, replicates: int, seed: int = SEED, unit: str = "subject") -> DataFrame:
@@ -53,14 +78,16 @@ def global_dyadic(rows: DataFrame, replicates: int, seed: int = SEED, unit: str
     the strata that kept both arms."""
     fixed = rows.groupBy("stratum").agg(F.count(F.when(F.col("arm") == "A", 1)).alias("a"), F.count(F.when(F.col("arm") == "B", 1)).alias("b")).where("a > 0 AND b > 0").select("stratum", overlap_weight(F.col("a"), F.col("b")).alias("w"))
     ends = rows.select(F.explode(F.array(f"{unit}_l", f"{unit}_r")).alias(unit))
-    got = replicate_effects(pair_weights(rows, draws(ends, unit, replicates, seed), unit)).join(fixed, "stratum")
+    weighed = dyadic_weights(rows, draws(ends, unit, replicates, seed), replicates, unit)
+    got = _arms(vectors.medians(weighed, ["stratum", "arm"], "distance")).join(fixed, "stratum")
     return got.groupBy("replicate").agg((F.sum(F.col("w") * (F.col("median_b") - F.col("median_a"))) / F.sum("w")).alias("estimate"), F.count("*").alias("strata"))
 
 
 def stratum_dyadic(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, estimate, strata): subjects drawn in each stratum, the median of stratum effects."""
     ends = rows.select("stratum", F.explode(F.array("subject_l", "subject_r")).alias("subject"))
-    got = replicate_effects(pair_weights(rows, draws(ends, "subject", replicates, seed, ["stratum"]), "subject", ["stratum"]))
+    weighed = dyadic_weights(rows, draws(ends, "subject", replicates, seed, ["stratum"]), replicates, "subject", ["stratum"])
+    got = _arms(vectors.medians(weighed, ["stratum", "arm"], "distance"))
     return got.groupBy("replicate").agg(F.median(F.col("median_b") - F.col("median_a")).alias("estimate"), F.count("*").alias("strata"))
 
 
@@ -73,56 +100,77 @@ def arm_items(rows: DataFrame, replicates: int, seed: int = SEED, independent: b
     return global_dyadic(named, replicates, seed, "item")
 
 
+def _clusters(each: DataFrame, outer: list[str], unit: str, inner: list[str], *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows(outer, unit, inner, ...): (outer, S) how many units a group has; (outer, unit index s); rows numbered ``i`` in (outer, unit, inner)."""
+    units = _indexed(each.select(*outer, unit).distinct(), "s", outer, unit)
+    sizes = units.groupBy(*outer).agg(F.count("*").alias("S"))
+    return sizes, units, _indexed(each, "i", [*outer, unit, *inner], *order)
+
+
 def nested_cluster(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """(replicate, estimate): in each stratum and arm subjects are drawn, then rows of each drawn subject; median of stratum effects."""
+    """(replicate, estimate): in each stratum and arm subjects are drawn, then rows of each drawn subject; the median of the drawn rows, then of stratum effects."""
     from pairlens.operators.estimators import endpoints
 
-    each = endpoints(rows).withColumn("row", F.row_number().over(Window.partitionBy("stratum", "arm", "subject").orderBy("item_l", "item_r")))
-    outer = draws(each, "subject", replicates, seed, ["stratum", "arm"])
-    sized = each.groupBy("stratum", "arm", "subject").agg(F.count("*").alias("n"))
-    inner = outer.join(sized, ["stratum", "arm", "subject"]).withColumn("t", F.explode(F.sequence(F.lit(1), (F.col("m") * F.col("n")).cast("int"))))
-    got = inner.withColumn("row", (draw(seed + 1, F.col("replicate"), F.col("t") * 7 + F.pmod(F.col("subject").cast("long"), F.lit(1000003)), F.col("n")) + 1).cast("int")).groupBy("replicate", "stratum", "arm", "subject", "row").agg(F.count("*").alias("m"))
-    weighted = each.select("stratum", "arm", "subject", "row", "distance").join(got, ["stratum", "arm", "subject", "row"])
-    return replicate_effects(weighted).groupBy("replicate").agg(F.median(F.col("median_b") - F.col("median_a")).alias("estimate"))
+    group = ["stratum", "arm"]
+    sizes, units, each = _clusters(endpoints(rows), group, "subject", [], "item_l", "item_r")
+    outer = redrawn(_replicated(sizes, replicates), "S", "j", "s", seed, *group).join(units, [*group, "s"])
+    counts = each.groupBy(*group, "subject").agg(F.count("*").alias("n"))
+    inner = redrawn(outer.join(counts, [*group, "subject"]), "n", "k", "i", seed + 1, *group, "j")
+    seen = inner.join(each.select(*group, "subject", "i", "distance"), [*group, "subject", "i"])
+    med = seen.groupBy("replicate", *group).agg(F.median("distance").alias("median"))
+    return _arms(med).groupBy("replicate").agg(F.median(F.col("median_b") - F.col("median_a")).alias("estimate"))
 
 
 def stratified_mean(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """(replicate, estimate): categories drawn, then rows per arm in each; mean of category mean differences."""
-    cats = draws(rows, "category", replicates, seed)
-    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("category", "arm").orderBy("item_l", "item_r")))
-    inner = draws(numbered, "row", replicates, seed + 1, ["category", "arm"])
-    means = numbered.join(inner, ["category", "arm", "row"]).groupBy("replicate", "category").agg(*((F.sum(F.when(F.col("arm") == a, F.col("distance") * F.col("m"))) / F.sum(F.when(F.col("arm") == a, F.col("m")))).alias(a) for a in "AB"))
-    return means.join(cats, ["replicate", "category"]).groupBy("replicate").agg((F.sum(F.col("m") * (F.col("B") - F.col("A"))) / F.sum("m")).alias("estimate"))
+    """(replicate, estimate): categories drawn, then rows of both arms in each drawn one; the mean of their mean differences. Categories without both arms are left out."""
+    both = rows.groupBy("category").agg(F.count_distinct("arm").alias("arms")).where("arms = 2").select("category")
+    used = rows.join(both, "category", "left_semi")
+    cats = _indexed(both, "c", [], "category")
+    size = cats.agg(F.count("*").alias("C"))
+    each = _indexed(used, "i", ["category", "arm"], "item_l", "item_r")
+    counts = each.groupBy("category", "arm").agg(F.count("*").alias("n"))
+    outer = redrawn(_replicated(size, replicates), "C", "j", "c", seed).join(cats, "c").join(counts, "category")
+    inner = redrawn(outer, "n", "k", "i", seed + 1, "j", "arm")
+    seen = inner.join(each.select("category", "arm", "i", "distance"), ["category", "arm", "i"])
+    mean = lambda a: F.avg(F.when(F.col("arm") == a, F.col("distance")))
+    return seen.groupBy("replicate", "j").agg((mean("B") - mean("A")).alias("e")).groupBy("replicate").agg(F.avg("e").alias("estimate"))
 
 
 def hierarchical(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """(replicate, estimate): categories, subjects within them and their pairs drawn in turn; mean between minus mean within.
-    A between pair belongs to the clusters of both its subjects."""
+    """(replicate, estimate): categories, subjects in each drawn one, and rows of both arms of each drawn subject, all with replacement; the mean over drawn subjects of mean between
+    less mean within. A between pair belongs to both its subjects; subjects without both arms are left out."""
     from pairlens.operators.estimators import endpoints
 
-    each = endpoints(rows)
-    cats = draws(each, "category", replicates, seed).withColumnRenamed("m", "mc")
-    subj = draws(each, "subject", replicates, seed + 1, ["category"]).withColumnRenamed("m", "ms")
-    numbered = each.withColumn("row", F.row_number().over(Window.partitionBy("category", "subject", "arm").orderBy("item_l", "item_r")))
-    inner = draws(numbered, "row", replicates, seed + 2, ["category", "subject", "arm"])
-    w = numbered.join(inner, ["category", "subject", "arm", "row"]).join(subj, ["replicate", "category", "subject"]).join(cats, ["replicate", "category"])
-    weight = F.col("m") * F.col("ms") * F.col("mc")
-    mean = lambda a: F.sum(F.when(F.col("arm") == a, F.col("distance") * weight)) / F.sum(F.when(F.col("arm") == a, weight))
-    return w.groupBy("replicate").agg((mean("B") - mean("A")).alias("estimate"))
+    ends = endpoints(rows)
+    both = ends.groupBy("category", "subject").agg(F.count_distinct("arm").alias("arms")).where("arms = 2").select("category", "subject")
+    sizes, units, each = _clusters(ends.join(both, ["category", "subject"], "left_semi"), ["category"], "subject", ["arm"], "item_l", "item_r")
+    cats = _indexed(sizes, "c", [], "category")
+    size = cats.agg(F.count("*").alias("C"))
+    counts = each.groupBy("category", "subject", "arm").agg(F.count("*").alias("n"))
+    outer = redrawn(_replicated(size, replicates), "C", "a", "c", seed).join(cats, "c")
+    middle = redrawn(outer, "S", "b", "s", seed + 1, "a").join(units, ["category", "s"]).join(counts, ["category", "subject"])
+    inner = redrawn(middle, "n", "k", "i", seed + 2, "a", "b", "arm")
+    seen = inner.join(each.select("category", "subject", "arm", "i", "distance"), ["category", "subject", "arm", "i"])
+    mean = lambda a: F.avg(F.when(F.col("arm") == a, F.col("distance")))
+    return seen.groupBy("replicate", "a", "b").agg((mean("B") - mean("A")).alias("e")).groupBy("replicate").agg(F.avg("e").alias("estimate"))
 
 
 def support_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, by_pairs, by_subjects, by_ess): support weights recomputed on the rows each draw leaves. The reported value is the replicates' median."""
     from pairlens.functions.scalars import effective_size
+    from pairlens.operators.estimators import endpoints
 
-    ends = rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
-    w = pair_weights(rows, draws(ends, "subject", replicates, seed))
-    inc = w.withColumn("subject", F.explode(F.array_distinct(F.array("subject_l", "subject_r")))).groupBy("replicate", "stratum", "arm", "subject").agg(F.sum("m").alias("k"))
-    sup = inc.groupBy("replicate", "stratum", "arm").agg(F.count("*").cast("double").alias("subjects"), effective_size(F.sum("k"), F.sum(F.col("k") * F.col("k"))).alias("ess"))
-    sup = sup.join(w.groupBy("replicate", "stratum", "arm").agg(F.sum("m").cast("double").alias("pairs")), ["replicate", "stratum", "arm"])
-    pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
+    group = ["stratum", "arm"]
+    w = dyadic_weights(rows, draws(rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject")), "subject", replicates, seed), replicates)
+    pairs = vectors.summed(w, group, {"pairs": vectors.products})
+    met = vectors.summed(endpoints(w).select(*group, "subject", "ms_l", "ms_r", "one"), [*group, "subject"], {"k": vectors.products})
+    k = lambda pdf: vectors.matrix(pdf["k"])
+    met = vectors.summed(met, group, {"subjects": lambda p: (k(p) > 0).astype("<i8"), "total": k, "squares": lambda p: k(p) ** 2})
+    sup = vectors.unpacked(pairs.join(met, group), group, ["pairs", "subjects", "total", "squares"]).where("pairs > 0")
+    sup = sup.withColumn("ess", effective_size(F.col("total").cast("double"), F.col("squares")))
+    pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c).cast("double")))
     wide = sup.groupBy("replicate", "stratum").agg(*(pick(a, c).alias(f"{c}_{a}") for a in "AB" for c in ("pairs", "subjects", "ess")))
-    got = wide.join(replicate_effects(w), ["replicate", "stratum"])
+    got = wide.join(_arms(vectors.medians(w, group, "distance")), ["replicate", "stratum"])
     est = lambda c: F.sum(overlap_weight(F.col(f"{c}_A"), F.col(f"{c}_B")) * (F.col("median_b") - F.col("median_a"))) / F.sum(overlap_weight(F.col(f"{c}_A"), F.col(f"{c}_B")))
     return got.groupBy("replicate").agg(*(est(c).alias(f"by_{c}") for c in ("pairs", "subjects", "ess")))
 
@@ -194,13 +242,19 @@ def row_gain(rows: DataFrame, replicates: int, unit: str, seed: int = SEED) -> D
 
 
 def clustered_delta(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """(replicate, delta): subjects drawn within strata; equal subject means, then equal stratum means. Replicate -1 is the observed one."""
+    """(replicate, delta): subjects drawn within strata, then rows of each drawn subject; equal means of drawn subjects, then equal stratum means. Replicate -1 is the observed one.
+    rows(stratum, item_l, item_r, subject_l, subject_r, delta)."""
     from pairlens.operators.estimators import endpoints
 
-    means = endpoints(rows).groupBy("stratum", "subject").agg(F.avg("delta").alias("d"))
-    drawn = draws(means, "subject", replicates, seed, ["stratum"]).unionByName(means.select(F.lit(-1).alias("replicate"), "stratum", "subject", F.lit(1).cast("long").alias("m")))
-    per = means.join(drawn, ["stratum", "subject"]).groupBy("replicate", "stratum").agg((F.sum(F.col("m") * F.col("d")) / F.sum("m")).alias("d"))
-    return per.groupBy("replicate").agg(F.avg("d").alias("delta"))
+    sizes, units, each = _clusters(endpoints(rows), ["stratum"], "subject", [], "item_l", "item_r")
+    means = each.groupBy("stratum", "subject").agg(F.avg("delta").alias("d"))
+    seen = means.groupBy("stratum").agg(F.avg("d").alias("d")).agg(F.lit(-1).alias("replicate"), F.avg("d").alias("delta"))
+    outer = redrawn(_replicated(sizes, replicates), "S", "j", "s", seed, "stratum").join(units, ["stratum", "s"])
+    counts = each.groupBy("stratum", "subject").agg(F.count("*").alias("n"))
+    inner = redrawn(outer.join(counts, ["stratum", "subject"]), "n", "k", "i", seed + 1, "stratum", "j")
+    drawn = inner.join(each.select("stratum", "subject", "i", "delta"), ["stratum", "subject", "i"])
+    per = drawn.groupBy("replicate", "stratum", "j").agg(F.avg("delta").alias("d")).groupBy("replicate", "stratum").agg(F.avg("d").alias("d"))
+    return per.groupBy("replicate").agg(F.avg("d").alias("delta")).unionByName(seen)
 
 
 def subject_mean(rows: DataFrame, value: str, replicates: int, seed: int = SEED) -> DataFrame:
@@ -229,7 +283,9 @@ def tail_p(frame: DataFrame, value: str) -> DataFrame:
 
 
 def cluster_sign_flip(effects: DataFrame, permutations: int, seed: int = SEED) -> DataFrame:
-    """(observed, p, clusters): effects(stratum, subject, effect) of subjects present in both arms; the median of stratum medians under random signs."""
+    """(observed, p): effects(stratum, subject, effect) of subjects present in both arms; the median of stratum medians under random signs."""
+    if permutations < LEAST_PERMUTATIONS:
+        raise ValueError(f"at least {LEAST_PERMUTATIONS} permutations are needed")
     units = numbered(effects, "u", "stratum", "subject").withColumn("u", F.col("u") + 1)
     perms = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     null = perms.withColumn("e", F.col("effect") * sign(seed, F.col("replicate"), F.col("u"))).groupBy("replicate", "stratum").agg(F.median("e").alias("s")).groupBy("replicate").agg(F.median("s").alias("t"))
@@ -304,7 +360,7 @@ def subject_gains(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def contrast(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """(observed, lower, upper, p, passed) of rows(stratum, subject_l, subject_r, delta): the clustered form; passed if the lower bound is positive."""
+    """(observed, lower, upper, p, passed) of rows(stratum, item_l, item_r, subject_l, subject_r, delta): the clustered form; passed if the lower bound is positive."""
     got = clustered_delta(rows, replicates, seed)
     seen = got.where("replicate = -1").select(F.col("delta").alias("observed"))
     rest = got.where("replicate >= 0")

@@ -60,6 +60,11 @@ def _draw(rep: str, k: str, n: str, seed: int | str = SEED) -> str:
     return f"((((({x} * {x}) % {_P}) * 48271 + {x}) % {_P}) % {n})"
 
 
+def _own_seed(*keys: str, seed: int = SEED) -> str:
+    """A group's own seed: the seed plus the first 28 bits of the MD5 of its keys."""
+    return f"({seed} + ('0x' || md5(concat_ws('|', {', '.join(keys)}))[1:7])::BIGINT)"
+
+
 def _order(unit: str, seed: int) -> str:
     return _draw(f"({unit} % 1000003)", "1", str(_P), seed)
 
@@ -698,7 +703,7 @@ def dyadic_bootstrap_global(spark, sf_dir):
 
 
 _DRAWS_S = f""", un AS (SELECT stratum, subject, row_number() OVER (PARTITION BY stratum ORDER BY subject) - 1 AS idx FROM (SELECT DISTINCT stratum, unnest([subject_l, subject_r]) AS subject FROM pairs)), sz AS (SELECT stratum, count(*) AS n FROM un GROUP BY stratum),
-dr AS (SELECT rep AS replicate, stratum, idx, count(*) AS m FROM (SELECT rep, stratum, {_draw('rep', 'k', 'n')} AS idx FROM sz CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, stratum, idx),
+dr AS (SELECT rep AS replicate, stratum, idx, count(*) AS m FROM (SELECT rep, stratum, {_draw('rep', 'k', 'n', _own_seed('stratum'))} AS idx FROM sz CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, stratum, idx),
 ws AS (SELECT replicate, stratum, subject, m FROM dr JOIN un USING (stratum, idx)),
 pw AS (SELECT p.*, l.replicate, CASE WHEN subject_l = subject_r THEN l.m ELSE l.m * r.m END AS m FROM pairs p JOIN ws l ON l.subject = subject_l AND l.stratum = p.stratum JOIN ws r ON r.subject = subject_r AND r.stratum = p.stratum AND r.replicate = l.replicate)"""
 
@@ -729,33 +734,68 @@ def exact_sign_flip(spark, sf_dir):
 
 
 @query(_PAIRS + _ENDS.format(t="pairs") + f""", se AS (SELECT *, row_number() OVER (ORDER BY stratum, subject) AS u FROM (SELECT stratum, subject, avg(distance) FILTER (arm = 'B') - avg(distance) FILTER (arm = 'A') AS e FROM ends GROUP BY stratum, subject) WHERE e IS NOT NULL),
-nu AS (SELECT rep, median(s) AS t FROM (SELECT rep, stratum, median(e * (1 - 2 * {_draw('rep', 'u', '2')})) AS s FROM se CROSS JOIN range(200) r(rep) GROUP BY rep, stratum) GROUP BY rep), ob AS (SELECT median(s) AS o FROM (SELECT median(e) AS s FROM se GROUP BY stratum))
+nu AS (SELECT rep, median(s) AS t FROM (SELECT rep, stratum, median(e * (1 - 2 * {_draw('rep', 'u', '2')})) AS s FROM se CROSS JOIN range({REPLICATES}) r(rep) GROUP BY rep, stratum) GROUP BY rep), ob AS (SELECT median(s) AS o FROM (SELECT median(e) AS s FROM se GROUP BY stratum))
 SELECT round(max(o), 6) AS observed, round((count(*) FILTER (t >= o) + 1) / (count(*) + 1), 6) AS p FROM nu CROSS JOIN ob""")
 def cluster_sign_flip(spark, sf_dir):
-    return rounded(resample.cluster_sign_flip(resample.subject_effects(evaluation_pairs(spark, sf_dir)), 200, SEED))
+    return rounded(resample.cluster_sign_flip(resample.subject_effects(evaluation_pairs(spark, sf_dir)), REPLICATES, SEED))
 
 
-@query()
+_OVERLAP = ", ow AS (SELECT stratum, a * b / (a + b) AS w FROM (SELECT stratum, count(*) FILTER (arm = 'A') AS a, count(*) FILTER (arm = 'B') AS b FROM pairs GROUP BY stratum) WHERE a > 0 AND b > 0)"
+_ITEM_DRAWS = f""", un AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT unnest([arm || '#' || item_l, arm || '#' || item_r]) AS unit FROM pairs)),
+dr AS (SELECT rep AS replicate, idx, count(*) AS m FROM (SELECT rep, {_draw('rep', 'k', 'n')} AS idx FROM (SELECT max(n) AS n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, idx),
+ws AS (SELECT replicate, unit, m FROM dr JOIN un USING (idx)),
+pw AS (SELECT p.*, l.replicate, l.m * r.m AS m FROM pairs p JOIN ws l ON l.unit = arm || '#' || item_l JOIN ws r ON r.unit = arm || '#' || item_r AND r.replicate = l.replicate)"""
+
+
+@query(_PAIRS + _ITEM_DRAWS + _WMED + _OVERLAP + " SELECT replicate, round(sum(w * e) / sum(w), 6) AS estimate, count(*) AS strata FROM re JOIN ow USING (stratum) GROUP BY replicate")
 def item_block_bootstrap(spark, sf_dir):
     return rounded(resample.arm_items(evaluation_pairs(spark, sf_dir), REPLICATES, SEED, independent=True))
 
 
-@query()
+_NESTED = f""", u AS (SELECT {{g}}, subject, row_number() OVER (PARTITION BY {{g}} ORDER BY subject) - 1 AS s, count(*) OVER (PARTITION BY {{g}}) AS z FROM (SELECT DISTINCT {{g}}, subject FROM ends)),
+er AS (SELECT *, row_number() OVER (PARTITION BY {{g}}, subject ORDER BY item_l, item_r) - 1 AS i, count(*) OVER (PARTITION BY {{g}}, subject) AS n FROM ends),
+o AS (SELECT rep, {{g}}, j, {_draw('rep', 'j', 'z', '{outer}')} AS s FROM (SELECT DISTINCT {{g}}, z FROM u) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(z)) AS j)),
+d AS (SELECT rep, {{g}}, j, subject, {_draw('rep', 'k', 'n', '{inner}')} AS i FROM o JOIN u USING ({{g}}, s) JOIN (SELECT DISTINCT {{g}}, subject, n FROM er) USING ({{g}}, subject) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k))"""
+
+
+def _nested(*group: str) -> str:
+    return _NESTED.format(g=", ".join(group), outer=_own_seed(*group), inner=_own_seed(*group, "j", seed=SEED + 1))
+
+
+@query(_PAIRS + _ENDS.format(t="pairs") + _nested("stratum", "arm") + """, md AS (SELECT rep, stratum, arm, median(distance) AS m FROM d JOIN er USING (stratum, arm, subject, i) GROUP BY rep, stratum, arm)
+SELECT rep AS replicate, round(median(e), 6) AS estimate FROM (SELECT rep, stratum, max(m) FILTER (arm = 'B') - max(m) FILTER (arm = 'A') AS e FROM md GROUP BY rep, stratum HAVING count(*) = 2) GROUP BY rep""")
 def nested_cluster_bootstrap(spark, sf_dir):
     return rounded(resample.nested_cluster(evaluation_pairs(spark, sf_dir), REPLICATES, SEED))
 
 
-@query()
+@query(_PAIRS + _ENDS.format(t="pairs") + f""", us AS (SELECT category, subject FROM ends GROUP BY category, subject HAVING count(DISTINCT arm) = 2), us2 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY subject) - 1 AS s, count(*) OVER (PARTITION BY category) AS z FROM us),
+er AS (SELECT category, subject, arm, distance, row_number() OVER (PARTITION BY category, subject, arm ORDER BY item_l, item_r) - 1 AS i, count(*) OVER (PARTITION BY category, subject, arm) AS n FROM ends JOIN us USING (category, subject)),
+ca AS (SELECT category, z, row_number() OVER (ORDER BY category) - 1 AS c, count(*) OVER () AS cs FROM (SELECT DISTINCT category, z FROM us2)),
+o AS (SELECT rep, a, {_draw('rep', 'a', 'cs')} AS c FROM (SELECT max(cs) AS cs FROM ca) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(cs)) AS a)),
+m AS (SELECT rep, a, b, category, {_draw('rep', 'b', 'z', _own_seed('a', seed=SEED + 1))} AS s FROM o JOIN ca USING (c) CROSS JOIN LATERAL (SELECT unnest(range(z)) AS b)),
+d AS (SELECT rep, a, b, category, subject, arm, {_draw('rep', 'k', 'n', _own_seed('a', 'b', 'arm', seed=SEED + 2))} AS i FROM m JOIN us2 USING (category, s) JOIN (SELECT DISTINCT category, subject, arm, n FROM er) USING (category, subject) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)),
+e AS (SELECT rep, a, b, avg(distance) FILTER (arm = 'B') - avg(distance) FILTER (arm = 'A') AS e FROM d JOIN er USING (category, subject, arm, i) GROUP BY rep, a, b)
+SELECT rep AS replicate, round(avg(e), 6) AS estimate FROM e GROUP BY rep""")
 def hierarchical_bootstrap(spark, sf_dir):
     return rounded(resample.hierarchical(evaluation_pairs(spark, sf_dir), REPLICATES, SEED))
 
 
-@query()
+@query(_PAIRS + f""", us AS (SELECT category FROM pairs GROUP BY category HAVING count(DISTINCT arm) = 2),
+er AS (SELECT category, arm, distance, row_number() OVER (PARTITION BY category, arm ORDER BY item_l, item_r) - 1 AS i, count(*) OVER (PARTITION BY category, arm) AS n FROM pairs JOIN us USING (category)),
+ca AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS c, count(*) OVER () AS cs FROM us),
+o AS (SELECT rep, j, {_draw('rep', 'j', 'cs')} AS c FROM (SELECT max(cs) AS cs FROM ca) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(cs)) AS j)),
+d AS (SELECT rep, j, category, arm, {_draw('rep', 'k', 'n', _own_seed('j', 'arm', seed=SEED + 1))} AS i FROM o JOIN ca USING (c) JOIN (SELECT DISTINCT category, arm, n FROM er) USING (category) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)),
+e AS (SELECT rep, j, avg(distance) FILTER (arm = 'B') - avg(distance) FILTER (arm = 'A') AS e FROM d JOIN er USING (category, arm, i) GROUP BY rep, j)
+SELECT rep AS replicate, round(avg(e), 6) AS estimate FROM e GROUP BY rep""")
 def stratified_mean_bootstrap(spark, sf_dir):
     return rounded(resample.stratified_mean(evaluation_pairs(spark, sf_dir), REPLICATES, SEED))
 
 
-@query()
+@query(_PAIRS + _DRAWS.format(t="pairs") + _WMED + """, k AS (SELECT replicate, stratum, arm, subject, sum(m) AS k FROM (SELECT *, unnest(CASE WHEN subject_l = subject_r THEN [subject_l] ELSE [subject_l, subject_r] END) AS subject FROM pw) GROUP BY replicate, stratum, arm, subject),
+su AS (SELECT replicate, stratum, arm, count(*) AS s, sum(k) * sum(k) / sum(k * k) AS e FROM k GROUP BY replicate, stratum, arm), np AS (SELECT replicate, stratum, arm, sum(m) AS p FROM pw GROUP BY replicate, stratum, arm),
+w AS (SELECT replicate, stratum, max(p) FILTER (arm = 'A') AS pa, max(p) FILTER (arm = 'B') AS pb, max(s) FILTER (arm = 'A') AS sa, max(s) FILTER (arm = 'B') AS sb, max(su.e) FILTER (arm = 'A') AS ea, max(su.e) FILTER (arm = 'B') AS eb FROM su JOIN np USING (replicate, stratum, arm) GROUP BY replicate, stratum HAVING count(*) = 2)
+SELECT replicate, round(sum(pa * pb / (pa + pb) * e) / sum(pa * pb / (pa + pb)), 6) AS by_pairs, round(sum(sa * sb / (sa + sb) * e) / sum(sa * sb / (sa + sb)), 6) AS by_subjects, round(sum(ea * eb / (ea + eb) * e) / sum(ea * eb / (ea + eb)), 6) AS by_ess
+FROM w JOIN re USING (replicate, stratum) GROUP BY replicate""")
 def support_bootstrap(spark, sf_dir):
     return rounded(resample.support_bootstrap(evaluation_pairs(spark, sf_dir), REPLICATES, SEED))
 
@@ -772,10 +812,12 @@ def row_gain_interval(spark, sf_dir):
     return rounded(resample.interval(resample.row_gain(s, REPLICATES, "pair_id", SEED), "gain"))
 
 
-@query(_SCORED + _ENDS.format(t="scored") + f""", me AS (SELECT stratum, subject, avg(base_error - error) AS d FROM ends GROUP BY stratum, subject), un AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY subject) - 1 AS idx, count(*) OVER (PARTITION BY stratum) AS n FROM me),
-dr AS (SELECT rep, stratum, idx, count(*) AS m FROM (SELECT rep, stratum, {_draw('rep', 'k', 'n')} AS idx FROM (SELECT DISTINCT stratum, n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, stratum, idx),
-al AS (SELECT rep, stratum, m, d FROM dr JOIN un USING (stratum, idx) UNION ALL SELECT -1, stratum, 1, d FROM un)
-SELECT rep AS replicate, round(avg(d), 6) AS delta FROM (SELECT rep, stratum, sum(m * d) / sum(m) AS d FROM al GROUP BY rep, stratum) GROUP BY rep""")
+_CLUSTERED = _SCORED + _ENDS.format(t="scored") + _nested("stratum") + """, cl AS (SELECT rep, stratum, j, avg(base_error - error) AS x FROM d JOIN er USING (stratum, subject, i) GROUP BY rep, stratum, j),
+al AS (SELECT rep, avg(x) AS delta FROM (SELECT rep, stratum, avg(x) AS x FROM cl GROUP BY rep, stratum) GROUP BY rep
+ UNION ALL SELECT -1, avg(x) FROM (SELECT stratum, avg(x) AS x FROM (SELECT stratum, subject, avg(base_error - error) AS x FROM ends GROUP BY stratum, subject) GROUP BY stratum))"""
+
+
+@query(_CLUSTERED + " SELECT rep AS replicate, round(delta, 6) AS delta FROM al")
 def clustered_delta_bootstrap(spark, sf_dir):
     s = scored_pairs(spark, sf_dir).withColumn("delta", F.col("base_error") - F.col("error"))
     return rounded(resample.clustered_delta(s, REPLICATES, SEED))
@@ -793,8 +835,8 @@ def ranking_bootstrap(spark, sf_dir):
 
 
 @query(_SCORED + _ENDS.format(t="scored") + f""", sg AS (SELECT subject, avg(base_error - error) AS d FROM ends GROUP BY subject), un AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS idx, count(*) OVER () AS n FROM sg),
-qs AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS q), dr AS (SELECT rep, idx, count(*) AS m FROM (SELECT rep, {_draw('rep', 'k', 'n')} AS idx FROM (SELECT max(n) AS n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, idx),
-mg AS (SELECT rep, mode, q, sum(m * d * (1 + f * q)) / sum(m) AS g FROM dr JOIN un USING (idx) CROSS JOIN qs CROSS JOIN (VALUES ('ordinary', 1.0::DOUBLE), ('balanced', 0.4)) AS a(mode, f) GROUP BY rep, mode, q), sl AS (SELECT rep, mode, regr_slope(g, q) AS s FROM mg GROUP BY rep, mode)
+qs AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS q), dr AS (SELECT rep, q, idx, count(*) AS m FROM (SELECT rep, q, {_draw('rep', 'k', 'n', _own_seed('q'))} AS idx FROM (SELECT max(n) AS n FROM un) CROSS JOIN qs CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)) GROUP BY rep, q, idx),
+mg AS (SELECT rep, mode, q, sum(m * d * (1 + f * q)) / sum(m) AS g FROM dr JOIN un USING (idx) CROSS JOIN (VALUES ('ordinary', 1.0::DOUBLE), ('balanced', 0.4)) AS a(mode, f) GROUP BY rep, mode, q), sl AS (SELECT rep, mode, regr_slope(g, q) AS s FROM mg GROUP BY rep, mode)
 SELECT rep AS replicate, round(max(s) FILTER (mode = 'ordinary') - max(s) FILTER (mode = 'balanced'), 6) AS contrast FROM sl GROUP BY rep""")
 def slope_bootstrap(spark, sf_dir):
     s = estimators.endpoints(scored_pairs(spark, sf_dir)).groupBy("subject").agg(F.avg(F.col("base_error") - F.col("error")).alias("d"))
@@ -894,7 +936,8 @@ def subject_gains(spark, sf_dir):
     return rounded(resample.subject_gains(scored_pairs(spark, sf_dir)))
 
 
-@query()
+@query(_CLUSTERED + """ SELECT round(max(delta) FILTER (rep = -1), 6) AS observed, round(quantile_cont(delta, 0.025) FILTER (rep >= 0), 6) AS lower, round(quantile_cont(delta, 0.975) FILTER (rep >= 0), 6) AS upper,
+round((count(*) FILTER (rep >= 0 AND delta <= 0) + 1) / (count(*) FILTER (rep >= 0) + 1), 6) AS p, quantile_cont(delta, 0.025) FILTER (rep >= 0) > 0 AS passed FROM al""")
 def paired_contrast(spark, sf_dir):
     s = scored_pairs(spark, sf_dir).withColumn("delta", F.col("base_error") - F.col("error"))
     return rounded(resample.contrast(s, REPLICATES, SEED))

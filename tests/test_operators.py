@@ -147,7 +147,7 @@ def test_draws_are_multinomial(spark):
 
 
 def test_clustered_delta(spark):
-    rows = spark.createDataFrame([("A", 1, 1, 1.0)] * 3 + [("A", 2, 2, -1.0)], "stratum string, subject_l long, subject_r long, delta double")
+    rows = spark.createDataFrame([("A", i, i, 1, 1, 1.0) for i in range(3)] + [("A", 9, 9, 2, 2, -1.0)], "stratum string, item_l long, item_r long, subject_l long, subject_r long, delta double")
     got = {r["replicate"]: r["delta"] for r in resample.clustered_delta(rows, 20).collect()}
     assert got[-1] == 0.0 and len(got) == 21
 
