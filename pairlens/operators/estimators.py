@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.ordering import average_rank, correlation
@@ -37,9 +37,8 @@ def median_of_medians(effects: DataFrame) -> DataFrame:
 
 def leave_one_out(effects: DataFrame) -> DataFrame:
     """The overlap-weighted effect without each stratum, from totals less the stratum."""
-    whole = Window.partitionBy(F.lit(0))
-    w, c = F.sum("weight").over(whole), F.sum("contribution").over(whole)
-    return effects.select("stratum", F.try_divide(c - F.col("contribution"), w - F.col("weight")).alias("estimate"))
+    totals = effects.agg(F.sum("weight").alias("__w"), F.sum("contribution").alias("__c"))
+    return effects.crossJoin(F.broadcast(totals)).select("stratum", F.try_divide(F.col("__c") - F.col("contribution"), F.col("__w") - F.col("weight")).alias("estimate"))
 
 
 def subject_support(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.ordering import average_rank, correlation
+from pairlens.functions.ordering import average_ranks, correlation
 from pairlens.functions.scalars import haversine_km
 
 
@@ -48,7 +48,7 @@ def normalised(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def compared(first: DataFrame, second: DataFrame) -> DataFrame:
     """(relations, pearson, spearman, reversals) of two matrices over their relations l < r."""
     both = first.where("l < r").select("l", "r", F.col("value").alias("x")).join(second.select("l", "r", F.col("value").alias("y")), ["l", "r"])
-    both = both.withColumn("rx", average_rank("x", [])).withColumn("ry", average_rank("y", []))
+    both = average_ranks(average_ranks(both, [], "x", "rx"), [], "y", "ry")
     stats = both.agg(F.count("*").alias("relations"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
     key = F.struct("l", "r")
     a = both.select(F.lit(1).alias("k"), key.alias("p"), F.col("x").alias("xa"), F.col("y").alias("ya"))

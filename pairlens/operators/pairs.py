@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.plans.scan import Run, scan
+from pairlens.plans.storage import settled
+
 SEED = 20260829
 
 
@@ -75,28 +78,47 @@ def order_key(seed: int = SEED):
 
 def pair_ids(pairs: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``pair_id`` as group and number in the given order, per group."""
-    return pairs.withColumn("pair_id", F.format_string("%s-%06d", F.col(group), F.row_number().over(Window.partitionBy(group).orderBy(*order))))
+    return scan(pairs, [group], order, {"__i": Run("count")}).withColumn("pair_id", F.format_string("%s-%06d", F.col(group), F.col("__i"))).drop("__i")
 
 
 def consecutive_pairs(items: DataFrame) -> DataFrame:
     """Round-robin selection of A pairs without reuse: in each stratum and subject the items in order are paired 1-2, 3-4, ...;
     the turn is the pick's rank in the stratum, and picks go by turn and stratum. All strata at once."""
-    own = Window.partitionBy("split", "category", "subject").orderBy("condition", "item")
-    ahead = items.withColumn("n", F.row_number().over(own)).withColumn("item_r", F.lead("item").over(own)).where("n % 2 = 1 AND item_r IS NOT NULL")
-    turn = F.row_number().over(Window.partitionBy("split", "category").orderBy("subject", "condition", "item"))
-    picks = ahead.withColumn("turn", turn).select("split", "category", "subject", F.col("item").alias("item_l"), "item_r", "turn")
-    return picks.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("turn", "category")))
+    own = ["split", "category", "subject"]
+    numbered = scan(items.select(*own, "condition", "item"), own, ["condition", "item"], {"n": Run("count")})
+    first = F.col("n") % 2 == 1
+    twos = numbered.groupBy(*own, F.floor((F.col("n") + 1) / 2).alias("two")).agg(F.max(F.when(first, F.col("item"))).alias("item_l"), F.max(F.when(~first, F.col("item"))).alias("item_r"))
+    picks = scan(twos.where("item_r IS NOT NULL"), ["split", "category"], ["subject", "two"], {"turn": Run("count")})
+    return scan(picks, ["split"], ["turn", "category"], {"place": Run("count")}).select(*own, "item_l", "item_r", "turn", "place")
 
 
-def greedy_matching(pairs: DataFrame, seed: int = SEED, rounds: int = 200) -> DataFrame:
-    """Pairs kept when they are taken in the order of their hash and none may touch a used item (per arm).
+def greedy_matching(pairs: DataFrame, seed: int = SEED, rounds: int = 200, limit: int | None = None) -> DataFrame:
+    """Pairs kept when they are taken in the order of their hash and none may touch a used item (per arm), at most ``limit`` of an arm.
 
     The sequential rule equals this: keep every pair that is the least at both its ends, drop what touches it,
     repeat. Each round is one aggregation and two joins and is written to the shared folder; few rounds are needed.
+    With a limit only pairs under a threshold of the hash are taken up: what is kept among them does not depend on the others. The threshold rises until every arm is proved to
+    have its limit or has no more pairs.
     """
-    from pairlens.plans.storage import settled
-
-    left = settled(pairs.select("arm", "stratum", "item_l", "item_r", order_key(seed).alias("key")))
+    keyed = pairs.select("arm", "stratum", "item_l", "item_r", order_key(seed).alias("key"))
+    if limit is None:
+        return _least_at_both_ends(settled(keyed), rounds)
+    sizes = {r["arm"]: r["n"] for r in keyed.groupBy("arm").agg(F.count("*").alias("n")).collect()}
+    share = {a: min(1.0, 4 * limit / n) for a, n in sizes.items()}
+    while True:
+        under = F.lit(False)
+        for arm, part in share.items():
+            under = under | ((F.col("arm") == arm) & (F.substring("key", 1, 8) <= f"{round(part * 0xFFFFFFFF):08x}"))
+        kept = settled(_least_at_both_ends(settled(keyed.where(under)), rounds))
+        placed = scan(kept, ["arm"], ["key"], {"__i": Run("count")}, {"__n": Run("count")})
+        got = {r["arm"]: r["n"] for r in placed.groupBy("arm").agg(F.max("__n").alias("n")).collect()}
+        short = [a for a, part in share.items() if part < 1 and got.get(a, 0) < limit]
+        if not short:
+            return placed.where(F.col("__i") <= limit).drop("__i", "__n")
+        share |= {a: min(1.0, 4 * share[a]) for a in short}
+
+
+def _least_at_both_ends(left: DataFrame, rounds: int) -> DataFrame:
     kept = None
     for _ in range(rounds):
         if left.isEmpty():
@@ -116,31 +138,77 @@ def greedy_matching(pairs: DataFrame, seed: int = SEED, rounds: int = 200) -> Da
     return kept if kept is not None else left
 
 
-def leftovers_matched(items: DataFrame, bucket: str = "subject", within: tuple[str, ...] = ("split", "category")) -> DataFrame:
-    """Greedy B (bucket subject) or C (bucket category, within subject) selection: each stratum is matched alone,
-    in order, items of earlier buckets with the next free one of a later bucket."""
+def bucket_matching(items: DataFrame, bucket: str = "subject", within: tuple[str, ...] = ("split", "category"), rounds: int = 64) -> DataFrame:
+    """Greedy B (bucket subject) or C (bucket category, within split and subject) selection without reuse, in all strata at once: (within, item_l, item_r, turn), the turn from 1 in the
+    stratum. The rule goes through the pairs of buckets in order and takes the first free items of either.
+
+    No pair that is not kept is ever made. Lay a stratum's items in one line, by bucket: what is left of a bucket, places s to e, is taken with as many items that follow, e to 2e - s,
+    and what is left of the bucket at 2e - s goes on from there. So the kept pairs follow from the places where buckets are taken up. These are found from the first by doubling
+    jumps, a logarithm of rounds of joins on unique places.
+    """
+    order = [*within, bucket, "condition", "item"]
+    line = settled(scan(items.select(*order), [], order, {"pos": Run("count")}))
+    ends = line.groupBy(*within, bucket).agg((F.max("pos") + 1).alias("e"))
+    strata = line.groupBy(*within).agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("stop"))
+    line = settled(line.join(ends, [*within, bucket]).join(strata, list(within)))
+    jump = settled(line.select("pos", (2 * F.col("e") - F.col("pos")).alias("to"), "stop").where("to < stop").select("pos", "to"))
+    reached = settled(strata.select(F.col("first").alias("pos")))
+    for _ in range(rounds):
+        if jump.isEmpty():
+            break
+        reached = settled(reached.unionByName(reached.join(jump, "pos").select(F.col("to").alias("pos"))))
+        jump = settled(jump.join(jump.select(F.col("pos").alias("to"), F.col("to").alias("next")), "to").select("pos", F.col("next").alias("to")))
+    else:
+        raise RuntimeError("buckets are still open")
+    taken = line.join(reached, "pos").select(*within, bucket, F.col("pos").alias("s"))
+    left = line.join(taken, [*within, bucket]).where("pos >= s").select(*within, F.col("item").alias("item_l"), (F.col("pos") - F.col("first")).alias("at"), (F.col("e") + F.col("pos") - F.col("s")).alias("pos"), "stop").where("pos < stop")
+    both = left.join(line.select("pos", F.col("item").alias("item_r")), "pos")
+    return scan(both.select(*within, "item_l", "item_r", "at"), list(within), ["at"], {"turn": Run("count")}).drop("at")
+
+
+def round_robin(picks: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """``picks(split, label, turn)`` with their ``place`` from 1 over all: by split, turn and label, the first ``limit`` alone. Strata share no item, so a limit cuts a prefix."""
+    placed = scan(picks, [], ["split", "turn", label], {"place": Run("count")})
+    return placed if limit is None else placed.where(F.col("place") <= limit)
+
+
+def crossed_selected(items: DataFrame, limit: int) -> DataFrame:
+    """D selection: (split, label, item_l, item_r, place), at most ``limit`` pairs over all splits in order. Strata are the pairs of categories; in every turn each takes its first
+    pair of unused items of two subjects, items in the order of (subject, condition, item).
+
+    The strata share items, so turns are sequential; but ``limit`` pairs use at most so many items of a category, and of one subject always the first unused. So the
+    first ``limit`` items of each subject, and of those the first 2 limit + 1 of each category, hold every pair that can be kept: candidates are cut to these by two scans, and the turns run over
+    at most categories x (2 limit + 1) items of a split, whatever the table's size. No pair is made but those kept.
+    """
+    own = scan(items.select("split", "category", "subject", "condition", "item"), ["split", "category", "subject"], ["condition", "item"], {"__i": Run("count")}).where(F.col("__i") <= limit)
+    near = scan(own, ["split", "category"], ["subject", "condition", "item"], {"at": Run("count")}).where(F.col("at") <= 2 * limit + 1)
 
-    def match(pdf):
+    def turns(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values([bucket, "condition", "item"])
-        rows = pdf[[*within, bucket, "item"]].values.tolist()
-        free = list(range(len(rows)))
-        out, used = [], [False] * len(rows)
-        nxt = 0
-        for k in free:
-            if used[k]:
-                continue
-            nxt = max(nxt, k + 1)
-            while nxt < len(rows) and (used[nxt] or rows[nxt][-2] == rows[k][-2]):
-                nxt += 1
-            if nxt == len(rows):
-                nxt = k + 1
-                continue
-            used[k] = used[nxt] = True
-            out.append([*rows[k][:-2], rows[k][-1], rows[nxt][-1]])
-        return pd.DataFrame(out, columns=[*within, "item_l", "item_r"])
-
-    cols = items.select(*within, bucket, "condition", "item")
-    kinds = ", ".join(f"{c} {t}" for c, t in cols.dtypes if c in within)
-    return cols.groupBy(*within).applyInPandas(match, f"{kinds}, item_l long, item_r long")
+        lines = {c: list(zip(g["subject"], g["item"], strict=True)) for c, g in pdf.sort_values("at").groupby("category", sort=True)}
+        labels = sorted(((a, b) for a in lines for b in lines if a < b), key=lambda x: f"{x[0]}::{x[1]}")
+        used, out = set(), []
+        while labels and len(out) < limit:
+            still = []
+            for a, b in labels:
+                lines[a], lines[b] = ([x for x in lines[c] if x[1] not in used] for c in (a, b))
+                pick = next(((x, y) for x in _one_a_subject(lines[a]) for y in _one_a_subject(lines[b]) if x[0] != y[0]), None)
+                if pick is None or len(out) >= limit:
+                    continue
+                used |= {pick[0][1], pick[1][1]}
+                out.append((f"{a}::{b}", pick[0][1], pick[1][1]))
+                still.append((a, b))
+            labels = still
+        split = pdf["split"].iloc[0]
+        return pd.DataFrame([(split, *x, k + 1) for k, x in enumerate(out)], columns=["split", "label", "item_l", "item_r", "turn"])
+
+    kind = dict(items.dtypes)["item"]
+    got = near.groupBy("split").applyInPandas(turns, f"split string, label string, item_l {kind}, item_r {kind}, turn long")
+    return round_robin(got, "label", limit).drop("turn")
+
+
+def _one_a_subject(line: list) -> list:
+    """The first item of each subject, at most two: a third never serves a pair that these do not."""
+    out = line[:1]
+    return out + next(([x] for x in line if x[0] != line[0][0]), []) if line else out

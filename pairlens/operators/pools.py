@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.scalars import draw
+from pairlens.plans.scan import Run, scan
+from pairlens.plans.storage import settled
 
 Q_GRID = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 
@@ -46,15 +48,14 @@ def prevalence_capacity(pairs: DataFrame, grid: tuple[float, ...] = Q_GRID, step
 
 def nested_masks(pool: DataFrame, unit: str, seed: int, grid: tuple[float, ...] = Q_GRID) -> DataFrame:
     """(unit, q, active): one random rank, the first round(q*n) active for every q (half to even), so masks nest."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = pool.select(unit).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_of(seed, unit), unit))).withColumn("n", n)
+    ranked = scan(pool.select(unit), [], [order_of(seed, unit), unit], {"rank": Run("count")}, {"n": Run("count")})
     return ranked.withColumn("q", F.explode(F.array(*map(F.lit, grid)))).select(unit, "q", (F.col("rank") <= F.bround(F.col("q") * F.col("n"))).alias("active"))
 
 
 def natural_pools(pool: DataFrame, unit: str, size: int, seed: int, grid: tuple[float, ...] = Q_GRID) -> DataFrame:
     """(q, unit): without replacement, round(q*size) of the non-zero targets and the rest of the zero ones."""
     kind = F.col("target") != 0
-    ranked = pool.select(unit, kind.alias("nz")).withColumn("rank", F.row_number().over(Window.partitionBy("nz").orderBy(order_of(seed, unit), unit)))
+    ranked = scan(pool.select(unit, kind.alias("nz")), ["nz"], [order_of(seed, unit), unit], {"rank": Run("count")})
     q = ranked.withColumn("q", F.explode(F.array(*map(F.lit, grid))))
     want = F.bround(F.col("q") * size)
     return q.where(F.col("rank") <= F.when(F.col("nz"), want).otherwise(size - want)).select("q", unit)
@@ -62,17 +63,16 @@ def natural_pools(pool: DataFrame, unit: str, size: int, seed: int, grid: tuple[
 
 def allocation(pool: DataFrame, stratum: str, size: int) -> DataFrame:
     """(stratum, n, share): largest-remainder allocation of ``size`` places; ties to the least stratum."""
-    w = Window.partitionBy(F.lit(0))
-    g = pool.groupBy(stratum).agg(F.count("*").alias("n")).withColumn("exact", F.col("n") * size / F.sum("n").over(w)).withColumn("base", F.floor("exact"))
-    left = size - F.sum("base").over(w)
-    place = F.row_number().over(w.orderBy(F.round(F.col("base") - F.col("exact"), 9), stratum))
-    return g.withColumn("share", F.col("base") + F.when(place <= left, 1).otherwise(0)).select(stratum, "n", F.col("share").cast("long").alias("share"))
+    total = pool.agg(F.count("*").alias("__n"))
+    g = pool.groupBy(stratum).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).withColumn("exact", F.col("n") * size / F.col("__n")).withColumn("base", F.floor("exact"))
+    placed = scan(g, [], [F.round(F.col("base") - F.col("exact"), 9), stratum], {"place": Run("count")}, {"given": Run("sum", "base")})
+    return placed.select(stratum, "n", (F.col("base") + F.when(F.col("place") <= size - F.col("given"), 1).otherwise(0)).cast("long").alias("share"))
 
 
 def allocated_sample(pool: DataFrame, stratum: str, unit: str, size: int, seed: int) -> DataFrame:
     places = allocation(pool, stratum, size).select(stratum, "share")
-    ranked = pool.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(order_of(seed, unit), unit)))
-    return ranked.join(F.broadcast(places), stratum).where("__r <= share").drop("__r", "share")
+    ranked = scan(pool, [stratum], [order_of(seed, unit), unit], {"__r": Run("count")})
+    return ranked.join(places, stratum).where("__r <= share").drop("__r", "share")
 
 
 def inventories(pool: DataFrame, unit: str, fractions: tuple[float, ...]) -> DataFrame:
@@ -84,15 +84,15 @@ def inventories(pool: DataFrame, unit: str, fractions: tuple[float, ...]) -> Dat
 
 def rotated(frame: DataFrame, unit: str, value: str, seed: int) -> DataFrame:
     """``shuffled``: each unit gets the next one's value in a random circle: no unit keeps its place, the histogram stays."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order_of(seed, unit), unit)
-    ends = Window.partitionBy(F.lit(0)).orderBy(order_of(seed, unit), unit).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return frame.withColumn("shuffled", F.coalesce(F.lead(value).over(w), F.first(value).over(ends)))
+    placed = settled(scan(frame, [], [order_of(seed, unit), unit], {"__i": Run("count")}, {"__n": Run("count")}))
+    before = F.when(F.col("__i") == 1, F.col("__n")).otherwise(F.col("__i") - 1)
+    return placed.join(placed.select(before.alias("__i"), F.col(value).alias("shuffled")), "__i").drop("__i", "__n")
 
 
 def folds(frame: DataFrame, subject: str, k: int, seed: int) -> DataFrame:
     """(subject, fold): whole subjects dealt out in random order."""
-    s = frame.select(subject).distinct()
-    return s.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_of(seed, subject), subject)) - 1, F.lit(k)))
+    s = scan(frame.select(subject).distinct(), [], [order_of(seed, subject), subject], {"__i": Run("count")})
+    return s.select(subject, F.pmod(F.col("__i") - 1, F.lit(k)).alias("fold"))
 
 
 def folds_without_cross(frame: DataFrame, assigned: DataFrame, subject: str) -> DataFrame:

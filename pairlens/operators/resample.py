@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.scalars import draw, group_seed, improvement, multiplicity, overlap_weight, sign
 from pairlens.operators import replicates as vectors
+from pairlens.plans.scan import Run, scan
 from pairlens.plans.storage import numbered
 
 SEED, LEAST_PERMUTATIONS = 20260829, 1000
@@ -24,10 +25,7 @@ def draws(units: DataFrame, unit: str, replicates: int, seed: int = SEED, within
     """(replicate, within, unit, m): multiplicities of n draws from the n units (of each group of ``within``)."""
     within = within or []
     distinct = units.select(*within, unit).distinct()
-    if within:
-        indexed = distinct.withColumn("idx", F.row_number().over(Window.partitionBy(*within).orderBy(unit)) - 1)
-    else:
-        indexed = numbered(distinct, "idx", unit)
+    indexed = _indexed(distinct, "idx", within, unit)
     sizes = indexed.groupBy(*within).agg(F.count("*").alias("n")).withColumn("__s", group_seed(seed, *within) if within else F.lit(seed))
     grid = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     drawn = grid.withColumn("idx", draw(F.col("__s"), F.col("replicate"), F.col("k"), F.col("n")).cast("long")).groupBy("replicate", *within, "idx").agg(F.count("*").alias("m"))
@@ -41,11 +39,8 @@ def redrawn(frame: DataFrame, n: str, k: str, idx: str, seed: int, *place: str)
 
 
 def _indexed(frame: DataFrame, idx: str, keys: list[str], *order: str) -> DataFrame:
-    """Rows numbered from 0 in each group, over a sort by range: a group may spread over tasks."""
-    if not keys:
-        return numbered(frame, idx, *order)
-    whole = numbered(frame, "__i", *keys, *order)
-    return whole.join(whole.groupBy(*keys).agg(F.min("__i").alias("__first")), keys).withColumn(idx, F.col("__i") - F.col("__first")).drop("__i", "__first")
+    """Rows numbered from 0 in each group; a group may spread over tasks."""
+    return scan(frame, keys, list(order), {idx: Run("count")}).withColumn(idx, F.col(idx) - 1)
 
 
 def _replicated(frame: DataFrame, replicates: int) -> DataFrame:

@@ -164,15 +164,57 @@ def pair_round_robin_a(spark, sf_dir):
     return rounded(pairs.consecutive_pairs(src.vector_items(spark, sf_dir)))
 
 
-@query()
+# The sequential rule itself: pair after pair in the order of the hash, with the list of what is used.
+_GREEDY = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT arm, stratum, item_l, item_r, row_number() OVER (PARTITION BY arm ORDER BY sha256(concat_ws('|', '{SEED}', arm, item_l, item_r))) AS n FROM pairs),
+g AS (SELECT arm, 0::BIGINT AS n, []::BIGINT[] AS used, false AS kept, 0::BIGINT AS k FROM (SELECT DISTINCT arm FROM o)
+ UNION ALL SELECT arm, o.n, CASE WHEN free THEN list_concat(used, [item_l, item_r]) ELSE used END, free, k + free::INT FROM (SELECT g.arm, o.n, used, k, item_l, item_r, NOT list_contains(used, item_l) AND NOT list_contains(used, item_r) AS free FROM g JOIN o ON o.arm = g.arm AND o.n = g.n + 1) o)
+SELECT o.arm, stratum, item_l, item_r FROM g JOIN o ON o.arm = g.arm AND o.n = g.n WHERE kept"""
+
+
+@query(_GREEDY)
 def pair_greedy_hash(spark, sf_dir):
-    """Greedy matching by hash order; no SQL: it is sequential (tested against the sequential rule)."""
+    """Greedy matching by hash order."""
     return pairs.greedy_matching(pairs.matched_pairs(src.vector_items(spark, sf_dir, "evaluation"))).select("arm", "stratum", "item_l", "item_r")
 
 
-@query()
+@query(_GREEDY + " AND k <= 20")
+def pair_greedy_hash_limited(spark, sf_dir):
+    """The first 20 kept pairs of each arm, from the pairs under a threshold of the hash that proves them."""
+    return pairs.greedy_matching(pairs.matched_pairs(src.vector_items(spark, sf_dir, "evaluation")), limit=20).select("arm", "stratum", "item_l", "item_r")
+
+
+def _bucket_sql(bucket: str, *within: str) -> str:
+    """Buckets taken up one after the other along the line of a stratum's items."""
+    w = ", ".join(within)
+    return _ITEMS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ln AS (SELECT {w}, {bucket}, item, row_number() OVER (PARTITION BY {w} ORDER BY {bucket}, condition, item) - 1 AS pos, count(*) OVER (PARTITION BY {w}) AS stop FROM items),
+bu AS (SELECT {w}, {bucket}, min(pos) AS b, max(pos) + 1 AS e, max(stop) AS stop FROM ln GROUP BY {w}, {bucket}),
+st AS (SELECT {w}, 0::BIGINT AS s FROM (SELECT DISTINCT {w} FROM ln) UNION ALL SELECT {w}, 2 * bu.e - st.s FROM st JOIN bu USING ({w}) WHERE st.s >= bu.b AND st.s < bu.e AND 2 * bu.e - st.s < bu.stop),
+tk AS (SELECT {w}, s, e FROM st JOIN bu USING ({w}) WHERE s >= b AND s < e)
+SELECT {w}, l.item AS item_l, r.item AS item_r, row_number() OVER (PARTITION BY {w} ORDER BY l.pos) AS turn FROM tk JOIN ln l USING ({w}) JOIN ln r USING ({w}) WHERE l.pos >= s AND l.pos < e AND r.pos = e + l.pos - s"""
+
+
+@query(_bucket_sql("subject", "split", "category"))
 def pair_greedy_b(spark, sf_dir):
-    return pairs.leftovers_matched(src.vector_items(spark, sf_dir).select("item", "subject", "category", "condition", "split"))
+    """B pairs without reuse; the line's rule is held against the sequential one in the tests."""
+    return pairs.bucket_matching(src.vector_items(spark, sf_dir))
+
+
+@query(_bucket_sql("category", "split", "subject"))
+def pair_greedy_c(spark, sf_dir):
+    """C pairs without reuse."""
+    return pairs.bucket_matching(src.vector_items(spark, sf_dir), "category", ("split", "subject"))
+
+
+@query(_bucket_sql("category", "split", "subject").replace("SELECT split, subject, l.item", "SELECT * FROM (SELECT split, subject, item_l, item_r, turn, row_number() OVER (ORDER BY split, turn, subject) AS place FROM (SELECT split, subject, l.item", 1) + ")) WHERE place <= 30")
+def pair_round_robin_c(spark, sf_dir):
+    """The first 30 C pairs of the round robin over subjects."""
+    return pairs.round_robin(pairs.bucket_matching(src.vector_items(spark, sf_dir), "category", ("split", "subject")), "subject", 30)
+
+
+@query()
+def pairs_d_selected(spark, sf_dir):
+    """D pairs of the round robin over pairs of categories, at most 1,000; no SQL: turns share what is used (tested against the sequential rule)."""
+    return pairs.crossed_selected(src.vector_items(spark, sf_dir), 1000)
 
 
 @query(_ITEMS + ", p AS (SELECT a.item AS item_l, b.item AS item_r FROM items a JOIN items b ON a.split = b.split AND a.subject = b.subject AND a.category < b.category WHERE a.split = 'calibration') SELECT format('C-{:06d}', row_number() OVER (ORDER BY item_l, item_r)) AS pair_id, item_l, item_r FROM p")
@@ -676,7 +718,7 @@ def holm(spark, sf_dir):
 @query("SELECT o_orderpriority AS category, o_orderkey AS item, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2 AS \"rank\" FROM orders")
 def spearman_ranks(spark, sf_dir):
     o = src.order_items(spark, sf_dir)
-    return o.select("category", "item", ordering.average_rank("subject", ["category"]).alias("rank"))
+    return ordering.average_ranks(o.select("category", "item", "subject"), ["category"], "subject", "rank").select("category", "item", "rank")
 
 
 @query("WITH p AS (SELECT s_nationkey AS k, round(avg(s_acctbal::DOUBLE), 4) AS harm, count(*) AS gain FROM supplier GROUP BY s_nationkey) SELECT k, NOT EXISTS (SELECT 1 FROM p b WHERE b.harm <= p.harm AND b.gain >= p.gain AND (b.harm < p.harm OR b.gain > p.gain)) AS efficient FROM p")

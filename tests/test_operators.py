@@ -180,10 +180,88 @@ def test_round_robin_pairs_neighbours(spark):
     assert [(r["item_l"], r["item_r"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 3), (5, 7)]
 
 
+def test_greedy_matching_with_a_limit(spark):
+    rng = random.Random(3)
+    rows = rows_of(spark, [("s", rng.choice("AB"), 1, 2, 0.0) for _ in range(300)])
+    rows = rows.withColumn("item_l", F.col("item_l") % 41).withColumn("item_r", F.col("item_r") % 37 + 1).where("item_l < item_r").dropDuplicates(["arm", "item_l", "item_r"])
+    for limit in (1, 4, 9, 1000):
+        want = []
+        for arm in "AB":
+            used, kept = set(), 0
+            for _, x, y in sorted((hashlib.sha256(f"{pairs.SEED}|{arm}|{r['item_l']}|{r['item_r']}".encode()).hexdigest(), r["item_l"], r["item_r"]) for r in rows.where(F.col("arm") == arm).collect()):
+                if not {x, y} & used and kept < limit:
+                    used |= {x, y}
+                    kept += 1
+                    want.append((arm, x, y))
+        assert sorted((r["arm"], r["item_l"], r["item_r"]) for r in pairs.greedy_matching(rows, limit=limit).collect()) == sorted(want)
+
+
+def sequential(strata, limit):
+    """The round robin over streams of candidates, as it is said."""
+    out, used, labels = [], set(), sorted(x for x in strata if strata[x])
+    streams = {x: iter(strata[x]) for x in labels}
+    while labels and len(out) < limit:
+        for x in list(labels):
+            for a, b in streams[x]:
+                if not {a, b} & used:
+                    out.append((x, a, b))
+                    used |= {a, b}
+                    break
+            else:
+                labels.remove(x)
+            if len(out) >= limit:
+                break
+    return out
+
+
+def random_items(spark, n, seed, subjects=6, categories=4):
+    rng = random.Random(seed)
+    rows = [(i, int(rng.triangular(0, subjects, 0)), f"d{int(rng.triangular(0, categories, categories))}", rng.choice("cd"), rng.choice(["train", "evaluation"])) for i in rng.sample(range(10 * n), n)]
+    return rows, spark.createDataFrame(rows, "item long, subject long, category string, condition string, split string")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bucket_matching_equals_the_sequential_rule(spark, seed):
+    from itertools import combinations, product
+
+    rows, items_ = random_items(spark, 90, seed)
+    for bucket, within, b, w in (("subject", ("split", "category"), 1, 2), ("category", ("split", "subject"), 2, 1)):
+        got = pairs.round_robin(pairs.bucket_matching(items_, bucket, within), within[1]).orderBy("place").collect()
+        want = []
+        for split in sorted({r[4] for r in rows}):
+            strata = {}
+            for x in {r[w] for r in rows if r[4] == split}:
+                held = {}
+                for r in sorted((r for r in rows if r[4] == split and r[w] == x), key=lambda r: (r[3], r[0])):
+                    held.setdefault(r[b], []).append(r[0])
+                strata[x] = [p for i, j in combinations(sorted(held), 2) for p in product(held[i], held[j])]
+            want += [(split, *x) for x in sequential(strata, 10**9)]
+        assert [(r["split"], r[within[1]], r["item_l"], r["item_r"]) for r in got] == want
+        some = pairs.round_robin(pairs.bucket_matching(items_, bucket, within), within[1], 7).collect()
+        assert sorted(r["place"] for r in some) == list(range(1, 8))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossed_selection_equals_the_sequential_rule(spark, seed):
+    from itertools import combinations, product
+
+    rows, items_ = random_items(spark, 70, seed, subjects=3)
+    for limit in (1, 5, 19, 1000):
+        want = []
+        for split in sorted({r[4] for r in rows}):
+            held = {}
+            for r in sorted((r for r in rows if r[4] == split), key=lambda r: (r[3], r[0])):
+                held.setdefault(r[2], {}).setdefault(r[1], []).append(r[0])
+            strata = {f"{a}::{b}": [p for s in sorted(held[a]) for t in sorted(held[b]) if s != t for p in product(held[a][s], held[b][t])] for a, b in combinations(sorted(held), 2)}
+            want += [(split, *x) for x in sequential(strata, limit - len(want))]
+        got = pairs.crossed_selected(items_, limit).orderBy("place").collect()
+        assert [(r["split"], r["label"], r["item_l"], r["item_r"]) for r in got] == want
+
+
 def test_leftovers_use_no_item_twice(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(5), f"d{rng.randrange(2)}", "c", "train") for i in range(60)]
-    got = pairs.leftovers_matched(spark.createDataFrame(rows, "item long, subject long, category string, condition string, split string")).collect()
+    got = pairs.bucket_matching(spark.createDataFrame(rows, "item long, subject long, category string, condition string, split string")).collect()
     flat = [x for r in got for x in (r["item_l"], r["item_r"])]
     who = {r[0]: r for r in rows}
     assert len(flat) == len(set(flat)) > 20 and all(who[r["item_l"]][1] != who[r["item_r"]][1] and who[r["item_l"]][2] == who[r["item_r"]][2] for r in got)
