@@ -597,8 +597,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
     first = counted.orderBy(F.desc("c"), "token").limit(head).toArrow()
     top = dict(zip(first.column("token").to_pylist(), first.column("c").to_pylist(), strict=True))
     del first
-    # Written before rows are numbered, so that a row keeps its number whatever is computed again.
-    scored = written(_scored(base, train(learn), top)).withColumn("row", F.monotonically_increasing_id()).withColumn("held_out", held_out(F.col("doc_id")))
+    # The number of a row is written with it: scans of the table may deal its files out differently.
+    scored = written(_scored(base, train(learn), top).withColumn("row", F.monotonically_increasing_id())).withColumn("held_out", held_out(F.col("doc_id")))
     each = scored.select("row", F.explode_outer("rare").alias("r")).where("r IS NOT NULL").select("row", "r.token", "r.n")
     met = each.join(counted, "token").groupBy("row").agg(F.sum("n").alias("k2"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain2"))
     n = F.col("n") + 1

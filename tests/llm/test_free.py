@@ -504,3 +504,24 @@ def test_held_out_accuracy_on_driver_data(spark):
     d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = pairwise_rank.score(d, lab).join(lab, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")).alias("a")).first()["a"]
     assert got >= 0.95
+
+
+def test_scores_do_not_depend_on_how_files_are_dealt_out(spark, monkeypatch):
+    """The table of scored rows is read several times; each read may cut its files into other tasks."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 30, 40))) for i in range(60)]
+    table = docs(spark, rows).repartition(6).cache()
+    want = {r["doc_id"]: r["score"] for r in context_mixing.scores(table).collect()}
+    read, sizes = context_mixing.written, iter([1, 10**9] * 50)
+
+    def dealt(frame):
+        spark.conf.set("spark.sql.files.openCostInBytes", str(next(sizes)))
+        return read(frame)
+
+    monkeypatch.setattr(context_mixing, "written", dealt)
+    try:
+        got = context_mixing.scores(table)
+        spark.conf.set("spark.sql.files.openCostInBytes", str(10**9))
+        assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx(want)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
