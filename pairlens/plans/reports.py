@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.operators import audits, estimators, gates, heads, matrices, pairs, pools, resample, validate
+from pairlens.functions.scalars import improvement
+from pairlens.operators import audits, estimators, gates, heads, matrices, pairs, pools, regression, resample, scoring, validate
 from pairlens.plans.catalogue import _CAP, _DRAWS, _EFFECTS, _ENDS, _ITEMS, _MAT, _PAIRS, _SCORED, _WMED, ORACLE_SQL, REPLICATES, SEED, _draw, _matrix, all_pairs, evaluation_pairs, query, r6, rounded, scored_pairs
 from pairlens.plans.storage import settled
 from pairlens.sources import items as src
@@ -327,16 +328,79 @@ def diversity_gate(spark, sf_dir):
     return gates.diversity(g, "C", "D", F.max("lower"), F.max("same"))
 
 
-@query(_SCORED + _SUBJECTS + _lower("lo", "d") + ", " + _lower("hi", "-d", "0.975") + f", g AS (SELECT {_gain_sql('predicted')} AS gain, avg(error - base_error) FILTER (grp = 'A') AS harm, {_gain_sql('(1 - predicted)')} AS shuffled, {_gain_sql('0.0')} AS wrong, {_gain_sql('(distance / 2)')} AS bias_swap, {_gain_sql('(1 - distance)')} AS swapped, {_gain_sql('distance')} AS rival FROM scored), q AS (SELECT gain >= 0.05 AS a, (SELECT x FROM lo) > 0 AS b, harm <= 0.02 AND (SELECT x FROM hi) <= 0.02 AS c, shuffled < 0.05 AS d, wrong < 0.05 AS e, bias_swap < 0.05 AS f, swapped < greatest(gain * 0.5, 0.0) AS h, gain > rival AS i FROM g) SELECT coalesce(a, false) AS gains_enough, coalesce(b, false) AS lower_bound_positive, coalesce(c, false) AS harmless, coalesce(d, false) AS shuffled_gains_less, coalesce(e, false) AS wrong_gains_less, coalesce(f, false) AS bias_swap_gains_less, coalesce(h, false) AS swap_gains_less, coalesce(i, false) AS beats_rival, coalesce(a AND b AND c AND d AND e AND f AND h AND i, false) AS passed FROM q")
+def _second_view(spark, sf_dir):
+    """Items with their second view, the pairs of both splits with targets and groups, and the plain distances' clamped fit and errors."""
+    items = settled(src.proxy_items(spark, sf_dir))
+    drawn = settled(all_pairs(spark, sf_dir).select("item_l", "item_r", "split", "target", "grp", "distance"))
+    return items, drawn
+
+
+def _errors(drawn, distance, name):
+    """The evaluation pairs' errors ``name`` of a distance under its clamped fit on the calibration pairs; distance(item_l, item_r, distance) of all pairs."""
+    both = drawn.drop("distance").join(distance.select("item_l", "item_r", "distance"), ["item_l", "item_r"])
+    fit = scoring.affine(both.where("split = 'calibration'"), "distance", "target", clamped=True)
+    return scoring.scored(both.where("split = 'evaluation'"), fit).select("item_l", "item_r", F.col("error").alias(name))
+
+
+def _corrections(spark, sf_dir, seeds=(SEED, SEED + 1)):
+    """(item_l, item_r, grp, base_error, one error a correction): the block-regularised rank-one correction from the second view, its leave-pair-out form, the plain ridge as rival,
+    and the five controls: shuffled and wrong centroids, fitted anew, and each category with the next one's term or strength."""
+    items, drawn = _second_view(spark, sf_dir)
+    parts = {s: items.where(F.col("split") == s) for s in ("calibration", "evaluation")}
+    centred = {s: settled(regression.centroids(p)) for s, p in parts.items()}
+    ends = drawn.select("item_l", "item_r")
+
+    def fitted(centres, **how):
+        return regression.fit(regression.blocks(regression.cells(parts["calibration"], centres)), **how)
+
+    def distances(fit, centres):
+        clean = [regression.cleaned(parts[s], centres[s], fit).select("item", "vec", "norm") for s in parts]
+        return scoring.distances(ends, settled(clean[0].unionByName(clean[1])), "distinct")
+
+    blocks = {"penalty": regression.BLOCK_PENALTIES, "rank_one": True}
+    best = fitted(centred["calibration"], **blocks)
+    made = {"error": distances(best, centred), "rival": distances(fitted(centred["calibration"]), centred)}
+    made |= {"bias_swap": distances(best.with_bias_of_the_next(), centred), "swapped": distances(best.with_strength_of_the_next(), centred)}
+    for k, seed in enumerate(seeds):
+        for name, wrong in (("shuffled", False), ("wrong", True)):
+            other = {s: settled(regression.shuffled(c, seed + 1000 * (s == "evaluation"), wrong)) for s, c in centred.items()}
+            made[f"{name}_{k}"] = distances(fitted(other["calibration"], **blocks), other)
+    got = drawn.where("split = 'evaluation'").select("item_l", "item_r", "grp").join(_errors(drawn, drawn, "base_error"), ["item_l", "item_r"])
+    for name, distance in made.items():
+        got = got.join(_errors(drawn, distance, name), ["item_l", "item_r"])
+    # Scored by the fit of the whole centroids, as a correction that is applied to one pair would be.
+    apart = regression.leave_pair_out(drawn.where("split = 'evaluation'").select("item_l", "item_r"), parts["evaluation"], centred["evaluation"], best)
+    whole = drawn.drop("distance").join(made["error"].select("item_l", "item_r", "distance"), ["item_l", "item_r"]).where("split = 'calibration'")
+    fit = scoring.affine(whole, "distance", "target", clamped=True)
+    left = scoring.scored(drawn.drop("distance").join(apart, ["item_l", "item_r"]), fit).select("item_l", "item_r", F.col("error").alias("left_out"), "fallbacks")
+    return settled(got.join(left, ["item_l", "item_r"])), best
+
+
+def _correction_evidence(spark, sf_dir):
+    """One row of gains over the plain distance, the bounds of rows drawn again, and the controls' best gains."""
+    rows, best = _corrections(spark, sf_dir)
+    gain = lambda c: improvement(F.avg("base_error"), F.avg(c))
+    controls = [c for c in rows.columns if c[:-2] in ("shuffled", "wrong")]
+    most = lambda name: F.greatest(*(gain(c) for c in controls if c.startswith(name)))
+    pair = rows.withColumn("pair_id", F.concat_ws("-", "item_l", "item_r"))
+    matched = pair.where("grp IN ('A', 'C')")
+    low = resample.interval(resample.row_gain(pair, REPLICATES, "pair_id", SEED), "gain").select("lower")
+    high = resample.interval(resample.row_gain(matched, REPLICATES, "pair_id", SEED + 17), "gain").select((-F.col("lower")).alias("harm_upper"))
+    harm = matched.agg((-gain("error")).alias("harm"))
+    one = rows.agg(gain("error").alias("gain"), gain("left_out").alias("left_out"), F.sum("fallbacks").alias("fallbacks"), gain("rival").alias("rival"), most("shuffled").alias("shuffled"), most("wrong").alias("wrong"), gain("bias_swap").alias("bias_swap"), gain("swapped").alias("swapped"))
+    return one.crossJoin(low).crossJoin(high).crossJoin(harm).withColumn("alpha", F.lit(float(best.alpha))).withColumn("r2", F.lit(float(best.r2)))
+
+
+@query()
+def correction_report(spark, sf_dir):
+    """The rank-one correction from the second view against its controls and the ridge; no SQL: fits (held against dense fits in the tests)."""
+    return rounded(_correction_evidence(spark, sf_dir))
+
+
+@query()
 def correction_gate(spark, sf_dir):
-    """The affine fit as a correction, with reversed, constant, halved and swapped predictions as controls and the plain distance as rival."""
-    s = _scored(spark, sf_dir)
-    gains = resample.subject_gains(s)
-    low = resample.interval(resample.subject_mean(gains, "gain", REPLICATES, SEED), "estimate").select("lower")
-    high = resample.interval(resample.subject_mean(gains.withColumn("gain", -F.col("gain")), "gain", REPLICATES, SEED), "estimate").select(F.col("upper").alias("harm_upper"))
-    p, d = F.col("predicted"), F.col("distance")
-    one = s.agg(_gain(p).alias("gain"), F.avg(F.when(F.col("grp") == "A", F.col("error") - F.col("base_error"))).alias("harm"), _gain(1 - p).alias("shuffled"), _gain(F.lit(0.0)).alias("wrong"), _gain(d / 2).alias("bias_swap"), _gain(1 - d).alias("swapped"), _gain(d).alias("rival"))
-    return gates.correction(one.crossJoin(low).crossJoin(high), swapped="swapped", rival="rival")
+    """The gate over that report: enough gain, a positive bound, no harm to matched pairs, every control lower, better than the ridge."""
+    return gates.correction(_correction_evidence(spark, sf_dir), swapped="swapped", rival="rival")
 
 
 # --- sweeps ------------------------------------------------------------------------------------------------------

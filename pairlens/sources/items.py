@@ -41,6 +41,14 @@ def vector_items(spark: SparkSession, sf_dir: str, split: str | None = None) ->
     return items.withColumn("norm", norm("vec", DIM))
 
 
+def proxy_items(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    """``vector_items`` with ``proxy``, a second view of the same items from another table: seven measurements of the order of that number."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(*((F.avg(F.col(c).cast("double")) / by).alias(c) for c, by in (("l_quantity", 50), ("l_extendedprice", 1e5), ("l_discount", 0.1), ("l_tax", 0.1), ("l_linenumber", 7))), (F.count("*") / 7).alias("lines"))
+    total = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_totalprice").cast("double") / 5e5).alias("total"))
+    views = total.join(lines, "item", "left").select("item", F.array("total", *(F.coalesce(c, F.lit(0.0)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "lines"))).alias("proxy"))
+    return vector_items(spark, sf_dir, split).join(views, "item")
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, subject, category, condition, split, value) from ``orders``."""
     return table(spark, sf_dir, "orders").select(
