@@ -102,12 +102,22 @@ def folds_without_cross(frame: DataFrame, assigned: DataFrame, subject: str) ->
 
 
 def shuffled_partners(examples: DataFrame, items: DataFrame, seed: int) -> DataFrame:
-    """Each cross example gets a partner of the same two categories and another subject: the first by a random order, of the
-    few least-ordered items of each category, so that the join stays narrow; examples(pair_id, subject_l, category_l, category_r)."""
-    few = items.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(order_of(seed, "item"), "item"))).where("r <= 32")
-    right = few.select(F.col("category").alias("category_r"), F.col("item").alias("partner"), F.col("subject").alias("partner_subject"))
-    got = examples.join(right, "category_r").where("partner_subject <> subject_l")
-    return got.groupBy("pair_id").agg(F.min(F.struct(F.sha2(F.concat_ws("|", F.lit(seed), "pair_id", "partner"), 256).alias("h"), F.col("partner").alias("partner"))).alias("m")).select("pair_id", "m.partner")
+    """(pair_id, partner): each cross example gets an item of the same second category and of another subject than its first; null where that category has none.
+    examples(pair_id, subject_l, category_r); items(item, subject, category).
+
+    A category's items lie in a random line. An example looks at a place of its own in it; if the item there is its subject's, the next run of another subject has the partner. Three
+    look-ups by unique place, whatever a category's size or a subject's share of it."""
+    line = scan(items.select("category", "subject", "item"), ["category"], [order_of(seed, "item"), "item"], {"i": Run("count"), "before": Run("last", "subject", past=True)}, {"n": Run("count")})
+    line = line.withColumn("start", F.when(F.col("before").isNull() | (F.col("before") != F.col("subject")), F.col("i")))
+    look = settled(scan(line.drop("before"), ["category"], [F.col("i").desc()], {"next": Run("min", "start", past=True)}))
+    sizes = look.groupBy("category").agg(F.max("n").alias("n"))
+    at = lambda k: look.select(F.col("category").alias("category_r"), F.col("i").alias(f"p{k}"), F.col("item").alias(f"item{k}"), F.col("subject").alias(f"s{k}"), F.col("next").alias(f"next{k}"))
+    first = examples.select("pair_id", "subject_l", "category_r").join(sizes.withColumnRenamed("category", "category_r"), "category_r", "left")
+    first = first.withColumn("p0", 1 + F.pmod(F.xxhash64(F.lit(seed), "pair_id"), F.col("n"))).join(at(0), ["category_r", "p0"], "left")
+    second = first.withColumn("p1", F.coalesce("next0", F.lit(1))).join(at(1), ["category_r", "p1"], "left")
+    third = second.withColumn("p2", F.col("next1")).join(at(2), ["category_r", "p2"], "left")
+    other = lambda k: F.when(F.col(f"s{k}") != F.col("subject_l"), F.col(f"item{k}"))
+    return third.select("pair_id", F.coalesce(other(0), other(1), other(2)).alias("partner"))
 
 
 def exposures(n_pair: int, n_cross: int, ratio: float, strength: float) -> dict[str, float]:

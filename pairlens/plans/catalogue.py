@@ -1056,4 +1056,4 @@ def ext_label_balance(spark, sf_dir):
 
 del scalars
 
-from pairlens.plans import reports  # noqa: E402, F401  (registers its queries here)
+from pairlens.plans import reports, studies  # noqa: E402, F401  (they register their queries here)

@@ -47,3 +47,14 @@ def test_no_window_over_the_table(spark):
 def test_average_ranks(spark):
     t = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", None), ("b", 2)], "k string, v int")
     assert sorted((r["k"], r["v"] or 0, r["r"]) for r in ordering.average_ranks(t, ["k"], "v", "r").collect()) == [("a", 1, 1.5), ("a", 1, 1.5), ("a", 3, 3.0), ("b", 0, 1.0), ("b", 2, 2.0)]
+
+
+def test_shuffled_partners_have_no_cap(spark):
+    """A subject that holds nearly a whole category; a category of one subject gives none."""
+    items = spark.createDataFrame([(i, 1 if i % 50 else 2 + i, "big") for i in range(400)] + [(1000 + i, 7, "one") for i in range(5)], "item long, subject long, category string")
+    examples = spark.createDataFrame([(k, 1 + (k % 3 == 0), "big") for k in range(300)] + [(900, 7, "one"), (901, 8, "one"), (902, 8, "none")], "pair_id long, subject_l long, category_r string")
+    got = {r["pair_id"]: r["partner"] for r in pools.shuffled_partners(examples, items, 3).collect()}
+    subject, category = ({r["item"]: r[c] for r in items.collect()} for c in ("subject", "category"))
+    assert len(got) == 303 and got[900] is None and got[902] is None and category[got[901]] == "one"
+    assert all(category[got[k]] == "big" and subject[got[k]] != 1 + (k % 3 == 0) for k in range(300))
+    assert len({got[k] for k in range(300)}) > 60
