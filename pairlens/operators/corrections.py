@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.scalars import corrected, improvement
 from pairlens.functions.vectors import cosine_from, dot, l2_normalised, mean_vectors, norm
 from pairlens.operators.scoring import affine
+from pairlens.plans.storage import settled
 from pairlens.sources.items import DIM
 
 # The strengths and thresholds that are compared.
@@ -222,14 +223,81 @@ def covariance(items: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "p": [p.ravel().tolist()]})
 
-    long = items.select(vec).mapInPandas(part, "n long, s array<double>, p array<double>")
-    total = long.agg(F.sum("n").alias("n")).first()["n"]
-    add = lambda c: [r["x"] for r in long.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]
-    s, p = np.array(add("s")), np.array(add("p"))
+    shape = "n long, s array<double>, p array<double>"
+    rows = added(items.select(vec).mapInPandas(part, shape), ["s", "p"])
+    total, s, p = sum(r["n"] for r in rows), np.sum([r["s"] for r in rows], axis=0), np.sum([r["p"] for r in rows], axis=0)
     mean = s / total
     return total, mean, p.reshape(len(s), -1) / total - np.outer(mean, mean)
 
 
+def added(parts: DataFrame, arrays: list[str], buckets: int = 16) -> list:
+    """Rows (n, arrays) of tasks added up to at most so many rows, read once: what reaches the driver does not grow with the tasks."""
+
+    def total(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"n": [pdf["n"].sum()], **{a: [np.sum(np.stack(pdf[a].to_numpy()), axis=0)] for a in arrays}})[[c for c in pdf.columns if c != "bucket"]]
+
+    shape = ", ".join(f"{n} {t}" for n, t in parts.dtypes)
+    return parts.withColumn("bucket", F.spark_partition_id() % buckets).groupBy("bucket").applyInPandas(lambda p: total(p), shape).collect()
+
+
+def principal_directions(items: DataFrame, k: int, rounds: int = 60, tol: float = 1e-9, more: int = 8, seed: int = 20260829) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, the k strongest principal directions as rows): block power iteration on k + ``more`` directions. Each round is one pass, in which every task multiplies its vectors with the block
+    and back; no product of dim squared is made. Ends when none of the k variances along them grows by more than ``tol`` of the largest."""
+    spark = items.sparkSession
+    dim = len(items.select("vec").first()[0])
+    wide = min(k + more, dim)
+    basis, mean, last, k = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, wide)))[0], np.zeros(dim), np.zeros(min(k, dim)), min(k, dim)
+    found = basis[:, :k]
+    kept = items.select("vec").persist()
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(basis)
+
+        def part(batches, sent=sent):
+            import pandas as pd
+
+            n, s, p = 0, np.zeros(dim), np.zeros((dim, wide))
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["vec"].to_numpy())
+                    n, s, p = n + len(x), s + x.sum(0), p + x.T @ (x @ sent.value)
+            if n:
+                yield pd.DataFrame({"n": [n], "s": [s], "p": [p.ravel()]})
+
+        rows = added(kept.mapInPandas(part, "n long, s array<double>, p array<double>"), ["s", "p"])
+        n, s, p = sum(r["n"] for r in rows), np.sum([r["s"] for r in rows], axis=0), np.sum([r["p"] for r in rows], axis=0).reshape(dim, wide)
+        sent.unpersist()
+        mean = s / n
+        moved = p / n - np.outer(mean, mean @ basis)
+        # Inside the block's span the directions follow from a problem of its width.
+        values, turn = np.linalg.eigh(basis.T @ moved)
+        found, now = (basis @ turn[:, ::-1])[:, :k], values[::-1][:k]
+        if (now - last).max() <= tol * max(now[0], 1e-300):
+            break
+        basis, last = np.linalg.qr(moved)[0], now
+    kept.unpersist()
+    return mean, found.T
+
+
+def two_way_effects(cells: DataFrame, a: str, b: str, tol: float = 1e-10, sweeps: int = 4, rounds: int = 200) -> DataFrame:
+    """(a, b, k, effect): the least-squares fit of a term a level of ``a`` plus one a level of ``b``, of cells(a, b, k, n, s) with counts and sums. By alternating projections:
+    each level's term is the mean of what the other terms leave, over the cells and never over rows, until no term moves by more than ``tol``."""
+    fit = cells.withColumn("ea", F.lit(0.0)).withColumn("eb", F.lit(0.0))
+    for _ in range(rounds):
+        for _ in range(sweeps):
+            before = fit.withColumn("ob", F.col("eb"))
+            ta = before.groupBy(a, "k").agg((F.sum(F.col("s") - F.col("n") * F.col("eb")) / F.sum("n")).alias("ea"))
+            fit = before.drop("ea").join(ta, [a, "k"])
+            tb = fit.groupBy(b, "k").agg((F.sum(F.col("s") - F.col("n") * F.col("ea")) / F.sum("n")).alias("eb"))
+            fit = fit.drop("eb").join(tb, [b, "k"])
+        fit = settled(fit)
+        if (fit.agg(F.max(F.abs(F.col("eb") - F.col("ob")))).first()[0] or 0.0) <= tol:
+            return fit.select(a, b, "k", (F.col("ea") + F.col("eb")).alias("effect"))
+        fit = fit.drop("ob")
+    raise RuntimeError("the terms did not settle")
+
+
 def components(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(mean, principal directions as rows, the strongest first)."""
     _, mean, cov = covariance(items)
@@ -250,21 +318,38 @@ def without(items: DataFrame, mean: np.ndarray, directions: np.ndarray) -> DataF
     return items.drop("norm").mapInPandas(part, items.drop("norm").schema).withColumn("norm", norm("vec", DIM))
 
 
-def subject_f(items: DataFrame, mean: np.ndarray, directions: np.ndarray) -> list[float]:
-    """F statistic of subject on each component's scores, from grouped sums."""
+def subject_f(items: DataFrame, mean: np.ndarray, directions: np.ndarray, within: tuple[str, str] | None = ("category", "condition")) -> list[float]:
+    """F statistic of subject on each component's scores, less what category and condition explain, from grouped sums."""
 
     def project(batches):
-        import pandas as pd
-
         for pdf in batches:
             if len(pdf):
                 z = (np.stack(pdf["vec"].to_numpy()) - mean) @ directions.T
-                yield pd.DataFrame({"subject": pdf["subject"], "z": list(z)})
-
-    scores = items.select("subject", "vec").mapInPandas(project, "subject long, z array<double>")
-    per = scores.select("subject", F.posexplode("z").alias("k", "z")).groupBy("k", "subject").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
-    t = per.groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("g")).orderBy("k").collect()
-    return [((r["b"] - r["s"] ** 2 / r["n"]) / (r["g"] - 1)) / max((r["q"] - r["b"]) / max(r["n"] - r["g"], 1), 1e-300) for r in t]
+                yield pdf[columns].assign(z=list(z))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in ("subject", "category", "condition"))
+    columns = [c for c in items.columns if c in ("subject", "category", "condition")]
+    scores = items.select(*columns, "vec").mapInPandas(project, f"{shape}, z array<double>")
+    t = f_sums(scores, within)
+    return [f_of(r) for r in t.orderBy("k").collect()]
+
+
+def f_of(r) -> float:
+    """F of the sums of ``f_sums``; 0 where there is one subject or nothing inside subjects varies from nothing."""
+    if r["g"] < 2:
+        return 0.0
+    between, inside = (r["b"] - r["s"] ** 2 / r["n"]) / (r["g"] - 1), (r["q"] - r["b"]) / max(r["n"] - r["g"], 1)
+    return between / inside if inside > 0 else 0.0
+
+
+def f_sums(scores: DataFrame, within: tuple[str, str] | None = None) -> DataFrame:
+    """(k, n, s, q, b, g) of scores(subject, z, ...): sums for the F statistic of subject; with ``within`` of what the two labels' terms leave."""
+    long = scores.select("subject", *(within or ()), F.posexplode("z").alias("k", "z"))
+    if within:
+        cells = settled(long.groupBy(*within, "k").agg(F.count("*").alias("n"), F.sum("z").alias("s")))
+        long = long.join(two_way_effects(cells, *within), [*within, "k"]).withColumn("z", F.col("z") - F.col("effect"))
+    per = long.groupBy("k", "subject").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
+    return per.groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("g"))
 
 
 def subject_components(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,19 @@ def transform(items: DataFrame, head: dict) -> DataFrame:
     return items.drop("norm").mapInPandas(part, items.drop("norm").schema).withColumn("norm", norm("vec"))
 
 
+def projected(items: DataFrame, mean: np.ndarray, directions: np.ndarray) -> DataFrame:
+    """``items`` with their vectors' coordinates along directions (rows) about the mean."""
+    shared = items.sparkSession.sparkContext.broadcast((mean, directions.T))
+
+    def part(batches):
+        for pdf in batches:
+            if len(pdf):
+                pdf["vec"] = list((np.stack(pdf["vec"].to_numpy()) - shared.value[0]) @ shared.value[1])
+            yield pdf
+
+    return items.drop("norm").mapInPandas(part, items.drop("norm").schema).withColumn("norm", norm("vec"))
+
+
 def losses(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, ordinary, balanced): smooth L1 of distance and target; balanced averages the zero and the non-zero targets apart."""
     e = smooth_l1(F.col("distance") - F.col("target"))

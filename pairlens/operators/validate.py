@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.plans.storage import settled
+
 SPLITS = ("calibration", "evaluation", "train")
 
 
@@ -83,6 +85,41 @@ def manifest_hash_status(frame: DataFrame, column: str, invalid: list[str]) -> D
     return frame.withColumn("is_hash", F.col(column).rlike("^[0-9a-f]{64}$")).withColumn("status", F.when(~F.col("is_hash"), "malformed").when(F.col(column).isin(*invalid) if invalid else F.lit(False), "invalidated").otherwise("verified"))
 
 
+def json_nodes(frame: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, path, key, text) of every value below the root of a JSON text, at any depth: its path from the root, its name (null inside a list) and its text, null for
+    what is not text. One round a level, each written; a text that is no JSON has none."""
+    spark = frame.sparkSession
+    level = settled(frame.select(*keys, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL"))
+    out = None
+    while True:
+        kids = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        named = kids.select(*keys, F.concat_ws("/", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), "key", "value", F.schema_of_variant("value").alias("kind"))
+        named = settled(named)
+        if named.isEmpty():
+            break
+        told = named.select(*keys, "path", "key", F.when(F.col("kind") == "STRING", F.col("value").cast("string")).alias("text"))
+        out = told if out is None else out.unionByName(told)
+        level = named.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select(*keys, "path", F.col("value").alias("v"))
+    return out if out is not None else level.select(*keys, "path", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text"))
+
+
+#: Names under which a report records the manifest it was made from.
+HASH_NAMES = ("manifest_sha256", "pair_manifest_sha256", "projection_manifest_sha256")
+
+
+def manifest_identity(frame: DataFrame, keys: list[str], column: str, expected: str, names: tuple[str, ...] = HASH_NAMES) -> DataFrame:
+    """(keys, status, reason, n_hashes, locations) of reports as JSON: verified if the expected hash (a column) is recorded anywhere under one of ``names``; else invalidated, because another
+    is, because the report resamples matched strata whose origin it does not say, or because none is."""
+    found = json_nodes(frame, keys, column).where(F.col("key").isin(*names)).withColumn("hash", F.lower("text")).where(F.col("hash").rlike("^[0-9a-f]{64}$"))
+    seen = found.join(frame.select(*keys, F.col(expected).alias("__e")), keys).groupBy(*keys).agg(
+        F.count("*").alias("n_hashes"), F.bool_or(F.col("hash") == F.col("__e")).alias("__v"), F.array_sort(F.collect_list(F.when(F.col("hash") == F.col("__e"), F.col("path")))).alias("locations")
+    )
+    strata = F.coalesce(F.get_json_object(column, "$.bootstrap.resampling_unit").contains("matched_stratum"), F.lit(False))
+    both = frame.select(*keys, strata.alias("__s")).join(seen, keys, "left")
+    reason = F.when(F.col("__v"), "expected_hash_recorded").when(F.col("n_hashes") > 0, "hash_mismatch").when(F.col("__s"), "stratum_origin_missing").otherwise("hash_missing")
+    return both.select(*keys, F.when(F.col("__v"), "verified").otherwise("invalidated").alias("status"), reason.alias("reason"), F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"), F.coalesce("locations", F.array().cast("array<string>")).alias("locations"))
+
+
 def below_root(path: Column, root: str) -> Column:
     """Whether a relative path stays below its root: not absolute, no step upwards."""
     return ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)") | path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")

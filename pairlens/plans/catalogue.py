@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import ordering, scalars, vectors
-from pairlens.operators import audits, corrections, estimators, gates, heads, matrices, pairs, pools, resample, scoring, validate
+from pairlens.operators import audits, corrections, estimators, gates, heads, inventory, matrices, pairs, pools, resample, scoring, validate
 from pairlens.sources import items as src
 from pairlens.plans.storage import numbered
 from pairlens.streaming import events as ev
@@ -234,6 +234,41 @@ def record_hashes(spark, sf_dir):
     return o.select("item", src.record_hash(["item", "subject", "category", "condition", "note"]).alias("h"))
 
 
+_REPORTS = """WITH h AS (SELECT l_orderkey AS k, list({'line': l_linenumber, 'inputs': {'manifest_sha256': CASE WHEN l_linenumber % 2 = 0 THEN sha256('manifest-' || (l_suppkey % 3)) END}} ORDER BY l_linenumber, l_partkey, sha256('manifest-' || (l_suppkey % 3))) AS runs FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT o_orderkey AS k, to_json({'bootstrap': {'resampling_unit': CASE WHEN o_custkey % 2 = 0 THEN 'matched_stratum_subject' ELSE 'pair' END}, 'runs': runs}) AS j FROM orders JOIN h ON k = o_orderkey),
+t AS (SELECT k, lower(t.atom ->> '$') AS h, '/' || replace(replace(replace(replace(t.fullkey, '$.', ''), '[', '/'), ']', ''), '.', '/') AS path FROM d, json_tree(d.j) t WHERE t.key = 'manifest_sha256' AND t.type = 'VARCHAR'),
+f AS (SELECT k, count(*) AS n, bool_or(h = sha256('manifest-0')) AS v, list(path ORDER BY path) FILTER (h = sha256('manifest-0')) AS places FROM t GROUP BY k)
+SELECT d.k AS report, CASE WHEN v THEN 'verified' ELSE 'invalidated' END AS status, CASE WHEN v THEN 'expected_hash_recorded' WHEN n > 0 THEN 'hash_mismatch' WHEN (j -> 'bootstrap' ->> 'resampling_unit') LIKE '%matched_stratum%' THEN 'stratum_origin_missing' ELSE 'hash_missing' END AS reason,
+coalesce(n, 0) AS n_hashes, places[1] AS first_location FROM d LEFT JOIN f USING (k)"""
+
+
+@query(_REPORTS)
+def report_manifest_status(spark, sf_dir):
+    """Reports as JSON, one an order with its lines as nested runs: which record the expected manifest, wherever in them."""
+    lines = src.table(spark, sf_dir, "lineitem")
+    hashed = F.when(F.col("l_linenumber") % 2 == 0, F.sha2(F.concat(F.lit("manifest-"), (F.col("l_suppkey") % 3).cast("string")), 256))
+    run = F.struct(F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("part"), F.struct(F.col("l_linenumber").alias("line"), F.struct(hashed.alias("manifest_sha256")).alias("inputs")).alias("run"))
+    runs = lines.groupBy(F.col("l_orderkey").alias("report")).agg(F.transform(F.array_sort(F.collect_list(run)), lambda r: r["run"]).alias("runs"))
+    unit = F.struct(F.when(F.col("o_custkey") % 2 == 0, "matched_stratum_subject").otherwise("pair").alias("resampling_unit"))
+    reports = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report"), unit.alias("bootstrap")).join(runs, "report")
+    told = reports.select("report", F.to_json(F.struct("bootstrap", "runs")).alias("json"), F.sha2(F.lit("manifest-0"), 256).alias("expected"))
+    return validate.manifest_identity(told, ["report"], "json", "expected").select("report", "status", "reason", "n_hashes", F.get("locations", F.lit(0)).alias("first_location"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS item, 'files' || CASE WHEN o_orderstatus = 'F' THEN '/phase2/' ELSE '/phase1/' END || o_orderkey AS path, o_custkey::VARCHAR AS subject, o_orderpriority AS category,
+CASE WHEN o_orderstatus = 'F' THEN 'month ' || strftime(o_orderdate, '%m') ELSE 'year ' || strftime(o_orderdate, '%Y') END AS condition, CASE WHEN o_custkey % 5 = 0 THEN 'calibration' ELSE 'evaluation' END AS split, CASE WHEN o_custkey % 5 = 0 THEN 'one' ELSE 'two' END AS task FROM orders""")
+def corpus_records(spark, sf_dir):
+    """The records of two tasks from their key-value tables: files, subjects, categories, and the conditions of either phase."""
+    o = src.table(spark, sf_dir, "orders")
+    tasks = {}
+    for name, split, rows in (("one", "calibration", o.where("o_custkey % 5 = 0")), ("two", "evaluation", o.where("o_custkey % 5 <> 0"))):
+        of = lambda value, rows=rows: rows.select(F.col("o_orderkey").cast("string").alias("key"), value.cast("string").alias("value"))
+        path = F.concat(F.lit("files"), F.when(F.col("o_orderstatus") == "F", "/phase2/").otherwise("/phase1/"), F.col("o_orderkey").cast("string"))
+        early, late = (of(F.concat(F.lit(t), F.date_format("o_orderdate", f))) for t, f in (("year ", "yyyy"), ("month ", "MM")))
+        tasks[name] = (src.task_records(of(path), of(F.col("o_custkey")), of(F.col("o_orderpriority")), early, late), split)
+    return src.corpus(tasks).select("item", "path", "subject", "category", "condition", "split", "task")
+
+
 # --- stratified estimates ----------------------------------------------------------------------------------------
 
 
@@ -663,10 +698,18 @@ def largest_remainder(spark, sf_dir):
     return pools.allocation(src.table(spark, sf_dir, "documents"), "source", 97)
 
 
-@query("""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank, count(*) OVER () AS n FROM embeddings)
-SELECT fraction, count(*) AS n, sha256(string_agg(lpad(vec_id::VARCHAR, 19, '0'), chr(10) ORDER BY vec_id)) AS digest FROM r CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0]::DOUBLE[]) AS fraction) WHERE rank <= round_even(r.n * fraction, 0) GROUP BY fraction""")
+def _tree_sql(ids: str) -> str:
+    """Roots by fraction of the ids of ``ids`` (fraction, id): leaves of 256 numbers, seven levels, and what is left."""
+    levels = [f"l0 AS (SELECT fraction, id >> 8 AS b, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS h, count(*) AS n FROM {ids} GROUP BY fraction, id >> 8)"]
+    for k in range(1, inventory.LEVELS + 1):
+        levels.append(f"l{k} AS (SELECT fraction, up AS b, sha256(string_agg(b || ':' || h, ',' ORDER BY b)) AS h, sum(n) AS n FROM (SELECT *, b >> 8 AS up FROM l{k - 1}) GROUP BY fraction, up)")
+    return ", ".join(levels) + f" SELECT fraction, sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || h, ',' ORDER BY b)) AS digest FROM l{inventory.LEVELS} GROUP BY fraction"
+
+
+@query("""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank, count(*) OVER () AS n FROM embeddings),
+x AS (SELECT fraction, vec_id AS id FROM r CROSS JOIN (SELECT unnest([0.25, 0.5, 1.0]::DOUBLE[]) AS fraction) WHERE rank <= round_even(r.n * fraction, 0)), """ + _tree_sql("x"))
 def inventory_grid(spark, sf_dir):
-    return pools.inventories(src.table(spark, sf_dir, "embeddings"), "vec_id", (0.25, 0.5, 1.0))
+    return inventory.inventories(src.table(spark, sf_dir, "embeddings"), "vec_id", (0.25, 0.5, 1.0))
 
 
 @query(f"SELECT s AS subject, (row_number() OVER (ORDER BY {_order('s', SEED)}, s) - 1) % 5 AS fold FROM (SELECT DISTINCT vec_id % 25 AS s FROM embeddings)")
@@ -903,6 +946,32 @@ def subject_component_removal(spark, sf_dir):
     return rounded(out)
 
 
+@query(_ITEMS + """, u AS (SELECT subject, category, condition, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM items),
+c AS (SELECT *, x - avg(x) OVER (PARTITION BY k, category) AS xt, condition - avg(condition) OVER (PARTITION BY k, category) AS dt FROM u),
+b AS (SELECT k, CASE WHEN sum(dt * dt) > 0 THEN sum(dt * xt) / sum(dt * dt) ELSE 0 END AS b FROM c GROUP BY k), r AS (SELECT k, subject, xt - b.b * dt AS z FROM c JOIN b USING (k)),
+s AS (SELECT k, subject, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM r GROUP BY k, subject), t AS (SELECT k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b, count(*) AS g FROM s GROUP BY k)
+SELECT k, round(((b - s * s / n) / (g - 1)) / ((q - b) / (n - g)), 6) AS f FROM t""")
+def subject_f_residual(spark, sf_dir):
+    """F of subject on every coordinate, less what category and condition explain. The SQL's closed form is that of two conditions, which the tables of the small scales have."""
+    t = corrections.f_sums(src.vector_items(spark, sf_dir).withColumn("z", F.col("vec")), ("category", "condition"))
+    f = ((F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("g") - 1)) / ((F.col("q") - F.col("b")) / (F.col("n") - F.col("g")))
+    return rounded(t.select("k", f.alias("f")))
+
+
+@query()
+def principal_baseline(spark, sf_dir):
+    """The baseline of the 16 strongest directions of the calibration split, by block power iteration: the clamped fit on calibration pairs and the errors on evaluation pairs. No SQL: it is
+    iterative (held against a dense solution in the tests)."""
+    items = src.vector_items(spark, sf_dir)
+    mean, dirs = corrections.principal_directions(items.where("split = 'calibration'"), 16)
+    shown = heads.projected(items, mean, dirs)
+    p = all_pairs(spark, sf_dir).drop("distance")
+    d = scoring.distances(p, shown, "distinct", 16)
+    fit = scoring.affine(d.where("split = 'calibration'"), "distance", "target", clamped=True)
+    s = scoring.scored(d.where("split = 'evaluation'"), fit)
+    return rounded(s.groupBy("grp").agg(F.count("*").alias("n"), F.avg("distance").alias("distance"), F.avg("error").alias("mae")))
+
+
 @query()
 def ridge_correction(spark, sf_dir):
     """Offsets of cells predicted from their means by ridge regression, taken from the vectors; mean distance by arm."""

@@ -99,6 +99,32 @@ def union_by_model(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def task_records(files: DataFrame, subjects: DataFrame, categories: DataFrame, early: DataFrame, late: DataFrame, transcripts: DataFrame | None = None, discourse: DataFrame | None = None) -> DataFrame:
+    """(item, path, subject, category, early_condition, late_condition[, content][, discourse]) of the key-value tables of one task, as ``corpus`` takes them: every file
+    with the subject, category and condition of its key, the condition from the table of its phase. Raises if a file lacks one of these, or a transcript or discourse
+    where such a table is given; with several incomplete files the least is named."""
+    from pairlens.operators.validate import Rejected
+
+    named = lambda f, name: f.select(F.col("key").alias("item"), F.col("value").alias(name))
+    rows = named(files, "path")
+    asked = [(subjects, "subject"), (categories, "category"), (early, "early_condition"), (late, "late_condition")]
+    asked += [(t, n) for t, n in ((transcripts, "transcript"), (discourse, "discourse")) if t is not None]
+    for other, name in asked:
+        rows = rows.join(named(other, name), "item", "left")
+    is_late = F.col("path").contains("/phase2/")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    tests = {"subject": blank(F.col("subject")), "category": blank(F.col("category")), "condition": blank(F.when(is_late, F.col("late_condition")).otherwise(F.col("early_condition")))}
+    tests |= {n: F.col(n).isNull() for _, n in asked[4:]}
+    lacking = F.coalesce(*(F.when(t, F.lit(n)) for n, t in tests.items()))
+    if (bad := rows.where(lacking.isNotNull()).agg(F.min(F.struct("item", lacking.alias("what"))).alias("b")).first()["b"]) is not None:
+        raise Rejected(f"{bad['item']} has no {bad['what']}")
+    if transcripts is not None:
+        from pairlens.functions.text import content_hash
+
+        rows = rows.withColumn("content", content_hash(F.col("transcript"))).drop("transcript")
+    return rows
+
+
 def corpus(tasks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Records of several tasks, task -> (its joined rows, split); a phase's condition is the later phase's where the path says so."""
     out = None

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.functions import ordering, scalars, vectors
-from pairlens.operators import audits, corrections, estimators, gates, heads, matrices, pairs, pools, resample, scoring, validate
+from pairlens.operators import audits, corrections, estimators, gates, heads, inventory, matrices, pairs, pools, resample, scoring, validate
 from pairlens.sources import items as src
 
 ROWS = "stratum string, arm string, item_l long, item_r long, subject_l long, subject_r long, distance double"
@@ -321,7 +321,7 @@ def test_pools(spark):
         on.setdefault(r["q"], set()).add(r["unit"])
     grid = sorted(on)
     assert all(on[a] <= on[b] for a, b in zip(grid, grid[1:], strict=False)) and len(on[0.5]) == 100 and len(on[1.0]) == 201
-    inv = {r["fraction"]: r["n"] for r in pools.inventories(spark.range(10).withColumnRenamed("id", "unit"), "unit", (0.25, 1.0, 2.0)).collect()}
+    inv = {r["fraction"]: r["n"] for r in inventory.inventories(spark.range(10).withColumnRenamed("id", "unit"), "unit", (0.25, 1.0, 2.0)).collect()}
     assert inv == {0.25: 2, 1.0: 10, 2.0: 10}
     r = pools.rotated(spark.createDataFrame([(1, 0.0), (2, 0.4), (3, 0.8)], "unit long, target double"), "unit", "target", 7).collect()
     assert sorted(x["shuffled"] for x in r) == [0.0, 0.4, 0.8] and all(x["shuffled"] != x["target"] for x in r)
