@@ -1,7 +1,7 @@
 """Post-hoc corrections of distances and vectors.
 
-Fits aggregate to subject x category cells with Spark; only the cells (at most CELLS of them, checked) reach the
-driver, where small dense problems are solved. Applying is a join and an expression over all items.
+Fits are made from sums that tasks add up; only dense problems of the vectors' width reach the driver. Applying is a join and an expression over all items. Fits of cells on
+a second view are in ``regression``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ STRENGTHS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0
 ALPHAS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0)
 COMPONENTS = (0, 1, 2, 5, 10, 20, 50, 100)
 THRESHOLDS = (0.03, 0.05, 0.10)
-CELLS = 200_000
 
 
 def grid(frame: DataFrame, name: str, values: tuple) -> DataFrame:
@@ -145,67 +144,7 @@ def residual_cosines(items: DataFrame) -> DataFrame:
     return p.groupBy("category_l", "category_r").agg(F.count("*").alias("n"), F.avg("c").alias("mean"))
 
 
-# Fits on cells.
-
-
-def cells(items: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(subject, category, n, mean vectors) of all cells, in order; refuses more than CELLS."""
-    got = mean_vectors(items, ["subject", "category"]).select("subject", "category", "n", "mean")
-    if (k := got.count()) > CELLS:
-        raise ValueError(f"{k} cells are too many for the driver")
-    rows = sorted(got.collect(), key=lambda r: (r["subject"], r["category"]))
-    return np.array([r["subject"] for r in rows]), np.array([r["category"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["mean"] for r in rows])
-
-
-def offsets(subject: np.ndarray, category: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Cell means less the category main effect (mean of the category's cells)."""
-    out = mean.copy()
-    for c in np.unique(category):
-        out[category == c] -= mean[category == c].mean(0)
-    return out
-
-
-def ridge(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0), k: int = 5, groups: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """(coefficients, alpha): standardised inputs, no intercept, alpha of the least cross-validated error."""
-    sd = x.std(0)
-    z = (x - x.mean(0)) / np.where(sd == 0, 1e-6, sd)
-    fold = (np.arange(len(x)) if groups is None else np.unique(groups, return_inverse=True)[1]) % k
-    solve = lambda a, zz, yy: np.linalg.solve(zz.T @ zz + a * np.eye(z.shape[1]), zz.T @ yy)
-    errors = [(float(np.mean([((y[fold == f] - z[fold == f] @ solve(a, z[fold != f], y[fold != f])) ** 2).mean() for f in range(k) if (fold == f).any()])), a) for a in alphas]
-    best = min(errors)[1]
-    return solve(best, z, y), best
-
-
-def rank_one(y: np.ndarray, subject: np.ndarray, category: np.ndarray, restarts: int = 5, tol: float = 1e-6, patience: int = 20, seed: int = 20260829, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """(u by subject, v by category vectors, loss): y of a cell is u_subject times v_category, by alternating least squares from several starts."""
-    s, si = np.unique(subject, return_inverse=True)
-    c, ci = np.unique(category, return_inverse=True)
-    rng = np.random.default_rng(seed)
-    best = (np.zeros(len(s)), np.zeros((len(c), y.shape[1])), float("inf"))
-    for _ in range(restarts):
-        u, last, still = rng.normal(size=len(s)), float("inf"), 0
-        v = np.zeros((len(c), y.shape[1]))
-        while still < patience:
-            for k in range(len(c)):
-                on = ci == k
-                v[k] = (u[si[on], None] * y[on]).sum(0) / ((u[si[on]] ** 2).sum() + penalty)
-            for k in range(len(s)):
-                on = si == k
-                u[k] = (v[ci[on]] * y[on]).sum() / ((v[ci[on]] ** 2).sum() + penalty)
-            loss = float(((y - u[si, None] * v[ci]) ** 2).mean())
-            still = still + 1 if last - loss < tol * max(1.0, loss) else 0
-            last = loss
-        if last < best[2]:
-            best = (u.copy(), v.copy(), last)
-    return best
-
-
-def apply_offsets(items: DataFrame, subject: np.ndarray, category: np.ndarray, component: np.ndarray) -> DataFrame:
-    """``vec`` less its cell's component plus the mean component (the anchor); cells that were not fitted keep their vectors."""
-    anchor = component.mean(0)
-    rows = [(int(s), int(c), [float(v) for v in d - anchor]) for s, c, d in zip(subject, category, component, strict=True)]
-    fitted = items.sparkSession.createDataFrame(rows, "subject long, category long, __d array<double>")
-    return items.join(fitted, ["subject", "category"], "left").withColumn("vec", F.when(F.col("__d").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "__d", lambda x, d: x - d))).drop("__d").withColumn("norm", norm("vec", DIM))
+# Fits on sums.
 
 
 def covariance(items: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
@@ -368,11 +307,18 @@ def identity_head(items: DataFrame, k: int) -> np.ndarray:
     return (vectors[:, np.argsort(-values)[:k]].T / sd).T
 
 
-def canonical_correlations(x: np.ndarray, y: np.ndarray, eps: float = 1e-9) -> np.ndarray:
-    """Correlations between two views of the same cells."""
-    whiten = lambda z: np.linalg.svd(z - z.mean(0), full_matrices=False)
-    (ux, sx, _), (uy, sy, _) = whiten(x), whiten(y)
-    return np.clip(np.linalg.svd(ux[:, sx > eps].T @ uy[:, sy > eps], compute_uv=False), 0, 1)
+def canonical_correlations(rows: DataFrame, first: str, second: str, eps: float = 1e-9) -> np.ndarray:
+    """Correlations between two views of the same rows, columns of vectors, from the covariance of both together: no row reaches the driver."""
+    wide = len(rows.select(first).first()[0])
+    _, _, cov = covariance(rows.select(F.concat(first, second).alias("both")), "both")
+
+    def whitener(c: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(c)
+        kept = values > eps * max(values.max(), 0)
+        return vectors[:, kept] / np.sqrt(values[kept])
+
+    x, y = whitener(cov[:wide, :wide]), whitener(cov[wide:, wide:])
+    return np.clip(np.linalg.svd(x.T @ cov[:wide, wide:] @ y, compute_uv=False), 0, 1)
 
 
 def probe_accuracy(items: DataFrame, label: str, test_fraction_mod: int = 5) -> float:

@@ -1,4 +1,4 @@
-"""Trainable projection heads: forward, losses, training of linear and two-layer heads, sweeps over seeds and settings, grid search over subject folds."""
+"""Trainable projection heads: forward, losses and gradients of linear and two-layer heads; ``training`` fits them."""
 
 from __future__ import annotations
 
@@ -59,34 +59,6 @@ def loss(pair: np.ndarray, cross: np.ndarray, strength: float, mode: str = "sepa
     return float((pair.sum() + strength * cross.sum()) / (len(pair) + len(cross)))
 
 
-def train_linear(left: np.ndarray, right: np.ndarray, target: np.ndarray, out: int, epochs: int = 30, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 20260829, cross: tuple | None = None, strength: float = 0.0) -> dict:
-    """A linear head fitted to targets of pairs by AdamW on smooth L1 of cosine distances; ``cross`` pairs add their loss times ``strength``."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=(left.shape[1], out)) / np.sqrt(left.shape[1])
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-
-    def gradient(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
-        za, zb = a @ w, b @ w
-        na, nb = np.maximum(np.linalg.norm(za, axis=1, keepdims=True), 1e-9), np.maximum(np.linalg.norm(zb, axis=1, keepdims=True), 1e-9)
-        ua, ub = za / na, zb / nb
-        cos = (ua * ub).sum(1, keepdims=True)
-        g = np.clip(1 - cos - y[:, None], -1, 1) / len(y)
-        return a.T @ (-g * (ub - cos * ua) / na) + b.T @ (-g * (ua - cos * ub) / nb)
-
-    for _ in range(epochs):
-        order = rng.permutation(len(target))
-        for i in range(0, len(order), batch):
-            at = order[i : i + batch]
-            g = gradient(left[at], right[at], target[at])
-            if cross is not None and strength:
-                k = rng.integers(0, len(cross[2]), min(batch, len(cross[2])))
-                g = g + strength * gradient(cross[0][k], cross[1][k], cross[2][k])
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + decay * w)
-    return {"w1": w}
-
-
 def _pair_step(head: dict, left: np.ndarray, right: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean smooth L1 loss by the head's weights, and each pair's loss."""
     deep = "w2" in head
@@ -118,104 +90,3 @@ def _pair_step(head: dict, left: np.ndarray, right: np.ndarray, target: np.ndarr
         grads["b1"] += dz.sum(0)
     a = np.abs(e[:, 0])
     return grads, np.where(a < 1, 0.5 * a * a, a - 0.5)
-
-
-def schedule(batch: int, pairs: int, cross: int, exposure: tuple[int, int] | None = None) -> tuple[int, int]:
-    """(pairs, cross pairs) of a batch: by the exposure ratio, or else by how many there are, cross pairs at most half; at least one of either kind that exists."""
-    if not pairs and not cross:
-        raise ValueError("training needs at least one pair")
-    if not cross or not pairs:
-        return (batch, 0) if pairs else (0, batch)
-    share = exposure[1] / sum(exposure) if exposure else min(0.5, cross / (pairs + cross))
-    n = min(batch - 1, max(1, round(batch * share)))
-    return batch - n, n
-
-
-def train(pair: tuple, check: tuple, out: int, hidden: int = 0, cross: tuple | None = None, strength: float = 0.0, exposure: tuple[int, int] | None = None, epochs: int = 100, patience: int = 10, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 20260829, every: int = 5) -> tuple[dict, list[dict]]:
-    """(head, log): a linear head (``hidden`` 0) or two layers, by AdamW on pairs (left, right, target) drawn with replacement, plus ``strength`` times
-    the loss of cross pairs. The head of the least loss on ``check`` pairs is kept; training ends after ``patience`` epochs without a smaller one.
-    The log has, every so many epochs, the check loss and the size of either gradient. Runs in one process: callers bound the pairs."""
-    rng = np.random.default_rng(seed)
-    wide = pair[0].shape[1]
-    shapes = {"w1": (wide, hidden or out), "b1": (hidden or out,)} | ({"w2": (hidden, out), "b2": (out,)} if hidden else {})
-    head = {k: rng.normal(size=s) / np.sqrt(s[0]) if len(s) == 2 else np.zeros(s) for k, s in shapes.items()}
-    moments = {k: (np.zeros(s), np.zeros(s)) for k, s in shapes.items()}
-    n_pair, n_cross = schedule(batch, len(pair[2]), len(cross[2]) if cross and strength else 0, exposure)
-    best, kept, since, log, t = np.inf, head, 0, [], 0
-    norm_of = lambda g: float(np.sqrt(sum((x * x).sum() for x in g.values())))
-    for epoch in range(epochs):
-        for _ in range(max(1, -(-len(pair[2]) // max(1, n_pair)))):
-            at = rng.integers(0, len(pair[2]), n_pair)
-            own, _ = _pair_step(head, *(x[at] for x in pair))
-            far = None
-            if n_cross:
-                k = rng.integers(0, len(cross[2]), n_cross)
-                far, _ = _pair_step(head, *(x[k] for x in cross))
-            t += 1
-            new = {}
-            for name, w in head.items():
-                g = own[name] + (strength * far[name] if far else 0)
-                m, v = moments[name]
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                moments[name] = m, v
-                new[name] = w - rate * (m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + decay * w)
-            head = new
-        loss_now = float(_pair_step(head, *check)[1].mean())
-        if epoch % every == 0:
-            log.append({"epoch": epoch, "loss": loss_now, "pair_gradient": norm_of(own), "cross_gradient": strength * norm_of(far) if far else 0.0})
-        if loss_now < best - 1e-12:
-            best, kept, since = loss_now, head, 0
-        else:
-            since += 1
-            if since >= patience:
-                break
-    return kept, log
-
-
-def sweep(cells: DataFrame, examples: dict[str, tuple], out: int, most: int = 20_000, **settings) -> DataFrame:
-    """Adds epochs_logged, loss and weights (flat, by layer in the order of their names) to ``cells(seed, hidden, strength, ...)``, each cell trained by
-    itself in a task of its own. examples: pair, check and cross, at most ``most`` pairs each, which is what the broadcast's size rests on."""
-    if any(len(e[2]) > most for e in examples.values()):
-        raise ValueError(f"more than {most} training pairs: choose a bounded set")
-    spark = cells.sparkSession
-    shared = spark.sparkContext.broadcast(examples)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for c in pdf.to_dict("records"):
-                ex = shared.value
-                head, log = train(ex["pair"], ex["check"], out, int(c["hidden"]), ex.get("cross"), float(c["strength"]), seed=int(c["seed"]), **settings)
-                rows.append((len(log), float(_pair_step(head, *ex["check"])[1].mean()), [head[k].ravel().tolist() for k in sorted(head)]))
-            yield pdf.assign(epochs_logged=[r[0] for r in rows], loss=[r[1] for r in rows], weights=[r[2] for r in rows])
-
-    form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", epochs_logged int, loss double, weights array<array<double>>"
-    return cells.repartition(*cells.columns).mapInPandas(run, form)
-
-
-def diagonal_metric(left: np.ndarray, right: np.ndarray, target: np.ndarray, epochs: int = 100, rate: float = 0.05) -> np.ndarray:
-    """One scale per dimension (softplus of a parameter), by gradient steps on the squared error of weighted cosine distances."""
-    p = np.full(left.shape[1], np.log(np.e - 1))
-    for _ in range(epochs):
-        s = np.log1p(np.exp(p))
-        dots, na, nb = (left * right) @ s, np.sqrt((left**2) @ s), np.sqrt((right**2) @ s)
-        cos = dots / np.maximum(na * nb, 1e-12)
-        e = (1 - cos - target)[:, None]
-        dcos = left * right / (na * nb)[:, None] - cos[:, None] * (left**2 / (2 * na**2)[:, None] + right**2 / (2 * nb**2)[:, None])
-        p -= rate * (-(2 * e * dcos).mean(0)) / (1 + np.exp(-p))
-    return np.log1p(np.exp(p))
-
-
-def grid_search(examples: DataFrame, grid: DataFrame, train) -> DataFrame:
-    """Every (candidate, fold) trained by itself: examples(fold, ...) meet the grid's rows (candidate, fold, settings) by fold; train(pdf) gives one row."""
-    cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema)
-    return grid.join(examples.withColumnRenamed("fold", "example_fold"), F.col("example_fold").isNotNull()).groupBy(*grid.columns).applyInPandas(train, cols + ", loss double")
-
-
-def factorial(references: list[str], seeds: list[int], heads: list[str], strengths: list[float], spark) -> DataFrame:
-    """The grid of experiment cells, each named by its settings."""
-    one = lambda name, values, kind: F.explode(F.array(*(F.lit(v).cast(kind) for v in values))).alias(name)
-    f = spark.range(1).select(one("reference", references, "string"))
-    for name, values, kind in (("seed", seeds, "long"), ("head", heads, "string"), ("strength", strengths, "double")):
-        f = f.select("*", one(name, values, kind))
-    return f.withColumn("cell", F.sha2(F.concat_ws("|", "reference", "seed", "head", "strength"), 256))

@@ -61,8 +61,8 @@ def products(pdf: pd.DataFrame) -> np.ndarray:
 Fields = dict[str, Callable[[pd.DataFrame], np.ndarray]]
 
 
-def summed(frame: DataFrame, keys: list[str], fields: Fields) -> DataFrame:
-    """(keys, fields): vectors of ``fields`` (a matrix of each batch) added up by keys, in each task first."""
+def summed(frame: DataFrame, keys: list[str], fields: Fields, kind: str = "<i8") -> DataFrame:
+    """(keys, fields): vectors of ``fields`` (a matrix of each batch, of whole numbers or with kind <f8 of doubles) added up by keys, in each task first."""
     names = list(fields)
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,10 +72,10 @@ def summed(frame: DataFrame, keys: list[str], fields: Fields) -> DataFrame:
             made = {n: f(pdf) for n, f in fields.items()}
             groups = pdf.groupby(keys, sort=False, dropna=False).indices
             heads = pdf[keys].iloc[[ix[0] for ix in groups.values()]]
-            yield heads.assign(**{n: [m[ix].sum(0).astype("<i8").tobytes() for ix in groups.values()] for n, m in made.items()})
+            yield heads.assign(**{n: [m[ix].sum(0).astype(kind).tobytes() for ix in groups.values()] for n, m in made.items()})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[keys].iloc[:1].assign(**{n: [matrix(pdf[n]).sum(0).tobytes()] for n in names})
+        return pdf[keys].iloc[:1].assign(**{n: [matrix(pdf[n], kind).sum(0).tobytes()] for n in names})
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in keys), *(f"{n} binary" for n in names)])
     ordered = [f.name for f in frame.schema if f.name in keys]
@@ -83,17 +83,17 @@ def summed(frame: DataFrame, keys: list[str], fields: Fields) -> DataFrame:
     return select(select(frame.mapInPandas(lambda p: (x[[*ordered, *names]] for x in partial(p)), kinds)).groupBy(*ordered).applyInPandas(lambda p: total(p)[[*ordered, *names]], kinds))
 
 
-def unpacked(frame: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def unpacked(frame: DataFrame, keys: list[str], fields: list[str], kind: str = "<i8") -> DataFrame:
     """(keys, replicate, fields) of packed vectors: as many rows as groups and replicates."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for k in range(len(pdf)):
                 one = pdf.iloc[k : k + 1]
-                made = {n: matrix(one[n])[0] for n in fields}
+                made = {n: matrix(one[n], kind)[0] for n in fields}
                 yield pd.DataFrame({**{c: [one[c].iloc[0]] * len(made[fields[0]]) for c in keys}, "replicate": range(len(made[fields[0]])), **made})
 
-    kinds = ", ".join([*(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keys), "replicate int", *(f"{n} long" for n in fields)])
+    kinds = ", ".join([*(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keys), "replicate int", *(f"{n} {'long' if kind == '<i8' else 'double'}" for n in fields)])
     return frame.mapInPandas(run, kinds)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,26 +174,29 @@ def support_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> Dat
 def weighted_gains(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, weighting, gain): the four mean-error gains (base - method)/base under one draw of subjects. ``rows`` have error and
     base_error; a group without weight is left out; subjects are weighted by their draws."""
-    ends = rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
-    drawn = draws(ends, "subject", replicates, seed)
-    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum(F.col("m") * F.col("n"))
-    both = (mean("base_error").alias("b"), mean("error").alias("e"))
-    gain = improvement(F.col("b"), F.col("e"), "none")
-    named = rows.withColumn("rel_l", F.least("category_l", "category_r")).withColumn("rel_r", F.greatest("category_l", "category_r"))
-
-    def weighted(*keys: str) -> DataFrame:
-        """Sums by subject pair and keys, once, with the pairs' weight in every replicate."""
-        cells = named.groupBy("subject_l", "subject_r", *keys).agg(F.sum("base_error").alias("base_error"), F.sum("error").alias("error"), F.count("*").alias("n"))
-        return pair_weights(cells, drawn)
-
-    def grouped(keys: list[str], name: str) -> DataFrame:
-        per = weighted(*keys).groupBy("replicate", *keys).agg(*both)
-        return per.groupBy("replicate").agg(F.avg("b").alias("b"), F.avg("e").alias("e")).select("replicate", F.lit(name).alias("weighting"), gain.alias("gain"))
+    from pairlens.operators.estimators import endpoints
+    from pairlens.plans.storage import settled
 
-    pair = weighted().groupBy("replicate").agg(*both).select("replicate", F.lit("pair").alias("weighting"), gain.alias("gain"))
-    per = weighted().withColumn("subject", F.explode(F.array_distinct(F.array("subject_l", "subject_r")))).groupBy("replicate", "subject").agg(*both)
-    by_subject = per.join(drawn.withColumnRenamed("m", "ms"), ["replicate", "subject"]).groupBy("replicate").agg((F.sum(F.col("ms") * F.col("b")) / F.sum("ms")).alias("b"), (F.sum(F.col("ms") * F.col("e")) / F.sum("ms")).alias("e")).select("replicate", F.lit("endpoint_subject").alias("weighting"), gain.alias("gain"))
-    return pair.unionByName(by_subject).unionByName(grouped(["rel_l", "rel_r"], "category_relation")).unionByName(grouped(["stratum"], "stratum"))
+    drawn = settled(draws(rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject")), "subject", replicates, seed))
+    # Sums by subject pair, relation and stratum, before any replicate.
+    named = rows.select("subject_l", "subject_r", "stratum", F.least("category_l", "category_r").alias("rel_l"), F.greatest("category_l", "category_r").alias("rel_r"), "base_error", "error")
+    cells = settled(named.groupBy("subject_l", "subject_r", "rel_l", "rel_r", "stratum").agg(F.sum("base_error").alias("b"), F.sum("error").alias("e"), F.count("*").alias("n")))
+    w = vectors.weighed(cells, drawn, "subject", [], replicates)
+    times = lambda c: lambda pdf: vectors.products(pdf) * pdf[c].to_numpy(float)[:, None]
+    sums = {c: times(c) for c in "ben"}
+    held = lambda pdf, c: vectors.matrix(pdf[c], "<f8")
+    over = lambda c: lambda pdf: np.divide(held(pdf, c), held(pdf, "n"), out=np.zeros_like(held(pdf, c)), where=held(pdf, "n") > 0)
+    alive = lambda pdf: (held(pdf, "n") > 0).astype(float)
+    one = lambda f, name: f.withColumn("weighting", F.lit(name))
+    got = vectors.summed(one(w, "pair"), ["weighting"], sums, "<f8")
+    for keys, name in ((["rel_l", "rel_r"], "category_relation"), (["stratum"], "stratum")):
+        got = got.unionByName(vectors.summed(one(vectors.summed(w, keys, sums, "<f8"), name), ["weighting"], {"b": over("b"), "e": over("e"), "n": alive}, "<f8"))
+    # Subjects count as often as they were drawn.
+    by = vectors.summed(endpoints(w).select("subject", "ms_l", "ms_r", "one", "b", "e", "n"), ["subject"], sums, "<f8").join(vectors.vectors(drawn, ["subject"], replicates), "subject")
+    own = lambda f: lambda pdf: f(pdf) * vectors.matrix(pdf["ms"], "<i4")
+    got = got.unionByName(vectors.summed(one(by, "endpoint_subject"), ["weighting"], {"b": own(over("b")), "e": own(over("e")), "n": own(alive)}, "<f8"))
+    per = vectors.unpacked(got, ["weighting"], ["b", "e", "n"], "<f8").where("n > 0")
+    return per.select("replicate", "weighting", improvement(F.col("b") / F.col("n"), F.col("e") / F.col("n"), "none").alias("gain"))
 
 
 def ranking(rows: DataFrame, references: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
@@ -205,12 +209,14 @@ def ranking(rows: DataFrame, references: DataFrame, replicates: int, seed: int =
 
     named = rows.select("method", "subject_l", "subject_r", *relation(F.col("category_l"), F.col("category_r")), "predicted").join(references, ["rel_l", "rel_r"])
     cells = named.groupBy("reference", "method", "subject_l", "subject_r", "rel_l", "rel_r").agg(F.max("value").alias("value"), F.sum("predicted").alias("p"), F.sum(F.abs(F.col("predicted") - F.col("value"))).alias("e"), F.count("*").alias("n"))
-    subjects = rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
-    observed = subjects.distinct().select(F.lit(-1).alias("replicate"), "subject", F.lit(1).cast("long").alias("m"))
-    w = pair_weights(cells, draws(subjects, "subject", replicates, seed).unionByName(observed))
-    m = F.col("m")
+    cells, group = settled(cells), ["reference", "method", "rel_l", "rel_r"]
+    drawn = draws(rows.select(F.explode(F.array("subject_l", "subject_r")).alias("subject")), "subject", replicates, seed)
+    times = lambda c: lambda pdf: vectors.products(pdf) * pdf[c].to_numpy(float)[:, None]
+    sums = vectors.unpacked(vectors.summed(vectors.weighed(cells, drawn, "subject", [], replicates), group, {c: times(c) for c in "pen"}, "<f8"), group, ["p", "e", "n"], "<f8").where("n > 0")
+    seen = cells.groupBy(*group).agg(F.max("value").alias("value"), *(F.sum(c).cast("double").alias(c) for c in "pen"))
     # Replicates x relations of labels: read by both measures.
-    per = settled(w.groupBy("reference", "method", "replicate", "rel_l", "rel_r").agg(F.max("value").alias("value"), F.sum(m * F.col("p")).alias("p"), F.sum(m * F.col("e")).alias("e"), F.sum(m * F.col("n")).alias("n")))
+    columns = [*group, "replicate", "value", "p", "e", "n"]
+    per = settled(sums.join(seen.select(*group, "value"), group).select(*columns).unionByName(seen.withColumn("replicate", F.lit(-1)).select(*columns)))
     keys = ["standard", "method", "replicate"]
     per = per.withColumnRenamed("reference", "standard")
     mae = per.groupBy(*keys).agg((F.sum("e") / F.sum("n")).alias("mae"))
@@ -257,6 +263,12 @@ def subject_mean(rows: DataFrame, value: str, replicates: int, seed: int = SEED)
     return rows.join(draws(rows, "subject", replicates, seed), "subject").groupBy("replicate").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("estimate"))
 
 
+def grouped_mean(rows: DataFrame, keys: list[str], value: str, replicates: int, seed: int = SEED) -> DataFrame:
+    """(keys, replicate, estimate): the subjects of every group (one row each) drawn alone; the mean of their values."""
+    w = rows.join(draws(rows, "subject", replicates, seed, keys), [*keys, "subject"])
+    return w.groupBy(*keys, "replicate").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("estimate"))
+
+
 def slope_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, contrast): at every q subjects are drawn alone; slope of mean gain on q, ordinary less balanced. rows(mode, q, subject, gain)."""
     w = rows.join(draws(rows, "subject", replicates, seed, ["q"]), ["q", "subject"])
@@ -321,8 +333,6 @@ def over_seeds(rows: DataFrame, value: str, keys: list[str] | None = None) -> Da
 def interaction_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, product): the product coefficient of gain on 1, ln ratio, strength and their product when subjects are drawn;
     rows(subject, ratio, strength, gain). Sums of products by replicate come from one aggregation."""
-    import numpy as np
-
     w = rows.join(draws(rows, "subject", replicates, seed), "subject")
     x = [F.lit(1.0), F.ln("ratio"), F.col("strength"), F.col("strength") * F.ln("ratio")]
     names = [(i, j) for i in range(4) for j in range(i, 4)]

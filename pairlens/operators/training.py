@@ -23,7 +23,7 @@ from pairlens.plans.scan import Run, scan
 from pairlens.plans.storage import settled
 
 #: What a cell has if its row does not say: names and values of the settings.
-SETTINGS = {"seed": 1, "hidden": 0, "strength": 0.0, "mode": "ordinary", "together": "separate", "q": -1.0, "pool": "", "exposure": 1.0, "penalty": 0.0, "reference": ""}
+SETTINGS = {"seed": 1, "hidden": 0, "strength": 0.0, "mode": "ordinary", "together": "separate", "q": -1.0, "pool": "", "exposure": 1.0, "penalty": 0.0, "reference": "", "fold": -1}
 GROUPS = ("pair", "zero", "rest", "check")
 
 
@@ -101,9 +101,8 @@ def _sums(made: DataFrame, cells: dict[int, dict], heads: dict[int, dict], step:
             if not len(pdf):
                 continue
             left, right, key = np.stack(pdf["vl"].to_numpy()), np.stack(pdf["vr"].to_numpy()), pdf["key"].to_numpy()
-            kind = {k: (pdf["kind"] == k).to_numpy() for k in ("pair", "cross", "check")}
             for name, cell in cells.items():
-                target, inside = _targets(cell, pdf), _members(cell, pdf)
+                kind, target, inside = _kinds(cell, pdf), _targets(cell, pdf), _members(cell, pdf)
                 drawn = _uniform(key, int(cell["seed"]), step)
                 taken = {"pair": kind["pair"] & (drawn < share), "check": kind["check"]}
                 cross = kind["cross"] & inside & (drawn < share * cell["exposure"]) if cell["strength"] else np.zeros(len(pdf), bool)
@@ -140,6 +139,16 @@ def gradient(cell: dict, got: dict[str, tuple[float, float, np.ndarray]], size:
     return own + cell["strength"] * far, own, far
 
 
+def _kinds(cell: dict, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Which examples are pairs, cross and check examples to a cell. With a fold, those with both ends in it are the check, those with one end in it are left out."""
+    named = pdf["kind"].to_numpy()
+    if cell["fold"] < 0:
+        return {k: named == k for k in ("pair", "cross", "check")}
+    left, right = (pdf[c].to_numpy() == cell["fold"] for c in ("fold_l", "fold_r"))
+    out = ~left & ~right
+    return {"pair": out & (named != "cross"), "cross": out & (named == "cross"), "check": left & right & (named != "cross")}
+
+
 def _cosine(a: np.ndarray, b: np.ndarray) -> float | None:
     size = np.linalg.norm(a) * np.linalg.norm(b)
     return float(a @ b / size) if size > 0 else None
@@ -200,6 +209,62 @@ def train_missing(made: DataFrame, cells: DataFrame, out: int, path: str, **sett
     return spark.read.parquet(path).join(cells.select("cell"), "cell", "left_semi")
 
 
+def grid_search(made: DataFrame, candidates: DataFrame, folds: int, out: int, steps: int = 30, **settings) -> tuple[DataFrame, DataFrame]:
+    """(scores, best): every row of candidates(candidate, settings...) trained without each fold of subjects in turn; scores(candidate, settings, loss, steps) has the mean check loss and the median number of
+    steps over the folds, best(cell, settings, ..., weights) the candidate of the least loss (the least number of equals) trained on all examples for that many steps. ``made`` has fold_l and fold_r."""
+    cells = candidates.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("cell", (F.col("candidate") * folds + F.col("fold")).cast("int"))
+    trained = settled(train_grid(made, cells, out, steps, **settings))
+    scores = settled(trained.where("loss < double('inf')").groupBy("candidate").agg(F.avg("loss").alias("loss"), F.percentile_approx("steps", 0.5).alias("steps")).join(candidates, "candidate"))
+    first = scores.orderBy("loss", "candidate").first()
+    chosen = candidates.where(F.col("candidate") == first["candidate"]).withColumn("cell", F.col("candidate").cast("int"))
+    # No check: the number of steps is what the folds say.
+    whole = train_grid(made.withColumn("kind", F.when(F.col("kind") == "check", "pair").otherwise(F.col("kind"))), chosen, out, int(first["steps"]), patience=1 << 30, **{k: v for k, v in settings.items() if k != "patience"})
+    return scores, whole
+
+
+def dealt(made: DataFrame, folds: int, seed: int = 20260829) -> DataFrame:
+    """``made`` with the folds of its ends' subjects, whole subjects dealt out in random order."""
+    from pairlens.operators.pools import folds as deal
+
+    subjects = made.select(F.explode(F.array("subject_l", "subject_r")).alias("subject"))
+    of = settled(deal(subjects, "subject", folds, seed))
+    side = lambda s: of.select(F.col("subject").alias(f"subject_{s}"), F.col("fold").cast("int").alias(f"fold_{s}"))
+    return settled(made.join(side("l"), "subject_l").join(side("r"), "subject_r"))
+
+
+def diagonal_metric(made: DataFrame, steps: int = 40, rate: float = 0.05) -> tuple[np.ndarray, list[float]]:
+    """(scale by dimension, loss by step): one positive scale a dimension (softplus of a parameter), by gradient steps on the mean squared error of weighted cosine distances to targets
+    over all examples. Every step adds up one vector a task."""
+    from pairlens.operators.corrections import added
+
+    spark, dim = made.sparkSession, len(made.select("vl").first()[0])
+    p, losses, kept = np.full(dim, np.log(np.e - 1)), [], made.select("vl", "vr", "target").persist()
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast(np.log1p(np.exp(p)))
+
+        def part(batches, sent=sent):
+            n, loss, grad, s = 0, 0.0, np.zeros(dim), sent.value
+            for pdf in batches:
+                if len(pdf):
+                    a, b, y = np.stack(pdf["vl"].to_numpy()), np.stack(pdf["vr"].to_numpy()), pdf["target"].to_numpy()
+                    dots, na, nb = (a * b) @ s, np.sqrt((a * a) @ s), np.sqrt((b * b) @ s)
+                    size = np.maximum(na * nb, 1e-12)
+                    cos = dots / size
+                    e = 1 - cos - y
+                    slope = a * b / size[:, None] - cos[:, None] * (a * a / (2 * np.maximum(na, 1e-12) ** 2)[:, None] + b * b / (2 * np.maximum(nb, 1e-12) ** 2)[:, None])
+                    n, loss, grad = n + len(pdf), loss + (e * e).sum(), grad - (2 * e[:, None] * slope).sum(0)
+            if n:
+                yield pd.DataFrame({"n": [n], "l": [[loss]], "g": [grad]})
+
+        rows = added(kept.mapInPandas(part, "n long, l array<double>, g array<double>"), ["l", "g"])
+        n = sum(r["n"] for r in rows)
+        losses.append(sum(r["l"][0] for r in rows) / n)
+        p = p - rate * np.sum([r["g"] for r in rows], axis=0) / n / (1 + np.exp(-p))
+        sent.unpersist()
+    kept.unpersist()
+    return np.log1p(np.exp(p)), losses
+
+
 def _measured(rows: DataFrame, specs: dict, heads: dict, fits: dict | None) -> DataFrame:
     """Sums of every cell over pairs(kind, target..., vl, vr, subject_l, subject_r, base_error): of distances and targets, or with ``fits`` of gains by subject."""
     sent = rows.sparkSession.sparkContext.broadcast((specs, heads, fits))

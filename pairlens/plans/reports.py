@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.functions.scalars import improvement
+from pairlens.functions.vectors import norm
 from pairlens.operators import audits, estimators, gates, heads, matrices, pairs, pools, regression, resample, scoring, validate
-from pairlens.plans.catalogue import _CAP, _DRAWS, _EFFECTS, _ENDS, _ITEMS, _MAT, _PAIRS, _SCORED, _WMED, ORACLE_SQL, REPLICATES, SEED, _draw, _matrix, all_pairs, evaluation_pairs, query, r6, rounded, scored_pairs
+from pairlens.plans.catalogue import _CAP, _COS, _DRAWS, _EFFECTS, _ENDS, _ITEMS, _MAT, _PAIRS, _SCORED, _VIEW, _WMED, ORACLE_SQL, REPLICATES, SEED, _draw, _matrix, all_pairs, evaluation_pairs, query, r6, rounded, scored_pairs
 from pairlens.plans.storage import settled
 from pairlens.sources import items as src
 
@@ -146,19 +147,27 @@ def ordering_gate(spark, sf_dir):
 
 # --- gates -------------------------------------------------------------------------------------------------------
 
-_MODELS = _EFFECTS + _DRAWS.format(t="pairs") + _WMED.replace("max(md) FILTER (arm = 'B') - max(md) FILTER (arm = 'A') AS e", "max(md) FILTER (arm = 'B') - max(md) FILTER (arm = 'A') AS e, sqrt(2 * max(md) FILTER (arm = 'B')) - sqrt(2 * max(md) FILTER (arm = 'A')) AS e2") + """,
-bs AS (SELECT replicate, sum(weight * e) / sum(weight) AS c, sum(weight * e2) / sum(weight) AS r FROM re JOIN eff USING (stratum) GROUP BY replicate),
-ch AS (SELECT sum(w * d) / sum(w) AS r FROM (SELECT stratum, count(*) FILTER (arm = 'A') * count(*) FILTER (arm = 'B') / count(*) AS w, median(sqrt(2 * distance)) FILTER (arm = 'B') - median(sqrt(2 * distance)) FILTER (arm = 'A') AS d FROM pairs GROUP BY stratum) WHERE w > 0),
-mo AS (SELECT (SELECT sum(contribution) / sum(weight) FROM eff) AS estimate, quantile_cont(c, 0.025) AS lower FROM bs UNION ALL SELECT (SELECT r FROM ch), quantile_cont(r, 0.025) FROM bs),
-pi AS (SELECT arm, unnest([item_l, item_r]) AS item FROM pairs), ru AS (SELECT count(*) AS reused FROM (SELECT arm, item FROM pi GROUP BY arm, item HAVING count(*) > 1)), sh AS (SELECT count(*) AS shared FROM (SELECT item FROM pi GROUP BY item HAVING count(DISTINCT arm) > 1))"""
+_SECOND = _PAIRS + _VIEW + f""", p2 AS (SELECT stratum, arm, item_l, item_r, subject_l, subject_r, {_COS} AS distance FROM pairs JOIN px a ON a.item = item_l JOIN px b ON b.item = item_r)"""
 
 
-@query(_MODELS + " SELECT true AS nested, reused = 0 AS no_reuse_within_arm, shared = 0 AS shared_as_declared, (SELECT coalesce(bool_and(coalesce(estimate > 0, false)), false) FROM mo) AS direction_preserved, (SELECT coalesce(bool_and(coalesce(lower > 0, false)), false) FROM mo) AS lower_bounds_positive, reused = 0 AND (SELECT coalesce(bool_and(coalesce(estimate > 0, false)), false) FROM mo) AS passed FROM ru CROSS JOIN sh")
+def _model_sql(name: str, pairs_: str) -> str:
+    """The overlap-weighted effect of a table of pairs and the lower bound of its global bootstrap."""
+    swap = lambda x: x.replace("un AS", f"un{name} AS").replace("FROM un)", f"FROM un{name})").replace("JOIN un ", f"JOIN un{name} ").replace("dr AS", f"dr{name} AS").replace("FROM dr ", f"FROM dr{name} ").replace("ws AS", f"ws{name} AS").replace("JOIN ws ", f"JOIN ws{name} ").replace("pw AS", f"pw{name} AS").replace("FROM pw)", f"FROM pw{name})").replace("cm AS", f"cm{name} AS").replace("FROM cm ", f"FROM cm{name} ").replace("md AS (", f"md{name} AS (").replace("FROM md ", f"FROM md{name} ").replace("re AS (", f"re{name} AS (")
+    return swap(_DRAWS.format(t=pairs_)) + swap(_WMED) + f""", ef{name} AS (SELECT stratum, n_a * n_b / (n_a + n_b) AS weight, median_b - median_a AS effect FROM (SELECT stratum, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b, median(distance) FILTER (arm = 'A') AS median_a, median(distance) FILTER (arm = 'B') AS median_b FROM {pairs_} GROUP BY stratum) WHERE n_a > 0 AND n_b > 0),
+mo{name} AS (SELECT (SELECT sum(weight * effect) / sum(weight) FROM ef{name}) AS estimate, quantile_cont(x, 0.025) AS lower FROM (SELECT replicate, sum(weight * e) / sum(weight) AS x FROM re{name} JOIN ef{name} USING (stratum) GROUP BY replicate))"""
+
+
+@query(_SECOND + _model_sql("1", "pairs") + _model_sql("2", "p2") + """, mo AS (SELECT * FROM mo1 UNION ALL SELECT * FROM mo2), pi AS (SELECT arm, unnest([item_l, item_r]) AS item, unnest([subject_l, subject_r]) AS subject, category FROM pairs),
+ru AS (SELECT count(*) AS reused FROM (SELECT arm, item FROM pi GROUP BY arm, item HAVING count(*) > 1)), sh AS (SELECT count(*) AS shared, count(*) FILTER (s > 1 OR c > 1) AS loose FROM (SELECT item, count(DISTINCT subject) AS s, count(DISTINCT category) AS c FROM pi GROUP BY item HAVING count(DISTINCT arm) > 1)),
+ok AS (SELECT coalesce(bool_and(coalesce(estimate > 0, false)), false) AS d, coalesce(bool_and(coalesce(lower > 0, false)), false) AS l FROM mo)
+SELECT loose = 0 AS nested, reused = 0 AS no_reuse_within_arm, shared = 0 AS shared_as_declared, d AS direction_preserved, l AS lower_bounds_positive, loose = 0 AND reused = 0 AND d AS passed FROM ru CROSS JOIN sh CROSS JOIN ok""")
 def dependency_gate(spark, sf_dir):
-    """Two distances (cosine and chord) of all matched pairs, which use items again: the gate reports that and fails."""
+    """The matched pairs' distances in either view, as two models; all pairs are taken, which use items again: the gate reports that and fails."""
     p = settled(evaluation_pairs(spark, sf_dir))
+    views = src.proxy_items(spark, sf_dir).withColumn("vec", F.col("proxy")).withColumn("norm", norm("proxy", 7))
+    second = settled(scoring.distances(p.drop("distance"), views, dim=7))
     models = None
-    for rows in (p, p.withColumn("distance", F.sqrt(2 * F.col("distance")))):
+    for rows in (p, second):
         lower = resample.interval(resample.global_dyadic(rows, REPLICATES, SEED), "estimate").select("lower")
         one = estimators.overlap_effect(estimators.stratum_effects(rows)).select("estimate").crossJoin(lower)
         models = one if models is None else models.unionByName(one)
@@ -401,32 +410,3 @@ def correction_report(spark, sf_dir):
 def correction_gate(spark, sf_dir):
     """The gate over that report: enough gain, a positive bound, no harm to matched pairs, every control lower, better than the ridge."""
     return gates.correction(_correction_evidence(spark, sf_dir), swapped="swapped", rival="rival")
-
-
-# --- sweeps ------------------------------------------------------------------------------------------------------
-
-#: Training pairs of a sweep, of least hash: a bounded set by contract; the cells differ in seed, head and strength alone.
-TRAINING_PAIRS = 2000
-
-
-@query()
-def seed_sweep(spark, sf_dir):
-    """Heads trained with and without the loss of cross pairs, over seeds and two architectures: the check loss of each and what the cross loss adds.
-    No SQL: it is iterative."""
-    import numpy as np
-
-    items = src.vector_items(spark, sf_dir, "calibration")
-    p = settled(all_pairs(spark, sf_dir).where("split = 'calibration'").select("item_l", "item_r", "target", "grp", F.xxhash64("item_l", "item_r").alias("h")))
-    found = {}
-    for name, kinds, turn in (("pair", ("A", "B"), 0), ("check", ("A", "B", "C"), 1), ("cross", ("C", "D"), 0)):
-        few = p.where(F.col("grp").isin(*kinds) & (F.col("h").bitwiseAND(1) == turn)).orderBy("h", "item_l", "item_r").limit(TRAINING_PAIRS)
-        for side in "lr":
-            few = few.join(items.select(F.col("item").alias(f"item_{side}"), F.col("vec").alias(f"vec_{side}")), f"item_{side}")
-        rows = few.orderBy("item_l", "item_r").select("vec_l", "vec_r", "target").toPandas()
-        if not len(rows):
-            return spark.createDataFrame([], "seed long, hidden long, alone double, crossed double, added double")
-        found[name] = (np.stack(rows["vec_l"]), np.stack(rows["vec_r"]), rows["target"].to_numpy())
-    cells = heads.factorial(["binary"], [1, 2, 3, 4, 5], ["0", "16"], [0.0, 1.0], spark).select("seed", F.col("head").cast("long").alias("hidden"), "strength")
-    got = heads.sweep(cells, found, 16, epochs=5)
-    of = lambda x: F.max(F.when(F.col("strength") == x, F.col("loss")))
-    return rounded(got.groupBy("seed", "hidden").agg(of(0.0).alias("alone"), of(1.0).alias("crossed")).withColumn("added", F.col("alone") - F.col("crossed")))

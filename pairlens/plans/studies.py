@@ -248,3 +248,43 @@ def reference_report_trained(spark, sf_dir):
 def reference_gate_trained(spark, sf_dir):
     """The gate over that report."""
     return gates.references(_trained_results(spark, sf_dir))
+
+
+# --- sweeps over all examples ------------------------------------------------------------------------------------------
+
+
+@query()
+def seed_sweep(spark, sf_dir):
+    """Heads trained with and without the loss of cross pairs, over seeds and two architectures, on all calibration pairs: the check loss of each and what the cross loss adds."""
+    pairs, items, _ = _material(spark, sf_dir)
+    got = settled(training.train_grid(training.examples(pairs, items), training.grid(spark, seed=SEEDS, hidden=[0, 16], strength=[0.0, 1.0]), OUT, STEPS, SHARE))
+    of = lambda x: F.max(F.when(F.col("strength") == x, F.col("loss")))
+    return rounded(got.groupBy("seed", "hidden").agg(of(0.0).alias("alone"), of(1.0).alias("crossed")).withColumn("added", F.col("alone") - F.col("crossed")))
+
+
+@query()
+def linear_head(spark, sf_dir):
+    """A linear head trained on all calibration pairs, scored on evaluation pairs under its fit."""
+    pairs, items, scored = _material(spark, sf_dir)
+    made = training.examples(pairs, items)
+    gains = _gains(training.train_grid(made, training.grid(spark, seed=[1], hidden=[0], strength=[0.5]), OUT, 2 * STEPS, SHARE), made, scored)
+    return rounded(gains.agg(F.count("*").alias("subjects"), (F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias("mae"), (F.sum(F.col("n") * F.col("base_error")) / F.sum("n")).alias("base_mae")))
+
+
+@query()
+def grid_search(spark, sf_dir):
+    """Strength, layers, penalty and how losses are put together, each candidate over four folds of subjects, with the best of them trained on all."""
+    pairs, items, _ = _material(spark, sf_dir)
+    made = training.dealt(training.examples(pairs, items), 4, SEED)
+    candidates = training.grid(spark, strength=[0.0, 0.5, 1.0], hidden=[0, 8], penalty=[0.0, 0.001], together=["separate", "mixed"]).withColumnRenamed("cell", "candidate")
+    scores, best = training.grid_search(made, candidates, 4, OUT, STEPS, share=SHARE)
+    chosen = best.select(F.col("cell").alias("candidate"), F.lit(True).alias("chosen"))
+    return rounded(scores.join(chosen, "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))))
+
+
+@query()
+def diagonal_metric(spark, sf_dir):
+    """One scale a dimension fitted to the targets of the calibration pairs: the loss before and after, and the spread of the scales."""
+    pairs, items, _ = _material(spark, sf_dir)
+    scales, losses = training.diagonal_metric(training.examples(pairs, items), steps=20, rate=5.0)
+    return rounded(spark.createDataFrame([(len(scales), losses[0], losses[-1], float(scales.min()), float(scales.max()))], "dimensions long, first_loss double, last_loss double, least double, most double"))

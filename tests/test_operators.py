@@ -361,20 +361,14 @@ def test_subject_means(spark, monkeypatch):
     assert alone["distance"] == 0 and alone["fallbacks"] == 2
 
 
-def test_fits():
+def test_canonical_correlations(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 6))
-    coef, alpha = corrections.ridge(x, x @ np.arange(12).reshape(6, 2), alphas=(1e-6, 100.0))
-    assert alpha == 1e-6 and np.allclose(((x - x.mean(0)) / x.std(0)) @ coef, (x - x.mean(0)) @ np.arange(12).reshape(6, 2), atol=0.5)
-    s, c = np.repeat(np.arange(20), 5), np.tile(np.arange(5), 20)
-    u, v = rng.normal(size=20), rng.normal(size=(5, 3))
-    assert corrections.rank_one(u[s, None] * v[c], s, c)[2] < 1e-5
-    assert corrections.canonical_correlations(x[:, :2], x[:, :2] @ rng.normal(size=(2, 2))) == pytest.approx([1, 1])
-    a, b = rng.normal(size=(400, 5)), rng.normal(size=(400, 5))
-    d = lambda w: 1 - ((a @ w) * (b @ w)).sum(1) / np.linalg.norm(a @ w, axis=1) / np.linalg.norm(b @ w, axis=1)
-    target = d(np.eye(5)[:, :2])
-    before, after = np.abs(d(np.eye(5)) - target).mean(), np.abs(d(heads.train_linear(a, b, target, 2, epochs=60)["w1"]) - target).mean()
-    assert after < before / 2
+    x = rng.normal(size=(200, 3))
+    y = np.column_stack([x[:, :2] @ rng.normal(size=(2, 2)), rng.normal(size=200)])
+    rows = spark.createDataFrame([([float(v) for v in a], [float(v) for v in b]) for a, b in zip(x, y, strict=True)], "a array<double>, b array<double>").repartition(4)
+    got = corrections.canonical_correlations(rows, "a", "b")
+    qx, qy = (np.linalg.qr(z - z.mean(0))[0] for z in (x, y))
+    assert got == pytest.approx(np.linalg.svd(qx.T @ qy, compute_uv=False)) and got[:2] == pytest.approx([1, 1])
 
 
 def test_gates(spark):
