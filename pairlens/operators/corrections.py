@@ -38,8 +38,8 @@ def strength_errors(pairs: DataFrame, strengths: tuple = STRENGTHS) -> DataFrame
 
 
 def chosen(errors: DataFrame, param: str = "strength") -> DataFrame:
-    """One row: the least (error, parameter)."""
-    return errors.agg(F.min_by(F.struct(*errors.columns), F.struct("mae", param)).alias("b")).select("b.*")
+    """One row: the least (error, parameter); errors that differ by rounding alone are equal."""
+    return errors.agg(F.min_by(F.struct(*errors.columns), F.struct(F.round("mae", 12), param)).alias("b")).select("b.*")
 
 
 def frozen_report(pairs: DataFrame, best: DataFrame) -> DataFrame:

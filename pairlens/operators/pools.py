@@ -113,10 +113,15 @@ def shuffled_partners(examples: DataFrame, items: DataFrame, seed: int) -> DataF
     return third.select("pair_id", F.coalesce(other(0), other(1), other(2)).alias("partner"))
 
 
-def exposures(n_pair: int, n_cross: int, ratio: float, strength: float) -> dict[str, float]:
-    """Draws per epoch and the share of the gradient that the cross loss has, separate and mixed."""
-    cross = min(n_cross, round(n_pair * ratio))
-    return {"pair": n_pair, "cross": cross, "separate": strength / (1 + strength), "mixed": strength * cross / (n_pair + strength * cross) if n_pair else 0.0}
+def budget(counts: DataFrame, ratios: tuple[float, ...], strengths: tuple[float, ...]) -> DataFrame:
+    """(ratio, strength, pair, cross_drawn, eta_separate, eta_mixed) of counts(pair, cross[, pair_norm, cross_norm]): draws an epoch, and the cross loss's share of the gradient when the two means are added,
+    and when one mean is taken over all. Norms are those of the two gradients, 1 where they are not given; nothing to share is a share of 0."""
+    grid = counts.withColumn("ratio", F.explode(F.array(*map(F.lit, ratios)))).withColumn("strength", F.explode(F.array(*map(F.lit, strengths))))
+    k = grid.withColumn("cross_drawn", F.least("cross", F.bround(F.col("pair") * F.col("ratio")).cast("long")))
+    norm = lambda c: F.col(c) if c in counts.columns else F.lit(1.0)
+    share = lambda own, other: F.when(own + other > 0, other / (own + other)).otherwise(0.0)
+    far = F.col("strength") * norm("cross_norm")
+    return k.select("ratio", "strength", "pair", "cross_drawn", share(norm("pair_norm"), far).alias("eta_separate"), share(F.col("pair") * norm("pair_norm"), F.col("cross_drawn") * far).alias("eta_mixed"))
 
 
 def slope_contrast(gains: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,37 @@ def _clusters(each: DataFrame, outer: list[str], unit: str, inner: list[str], *o
     return sizes, units, _indexed(each, "i", [*outer, unit, *inner], *order)
 
 
+#: Rows of a cluster that are drawn from where they lie together; larger ones are drawn as rows that are joined.
+TOGETHER = 200_000
+#: Replicates of a cluster that a task makes at once.
+_TURN = 100
+
+
+def drawn_means(instances: DataFrame, rows: DataFrame, keys: list[str], place: list[str], value: str, seed: int) -> DataFrame:
+    """(replicate, place, keys, mean): for every drawn instance(replicate, place, keys) of a cluster the mean of as many of its rows(keys, i, value) as it has, drawn with replacement; ``place`` names the
+    instance's own draw. No row is made for a drawn row of a cluster of up to TOGETHER rows: its values and the instances of some replicates meet as two lists."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    lists = rows.join(sizes.where(F.col("n") <= TOGETHER), keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", F.col(value).cast("double").alias("v")))).alias("vs")).withColumn("vs", F.transform("vs", lambda v: v["v"]))
+    names = list(dict.fromkeys(["replicate", *place]))
+    asked = instances.withColumn("__s", group_seed(seed, *place)).withColumn("__t", F.floor(F.col("replicate") / _TURN))
+    asked = asked.groupBy(*keys, "__t").agg(F.collect_list(F.struct("__s", *(F.col(c).alias(f"p_{c}") for c in names))).alias("asked"))
+    met = asked.join(lists, keys).select(*keys, F.col("asked"), F.transform("asked", lambda a: a["__s"]).alias("seeds"), F.transform("asked", lambda a: a["p_replicate"]).alias("replicates"), "vs")
+
+    def means(seeds: pd.Series, reps: pd.Series, vs: pd.Series) -> pd.Series:
+        out, p = [], 2147483647  # the rule of ``draw``
+        for ss, rs, v in zip(seeds, reps, vs, strict=True):
+            k = np.arange(len(v), dtype=np.int64) * 7919
+            x = ((s + r * 1000003 + k) % p for s, r in zip(ss.astype(np.int64), rs.astype(np.int64), strict=True))
+            out.append([float(v[((y * y % p) * 48271 + y) % p % len(v)].mean()) for y in x])
+        return pd.Series(out)
+
+    draw_means = F.pandas_udf(means, "array<double>")
+    got = met.withColumn("means", draw_means("seeds", "replicates", "vs"))
+    small = got.select(*keys, F.explode(F.arrays_zip("asked", "means")).alias("e")).select(*(F.col(f"e.asked.p_{c}").alias(c) for c in names), *(k for k in keys if k not in names), F.col("e.means").alias("mean"))
+    large = redrawn(instances.join(sizes.where(F.col("n") > TOGETHER), keys), "n", "k", "i", seed, *place).join(rows.select(*keys, "i", value), [*keys, "i"])
+    return small.unionByName(large.groupBy(*names, *(k for k in keys if k not in names)).agg(F.avg(value).alias("mean")))
+
+
 def nested_cluster(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
     """(replicate, estimate): in each stratum and arm subjects are drawn, then rows of each drawn subject; the median of the drawn rows, then of stratum effects."""
     from pairlens.operators.estimators import endpoints
@@ -124,11 +156,9 @@ def stratified_mean(rows: DataFrame, replicates: int, seed: int = SEED) -> DataF
     cats = _indexed(both, "c", [], "category")
     size = cats.agg(F.count("*").alias("C"))
     each = _indexed(used, "i", ["category", "arm"], "item_l", "item_r")
-    counts = each.groupBy("category", "arm").agg(F.count("*").alias("n"))
-    outer = redrawn(_replicated(size, replicates), "C", "j", "c", seed).join(cats, "c").join(counts, "category")
-    inner = redrawn(outer, "n", "k", "i", seed + 1, "j", "arm")
-    seen = inner.join(each.select("category", "arm", "i", "distance"), ["category", "arm", "i"])
-    mean = lambda a: F.avg(F.when(F.col("arm") == a, F.col("distance")))
+    outer = redrawn(_replicated(size, replicates), "C", "j", "c", seed).join(cats, "c").withColumn("arm", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    seen = drawn_means(outer.select("replicate", "j", "category", "arm"), each, ["category", "arm"], ["j", "arm"], "distance", seed + 1)
+    mean = lambda a: F.max(F.when(F.col("arm") == a, F.col("mean")))
     return seen.groupBy("replicate", "j").agg((mean("B") - mean("A")).alias("e")).groupBy("replicate").agg(F.avg("e").alias("estimate"))
 
 
@@ -142,12 +172,10 @@ def hierarchical(rows: DataFrame, replicates: int, seed: int = SEED) -> DataFram
     sizes, units, each = _clusters(ends.join(both, ["category", "subject"], "left_semi"), ["category"], "subject", ["arm"], "item_l", "item_r")
     cats = _indexed(sizes, "c", [], "category")
     size = cats.agg(F.count("*").alias("C"))
-    counts = each.groupBy("category", "subject", "arm").agg(F.count("*").alias("n"))
     outer = redrawn(_replicated(size, replicates), "C", "a", "c", seed).join(cats, "c")
-    middle = redrawn(outer, "S", "b", "s", seed + 1, "a").join(units, ["category", "s"]).join(counts, ["category", "subject"])
-    inner = redrawn(middle, "n", "k", "i", seed + 2, "a", "b", "arm")
-    seen = inner.join(each.select("category", "subject", "arm", "i", "distance"), ["category", "subject", "arm", "i"])
-    mean = lambda a: F.avg(F.when(F.col("arm") == a, F.col("distance")))
+    middle = redrawn(outer, "S", "b", "s", seed + 1, "a").join(units, ["category", "s"]).withColumn("arm", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    seen = drawn_means(middle.select("replicate", "a", "b", "category", "subject", "arm"), each, ["category", "subject", "arm"], ["a", "b", "arm"], "distance", seed + 2)
+    mean = lambda a: F.max(F.when(F.col("arm") == a, F.col("mean")))
     return seen.groupBy("replicate", "a", "b").agg((mean("B") - mean("A")).alias("e")).groupBy("replicate").agg(F.avg("e").alias("estimate"))
 
 
@@ -251,10 +279,8 @@ def clustered_delta(rows: DataFrame, replicates: int, seed: int = SEED) -> DataF
     means = each.groupBy("stratum", "subject").agg(F.avg("delta").alias("d"))
     seen = means.groupBy("stratum").agg(F.avg("d").alias("d")).agg(F.lit(-1).alias("replicate"), F.avg("d").alias("delta"))
     outer = redrawn(_replicated(sizes, replicates), "S", "j", "s", seed, "stratum").join(units, ["stratum", "s"])
-    counts = each.groupBy("stratum", "subject").agg(F.count("*").alias("n"))
-    inner = redrawn(outer.join(counts, ["stratum", "subject"]), "n", "k", "i", seed + 1, "stratum", "j")
-    drawn = inner.join(each.select("stratum", "subject", "i", "delta"), ["stratum", "subject", "i"])
-    per = drawn.groupBy("replicate", "stratum", "j").agg(F.avg("delta").alias("d")).groupBy("replicate", "stratum").agg(F.avg("d").alias("d"))
+    drawn = drawn_means(outer.select("replicate", "stratum", "j", "subject"), each, ["stratum", "subject"], ["stratum", "j"], "delta", seed + 1)
+    per = drawn.groupBy("replicate", "stratum").agg(F.avg("mean").alias("d"))
     return per.groupBy("replicate").agg(F.avg("d").alias("delta")).unionByName(seen)
 
 
@@ -339,8 +365,6 @@ def interaction_bootstrap(rows: DataFrame, replicates: int, seed: int = SEED) ->
     sums = w.groupBy("replicate").agg(*(F.sum(F.col("m") * x[i] * x[j]).alias(f"x{i}{j}") for i, j in names), *(F.sum(F.col("m") * x[i] * F.col("gain")).alias(f"y{i}") for i in range(4)))
 
     def solve(batches):
-        import pandas as pd
-
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):

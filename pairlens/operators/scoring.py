@@ -22,6 +22,14 @@ def missing_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return ends.join(vectors.select("item"), "item", "left_anti")
 
 
+def available(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs both of whose ends have a vector."""
+    known = vectors.select("item").distinct()
+    for side in ("item_l", "item_r"):
+        pairs = pairs.join(known.withColumnRenamed("item", side), side, "left_semi")
+    return pairs
+
+
 def binary_reference(l: Column, r: Column) -> Column:  # noqa: E741
     return F.when(F.floor(l / 2) == F.floor(r / 2), 0.0).otherwise(1.0)
 
@@ -57,6 +65,31 @@ def scored(pairs: DataFrame, fit: DataFrame, keys: list[str] | None = None) -> D
     return joined.withColumn("predicted", F.col("slope") * F.col("distance") + F.col("intercept")).withColumn("error", F.abs(F.col("predicted") - F.col("target"))).drop("slope", "intercept")
 
 
+def with_identity(rows: DataFrame, manifest: DataFrame, key: str = "pair_id", ends: tuple[str, ...] = ("item_l", "item_r"), extra: tuple[str, ...] = ("stratum",)) -> DataFrame:
+    """``rows`` with the manifest's ``extra`` columns. Raises unless every row's key is in the manifest once, with the same ends; rows are neither lost nor made."""
+    from pairlens.operators.validate import require
+
+    require(manifest.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "manifest keys repeat")
+    told = manifest.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in (*ends, *extra)))
+    both = rows.drop(*extra).join(told, F.col(key) == F.col("__k"), "left")
+    agree = F.col("__k").isNotNull()
+    for c in ends:
+        agree = agree & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    require(both.where(~agree).select(key), "rows the manifest does not have so")
+    return both.select(*[c for c in rows.columns if c not in extra], *(F.col(f"__{c}").alias(c) for c in extra))
+
+
+def paired(first: DataFrame, second: DataFrame, value: str = "error", key: str = "pair_id") -> DataFrame:
+    """(key, first, second, delta) of two scored tables. Raises unless both hold the same keys, each once."""
+    from pairlens.operators.validate import require, unmatched
+
+    for f in (first, second):
+        require(f.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "keys repeat")
+    require(unmatched(first, second, [key]), "keys of one side alone")
+    both = first.select(key, F.col(value).alias("first")).join(second.select(key, F.col(value).alias("second")), key)
+    return both.withColumn("delta", F.col("first") - F.col("second"))
+
+
 def aligned(method: DataFrame, baseline: DataFrame, key: str = "pair_id", same: tuple[str, ...] = ("item_l", "item_r", "stratum")) -> tuple[DataFrame, DataFrame]:
     """(paired rows, rows that do not agree): a pair's identity is its id and its endpoints, never its id alone."""
     b = baseline.select(key, *(F.col(c).alias(f"__{c}") for c in same), F.col("error").alias("base_error"))

@@ -265,10 +265,11 @@ def diagonal_metric(made: DataFrame, steps: int = 40, rate: float = 0.05) -> tup
     return np.log1p(np.exp(p)), losses
 
 
-def _measured(rows: DataFrame, specs: dict, heads: dict, fits: dict | None) -> DataFrame:
-    """Sums of every cell over pairs(kind, target..., vl, vr, subject_l, subject_r, base_error): of distances and targets, or with ``fits`` of gains by subject."""
+def _measured(rows: DataFrame, specs: dict, heads: dict, fits: dict | None, by: str = "subject") -> DataFrame:
+    """Sums of every cell over pairs(target..., vl, vr, subject_l, subject_r, ...): of distances and targets, or with ``fits`` of errors by subject, or by another column (as ``subject``)."""
     sent = rows.sparkSession.sparkContext.broadcast((specs, heads, fits))
-    shape = "cell int, subject long, n double, a double, b double, c double, d double"
+    kind = "long" if by == "subject" else rows.schema[by].dataType.simpleString()
+    shape = f"cell int, subject {kind}, n double, a double, b double, c double, d double"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         specs, heads, fits = sent.value
@@ -281,11 +282,15 @@ def _measured(rows: DataFrame, specs: dict, heads: dict, fits: dict | None) -> D
                 y = pdf[name].to_numpy(float)
                 d = np.clip(1 - (forward(left, heads[c]) * forward(right, heads[c])).sum(1), 0, 2)
                 if fits is None:
-                    out.append(pd.DataFrame({"cell": [c], "subject": [0], "n": [float(len(d))], "a": [d.sum()], "b": [y.sum()], "c": [(d * d).sum()], "d": [(d * y).sum()]}))
+                    out.append(pd.DataFrame({"cell": [c], "subject": [None if kind != "long" else 0], "n": [float(len(d))], "a": [d.sum()], "b": [y.sum()], "c": [(d * d).sum()], "d": [(d * y).sum()]}))
                     continue
                 slope, base = fits[c]
                 e = np.abs(base + slope * d - y)
                 zero = np.abs(pdf[f"mean_{name}"].to_numpy(float) - y)
+                if by != "subject":
+                    g = pd.DataFrame({"subject": pdf[by], "e": e, "z": zero}).groupby("subject").agg(n=("e", "size"), a=("e", "sum"), b=("z", "sum")).reset_index()
+                    out.append(g.assign(cell=c, n=g["n"].astype(float), c=0.0, d=0.0)[["cell", "subject", "n", "a", "b", "c", "d"]])
+                    continue
                 both = pd.DataFrame({"l": pdf["subject_l"], "r": pdf["subject_r"], "e": e, "z": zero})
                 ends = pd.concat([both[["l", "e", "z"]].rename(columns={"l": "subject"}), both[both["l"] != both["r"]][["r", "e", "z"]].rename(columns={"r": "subject"})])
                 g = ends.groupby("subject").agg(n=("e", "size"), a=("e", "sum"), b=("z", "sum")).reset_index()
@@ -295,8 +300,8 @@ def _measured(rows: DataFrame, specs: dict, heads: dict, fits: dict | None) -> D
     return rows.mapInPandas(part, shape).groupBy("cell", "subject").agg(*(F.sum(x).alias(x) for x in "nabcd"))
 
 
-def subject_gains(trained: DataFrame, calibration: DataFrame, evaluation: DataFrame, out: int) -> DataFrame:
-    """(cell, subject, n, error, base_error, gain): the evaluation pairs' errors of every trained cell by subject, under its own clamped fit on the calibration pairs; the base predicts their mean
+def subject_gains(trained: DataFrame, calibration: DataFrame, evaluation: DataFrame, out: int, by: str = "subject") -> DataFrame:
+    """(cell, subject, n, error, base_error, gain): the evaluation pairs' errors of every trained cell by subject (or each pair once by another column, which is then named), under its own clamped fit on the calibration pairs; the base predicts their mean
     target. Pairs have vl, vr, subjects and a target a reference."""
     spark = trained.sparkSession
     got = trained.collect()
@@ -311,8 +316,8 @@ def subject_gains(trained: DataFrame, calibration: DataFrame, evaluation: DataFr
         name = specs[r["cell"]]["reference"]
         means[f"mean_target_{name}" if name else "mean_target"] = r["b"] / r["n"]
     rows = evaluation.select("*", *(F.lit(float(v)).alias(k) for k, v in means.items()))
-    per = _measured(rows, specs, heads, fits)
-    return per.select("cell", "subject", "n", (F.col("a") / F.col("n")).alias("error"), (F.col("b") / F.col("n")).alias("base_error"), ((F.col("b") - F.col("a")) / F.col("n")).alias("gain"))
+    per = _measured(rows, specs, heads, fits, by)
+    return per.select("cell", F.col("subject").alias(by), "n", (F.col("a") / F.col("n")).alias("error"), (F.col("b") / F.col("n")).alias("base_error"), ((F.col("b") - F.col("a")) / F.col("n")).alias("gain"))
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:

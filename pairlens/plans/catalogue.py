@@ -269,6 +269,25 @@ def corpus_records(spark, sf_dir):
     return src.corpus(tasks).select("item", "path", "subject", "category", "condition", "split", "task")
 
 
+@query(_PAIRS + " SELECT stratum, arm, item_l, item_r FROM pairs WHERE item_l IN (SELECT l_orderkey FROM lineitem) AND item_r IN (SELECT l_orderkey FROM lineitem)")
+def available_pairs(spark, sf_dir):
+    """Evaluation pairs both of whose items have lines in the second view's table."""
+    known = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"))
+    return scoring.available(pairs.matched_pairs(src.vector_items(spark, sf_dir, "evaluation")), known).select("stratum", "arm", "item_l", "item_r")
+
+
+@query(_SCORED + """, a AS (SELECT item_l || '-' || item_r AS pair_id, stratum, error, abs(0.5 * distance + 0.25 - target) AS other FROM scored)
+SELECT stratum, count(*) AS n, round(avg(error), 6) AS mae, round(avg(other), 6) AS other_mae, round(avg(other - error), 6) AS delta FROM a GROUP BY stratum""")
+def paired_errors(spark, sf_dir):
+    """Two scores of the same pairs by id, with the strata of the pair manifest attached; ids and ends must agree on all sides."""
+    s = settled(scored_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", "item_l", "item_r")))
+    manifest = s.select("pair_id", "item_l", "item_r", "stratum")
+    fixed = s.withColumn("error", F.abs(0.5 * F.col("distance") + 0.25 - F.col("target")))
+    both = scoring.paired(fixed, s).join(s.select("pair_id", "item_l", "item_r"), "pair_id")
+    named = scoring.with_identity(both, manifest)
+    return rounded(named.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("second").alias("mae"), F.avg("first").alias("other_mae"), F.avg("delta").alias("delta")))
+
+
 # --- stratified estimates ----------------------------------------------------------------------------------------
 
 
@@ -505,12 +524,12 @@ def strength_errors(spark, sf_dir):
     return rounded(corrections.strength_errors(_other(spark, sf_dir).where("split = 'calibration'")))
 
 
-@query(_LAM + " SELECT strength, round(mae, 6) AS mae FROM er ORDER BY er.mae, strength LIMIT 1")
+@query(_LAM + " SELECT strength, round(mae, 6) AS mae FROM er ORDER BY round(er.mae, 12), strength LIMIT 1")
 def lambda_selection(spark, sf_dir):
     return rounded(corrections.chosen(corrections.strength_errors(_other(spark, sf_dir).where("split = 'calibration'"))).select("strength", "mae"))
 
 
-@query(_LAM + """, b AS (SELECT * FROM er ORDER BY mae, strength LIMIT 1), z AS (SELECT slope AS s0, intercept AS i0 FROM er WHERE strength = 0),
+@query(_LAM + """, b AS (SELECT * FROM er ORDER BY round(mae, 12), strength LIMIT 1), z AS (SELECT slope AS s0, intercept AS i0 FROM er WHERE strength = 0),
 e AS (SELECT count(*) AS n, avg(abs(s0 * distance + i0 - target)) AS base_mae, avg(abs(slope * greatest(0, distance - strength * other) + intercept - target)) AS mae FROM pp CROSS JOIN b CROSS JOIN z WHERE split = 'evaluation')
 SELECT n, round(base_mae, 6) AS base_mae, round(e.mae, 6) AS mae, round(CASE WHEN base_mae <= 0 THEN 0 ELSE (base_mae - e.mae) / base_mae END, 6) AS gain FROM e""")
 def scalar_subtraction_report(spark, sf_dir):
@@ -520,6 +539,44 @@ def scalar_subtraction_report(spark, sf_dir):
     return rounded(corrections.frozen_report(p.where("split = 'evaluation'"), corrections.chosen(errors).crossJoin(base)))
 
 
+CONTROL_SEEDS = (SEED, SEED + 1, SEED + 2, SEED + 3, SEED + 4)
+_CONTROL = _LAM[: _LAM.index("pp AS (")].replace(", st AS (", ", st AS (", 1) + """sd AS (SELECT unnest([""" + ", ".join(map(str, CONTROL_SEEDS)) + """]) AS seed),
+p0 AS (SELECT split, item_l * 100000 + item_r AS id, gap AS target, distance, """ + _COS + """ AS other FROM mp JOIN px a ON a.item = item_l JOIN px b ON b.item = item_r),
+od AS (SELECT seed, p0.*, row_number() OVER (PARTITION BY seed, split ORDER BY """ + _draw("(id % 1000003)", "1", str(_P), "seed") + """, id) AS i, count(*) OVER (PARTITION BY seed, split) AS n FROM p0 CROSS JOIN sd),
+pp AS (SELECT x.seed, x.split, x.target, x.distance, y.other FROM od x JOIN od y ON y.seed = x.seed AND y.split = x.split AND y.i = CASE WHEN x.i = x.n THEN 1 ELSE x.i + 1 END),
+x AS (SELECT seed, strength, target, greatest(0, distance - strength * other) AS x FROM pp CROSS JOIN st WHERE split = 'calibration'),
+f AS (SELECT seed, strength, greatest(0, coalesce(regr_slope(target, x), 0)) AS slope, avg(target) - greatest(0, coalesce(regr_slope(target, x), 0)) * avg(x) AS intercept FROM x GROUP BY seed, strength),
+er AS (SELECT seed, strength, slope, intercept, avg(abs(slope * x + intercept - target)) AS mae FROM x JOIN f USING (seed, strength) GROUP BY seed, strength, slope, intercept),
+b AS (SELECT * FROM er QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(mae, 12), strength) = 1), z AS (SELECT seed, slope AS s0, intercept AS i0 FROM er WHERE strength = 0)
+SELECT seed, round(any_value(strength), 6) AS strength, round((avg(abs(s0 * distance + i0 - target)) - avg(abs(slope * greatest(0, distance - strength * other) + intercept - target))) / avg(abs(s0 * distance + i0 - target)), 6) AS gain
+FROM pp JOIN b USING (seed) JOIN z USING (seed) WHERE split = 'evaluation' GROUP BY seed"""
+
+
+@query(_CONTROL)
+def scalar_subtraction_controls(spark, sf_dir):
+    """The five controls: the second distances dealt to other pairs of the split, the strength chosen anew, the gain on evaluation pairs."""
+    p = settled(_other(spark, sf_dir).withColumn("id", F.col("item_l") * 100000 + F.col("item_r")))
+    out = None
+    for seed in CONTROL_SEEDS:
+        parts = {s: settled(corrections.shuffled_other(p.where(F.col("split") == s), "id", seed)) for s in ("calibration", "evaluation")}
+        errors = settled(corrections.strength_errors(parts["calibration"]))
+        best = corrections.chosen(errors).crossJoin(errors.where("strength = 0").select(F.col("slope").alias("base_slope"), F.col("intercept").alias("base_intercept")))
+        one = corrections.frozen_report(parts["evaluation"], best).crossJoin(best.select("strength")).select(F.lit(seed).cast("long").alias("seed"), "strength", "gain")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+_BUDGET = _SCORED + """, n AS (SELECT count(*) FILTER (category_l = category_r) AS np, count(*) FILTER (category_l <> category_r) AS nc FROM mp WHERE split = 'calibration'), g AS (SELECT unnest([0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS ratio), l AS (SELECT unnest([0.0, 0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS strength),
+k AS (SELECT ratio, strength, np, least(nc, round_even(np * ratio, 0))::BIGINT AS drawn FROM n CROSS JOIN g CROSS JOIN l) SELECT ratio, strength, np AS pair, drawn AS cross_drawn, round(strength / (1 + strength), 6) AS eta_separate, round(strength * drawn / (np + strength * drawn), 6) AS eta_mixed FROM k"""
+
+
+@query(_BUDGET)
+def gradient_budget(spark, sf_dir):
+    """The cross loss's share of the gradient by exposure ratio and strength, losses apart and mixed, of the calibration pairs; counted from group sizes."""
+    g = pairs.capacity(src.vector_items(spark, sf_dir, "calibration"), ["condition"]).agg((F.sum("a") + F.sum("b")).alias("pair"), (F.sum("c") + F.sum("d")).alias("cross"))
+    return rounded(pools.budget(g, (0.25, 0.5, 1.0, 2.0), (0.0, 0.25, 0.5, 1.0, 2.0)))
+
+
 @query(_SCORED + _ENDS.format(t="scored") + f""", g AS (SELECT grp, CASE WHEN avg(base_error) <= 0 THEN 0 ELSE (avg(base_error) - avg(error)) / avg(base_error) END AS gain FROM scored GROUP BY grp),
 sg AS (SELECT grp, subject, avg(base_error - error) AS d FROM ends GROUP BY grp, subject), un AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY subject) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM sg),
 dr AS (SELECT rep, grp, {_draw('rep', 'k', 'n', _own_seed('grp'))} AS idx FROM (SELECT DISTINCT grp, n FROM un) CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(n)) AS k)),

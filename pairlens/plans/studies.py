@@ -288,3 +288,37 @@ def diagonal_metric(spark, sf_dir):
     pairs, items, _ = _material(spark, sf_dir)
     scales, losses = training.diagonal_metric(training.examples(pairs, items), steps=20, rate=5.0)
     return rounded(spark.createDataFrame([(len(scales), losses[0], losses[-1], float(scales.min()), float(scales.max()))], "dimensions long, first_loss double, last_loss double, least double, most double"))
+
+
+# --- references by their construction ------------------------------------------------------------------------------------
+
+
+def _variant_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(variant, seed, weighting, gain): linear heads trained on three constructions of the reference, five seeds each, scored under the four weightings."""
+    pairs, items, scored = _material(spark, sf_dir)
+    names = {"": "target", "gap": "target_gap", "square": "target_square"}
+    square = F.col("target_gap") * F.col("target_gap")
+    made = training.examples(pairs.withColumn("target_square", square), items)
+    relation = F.concat_ws("::", F.least("category_l", "category_r"), F.greatest("category_l", "category_r"))
+    rows = settled(scored.withColumn("target_square", square).withColumn("category_relation", relation).withColumn("stratum", F.col("grp")))
+    trained = settled(training.train_grid(made, training.grid(spark, reference=list(names), seed=SEEDS, hidden=[0], strength=[0.5]), OUT, STEPS, SHARE))
+    out = None
+    for by in ("subject", "category_relation", "stratum"):
+        g = settled(training.subject_gains(trained, made, rows, OUT, by).join(trained.select("cell", "reference", "seed"), "cell"))
+        weighting = "endpoint_subject" if by == "subject" else by
+        mean = g.groupBy("reference", "seed").agg(F.avg("error").alias("e"), F.avg("base_error").alias("b")).withColumn("weighting", F.lit(weighting))
+        if by == "stratum":
+            whole = g.groupBy("reference", "seed").agg((F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias("e"), (F.sum(F.col("n") * F.col("base_error")) / F.sum("n")).alias("b")).withColumn("weighting", F.lit("pair"))
+            mean = mean.unionByName(whole)
+        out = mean if out is None else out.unionByName(mean)
+    named = F.when(F.col("reference") == "", "binary").otherwise(F.col("reference"))
+    return out.select(named.alias("variant"), "seed", "weighting", F.when(F.col("b") <= 0, 0.0).otherwise((F.col("b") - F.col("e")) / F.col("b")).alias("gain"))
+
+
+@query()
+def variant_gate_trained(spark, sf_dir):
+    """By construction of the reference: medians over trained seeds under every weighting and its checks, with the status over all."""
+    gains = settled(_variant_gains(spark, sf_dir))
+    checked = settled(gates.variants(gains))
+    medians = gains.groupBy("variant").pivot("weighting", ["pair", "endpoint_subject", "category_relation", "stratum"]).agg(F.median("gain"))
+    return rounded(medians.join(checked, "variant").crossJoin(gates.stability(checked).select("status")))

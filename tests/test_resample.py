@@ -123,6 +123,15 @@ def test_nested_draws_have_the_simulated_deviation(spark, kind, run):
     assert np.mean(got) == pytest.approx(mean, abs=4 * sd / 28) and np.std(got) == pytest.approx(sd, rel=0.12)
 
 
+@pytest.mark.parametrize("run", [resample.hierarchical, resample.stratified_mean, lambda rows, n: resample.clustered_delta(rows.withColumn("delta", F.col("distance")), n).withColumnRenamed("delta", "estimate")])
+def test_large_clusters_are_drawn_alike(spark, monkeypatch, run):
+    _, rows = some_rows(spark, 150, 7)
+    monkeypatch.setattr(resample, "_TURN", 7)
+    want = {r["replicate"]: r["estimate"] for r in run(rows, 20).collect()}
+    monkeypatch.setattr(resample, "TOGETHER", 6)
+    assert {r["replicate"]: r["estimate"] for r in run(rows, 20).collect()} == pytest.approx(want)
+
+
 def test_rows_of_drawn_subjects_are_drawn_again(spark):
     """One subject in one stratum: without inner draws the replicates would all be equal."""
     rows = spark.createDataFrame([("s", i, i, 1, 1, float(i)) for i in range(20)], "stratum string, item_l long, item_r long, subject_l long, subject_r long, delta double")

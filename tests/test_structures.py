@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import corrections, inventory, validate
+from pairlens.operators import corrections, inventory, pools, scoring, validate
 from pairlens.sources import items as src
 
 
@@ -126,3 +126,28 @@ def test_block_power_iteration(spark, tasks):
     n, m, cov = corrections.covariance(t)
     assert n == 300 and np.allclose(m, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
     assert np.allclose(corrections.principal_directions(t, 50)[1] @ corrections.principal_directions(t, 50)[1].T, np.eye(20))
+
+
+def test_identity_and_pairing(spark):
+    m = spark.createDataFrame([("a", 1, 2, "x"), ("b", 3, 4, "y")], "pair_id string, item_l long, item_r long, stratum string")
+    rows = spark.createDataFrame([("a", 1, 2, 0.5), ("b", 3, 4, 0.7)], "pair_id string, item_l long, item_r long, error double")
+    assert {r["pair_id"]: r["stratum"] for r in scoring.with_identity(rows, m).collect()} == {"a": "x", "b": "y"}
+    for bad in (rows.withColumn("item_r", F.lit(9)), rows.withColumn("pair_id", F.lit("z"))):
+        with pytest.raises(validate.Rejected):
+            scoring.with_identity(bad, m)
+    with pytest.raises(validate.Rejected):
+        scoring.with_identity(rows, m.unionByName(m))
+    assert [round(r["delta"], 6) for r in scoring.paired(rows, rows.withColumn("error", F.lit(0.2))).orderBy("pair_id").collect()] == [0.3, 0.5]
+    for other in (rows.limit(1), rows.unionByName(rows)):
+        with pytest.raises(validate.Rejected):
+            scoring.paired(rows, other)
+    assert scoring.available(m, spark.createDataFrame([(1,), (2,), (2,), (3,)], "item long")).count() == 1
+
+
+def test_shares_of_the_gradient(spark):
+    got = pools.budget(spark.createDataFrame([(100, 30, 2.0, 1.0)], "pair long, cross long, pair_norm double, cross_norm double"), (0.25, 1.0), (0.0, 2.0)).collect()
+    r = {(x["ratio"], x["strength"]): x for x in got}
+    assert r[0.25, 2.0]["cross_drawn"] == 25 and r[1.0, 2.0]["cross_drawn"] == 30
+    assert r[1.0, 2.0]["eta_separate"] == 0.5 and r[1.0, 2.0]["eta_mixed"] == pytest.approx(60 / 260) and r[1.0, 0.0]["eta_mixed"] == 0
+    none = pools.budget(spark.createDataFrame([(0, 0)], "pair long, cross long"), (1.0,), (0.0,)).first()
+    assert none["eta_mixed"] == 0
