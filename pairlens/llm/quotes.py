@@ -76,6 +76,10 @@ def linked(conversations: DataFrame) -> DataFrame:
     found = parsed(base)
     sought = found.select("conv_id", "turn", F.posexplode_outer("passages").alias("k", "p")).where("p.body <> ''").select("conv_id", "turn", "k", "p.*")
     sought = written(sought.withColumn("h", F.xxhash64("body")))
+    known = ("conv_id", "turn", "role", "own", F.col("depth").cast("long").alias("depth"), F.size("passages").cast("long").alias("n_passages"))
+    if sought.isEmpty():  # nothing is quoted, so nothing is sought and no message has a link
+        none = lambda c: F.lit(None).cast(base.schema[c].dataType)
+        return found.select(*known, F.lit(0).cast("long").alias("n_linked"), none("conv_id").alias("parent_conv"), none("turn").alias("parent_turn"))
     # The first holder of a text stands for all: hot texts are combined before the shuffle.
     inside = written(_originals(found, sought).groupBy("h", "body", "conv_id").agg(F.min("turn").alias("t")))
     holder = F.min(F.struct("conv_id", F.col("t").alias("turn")))
@@ -89,11 +93,7 @@ def linked(conversations: DataFrame) -> DataFrame:
     # The parent is the original of the shallowest passage, the last of them in the text.
     parent = links.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "k", "to")).alias("m"), F.count_distinct("level", "k").alias("n_linked")).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("m.to").alias("to"), "n_linked")
     joined = found.join(written(parent), (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
-    return joined.select(
-        "conv_id", "turn", "role", "own", F.col("depth").cast("long").alias("depth"),
-        F.size("passages").cast("long").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.col("to.conv_id").alias("parent_conv"), F.col("to.turn").alias("parent_turn"),
-    )
+    return joined.select(*known, F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("to.conv_id").alias("parent_conv"), F.col("to.turn").alias("parent_turn"))
 
 
 def in_order(rows: DataFrame, *by: str) -> DataFrame:

@@ -370,3 +370,12 @@ def test_quotes_of_one_very_long_conversation(spark):
     for r in got:
         m = re.match(r"> message number (\d+)", rows[r["turn"]][3])
         assert r["reply_to"] == (int(m[1]) if m else r["turn"] - 1 if r["turn"] else None)
+
+
+def test_a_table_without_quotes(spark):
+    """Nothing is sought; the columns are those of a table with quotes."""
+    rows = [(1, 1, "user", "a > b", "z"), (1, 2, "bot", None, "z"), (2, 5, "user", "c\nd", "z"), (None, 1, "user", "e", "z")]
+    plain = quotes.threads(spark.createDataFrame(rows, CONV))
+    assert plain.dtypes == quotes.threads(spark.createDataFrame([*rows, (2, 6, "bot", "> c\n\nyes", "z")], CONV)).dtypes
+    got = {(r["conv_id"], r["turn"]): (r["place"], r["reply_to"], r["text"], r["n_passages"], r["n_linked"], r["parent_conv"]) for r in plain.collect()}
+    assert got == {(1, 1): (0, None, "a > b", 0, 0, None), (1, 2): (1, 1, "", 0, 0, None), (2, 5): (0, None, "c\nd", 0, 0, None), (None, 1): (None, None, "e", 0, 0, None)}
