@@ -5,16 +5,23 @@ import math
 import duckdb
 import pytest
 
-from pairlens.plans import catalogue
+from pairlens.plans import catalogue, studies
 
 SF = "/root/testdata/sf0.001"
-#: Gates over tables that are queries of their own and run here; their rules are in test_gates.py.
-OVER_TABLES = {"ordering_gate", "weighting_gate", "variant_checks", "variant_gate", "reference_gate", "transfer_gate"}
+#: Gates and contrasts over tables that are queries of their own and run here; their rules are in test_gates.py.
+OVER_TABLES = {"paired_contrast", "ordering_gate", "weighting_gate", "variant_checks", "variant_gate", "reference_gate", "transfer_gate"}
 #: Gates over a report whose evidence is made in full by a query that runs here.
 OVER_REPORTS = {"correction_gate", "reference_gate_trained", "prevalence_transfer_trained"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(autouse=True)
+def short(monkeypatch):
+    """What trains takes two steps, two seeds and few replicates here."""
+    for name, value in (("STEPS", 2), ("SEEDS", [1, 2]), ("REPLICATES", 50)):
+        monkeypatch.setattr(studies, name, value)
+
+
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
