@@ -8,11 +8,12 @@ Vectors join by unit; they are broadcast if their table is at most SMALL bytes,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.plans.storage import settled
@@ -27,6 +28,75 @@ def matrix(column: pd.Series, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), kind).reshape(len(column), -1)
 
 
+def drawn(seed: int | np.ndarray, replicate: np.ndarray, k: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """The rule of ``scalars.draw`` over arrays; remainders by the Mersenne prime 2^31 - 1 are sums of its halves."""
+    p = 2147483647
+
+    def rest(x: np.ndarray) -> np.ndarray:
+        x = (x & p) + (x >> 31)
+        x = (x & p) + (x >> 31)
+        return np.where(x >= p, x - p, x)
+
+    x = rest(np.asarray(seed + replicate * 1000003 + k * 7919, np.int64))
+    return rest(rest(x * x) * 48271 + x) % n
+
+
+def own_seed(seed: int, *keys: object) -> int:
+    """The rule of ``scalars.group_seed``."""
+    return seed + int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:7], 16)
+
+
+def counted(spark: SparkSession, n: int, replicates: int, seed: int, block: int) -> DataFrame:
+    """(replicate, block, m): how often each of n units is drawn in n draws, as packed counts of the units of a block. Draws are made from integers where they are counted, so no row is a draw."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf["id"]:
+                for kind in ("u1", "<i4"):
+                    m = np.zeros(n, kind)
+                    for lo in range(0, n, 1 << 20):
+                        np.add.at(m, drawn(seed, r, np.arange(lo, min(n, lo + (1 << 20)), dtype=np.int64), n), m.dtype.type(1))
+                    if m.sum(dtype=np.int64) == n:  # else a small counter ran over
+                        break
+                yield pd.DataFrame({"replicate": r, "block": range(-(-n // block)), "m": [m[lo : lo + block].tobytes() for lo in range(0, n, block)]})
+
+    return spark.range(0, replicates, 1, min(replicates, 200)).mapInPandas(count, "replicate int, block long, m binary")
+
+
+def _counts(column: pd.Series, size: int) -> np.ndarray:
+    return np.stack([np.frombuffer(m, "u1" if len(m) == size else "<i4") for m in column])
+
+
+def drawn_sums(rows: DataFrame, number: str, values: list[str], replicates: int, seed: int, block: int = 1 << 14) -> DataFrame:
+    """(replicate, values): the sums of ``values`` over as many rows as there are, drawn with replacement; ``number`` numbers the rows from 0. A block's rows meet its counts in all replicates."""
+    n = rows.count()
+    ours = rows.select(F.floor(F.col(number) / block).alias("block"), number, *(F.col(v).cast("double").alias(v) for v in values))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = left.sort_values(number)[values].to_numpy(float)
+        got = [_counts(right["m"].iloc[lo : lo + 100], len(x)).astype(float) @ x for lo in range(0, len(right), 100)]
+        return pd.DataFrame(np.concatenate(got) if got else np.zeros((0, len(values))), columns=values).assign(replicate=right["replicate"].to_numpy())[["replicate", *values]]
+
+    shape = "replicate int, " + ", ".join(f"{v} double" for v in values)
+    met = ours.groupBy("block").cogroup(counted(rows.sparkSession, n, replicates, seed, block).groupBy("block")).applyInPandas(meet, shape)
+    return met.groupBy("replicate").agg(*(F.sum(v).alias(v) for v in values))
+
+
+def drawn_vectors(units: DataFrame, unit: str, replicates: int, seed: int, block: int = 1 << 11) -> DataFrame:
+    """(unit, ms): the counts of every unit in all replicates, of as many draws as there are units; units(unit, idx) are numbered from 0."""
+    n = units.count()
+    kind = units.schema[unit].dataType.simpleString()
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("idx")
+        ms = np.zeros((len(left), replicates), "<i4")
+        ms[:, right["replicate"].to_numpy()] = _counts(right["m"], len(left)).T
+        return pd.DataFrame({unit: left[unit].to_numpy(), "ms": [x.tobytes() for x in ms]})
+
+    ours = units.select(unit, "idx", F.floor(F.col("idx") / block).alias("block"))
+    return settled(ours.groupBy("block").cogroup(counted(units.sparkSession, n, replicates, seed, block).groupBy("block")).applyInPandas(meet, f"`{unit}` {kind}, ms binary"))
+
+
 def vectors(drawn: DataFrame, keys: list[str], replicates: int) -> DataFrame:
     """(keys, ms): the counts of drawn(replicate, keys, m) as one packed vector."""
     kept = drawn.groupBy(*keys).agg(F.collect_list("replicate").alias("r"), F.collect_list("m").alias("m"))
@@ -44,7 +114,7 @@ def vectors(drawn: DataFrame, keys: list[str], replicates: int) -> DataFrame:
 
 def weighed(rows: DataFrame, drawn: DataFrame, unit: str, on: list[str], replicates: int) -> DataFrame:
     """``rows`` with the vectors ``ms_l`` and ``ms_r`` of their ends, and whether the ends are ``one``; a pair with an end that no replicate drew drops out."""
-    packed = vectors(drawn, [*on, unit], replicates)
+    packed = drawn if "ms" in drawn.columns else vectors(drawn, [*on, unit], replicates)
     bytes_ = packed.count() * (4 * replicates + 100)
     side = lambda s: packed.select(*on, F.col(unit).alias(f"{unit}_{s}"), F.col("ms").alias(f"ms_{s}"))
     sent = F.broadcast if bytes_ <= SMALL else (lambda f: f.hint("merge"))
