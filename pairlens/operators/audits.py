@@ -24,9 +24,10 @@ def leakage(source: DataFrame, target: DataFrame) -> DataFrame:
     def common(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
         return a.intersect(b).agg(F.lit(name).alias("kind"), F.count("*").alias("shared"))
 
-    ends = lambda p: identity(p).select("ends")
-    items = lambda p: p.select(F.explode(F.array("item_l", "item_r")).alias("x"))
-    subjects = lambda p: p.select(F.explode(F.array("subject_l", "subject_r")).alias("x"))
+    ends = lambda p: p.select(F.least("item_l", "item_r").alias("x"), F.greatest("item_l", "item_r").alias("y"))
+    # Items and subjects are few beside the pairs: each task drops what it has seen before anything is shuffled.
+    items = lambda p: p.select(F.explode(F.array("item_l", "item_r")).alias("x")).distinct()
+    subjects = lambda p: p.select(F.explode(F.array("subject_l", "subject_r")).alias("x")).distinct()
     return common("pair", ends(source), ends(target)).unionByName(common("item", items(source), items(target))).unionByName(common("subject", subjects(source), subjects(target)))
 
 
