@@ -43,8 +43,13 @@ def shuffled(centred: DataFrame, seed: int, wrong: bool = False) -> DataFrame:
 
 def cells(items: DataFrame, centred: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(subject, category, fold, x, y): cell means of items(subject, category, vec) with the subject's centroid; folds by hash."""
+    return cell_means(items, folds).join(centred.select("subject", "x"), "subject").select("subject", "category", "fold", "x", "y")
+
+
+def cell_means(items: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(subject, category, fold, y) of ``cells``: what does not depend on the centroids."""
     means = mean_vectors(items, ["subject", "category"]).select("subject", "category", F.col("mean").alias("y"))
-    return means.join(centred.select("subject", "x"), "subject").withColumn("fold", F.pmod(F.xxhash64("subject", "category"), F.lit(folds)).cast("int"))
+    return means.withColumn("fold", F.pmod(F.xxhash64("subject", "category"), F.lit(folds)).cast("int"))
 
 
 @dataclass
@@ -76,24 +81,29 @@ class Sums:
 
 def blocks(made: DataFrame) -> dict[tuple[int, object], Sums]:
     """{(fold, category): sums} of ``cells``: one row of sums a task and group, added up by group."""
-    kind = made.schema["category"].dataType.simpleString()
-    shape = f"fold int, category {kind}, n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>, yy double"
+    return blocks_by(made.withColumn("name", F.lit("")))[""]
+
+
+def blocks_by(made: DataFrame) -> dict[str, dict[tuple[int, object], Sums]]:
+    """``blocks`` of every ``name`` of the cells, in one job."""
+    kind, keys = made.schema["category"].dataType.simpleString(), ["name", "fold", "category"]
+    shape = f"name string, fold int, category {kind}, n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>, yy double"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (fold, category), g in pdf.groupby(["fold", "category"]):
+            for (name, fold, category), g in pdf.groupby(keys):
                 x, y = np.stack(g["x"].to_numpy()), np.stack(g["y"].to_numpy())
-                yield pd.DataFrame({"fold": [fold], "category": [category], "n": [float(len(g))], "sx": [x.sum(0)], "sy": [y.sum(0)], "xx": [(x.T @ x).ravel()], "xy": [(x.T @ y).ravel()], "yy": [float((y * y).sum())]})
+                yield pd.DataFrame({"name": [name], "fold": [fold], "category": [category], "n": [float(len(g))], "sx": [x.sum(0)], "sy": [y.sum(0)], "xx": [(x.T @ x).ravel()], "xy": [(x.T @ y).ravel()], "yy": [float((y * y).sum())]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         added = {c: [np.sum(np.stack(pdf[c].to_numpy()), axis=0)] for c in ("sx", "sy", "xx", "xy")}
-        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "category": pdf["category"].iloc[:1], "n": [pdf["n"].sum()], **added, "yy": [pdf["yy"].sum()]})
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "n": [pdf["n"].sum()], **added, "yy": [pdf["yy"].sum()]})
 
-    parts = made.select("fold", "category", "x", "y").mapInPandas(part, shape)
-    out = {}
-    for r in parts.groupBy("fold", "category").applyInPandas(total, shape).collect():
+    parts = made.select(*keys, "x", "y").mapInPandas(part, shape)
+    out: dict = {}
+    for r in parts.groupBy(*keys).applyInPandas(total, shape).collect():
         p, q = len(r["sx"]), len(r["sy"])
-        out[r["fold"], r["category"]] = Sums(r["n"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["xx"]).reshape(p, p), np.array(r["xy"]).reshape(p, q), r["yy"])
+        out.setdefault(r["name"], {})[r["fold"], r["category"]] = Sums(r["n"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["xx"]).reshape(p, p), np.array(r["xy"]).reshape(p, q), r["yy"])
     return out
 
 
@@ -251,13 +261,42 @@ def cleaned(items: DataFrame, centred: DataFrame, fitted: Fit) -> DataFrame:
     return both.mapInPandas(run, both.schema).drop("__x").withColumn("norm", norm("vec", dim))
 
 
+def formed(items: DataFrame, forms: dict[str, tuple[Fit, str]]) -> DataFrame:
+    """items(category, vec, x_<centre>..., ...) with ``vec_<form>`` and ``norm_<form>`` of every form (its fit and the centre that it is applied to), in one pass."""
+    kept = items.drop("norm", *{f"x_{centre}" for _, centre in forms.values()})
+    names, kinds = kept.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                vec, category = np.stack(pdf["vec"].to_numpy()), pdf["category"].tolist()
+                at = {centre: np.stack(pdf[f"x_{centre}"].to_numpy()) for _, centre in forms.values()}
+                yield pdf[names].assign(**{f"vec_{name}": list(vec - fitted.component(at[centre], category) + fitted.anchor) for name, (fitted, centre) in forms.items()})
+
+    made = items.mapInPandas(run, f"{kinds}, " + ", ".join(f"vec_{name} array<double>" for name in forms))
+    return made.select("*", *(norm(f"vec_{name}").alias(f"norm_{name}") for name in forms))
+
+
+def form_distance(name: str) -> F.Column:
+    """The distance of a pair under a form, of rows with both ends' vectors. Not written out term by term: the code of many forms would fill the driver."""
+    return cosine_from(dot(f"vec_{name}_l", f"vec_{name}_r"), F.col(f"norm_{name}_l"), F.col(f"norm_{name}_r"), "distinct")
+
+
 def leave_pair_out(pairs: DataFrame, items: DataFrame, centred: DataFrame, fitted: Fit) -> DataFrame:
     """pairs(item_l, item_r, ...) with the ``distance`` when each end's centroid is that of its subject's other items, and ``fallbacks``, ends without any, which keep the
     whole centroid. The sums less the pair's own items give it; nothing is fitted again."""
     known = items.join(centred.select("subject", F.col("n").alias("c"), F.col("sums").alias("t")), "subject")
-    side = lambda s: known.select(F.col("item").alias(f"item_{s}"), *(F.col(k).alias(f"__{k}_{s}") for k in ("subject", "category", "vec", "proxy", "c", "t")))
-    both = pairs.join(side("l"), "item_l").join(side("r"), "item_r")
-    dim, names = len(fitted.anchor), pairs.columns
+    side = lambda s: known.select(F.col("item").alias(f"item_{s}"), *(F.col(k).alias(f"__{k}_{s}") for k in ENDS))
+    return apart(pairs.join(side("l"), "item_l").join(side("r"), "item_r"), pairs.columns, fitted)
+
+
+#: What a pair's end has for ``apart``: ``c`` and ``t`` are its subject's count and sums.
+ENDS = ("subject", "category", "vec", "proxy", "c", "t")
+
+
+def apart(both: DataFrame, names: list[str], fitted: Fit) -> DataFrame:
+    """The columns ``names`` of pairs whose ends' ``ENDS`` are there as __<name>_l and __<name>_r, with the ``distance`` and ``fallbacks`` of ``leave_pair_out``."""
+    dim = len(fitted.anchor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -275,6 +314,6 @@ def leave_pair_out(pairs: DataFrame, items: DataFrame, centred: DataFrame, fitte
                 pdf[f"__v_{s}"] = list(np.stack(pdf[f"__vec_{s}"].to_numpy()) - fitted.component(x, pdf[f"__category_{s}"].tolist()) + fitted.anchor)
             yield pdf[names].assign(__v_l=pdf["__v_l"], __v_r=pdf["__v_r"], fallbacks=short)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    got = both.mapInPandas(run, f"{kinds}, __v_l array<double>, __v_r array<double>, fallbacks long")
+    kinds = ", ".join(f"`{n}` {both.schema[n].dataType.simpleString()}" for n in names)
+    got = both.select(*names, *(f"__{k}_{s}" for s in "lr" for k in ENDS)).mapInPandas(run, f"{kinds}, __v_l array<double>, __v_r array<double>, fallbacks long")
     return got.withColumn("distance", cosine_from(dot("__v_l", "__v_r", dim), norm("__v_l", dim), norm("__v_r", dim), "distinct")).drop("__v_l", "__v_r")
