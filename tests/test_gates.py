@@ -108,3 +108,19 @@ def test_diversity_and_correction_gates(spark):
     assert row(gates.correction(r, swapped="v", rival="other"))["passed"]
     assert not row(gates.correction(r.withColumn("v", F.lit(0.1)), swapped="v"))["passed"]
     assert not row(gates.correction(r.withColumn("wrong", F.lit(0.06))))["wrong_gains_less"]
+
+
+def test_slopes_of_prevalence_are_judged_to_six_places_as_the_sql_does(spark, monkeypatch):
+    """Gains of a millionth: their contrasts round to 0, and 0 reduces nothing."""
+    import duckdb
+
+    from pairlens.plans import reports
+    from pairlens.plans.catalogue import _SCORED, ORACLE_SQL
+
+    rows = [(s, s, 0.5, 0.5 - 4e-7 - 1e-9 * s) for s in range(8, 20)]
+    monkeypatch.setattr(reports, "_scored", lambda *_: spark.createDataFrame(rows, "subject_l long, subject_r long, base_error double, error double"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given AS SELECT * FROM (VALUES " + ", ".join(map(str, rows)) + ") t(subject_l, subject_r, base_error, error)")
+    want = con.execute(ORACLE_SQL["prevalence_checks"].replace(_SCORED, "WITH scored AS (SELECT * FROM given)")).fetchall()
+    got = sorted(map(tuple, reports.prevalence_checks(spark, "").collect()))
+    assert got == sorted(want) and not got[1][1]
